@@ -12,24 +12,20 @@ DEFAULT_WIDTH_M = 6.0
 NULL_WORDS = ("nan", "none", "null", "")
 RESIDENTIAL_CLASS = "residential"
 
-_NUMBER = r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?$"
+_BLANKS = " \t\n\r\f\v"
+_NUMBER = (
+    r"^[+-]?((\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?|(?i:inf|infinity|nan))$"
+)
 
 
 def _strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(_BLANKS))
 
 
 def lenient_double(text: Column) -> Column:
     """Plain decimal text to DOUBLE; suffixes such as ``3.5d`` are not numbers."""
     text = _strip(text)
-    number = F.replace(text, F.lit("_"), F.lit("")).try_cast("double")
-    sign = F.when(text.startswith("-"), F.lit(-1.0)).otherwise(F.lit(1.0))
-    word = F.lower(F.regexp_replace(text, r"^[+-]", ""))
-    return (
-        F.when(text.rlike(_NUMBER), number)
-        .when(word.isin("inf", "infinity"), sign * F.lit(float("inf")))
-        .when(word == "nan", F.lit(float("nan")))
-    )
+    return F.when(text.rlike(_NUMBER), F.replace(text, F.lit("_"), F.lit("")).try_cast("double"))
 
 
 def parse_measure(tag: Column, whole: bool = False) -> Column:
@@ -39,19 +35,17 @@ def parse_measure(tag: Column, whole: bool = False) -> Column:
     metres, bare number. ``whole`` truncates toward zero.
     """
     text = _strip(tag)
+    quoted = text.contains("'")
     parts = F.split(F.replace(text, F.lit('"'), F.lit("")), "'")
-    feet_inches = F.when(
-        F.size(parts) == 2,
-        lenient_double(F.get(parts, F.lit(0))) * METRES_PER_FOOT
-        + lenient_double(F.get(parts, F.lit(1))) * METRES_PER_INCH,
-    )
-    value = (
-        F.when(tag.isNull() | F.lower(text).isin(*NULL_WORDS), F.lit(None).cast("double"))
-        .when(text.contains("'"), feet_inches)
-        .when(text.endswith("ft"), lenient_double(F.replace(text, F.lit("ft"), F.lit(""))) * METRES_PER_FOOT)
-        .when(text.endswith("m"), lenient_double(F.replace(text, F.lit("m"), F.lit(""))))
-        .otherwise(lenient_double(text))
+    amount = (
+        F.when(quoted, F.when(F.size(parts) == 2, F.get(parts, F.lit(0))))
+        .when(text.endswith("ft"), F.replace(text, F.lit("ft"), F.lit("")))
+        .when(text.endswith("m"), F.replace(text, F.lit("m"), F.lit("")))
+        .when(~F.lower(text).isin(*NULL_WORDS), text)
     )
+    unit = F.when(quoted | text.endswith("ft"), F.lit(METRES_PER_FOOT)).otherwise(F.lit(1.0))
+    inches = F.when(quoted, lenient_double(F.get(parts, F.lit(1))) * METRES_PER_INCH).otherwise(F.lit(0.0))
+    value = lenient_double(amount) * unit + inches
     return value.try_cast("bigint") if whole else value
 
 
