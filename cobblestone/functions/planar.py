@@ -9,6 +9,11 @@ from pyspark.sql import Column, functions as F
 INFINITY = float("inf")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body refers to it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
@@ -57,12 +62,15 @@ def circumradius(p: Column, q: Column, r: Column, guard: RadiusGuard) -> Column:
 
 def pieces(line: Column) -> Column:
     """Consecutive vertex pairs of a line as ARRAY<STRUCT<a, b>>, zero-length pieces left out."""
-    pairs = F.zip_with(
-        F.slice(line, F.lit(1), F.greatest(F.size(line) - 1, F.lit(0))),
-        F.slice(line, F.lit(2), F.greatest(F.size(line) - 1, F.lit(0))),
-        lambda a, b: F.struct(a.alias("a"), b.alias("b")),
-    )
-    return F.filter(pairs, lambda s: (s["a"]["x"] != s["b"]["x"]) | (s["a"]["y"] != s["b"]["y"]))
+
+    def pairs(points):
+        steps = F.greatest(F.size(points) - 1, F.lit(0))
+        return F.zip_with(
+            F.slice(points, F.lit(1), steps), F.slice(points, F.lit(2), steps),
+            lambda a, b: F.struct(a.alias("a"), b.alias("b")),
+        )
+
+    return F.filter(let(line, pairs), lambda s: (s["a"]["x"] != s["b"]["x"]) | (s["a"]["y"] != s["b"]["y"]))
 
 
 def line_length(line: Column) -> Column:
@@ -80,9 +88,13 @@ def _side(piece: Column, half: Column, sign: int) -> Column:
 def ribbon(line: Column, width: Column) -> Column:
     """A line widened to a polygon ring: one side forward, the other side back; null if degenerate."""
     half = width / 2
-    near = F.flatten(F.transform(pieces(line), lambda s: _side(s, half, 1)))
-    far = F.reverse(F.flatten(F.transform(pieces(line), lambda s: _side(s, half, -1))))
-    return F.when((F.size(pieces(line)) > 0) & width.isNotNull(), F.concat(near, far))
+
+    def ring(parts):
+        near = F.flatten(F.transform(parts, lambda s: _side(s, half, 1)))
+        far = F.reverse(F.flatten(F.transform(parts, lambda s: _side(s, half, -1))))
+        return F.when((F.size(parts) > 0) & width.isNotNull(), F.concat(near, far))
+
+    return let(pieces(line), ring)
 
 
 def rectangle(a: Column, b: Column, width: Column) -> Column:
@@ -123,27 +135,54 @@ def point_along(line: Column, metres: Column) -> Column:
 
 def arm_point(line: Column, node: Column, reach: float) -> Column:
     """Point at ``reach`` from the end of ``line`` that lies at ``node``; halfway on shorter lines."""
-    length = line_length(line)
-    used = F.when(length < reach, length * 0.5).otherwise(F.lit(reach))
     at_start = distance(F.get(line, F.lit(0)), node) < 1e-5
-    return point_along(line, F.when(at_start, used).otherwise(length - used))
+
+    def along(length):
+        used = F.when(length < reach, length * 0.5).otherwise(F.lit(reach))
+        return point_along(line, F.when(at_start, used).otherwise(length - used))
+
+    return let(line_length(line), along)
 
 
 def ring_sides(ring: Column) -> Column:
     """Sides of a ring (open or closed) as ARRAY<STRUCT<a, b>>."""
-    turned = F.concat(F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, F.lit(1), F.lit(1)))
-    return F.zip_with(ring, turned, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    def sides(points):
+        rest = F.slice(points, F.lit(2), F.greatest(F.size(points) - 1, F.lit(0)))
+        turned = F.concat(rest, F.slice(points, F.lit(1), F.lit(1)))
+        return F.zip_with(points, turned, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    return let(ring, sides)
+
+
+def _crosses(side: Column, x: Column, y: Column) -> Column:
+    a, b = side["a"], side["b"]
+    spans = (a["y"] > y) != (b["y"] > y)
+    return spans & (x < (b["x"] - a["x"]) * (y - a["y"]) / F.nullif(b["y"] - a["y"], F.lit(0.0)) + a["x"])
+
+
+def _touches(side: Column, x: Column, y: Column) -> Column:
+    a, b = side["a"], side["b"]
+    turn = (b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"])
+    return (
+        (turn == 0)
+        & x.between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"]))
+        & y.between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
+    )
 
 
 def contains(ring: Column, x: Column, y: Column) -> Column:
     """Ray casting: whether a ring encloses a point (an odd number of sides to its right)."""
+    return F.size(F.filter(ring_sides(ring), lambda s: _crosses(s, x, y))) % 2 == 1
 
-    def crosses(s):
-        a, b = s["a"], s["b"]
-        spans = (a["y"] > y) != (b["y"] > y)
-        return spans & (x < (b["x"] - a["x"]) * (y - a["y"]) / F.nullif(b["y"] - a["y"], F.lit(0.0)) + a["x"])
 
-    return F.size(F.filter(ring_sides(ring), crosses)) % 2 == 1
+def covers(ring: Column, x: Column, y: Column) -> Column:
+    """``contains``, or the point lies on the ring itself."""
+    return let(
+        ring_sides(ring),
+        lambda sides: (F.size(F.filter(sides, lambda s: _crosses(s, x, y))) % 2 == 1)
+        | F.exists(sides, lambda s: _touches(s, x, y)),
+    )
 
 
 def bounds(ring: Column) -> Column:
@@ -191,22 +230,4 @@ def clip_to_box(ring: Column, min_x: Column, min_y: Column, max_x: Column, max_y
     out = _clip_half_plane(out, "x", max_x, False)
     out = _clip_half_plane(out, "y", min_y, True)
     out = _clip_half_plane(out, "y", max_y, False)
-    return F.when(F.size(out) > 2, out)
-
-
-def strip_extent(ring: Column, low: Column, high: Column) -> Column:
-    """x-range STRUCT<low, high> that a convex ring covers between two heights; null outside."""
-
-    def x_at(s, y):
-        a, b = s["a"], s["b"]
-        return a["x"] + (b["x"] - a["x"]) * (y - a["y"]) / F.nullif(b["y"] - a["y"], F.lit(0.0))
-
-    def ends(s):
-        a, b = s["a"], s["b"]
-        inside_a = F.when((a["y"] >= low) & (a["y"] <= high), a["x"])
-        cut_low = F.when((F.least(a["y"], b["y"]) < low) & (F.greatest(a["y"], b["y"]) > low), x_at(s, low))
-        cut_high = F.when((F.least(a["y"], b["y"]) < high) & (F.greatest(a["y"], b["y"]) > high), x_at(s, high))
-        return F.array(inside_a, cut_low, cut_high)
-
-    xs = F.flatten(F.transform(ring_sides(ring), ends))
-    return F.struct(F.array_min(xs).alias("low"), F.array_max(xs).alias("high"))
+    return let(out, lambda kept: F.when(F.size(kept) > 2, kept))
