@@ -63,7 +63,7 @@ def touched_cells(framed: DataFrame, density: float, *keys: str) -> DataFrame:
     ranged = named.withColumn("_top", top).withColumn("_bottom", bottom)
     first = F.greatest(F.floor(F.col("_top") + SLIVER), F.lit(0)).cast("int")
     last = F.least(F.ceil(F.col("_bottom") - SLIVER) - 1, F.col("h") - 1).cast("int")
-    rows = ranged.withColumn("_r0", first).withColumn("_r1", last).where(F.col("_r0") <= F.col("_r1")).withColumn(
+    rows = ranged.where(F.col("_bottom") - F.col("_top") > SLIVER).withColumn("_r0", first).withColumn("_r1", last).where(F.col("_r0") <= F.col("_r1")).withColumn(
         "row", F.explode(F.sequence("_r0", "_r1"))
     )
     low = F.greatest(F.col("row").cast("double"), F.col("_top"))
@@ -76,11 +76,15 @@ def touched_cells(framed: DataFrame, density: float, *keys: str) -> DataFrame:
         u0, u1 = F.coalesce(a + slope * (v0 - b), a), F.coalesce(a + slope * (v1 - b), c)
         lows.append(F.when(v0 <= v1, F.least(u0, u1)))
         highs.append(F.when(v0 <= v1, F.greatest(u0, u1)))
-    left = F.greatest(F.least(*lows), (F.col("cx0") - F.col("ox")) / density)
-    right = F.least(F.greatest(*highs), (F.col("cx1") - F.col("ox")) / density)
-    runs = rows.withColumn("_c0", F.greatest(F.floor(left + SLIVER), F.lit(0)).cast("int")).withColumn(
-        "_c1", F.least(F.ceil(right - SLIVER) - 1, F.col("w") - 1).cast("int")
-    ).where(F.col("_c0") <= F.col("_c1"))
+    spans = rows.withColumns({"_low": F.least(*lows), "_high": F.greatest(*highs)}).where(F.col("_low").isNotNull())
+    spans = spans.withColumns({
+        "_left": F.greatest("_low", (F.col("cx0") - F.col("ox")) / density),
+        "_right": F.least("_high", (F.col("cx1") - F.col("ox")) / density),
+    }).where(F.col("_right") - F.col("_left") > SLIVER)
+    runs = spans.withColumns({
+        "_c0": F.greatest(F.floor(F.col("_left") + SLIVER), F.lit(0)).cast("int"),
+        "_c1": F.least(F.ceil(F.col("_right") - SLIVER) - 1, F.col("w") - 1).cast("int"),
+    }).where(F.col("_c0") <= F.col("_c1"))
     return runs.select(*keys, "row", F.explode(F.sequence("_c0", "_c1")).alias("col")).distinct()
 
 
