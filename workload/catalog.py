@@ -5,4 +5,6 @@ from workload import q_geometry  # noqa: F401
 
 from workload import q_raster  # noqa: F401
 
+from workload import q_morphology  # noqa: F401
+
 FLAGSHIP = "G7_edge_measurements"
