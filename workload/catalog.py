@@ -7,4 +7,6 @@ from workload import q_raster  # noqa: F401
 
 from workload import q_morphology  # noqa: F401
 
+from workload import q_streets  # noqa: F401
+
 FLAGSHIP = "G7_edge_measurements"
