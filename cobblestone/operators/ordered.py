@@ -18,17 +18,18 @@ def number_rows(rows: DataFrame, bucket: str, order: str, out: str) -> DataFrame
     )
 
 
-def _blocked(rows: DataFrame, order: str, block: int) -> DataFrame:
-    return rows.withColumn("_block", F.floor(F.col(order) / block))
+def _blocked(rows: DataFrame, order: str, block) -> DataFrame:
+    return rows.withColumn("_block", block if isinstance(block, Column) else F.floor(F.col(order) / block))
 
 
 def carry_forward(
-    rows: DataFrame, order: str, value: Column, out: str, by: tuple[str, ...] = (), block: int = 1_000_000
+    rows: DataFrame, order: str, value: Column, out: str, by: tuple[str, ...] = (), block: int | Column = 1_000_000
 ) -> DataFrame:
     """The last non-null ``value`` up to and including each row, along ``order``.
 
-    Rows are cut into blocks of ``order``; a block is one window group, and what
-    earlier blocks leave behind comes from a table with one row per block.
+    Rows are cut into blocks of ``order`` (or by a block column that rises with it); a
+    block is one window group, and what earlier blocks leave behind comes from a table
+    with one row per block.
     """
     keys = [*by, "_block"]
     marked = _blocked(rows.withColumn("_v", value), order, block)
@@ -44,21 +45,17 @@ def carry_forward(
 
 
 def running(
-    rows: DataFrame, order: str, value: Column, out: str, how: str, by: tuple[str, ...] = (), block: int = 1_000_000,
-    exclusive: bool = False,
+    rows: DataFrame, order: str, value: Column, out: str, how: str, by: tuple[str, ...] = (),
+    block: int | Column = 1_000_000, exclusive: bool = False,
 ) -> DataFrame:
     """Running ``max`` or ``sum`` of ``value`` along ``order`` per group, by blocks as above."""
     fold = {"max": F.max, "sum": F.sum}[how]
-    join = {"max": F.greatest, "sum": lambda a, b: F.coalesce(a + b, a, b)}[how]
     keys = [*by, "_block"]
     marked = _blocked(rows.withColumn("_v", value), order, block)
     blocks = marked.groupBy(*keys).agg(fold("_v").alias("_total"))
     before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carried = blocks.select(*keys, fold("_total").over(before).alias("_carry"))
-    inside = Window.partitionBy(*keys).orderBy(order).rowsBetween(
-        Window.unboundedPreceding, -1 if exclusive else 0
-    )
-    folded = marked.withColumn("_in", fold("_v").over(inside))
-    return folded.join(carried, keys, "left").withColumn(out, join(F.col("_in"), F.col("_carry"))).drop(
-        "_v", "_in", "_carry", "_block"
-    )
+    inside = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
+    folded = marked.withColumn("_in", fold("_v").over(inside)).join(carried, keys, "left")
+    both = F.greatest("_in", "_carry") if how == "max" else F.coalesce(F.col("_in") + F.col("_carry"), "_in", "_carry")
+    return folded.withColumn(out, both).drop("_v", "_in", "_carry", "_block")

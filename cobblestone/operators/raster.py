@@ -117,17 +117,20 @@ def rasterise_window(pieces: DataFrame, min_x: float, max_x: float, min_y: float
     return touched_cells(pieces.where(near).join(F.broadcast(bounds)).withColumns(frame), density)
 
 
-def rasterise_segments(pieces: DataFrame, segment_h: int, segment_w: int, density: float = 1.0) -> DataFrame:
+def rasterise_segments(
+    pieces: DataFrame, segment_h: int, segment_w: int, density: float = 1.0, only: Column | None = None
+) -> DataFrame:
     """Streets to the cells of every segment in one job (R5): (seg_row, seg_col, row, col), row/col in the segment.
 
     Each segment has its own origin, truncated to whole metres, and only the part of
-    a street inside the segment's box counts.
+    a street inside the segment's box counts. ``only`` leaves out streets that still
+    count for the total bounds.
     """
     bounds = piece_bounds(pieces).withColumns({
         "sw": F.least(F.lit(segment_w), F.ceil((F.col("max_x") - F.col("min_x")) / density).cast("int")),
         "sh": F.least(F.lit(segment_h), F.ceil((F.col("max_y") - F.col("min_y")) / density).cast("int")),
     })
-    joined = pieces.join(F.broadcast(bounds))  # one row
+    joined = (pieces if only is None else pieces.where(only)).join(F.broadcast(bounds))  # one row
     wx, wy = F.abs("nx"), F.abs("ny")
 
     def span(low, high, size, limit):
@@ -264,10 +267,10 @@ def cut_windows(requests: DataFrame, rows: int, cols: int, clip_index: bool) ->
     )
 
 
-def cut_cells(windows: DataFrame, cells: DataFrame, block: int = 128) -> DataFrame:
+def cut_cells(windows: DataFrame, cells: DataFrame, block: int = 128, keep: tuple[str, ...] = ()) -> DataFrame:
     """Cells of many windows in one job (J6): windows go to the blocks they cover, then an equi-join.
 
-    Result: (cut_id, row, col, channels...), row/col from the window's corner.
+    Result: (cut_id, *keep, row, col, channels...), row/col from the window's corner.
     """
     covered = windows.withColumn(
         "br", F.explode(F.sequence(lattice.floor_div(F.col("y0"), block), lattice.floor_div(F.col("y0") + F.col("h") - 1, block)))
@@ -281,7 +284,7 @@ def cut_cells(windows: DataFrame, cells: DataFrame, block: int = 128) -> DataFra
     )
     values = [c for c in cells.columns if c not in ("row", "col")]
     return covered.join(keyed, ["br", "bc"]).where(inside).select(
-        "cut_id", (F.col("row") - F.col("y0")).alias("row"), (F.col("col") - F.col("x0")).alias("col"), *values
+        "cut_id", *keep, (F.col("row") - F.col("y0")).alias("row"), (F.col("col") - F.col("x0")).alias("col"), *values
     )
 
 

@@ -9,4 +9,7 @@ from workload import q_morphology  # noqa: F401
 
 from workload import q_streets  # noqa: F401
 
+from workload import q_metrics  # noqa: F401
+from workload import q_samples  # noqa: F401
+
 FLAGSHIP = "G7_edge_measurements"
