@@ -51,41 +51,51 @@ def touched_cells(framed: DataFrame, density: float, *keys: str) -> DataFrame:
     (h, w). A rectangle is convex, so within one raster row it covers one run of
     columns: rows are exploded, the run follows in closed form, and the work is
     proportional to the cells set rather than to the bounding box.
+
+    Few pieces make many cells, so pieces are spread over all shuffle partitions
+    first. Empty runs leave through ``explode_outer`` and a null test: a filter on the
+    run itself would be pushed down and its long expression computed twice.
     """
+    spread = framed.repartition(int(framed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     corners = _corners()
-    named = framed.select("*", *[
-        c for i, (x, y) in enumerate(corners) for c in (
-            ((x - F.col("ox")) / density).alias(f"a{i}"), ((F.col("oy") - y) / density).alias(f"b{i}"))
-    ])
-    bs = [F.col(f"b{i}") for i in range(4)]
-    top = F.greatest(F.least(*bs), (F.col("oy") - F.col("cy1")) / density)
-    bottom = F.least(F.greatest(*bs), (F.col("oy") - F.col("cy0")) / density)
-    ranged = named.withColumn("_top", top).withColumn("_bottom", bottom)
+    a = [(x - F.col("ox")) / density for x, _ in corners]
+    b = [(F.col("oy") - y) / density for _, y in corners]
+    placed = spread.select(*keys, "h", "w", *[
+        c.alias(n) for i in range(4) for c, n in ((a[i], f"a{i}"), (b[i], f"b{i}"))
+    ], *[((F.col("oy") - F.col(c)) / density).alias(n) for c, n in (("cy1", "_y0"), ("cy0", "_y1"))],
+        *[((F.col(c) - F.col("ox")) / density).alias(n) for c, n in (("cx0", "_x0"), ("cx1", "_x1"))])
+
+    # per side: height range and slope; a level side adds nothing its neighbours do not have
+    def side(i):
+        j = (i + 1) % 4
+        return (
+            F.least(f"b{i}", f"b{j}").alias(f"lo{i}"), F.greatest(f"b{i}", f"b{j}").alias(f"hi{i}"),
+            ((F.col(f"a{j}") - F.col(f"a{i}")) / F.nullif(F.col(f"b{j}") - F.col(f"b{i}"), F.lit(0.0))).alias(f"m{i}"),
+        )
+
+    bs = [f"b{i}" for i in range(4)]
+    sides = placed.select("*", *[c for i in range(4) for c in side(i)]).withColumns({
+        "_top": F.greatest(F.least(*bs), F.col("_y0")), "_bottom": F.least(F.greatest(*bs), F.col("_y1")),
+    })
     first = F.greatest(F.floor(F.col("_top") + SLIVER), F.lit(0)).cast("int")
     last = F.least(F.ceil(F.col("_bottom") - SLIVER) - 1, F.col("h") - 1).cast("int")
-    rows = ranged.where(F.col("_bottom") - F.col("_top") > SLIVER).withColumn("_r0", first).withColumn("_r1", last).where(F.col("_r0") <= F.col("_r1")).withColumn(
-        "row", F.explode(F.sequence("_r0", "_r1"))
-    )
+    some = (F.col("_bottom") - F.col("_top") > SLIVER) & (first <= last)
+    rows = sides.withColumn("row", F.explode_outer(F.when(some, F.sequence(first, last)))).where(F.col("row").isNotNull())
     low = F.greatest(F.col("row").cast("double"), F.col("_top"))
     high = F.least(F.col("row").cast("double") + 1, F.col("_bottom"))
     lows, highs = [], []
     for i in range(4):
-        a, b, c, d = F.col(f"a{i}"), F.col(f"b{i}"), F.col(f"a{(i + 1) % 4}"), F.col(f"b{(i + 1) % 4}")
-        v0, v1 = F.greatest(F.least(b, d), low), F.least(F.greatest(b, d), high)
-        slope = (c - a) / F.nullif(d - b, F.lit(0.0))
-        u0, u1 = F.coalesce(a + slope * (v0 - b), a), F.coalesce(a + slope * (v1 - b), c)
+        v0, v1 = F.greatest(F.col(f"lo{i}"), low), F.least(F.col(f"hi{i}"), high)
+        u0, u1 = (F.col(f"a{i}") + F.col(f"m{i}") * (v - F.col(f"b{i}")) for v in (v0, v1))
         lows.append(F.when(v0 <= v1, F.least(u0, u1)))
         highs.append(F.when(v0 <= v1, F.greatest(u0, u1)))
-    spans = rows.withColumns({"_low": F.least(*lows), "_high": F.greatest(*highs)}).where(F.col("_low").isNotNull())
-    spans = spans.withColumns({
-        "_left": F.greatest("_low", (F.col("cx0") - F.col("ox")) / density),
-        "_right": F.least("_high", (F.col("cx1") - F.col("ox")) / density),
-    }).where(F.col("_right") - F.col("_left") > SLIVER)
-    runs = spans.withColumns({
-        "_c0": F.greatest(F.floor(F.col("_left") + SLIVER), F.lit(0)).cast("int"),
-        "_c1": F.least(F.ceil(F.col("_right") - SLIVER) - 1, F.col("w") - 1).cast("int"),
-    }).where(F.col("_c0") <= F.col("_c1"))
-    return runs.select(*keys, "row", F.explode(F.sequence("_c0", "_c1")).alias("col")).distinct()
+    spans = rows.select(*keys, "row", "w", "_x0", "_x1", F.least(*lows).alias("_low"), F.greatest(*highs).alias("_high"))
+    left, right = F.greatest("_low", "_x0"), F.least("_high", "_x1")
+    c0 = F.greatest(F.floor(left + SLIVER), F.lit(0)).cast("int")
+    c1 = F.least(F.ceil(right - SLIVER) - 1, F.col("w") - 1).cast("int")
+    run = F.when(F.col("_low").isNotNull() & (right - left > SLIVER) & (c0 <= c1), F.sequence(c0, c1))
+    cells = spans.select(*keys, "row", F.explode_outer(run).alias("col"))
+    return cells.where(F.col("col").isNotNull()).distinct()
 
 
 def _whole_frame(density: float):
@@ -267,7 +277,7 @@ def cut_windows(requests: DataFrame, rows: int, cols: int, clip_index: bool) ->
     )
 
 
-def cut_cells(windows: DataFrame, cells: DataFrame, block: int = 128, keep: tuple[str, ...] = ()) -> DataFrame:
+def cut_cells(windows: DataFrame, cells: DataFrame, block: int = 64, keep: tuple[str, ...] = ()) -> DataFrame:
     """Cells of many windows in one job (J6): windows go to the blocks they cover, then an equi-join.
 
     Result: (cut_id, *keep, row, col, channels...), row/col from the window's corner.

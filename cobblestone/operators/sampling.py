@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from cobblestone.functions import lattice
 from cobblestone.operators import raster
 
 # Parameters of the reproducible draw (a 31-bit linear congruential step).
@@ -111,11 +112,12 @@ def input_channels(inputs: int) -> list[str]:
     return ["is_predicted", *raster.CHANNELS][:inputs]
 
 
-def sample_cells(windows: DataFrame, cells: DataFrame, shape: SampleShape, block: int = 128) -> DataFrame:
+def sample_cells(windows: DataFrame, cells: DataFrame, shape: SampleShape, block: int | None = None) -> DataFrame:
     """Samples in sparse form (M2): (sample_id, row, col, is_predicted, x channels, y_ channels of the centre).
 
     ``cells`` carries a city column when there are several grids.
     """
+    block = block or max(shape.size // 2, 8)
     named = windows.withColumnRenamed("sample_id", "cut_id")
     if "city" in cells.columns:
         both = raster.cut_cells(named.withColumnRenamed("city", "_city"), cells, block, keep=("_city",))
@@ -129,32 +131,58 @@ def sample_cells(windows: DataFrame, cells: DataFrame, shape: SampleShape, block
     )
 
 
-def sample_arrays(windows: DataFrame, cells: DataFrame, shape: SampleShape, block: int = 128) -> DataFrame:
+def block_arrays(cells: DataFrame, block: int, channels) -> DataFrame:
+    """Cells as dense square blocks (br, bc, data), keyed by city where cells have one; empty blocks are left out."""
+    keys = [*(["city"] if "city" in cells.columns else []), "br", "bc"]
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        data = np.zeros((block, block, len(channels)), dtype=np.float32)
+        data[pdf["row"].to_numpy() % block, pdf["col"].to_numpy() % block] = pdf[list(channels)].to_numpy(np.float32)
+        return pdf.iloc[:1][keys].assign(data=[data.ravel()])
+
+    keyed = cells.withColumns({"br": lattice.floor_div(F.col("row"), block), "bc": lattice.floor_div(F.col("col"), block)})
+    schema = ", ".join(f"{k} {dict(keyed.dtypes)[k]}" for k in keys) + ", data array<float>"
+    return keyed.groupBy(*keys).applyInPandas(fill, schema)
+
+
+def sample_arrays(windows: DataFrame, cells: DataFrame, shape: SampleShape, per_group: int = 32) -> DataFrame:
     """Samples as dense arrays, ready to be written as Parquet (M2, M3): x and one y per output channel.
 
-    One group is one sample window, whose size is fixed; windows without any cell give
-    zero arrays.
+    Cells become square blocks of the window's size first, so a window joins at most
+    four blocks instead of thousands of cells. A group is ``per_group`` consecutive
+    sample numbers, each a window of fixed size; windows over empty blocks give zeros.
     """
-    sparse = sample_cells(windows, cells, shape, block)
-    inputs, outputs = input_channels(shape.inputs), list(raster.CHANNELS[: shape.outputs])
-    size, crop, inner = shape.size, shape.crop, shape.size - 2 * shape.crop
+    outputs, size, crop = list(raster.CHANNELS[: shape.outputs]), shape.size, shape.crop
+    inner, channels = size - 2 * crop, raster.CHANNELS
+    blocks = block_arrays(cells.select(*[c for c in ("city", "row", "col") if c in cells.columns], *channels), size, channels)
+    last = size - 1
+    covered = windows.withColumn(
+        "br", F.explode(F.sequence(lattice.floor_div(F.col("y0"), size), lattice.floor_div(F.col("y0") + last, size)))
+    ).withColumn("bc", F.explode(F.sequence(lattice.floor_div(F.col("x0"), size), lattice.floor_div(F.col("x0") + last, size))))
+    keys = [c for c in ("city", "br", "bc") if c in blocks.columns]
+    met = covered.join(blocks, keys, "left").select("sample_id", "y0", "x0", "br", "bc", "data")
     schema = "sample_id bigint, x array<float>, " + ", ".join(f"y_{c} array<float>" for c in outputs)
-    every = windows.select("sample_id").join(sparse, "sample_id", "left")
-
-    def dense(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.zeros((size, size, len(inputs)), dtype=np.float32)
-        x[crop : size - crop, crop : size - crop, 0] = 1.0
-        y = np.zeros((inner, inner, len(outputs)), dtype=np.float32)
-        filled = pdf[pdf["row"].notna()]
-        if len(filled):
-            r, c = filled["row"].to_numpy(int), filled["col"].to_numpy(int)
-            x[r, c, 1:] = filled[inputs[1:]].to_numpy(np.float32)
-            core = filled["is_predicted"].to_numpy() == 1
-            y[r[core] - crop, c[core] - crop] = filled.loc[core, [f"y_{n}" for n in outputs]].to_numpy(np.float32)
-        row = {"sample_id": [pdf["sample_id"].iloc[0]], "x": [x.ravel()]}
-        return pd.DataFrame(row | {f"y_{n}": [y[:, :, k].ravel()] for k, n in enumerate(outputs)})
-
-    return every.groupBy("sample_id").applyInPandas(dense, schema)
+
+    def stitch(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, at = np.unique(pdf["sample_id"].to_numpy(), return_inverse=True)
+        ground = np.zeros((len(ids), size, size, len(channels)), dtype=np.float32)
+        for i, top, left, br, bc, data in zip(at, pdf["y0"], pdf["x0"], pdf["br"], pdf["bc"], pdf["data"]):
+            if data is not None:
+                tile = np.asarray(data).reshape(size, size, -1)
+                r0, c0 = br * size - top, bc * size - left  # the block's corner seen from the window
+                y, x = slice(max(r0, 0), min(r0 + size, size)), slice(max(c0, 0), min(c0 + size, size))
+                ground[i, y, x] = tile[y.start - r0 : y.stop - r0, x.start - c0 : x.stop - c0]
+        centre = (slice(None), slice(crop, size - crop), slice(crop, size - crop))
+        y = ground[centre][..., : len(outputs)].copy()
+        x = np.concatenate([np.zeros((*ground.shape[:3], 1), np.float32), ground], axis=-1)[..., : shape.inputs]
+        x[(*centre, 0)] = 1.0
+        x[(*centre, 1)] = 0.0
+        if shape.inputs >= 4:
+            x[(*centre, 3)] = 0.0
+        columns = {"sample_id": ids, "x": list(x.reshape(len(ids), -1))}
+        return pd.DataFrame(columns | {f"y_{n}": list(y[..., k].reshape(len(ids), -1)) for k, n in enumerate(outputs)})
+
+    return met.groupBy(F.floor(F.col("sample_id") / per_group)).applyInPandas(stitch, schema)
 
 
 def with_batches(samples: DataFrame, batch_size: int) -> DataFrame:

@@ -93,10 +93,10 @@ def wide(spark, sf):
 @query("S13_log_text_source", uses=("fx_log",), sql=f"WITH {METRICS} SELECT epoch, metric, value FROM metrics")
 def log_text_source(spark, sf):
     path = scratch_path(spark, "log")
-    # one ordered text file per partition: the log as a folder of consecutive files
-    view(spark, sf, "fx_log").coalesce(1).sortWithinPartitions("line_no").select("value").write.text(path)
+    # the log as a folder of consecutive files; an epoch may start in one file and go on in the next
+    view(spark, sf, "fx_log").repartitionByRange(8, "line_no").sortWithinPartitions("line_no").select("value").write.text(path)
     lines = log_source.read_log(spark, path)
-    return training_log.extract_metrics(lines, by=("file",), block=F.col("block")).select("epoch", "metric", "value")
+    return training_log.extract_metrics(lines, block=F.struct("file", "block")).select("epoch", "metric", "value")
 
 
 @query("S14_metric_csv", uses=("fx_log",), sql=f"""WITH {METRICS} SELECT epoch, max(value) FILTER (metric = '{NAMES[0]}') AS {NAMES[0]}, max(value) FILTER (metric = '{NAMES[1]}') AS {NAMES[1]} FROM metrics GROUP BY line_no, epoch""")

@@ -23,7 +23,7 @@ def between_sql(salt: int, low: str, high: str) -> str:
     return f"CAST({low} + floor({draw_sql(salt)} * greatest({high} - {low} + 1, 1) / {M}e0) AS INT)"
 
 
-SAMPLES = f"""ids AS (SELECT o_orderkey AS sample_id FROM orders),
+SAMPLES = f"""ids AS (SELECT c_custkey AS sample_id FROM customer),
 cuts AS (SELECT sample_id, {between_sql(1, '0', '443')} AS y0, {between_sql(2, '0', '431')} AS x0, 68 AS h, 80 AS w FROM ids),
 clips AS (SELECT *, {between_sql(3, '8', '(w - 40)')} AS cx, {between_sql(4, '8', '(h - 40)')} AS cy FROM cuts),
 windows AS (SELECT sample_id, y0 + least(CAST(trunc(cy - greatest(least(16, cx, cy, 48), 0) / 2e0) AS INT), h - 48) AS y0, x0 + least(CAST(trunc(cx - greatest(least(16, cx, cy, 48), 0) / 2e0) AS INT), w - 48) AS x0 FROM clips)"""
@@ -36,7 +36,7 @@ def grids_of(spark, sf):
 
 
 def ids_of(spark, sf):
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("sample_id"))
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("sample_id"))
 
 
 def windows_of(spark, sf):
@@ -138,7 +138,8 @@ def masked_streets(spark, sf):
 def tiled_inference(spark, sf):
     cells, rows, cols = masked_streets(spark, sf)
     out = inference.predict(cells.withColumn("is_predicted", (F.floor(F.col("row") / 40) % 2).cast("double")), rows, cols, SampleShape(size=320, surplus=64))
-    return out.where("is_street > 0").select("row", "col", "is_street", "is_residential")
+    return out.groupBy(F.floor(F.col("row") / 50).alias("band"), F.floor(F.col("col") / 50).alias("column")).agg(
+        F.count("*").alias("cells"), F.sum("is_street").alias("street_cells"), F.round(F.avg("altitude"), 4).alias("altitude"))
 
 
 @query("M8_evaluation_fragment")
@@ -222,15 +223,17 @@ def city_grid(spark, sf):
 
 @query("T1_live_log_monitor", uses=("fx_log",), sql="""
 WITH marked AS (SELECT line_no, value, last_value(CASE WHEN regexp_matches(value, 'performing ([0-9]+)-th epoch') THEN CAST(regexp_extract(value, 'performing ([0-9]+)-th epoch', 1) AS INT) END IGNORE NULLS) OVER (ORDER BY line_no) AS epoch FROM fx_log),
-hits AS (SELECT epoch, unnest(regexp_extract_all(value, '(val_)?is_street[_\\w]*:\\s*([0-9.eE+-]+)', 0)) AS m FROM marked WHERE epoch IS NOT NULL),
-x AS (SELECT epoch, trim(split_part(m, ':', 1)) AS metric, CAST(trim(split_part(m, ':', 2)) AS DOUBLE) AS value FROM hits)
-SELECT metric, epoch AS best_epoch, value AS best_value FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value DESC, epoch) AS rn FROM x) q WHERE rn = 1""")
+hits AS (SELECT line_no // 1000 AS run, epoch, unnest(regexp_extract_all(value, '(val_)?is_street[_\\w]*:\\s*([0-9.eE+-]+)', 0)) AS m FROM marked WHERE epoch IS NOT NULL),
+x AS (SELECT run, epoch, trim(split_part(m, ':', 1)) AS metric, CAST(trim(split_part(m, ':', 2)) AS DOUBLE) AS value FROM hits)
+SELECT run, metric, epoch AS best_epoch, value AS best_value FROM (SELECT *, row_number() OVER (PARTITION BY run, metric ORDER BY value DESC, epoch) AS rn FROM x) q WHERE rn = 1""")
 def live_log_monitor(spark, sf):
     folder = scratch_path(spark, "live-log")
-    view(spark, sf, "fx_log").coalesce(1).sortWithinPartitions("line_no").select("value").write.text(folder)
+    runs = view(spark, sf, "fx_log").withColumn("run", F.floor(F.col("line_no") / 1000))  # one log file per run
+    runs.repartition("run").sortWithinPartitions("run", "line_no").select("run", "value").write.partitionBy("run").text(folder)
     store = scratch_path(spark, "monitor")
-    log_monitor.monitor(log_monitor.log_stream(spark, folder), store, scratch_path(spark, "monitor-state")).awaitTermination()
-    return log_monitor.best_so_far(spark, store).select("metric", "best_epoch", "best_value")
+    log_monitor.monitor(log_monitor.log_stream(spark, f"{folder}/*"), store, scratch_path(spark, "monitor-state")).awaitTermination()
+    run = F.regexp_extract("run", "run=([0-9]+)/", 1).cast("bigint")
+    return log_monitor.best_so_far(spark, store).select(run.alias("run"), "metric", "best_epoch", "best_value")
 
 
 @query("T2_segment_ingest", uses=("fx_cells",), sql="SELECT 'noise' AS city, 12 AS done, 1e0 AS share, (SELECT count(*) FROM fx_cells WHERE is_street > 0) AS street_cells")
