@@ -27,7 +27,7 @@ def reachable(cells: DataFrame, handles: DataFrame, predicate: Column) -> DataFr
     return start.select("handle_id", "row", "col").union(inner).unionByName(rim).distinct()
 
 
-def opposite_cells(borders: DataFrame, height: int, width: int, first_reach: int = 8) -> DataFrame:
+def opposite_cells(borders: DataFrame, height: int, width: int, first_reach: int = 4) -> DataFrame:
     """For every border cell the nearest cell of another border (Manhattan, then raster order).
 
     Looks within ``first_reach`` by an equi-join on squares of that size; cells that

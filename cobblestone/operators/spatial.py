@@ -11,11 +11,16 @@ def _bucket(value, size: float) -> Column:
     return F.floor(value / size)
 
 
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a costly column behind a one-row generator, so that filters on it do not compute it again."""
+    return df.withColumn(name, F.explode_outer(F.array(value)))
+
+
 def _covering_buckets(df: DataFrame, size: float) -> DataFrame:
     """Rows with min_x.. max_y once per square bucket their box touches (bx, by)."""
     return df.withColumn(
-        "bx", F.explode(F.sequence(_bucket(F.col("min_x"), size), _bucket(F.col("max_x"), size)))
-    ).withColumn("by", F.explode(F.sequence(_bucket(F.col("min_y"), size), _bucket(F.col("max_y"), size))))
+        "bx", F.explode_outer(F.sequence(_bucket(F.col("min_x"), size), _bucket(F.col("max_x"), size)))
+    ).withColumn("by", F.explode_outer(F.sequence(_bucket(F.col("min_y"), size), _bucket(F.col("max_y"), size))))
 
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, bucket: float) -> DataFrame:
@@ -30,7 +35,7 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, bucket: float) -> DataF
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, bucket: float) -> DataFrame:
     """Points (x, y) joined to the polygons (ring) that cover them; a bucket holds a pair at most once."""
-    boxed = polygons.select("*", planar.bounds(F.col("ring")).alias("b")).select("*", "b.*").drop("b")
+    boxed = computed_once(polygons, "b", planar.bounds(F.col("ring"))).select("*", "b.*").drop("b")
     keyed = points.withColumn("bx", _bucket(F.col("x"), bucket)).withColumn("by", _bucket(F.col("y"), bucket))
     near = keyed.join(_covering_buckets(boxed, bucket), ["bx", "by"]).where(
         F.col("x").between(F.col("min_x"), F.col("max_x")) & F.col("y").between(F.col("min_y"), F.col("max_y"))
@@ -108,22 +113,25 @@ def clip_to_segments(
     """Convex polygons cut by the segment lattice (J4): one row per polygon and segment it overlaps.
 
     ``bounds`` is the one-row table of total bounds; segments count from its upper
-    left corner and end at its edges. Adds seg_row, seg_col and the clipped ``ring``.
+    left corner and end at its edges. Adds seg_row, seg_col, the clipped ``ring`` and its ``area``.
     """
-    boxed = polygons.select("*", planar.bounds(F.col("ring")).alias("b")).join(F.broadcast(bounds))  # one row
+    boxed = computed_once(polygons, "b", planar.bounds(F.col("ring"))).join(F.broadcast(bounds))  # one row
 
     def span(low, high, size):
         return F.sequence(F.floor(low / size).cast("int"), F.floor(high / size).cast("int"))
 
     tiles = boxed.withColumn(
-        "seg_col", F.explode(span(F.col("b.min_x") - F.col("min_x"), F.col("b.max_x") - F.col("min_x"), segment_w))
+        "seg_col", F.explode_outer(span(F.col("b.min_x") - F.col("min_x"), F.col("b.max_x") - F.col("min_x"), segment_w))
     ).withColumn(
-        "seg_row", F.explode(span(F.col("max_y") - F.col("b.max_y"), F.col("max_y") - F.col("b.min_y"), segment_h))
+        "seg_row", F.explode_outer(span(F.col("max_y") - F.col("b.max_y"), F.col("max_y") - F.col("b.min_y"), segment_h))
     )
     box = segment_box(F.col("seg_row"), F.col("seg_col"), segment_w, segment_h)
     clipped = planar.clip_to_box(F.col("ring"), box["min_x"], box["min_y"], box["max_x"], box["max_y"])
-    out = tiles.withColumn("ring", clipped).where(F.col("ring").isNotNull())
-    return out.where(planar.ring_area(F.col("ring")) > 0).drop("b", "min_x", "min_y", "max_x", "max_y")
+    part = planar.let(clipped, lambda r: F.struct(r.alias("ring"), planar.ring_area(r).alias("area")))
+    out = computed_once(tiles, "part", part).where(F.col("part.area") > 0)
+    return out.withColumns({"ring": F.col("part.ring"), "area": F.col("part.area")}).drop(
+        "b", "part", "min_x", "min_y", "max_x", "max_y"
+    )
 
 
 def segment_box(seg_row: Column, seg_col: Column, segment_w: float, segment_h: float) -> Column:

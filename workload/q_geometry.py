@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from cobblestone.functions import geodesy, lattice, planar
 from cobblestone.operators import curvature, network, spatial
+from cobblestone.session import cut_lineage
 from cobblestone.sources import grid_meta, places
 from cobblestone.sources.network import area_network, edge_geometry, nodes_in_area, uniform_tags
 from workload.fixtures import view
@@ -86,7 +87,8 @@ RIBBON = f"""ribbons AS (SELECT *, (y2 - y1) / {dist('x1', 'y1', 'x2', 'y2')} *
 
 def ribbons_of(spark, sf):
     edges = network.with_width(geometry_of(spark, sf))
-    return edges.withColumn("ring", planar.ribbon(F.col("geometry"), F.col("width_m"))).where(F.col("ring").isNotNull())
+    rings = edges.withColumn("ring", planar.ribbon(F.col("geometry"), F.col("width_m")))
+    return cut_lineage(rings, "ribbons").where(F.col("ring").isNotNull())
 
 
 @query("P9_street_ribbons", uses=("fx_nodes", "fx_edges"), sql=f"""
@@ -239,9 +241,7 @@ WITH {WIDTHS}, {GEOMETRY}, {RIBBON}, {CLIPPED} SELECT u, v, seg_row, seg_col, ro
 def clip_segments(spark, sf):
     rings = ribbons_of(spark, sf)
     out = spatial.clip_to_segments(rings, SEG, SEG, spatial.total_bounds(rings))
-    area = planar.ring_area(F.col("ring"))
-    return out.select("u", "v", "seg_row", "seg_col", area.alias("a")).where("a > 1e-6").select(
-        "u", "v", "seg_row", "seg_col", F.round("a", 4).alias("area"))
+    return out.where("area > 1e-6").select("u", "v", "seg_row", "seg_col", F.round("area", 4).alias("area"))
 
 
 @query("A10_residential_per_segment", uses=("fx_nodes", "fx_edges"), sql=f"""
@@ -253,7 +253,7 @@ def residential_per_segment(spark, sf):
     rings = ribbons_of(spark, sf)
     out = spatial.clip_to_segments(rings, SEG, SEG, spatial.total_bounds(rings))
     res = F.get("highway", F.lit(0)) == "residential"
-    return out.where(planar.ring_area(F.col("ring")) > 1e-6).groupBy("seg_row", "seg_col").agg(
+    return out.where("area > 1e-6").groupBy("seg_row", "seg_col").agg(
         F.count_if(res).alias("residential"), F.count_if(~res).alias("other"))
 
 
