@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cobblestone.functions import planar, tags
+from cobblestone.functions import geodesy, planar, tags
+from cobblestone.operators.ordered import number_rows
+from cobblestone.session import cut_lineage
 
 STRAIGHT = float("inf")
 
@@ -26,10 +28,11 @@ def class_widths(edges: DataFrame) -> DataFrame:
 def with_width(edges: DataFrame, widths: DataFrame | None = None) -> DataFrame:
     """Adds ``width_m`` by the tag ladder.
 
-    The class table has one row per highway class; whether it is broadcast is left
-    to Spark, which knows its size after the aggregate.
+    The class table is written first: its size is then known when the join is planned,
+    so Spark broadcasts it if it is small (a common class is no hot key then) and
+    shuffles otherwise.
     """
-    widths = class_widths(edges) if widths is None else widths
+    widths = cut_lineage(class_widths(edges), "class-widths") if widths is None else widths
     keyed = edges.withColumn("class", F.get("highway", F.lit(0)))
     joined = keyed.join(widths, "class", "left")
     width = tags.resolve_width(
@@ -54,8 +57,6 @@ def street_subgraph(edges: DataFrame, name: str) -> DataFrame:
 
 def measurements(edges: DataFrame, max_radius: float = 30.0) -> DataFrame:
     """Edge table with length, width, residential flag, name, radius (G7); needs geometry and radius."""
-    from cobblestone.functions import geodesy
-
     wide = with_width(edges)
     return wide.select(
         F.col("osmid").alias("id"), "u", "v", "k",
@@ -103,8 +104,6 @@ def dense_index(nodes: DataFrame, buckets: int = 64) -> DataFrame:
     numbered on its own and shifted by the sizes of the buckets before it (a table
     of ``buckets`` rows). The cuts only balance the work, they do not affect the result.
     """
-    from cobblestone.operators.ordered import number_rows
-
     cuts = nodes.approxQuantile("node_id", [i / buckets for i in range(1, buckets)], 0.005)
     bounds = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))])
     bucket = F.size(F.filter(bounds, lambda b: b <= F.col("node_id")))
@@ -205,5 +204,6 @@ def street_min_radius(edges: DataFrame) -> DataFrame:
 def unify_radius(edges: DataFrame) -> DataFrame:
     """Every edge takes its street's smallest radius; unnamed and straight streets keep theirs."""
     keyed = edges.withColumn("street", F.get("name", F.lit(0)))
-    joined = keyed.join(street_min_radius(edges), "street", "left")
+    smallest = cut_lineage(street_min_radius(edges), "street-radius")  # written, so that its size is known
+    joined = keyed.join(smallest, "street", "left")
     return joined.withColumn("radius", F.coalesce("street_radius", "radius")).drop("street", "street_radius")

@@ -36,12 +36,14 @@ def opposite_cells(borders: DataFrame, height: int, width: int, first_reach: int
     left = borders.select("row", "col", "label")
     found, reach = None, first_reach
     while True:
-        near = left.withColumns({"br": lattice.floor_div(F.col("row"), reach), "bc": lattice.floor_div(F.col("col"), reach)})
         shift = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-        far = (
-            borders.select(F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.col("label").alias("to_label"))
-            .withColumn("br", F.explode(F.transform(shift, lambda s: lattice.floor_div(F.col("to_row"), reach) + s)))
-            .withColumn("bc", F.explode(F.transform(shift, lambda s: lattice.floor_div(F.col("to_col"), reach) + s)))
+        # the side that is copied is the one that shrinks from round to round
+        near = left.withColumn(
+            "br", F.explode(F.transform(shift, lambda s: lattice.floor_div(F.col("row"), reach) + s))
+        ).withColumn("bc", F.explode(F.transform(shift, lambda s: lattice.floor_div(F.col("col"), reach) + s)))
+        far = borders.select(
+            F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.col("label").alias("to_label"),
+            lattice.floor_div(F.col("row"), reach).alias("br"), lattice.floor_div(F.col("col"), reach).alias("bc"),
         )
         metres = F.abs(F.col("row") - F.col("to_row")) + F.abs(F.col("col") - F.col("to_col"))
         pairs = near.join(far, ["br", "bc"]).where((F.col("label") != F.col("to_label")) & (metres <= reach))

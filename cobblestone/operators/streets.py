@@ -127,11 +127,13 @@ def longest_branches(order: list[int], parent: dict[int, int]) -> tuple[int, int
     return first, min(others, key=rank) if others else order[0]
 
 
-def order_street(rows: np.ndarray, cols: np.ndarray, start, end) -> list[int]:
+def order_street(rows: np.ndarray, cols: np.ndarray, start, end, far_ends: bool = False) -> list[int]:
     """Cell indices of one street from start to end (cells come in raster order).
 
     Missing ends are found on the street itself (G10); the cells follow breadth-first
-    from the start, and the end is put last (G11).
+    from the start, and the end is put last (G11). With only the start known, the end
+    is the tip of the longest branch that leaves by another neighbour, which for a
+    plain dead end is the start again; ``far_ends`` takes the far tip instead.
     """
     a, b = components.neighbour_links(rows, cols, lattice.AROUND)
     neighbours: list[list[int]] = [[] for _ in range(len(rows))]
@@ -143,12 +145,12 @@ def order_street(rows: np.ndarray, cols: np.ndarray, start, end) -> list[int]:
     if start is None:
         start, end = longest_branches(*breadth_first(neighbours, 0))
     elif end is None:
-        end = longest_branches(*breadth_first(neighbours, start))[1]
+        end = longest_branches(*breadth_first(neighbours, start))[0 if far_ends else 1]
     order, _ = breadth_first(neighbours, start)
     return [n for n in order if n != end] + [end]
 
 
-def order_streets(streets: DataFrame, ends: DataFrame) -> DataFrame:
+def order_streets(streets: DataFrame, ends: DataFrame, far_ends: bool = False) -> DataFrame:
     """Streets as ordered lines (G10, G11): (tile_row, tile_col, street, conflict, rows, cols)."""
     joined = streets.withColumnRenamed("label", "street").join(ends, [*TILE, "street"], "left").select(
         *TILE, "street", "conflict", "row", "col",
@@ -167,7 +169,7 @@ def order_streets(streets: DataFrame, ends: DataFrame) -> DataFrame:
                 value = part[column].iloc[0]
                 return None if pd.isna(value) else int(np.searchsorted(keys, int(value)))
 
-            line = order_street(rows, cols, index("start_key"), index("end_key"))
+            line = order_street(rows, cols, index("start_key"), index("end_key"), far_ends)
             out.append((
                 part["tile_row"].iloc[0], part["tile_col"].iloc[0], street, part["conflict"].iloc[0], rows[line], cols[line],
             ))

@@ -13,7 +13,11 @@ from cobblestone.sources import geojson
 
 @dataclass(frozen=True)
 class Grid:
-    """Shape, tiling and place of a raster; origin in degrees for the export."""
+    """Shape, tiling and place of a raster; origin in degrees for the export.
+
+    By default a street with one crossroad closes on its start, so that snapping merges
+    its two ends and the street drops out; ``far_ends`` keeps dead ends as edges.
+    """
 
     height: int
     width: int
@@ -22,6 +26,7 @@ class Grid:
     density: float = 1.0
     lat0: float = 0.0
     lon0: float = 0.0
+    far_ends: bool = False
 
 
 def clean_mask(cells: DataFrame, grid: Grid) -> DataFrame:
@@ -40,7 +45,7 @@ def street_lines(mask: DataFrame, grid: Grid):
     crossings = cut_lineage(crossings, "crossings")
     street_cells = cut_lineage(street_cells, "street-cells")
     ends = streets.street_ends(streets.junctions(crossings, street_cells))
-    lines = streets.order_streets(street_cells, ends)
+    lines = streets.order_streets(street_cells, ends, grid.far_ends)
     return crossings, streets.street_metrics(lines, mask, *shape, grid.tile_h, grid.tile_w)
 
 
