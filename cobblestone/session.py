@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # rows with whole tiles in them: batches to Python go by bytes, not by 10,000 rows
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
 }
 
 
