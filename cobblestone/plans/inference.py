@@ -66,6 +66,8 @@ def tile_plan(spark: SparkSession, rows: int, cols: int, shape: SampleShape) ->
     the row above up to its right context, hence wave = c + (k + 1) * r. Where the last
     row or column overlaps the one before, the later tile owns the cell.
     """
+    if min(rows, cols) < shape.size:
+        raise ValueError(f"a raster of {rows} x {cols} is smaller than one tile of {shape.size}")
     stride = shape.size - shape.surplus
     out_h, out_w = rows - shape.surplus, cols - shape.surplus
     n_rows, n_cols = math.ceil(out_h / stride), math.ceil(out_w / stride)

@@ -128,6 +128,12 @@ def tile_dependencies(spark, sf):
     return deps.select("r", "c", "need_r", "need_c", (F.col("need_wave") < F.col("wave")).alias("earlier_wave"))
 
 
+def tile_shape(rows, cols):
+    """Tiles of 320 with a fifth of context, smaller on a raster that is smaller itself."""
+    size = min(320, rows, cols)
+    return SampleShape(size=size, surplus=size // 10 * 2)
+
+
 def masked_streets(spark, sf):
     streets = view(spark, sf, "fx_streets")
     s = streets.agg(F.max("row"), F.max("col")).first()
@@ -137,7 +143,7 @@ def masked_streets(spark, sf):
 @query("M6_tiled_inference")
 def tiled_inference(spark, sf):
     cells, rows, cols = masked_streets(spark, sf)
-    out = inference.predict(cells.withColumn("is_predicted", (F.floor(F.col("row") / 40) % 2).cast("double")), rows, cols, SampleShape(size=320, surplus=64))
+    out = inference.predict(cells.withColumn("is_predicted", (F.floor(F.col("row") / 40) % 2).cast("double")), rows, cols, tile_shape(rows, cols))
     return out.groupBy(F.floor(F.col("row") / 50).alias("band"), F.floor(F.col("col") / 50).alias("column")).agg(
         F.count("*").alias("cells"), F.sum("is_street").alias("street_cells"), F.round(F.avg("altitude"), 4).alias("altitude"))
 
@@ -145,7 +151,7 @@ def tiled_inference(spark, sf):
 @query("M8_evaluation_fragment")
 def evaluation_fragment(spark, sf):
     cells, rows, cols = masked_streets(spark, sf)
-    both = inference.predict_fragment(cells.drop("is_predicted"), 0, 0, rows, cols, rows, cols, SampleShape(size=320, surplus=64))
+    both = inference.predict_fragment(cells.drop("is_predicted"), 0, 0, rows, cols, rows, cols, tile_shape(rows, cols))
     report = evaluation.binary_report(both.withColumn("run", F.lit("fragment")), "y_is_street", "p_is_street", "run")
     return report.select("run", *[F.round(c, 6).alias(c) for c in report.columns[1:]])
 
