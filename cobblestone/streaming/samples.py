@@ -15,12 +15,16 @@ def sample_stream(spark: SparkSession, per_batch: int) -> DataFrame:
 
 def generate(
     stream: DataFrame, grids: DataFrame, cells: DataFrame, shape: sampling.SampleShape, cut: tuple[int, int],
-    store: str, checkpoint: str,
+    store: str, checkpoint: str, endless: bool = True,
 ):
-    """Starts the generator: every micro-batch writes its samples under ``store``/batch=<id>."""
+    """Starts the generator: every micro-batch writes its samples under ``store``/batch=<id>.
+
+    ``stream`` is any stream of sample_id; unless ``endless``, it stops at the end of what is there.
+    """
 
     def add(batch: DataFrame, batch_id: int) -> None:
         windows = sampling.sample_windows(sampling.random_cuts(batch, grids, *cut), shape)
         sampling.sample_arrays(windows, cells, shape).write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
 
-    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).start()
+    writer = stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+    return (writer if endless else writer.trigger(availableNow=True)).start()

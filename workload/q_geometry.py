@@ -40,7 +40,7 @@ def utm_zone(spark, sf):
     return n.select("node_id", geodesy.utm_epsg(F.col("lon"), F.col("lat")).alias("epsg"))
 
 
-def _projection_sql(epsg: int) -> str:
+def projection_sql(epsg: int, lon_sql: str = LON, lat_sql: str = LAT) -> str:
     national = epsg == 2180
     lon0 = 19.0 if national else (epsg % 100) * 6 - 183.0
     k0 = geodesy.EPSG_2180_SCALE if national else geodesy.UTM_SCALE
@@ -53,12 +53,12 @@ def _projection_sql(epsg: int) -> str:
   FROM (SELECT *, atan2(t, cos(dl)) AS xi, atanh(sin(dl) / sqrt(1 + t * t)) AS eta
     FROM (SELECT *, radians(lon) - radians({lon0}) AS dl,
       sinh(atanh(sin(radians(lat))) - {e} * atanh({e} * sin(radians(lat)))) AS t
-      FROM (SELECT node_id, {LON} AS lon, {LAT} AS lat FROM fx_nodes) g) h) i"""
+      FROM (SELECT node_id, {lon_sql} AS lon, {lat_sql} AS lat FROM fx_nodes) g) h) i"""
 
 
 @query("P7_project_to_metres", uses=("fx_nodes",), sql=f"""
-SELECT node_id, 32634 AS epsg, round(x, 3) AS x, round(y, 3) AS y FROM ({_projection_sql(32634)}) a
-UNION ALL SELECT node_id, 2180, round(x, 3), round(y, 3) FROM ({_projection_sql(2180)}) b""")
+SELECT node_id, 32634 AS epsg, round(x, 3) AS x, round(y, 3) AS y FROM ({projection_sql(32634)}) a
+UNION ALL SELECT node_id, 2180, round(x, 3), round(y, 3) FROM ({projection_sql(2180)}) b""")
 def project(spark, sf):
     df = lonlat(spark, sf).withColumn("epsg", F.explode(F.array(F.lit(32634), F.lit(2180))))
     p = geodesy.to_projected(F.col("lon"), F.col("lat"), F.col("epsg"))

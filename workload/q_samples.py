@@ -7,10 +7,13 @@ from cobblestone.operators.sampling import LCG_INCREMENT as C, LCG_MODULUS as M,
 from cobblestone.plans import city, inference, training
 from cobblestone.session import cut_lineage, scratch_path
 from cobblestone.sources import citygrid, tiles as tile_store
-from cobblestone.streaming import ingest, log_monitor
+from cobblestone.streaming import ingest, log_monitor, samples as stream_samples
 from workload.fixtures import CELLS_SIDE, table, view
+from workload.q_geometry import projection_sql
 from workload.q_network import edges_of
+from workload.q_raster import PIECES, SAT, SEGMENTS, _candidates
 from workload.registry import query
+from workload.sqltext import WIDTHS, dist, radius
 
 SHAPE = SampleShape(size=48, surplus=16)
 
@@ -65,20 +68,40 @@ def sample_cells(spark, sf):
         F.round(F.sum("altitude"), 2).alias("x_altitude"), F.sum("y_is_street").alias("y_street"), F.round(F.sum("y_altitude"), 2).alias("y_altitude"), F.sum("y_is_residential").alias("y_residential"))
 
 
-@query("M2_M3_sample_arrays", uses=("fx_cells",), sql=f"""WITH {SAMPLES},
+ARRAYS_SQL = f"""WITH {SAMPLES},
 c AS (SELECT sample_id, row - y0 AS row, col - x0 AS col, is_street FROM windows JOIN fx_cells ON row >= y0 AND row < y0 + 48 AND col >= x0 AND col < x0 + 48),
 m AS (SELECT sample_id, CASE WHEN row BETWEEN 8 AND 39 AND col BETWEEN 8 AND 39 THEN 1 ELSE 0 END AS hid, is_street FROM c),
 s AS (SELECT sample_id, sum(CASE WHEN hid = 1 THEN 0 ELSE is_street END) AS xs, sum(CASE WHEN hid = 1 THEN is_street ELSE 0 END) AS ys FROM m GROUP BY sample_id)
-SELECT w.sample_id, w.sample_id // 8 AS batch_id, 48 * 48 * 2 AS x_size, 32 * 32 AS y_size, 1024 + coalesce(xs, 0) AS x_sum, coalesce(ys, 0) AS y_sum FROM windows w LEFT JOIN s USING (sample_id)""")
-def sample_arrays(spark, sf):
-    shape = SampleShape(size=48, surplus=16, inputs=2, outputs=1)
-    windows = sampling.sample_windows(sampling.random_cuts(ids_of(spark, sf), grids_of(spark, sf), 68, 80), shape)
-    s = sampling.with_batches(sampling.sample_arrays(windows, view(spark, sf, "fx_cells"), shape), 8)
+SELECT w.sample_id, w.sample_id // 8 AS batch_id, 48 * 48 * 2 AS x_size, 32 * 32 AS y_size, 1024 + coalesce(xs, 0) AS x_sum, coalesce(ys, 0) AS y_sum FROM windows w LEFT JOIN s USING (sample_id)"""
+ARRAY_SHAPE = SampleShape(size=48, surplus=16, inputs=2, outputs=1)
+
+
+def array_summary(samples_df):
+    s = sampling.with_batches(samples_df, 8)
+
     def total(c):
         return F.aggregate(c, F.lit(0.0), lambda acc, v: acc + v.cast("double"))
     return s.select("sample_id", "batch_id", F.size("x").alias("x_size"), F.size("y_is_street").alias("y_size"), total("x").alias("x_sum"), total("y_is_street").alias("y_sum"))
 
 
+@query("M2_M3_sample_arrays", uses=("fx_cells",), sql=ARRAYS_SQL)
+def sample_arrays(spark, sf):
+    windows = sampling.sample_windows(sampling.random_cuts(ids_of(spark, sf), grids_of(spark, sf), 68, 80), ARRAY_SHAPE)
+    return array_summary(sampling.sample_arrays(windows, view(spark, sf, "fx_cells"), ARRAY_SHAPE))
+
+
+@query("T3_streamed_samples", uses=("fx_cells",), sql=ARRAYS_SQL)
+def streamed_samples(spark, sf):
+    arriving, store = scratch_path(spark, "sample-ids"), scratch_path(spark, "streamed-samples")
+    ids = ids_of(spark, sf)
+    ids.repartition(6, "sample_id").write.parquet(arriving)
+    stream = spark.readStream.schema(ids.schema).option("maxFilesPerTrigger", 2).parquet(arriving)
+    stream_samples.generate(
+        stream, grids_of(spark, sf), view(spark, sf, "fx_cells"), ARRAY_SHAPE, (68, 80), store, scratch_path(spark, "sample-state"), endless=False
+    ).awaitTermination()
+    return array_summary(spark.read.parquet(store))
+
+
 @query("F9_restore_known", uses=("fx_cells", "fx_streets"), sql="""
 SELECT s.row, s.col, CASE WHEN c.hid = 0 THEN c.is_street ELSE s.is_street END AS is_street, CASE WHEN c.hid = 0 THEN c.altitude ELSE s.altitude END AS altitude, CASE WHEN c.hid = 0 THEN c.is_residential ELSE s.is_residential END AS is_residential
 FROM fx_streets s LEFT JOIN (SELECT *, (row + col) % 2 AS hid FROM fx_cells) c USING (row, col)""")
@@ -213,14 +236,29 @@ def geographic_network(spark, sf):
     return nodes, edges_of(spark, sf)
 
 
-@query("G8_city_roads")
+GEO = ("(19 + x / CAST(71500 AS DOUBLE))", "(50 + y / CAST(111300 AS DOUBLE))")
+_turn_radius = radius(dist("a.x", "a.y", "b.x", "b.y"), dist("b.x", "b.y", "c.x", "c.y"), dist("c.x", "c.y", "a.x", "a.y"), "1e-4", "0")
+# a lattice street has one way on per node, so its straightest turn is its only one
+RESIDENTIAL = f"""metric AS ({projection_sql(32634, *GEO)}),
+turn AS (SELECT e.u, e.v, e.name, {_turn_radius} AS r FROM fx_edges e JOIN fx_edges f ON f.u = e.v AND f.name = e.name AND f.v <> e.u
+  JOIN metric a ON a.node_id = e.u JOIN metric b ON b.node_id = e.v JOIN metric c ON c.node_id = f.v),
+street_radius AS (SELECT name, min(r) AS r FROM turn GROUP BY name),
+res AS (SELECT e.u, e.v, e.highway = 'residential' AND coalesce(s.r, CAST('Infinity' AS DOUBLE)) < 30 AS is_residential FROM fx_edges e LEFT JOIN street_radius s ON s.name = e.name)"""
+
+
+@query("G8_city_roads", uses=("fx_nodes", "fx_edges"), sql=f"""WITH {WIDTHS}, {RESIDENTIAL}
+SELECT w.u, w.v, w.k, round(2 * 6371009.0 * asin(sqrt(least(pow(sin((radians(b.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin((radians(b.lon) - radians(a.lon)) / 2), 2), 1.0))), 3) AS length_m,
+  round(width_m, 3) AS width_m, is_residential, CASE WHEN width_m IS NULL THEN NULL ELSE 4 END AS corners
+FROM widths w JOIN res USING (u, v) JOIN metric a ON a.node_id = w.u JOIN metric b ON b.node_id = w.v""")
 def city_roads(spark, sf):
     nodes, edges = geographic_network(spark, sf)
     roads = city.city_roads(nodes, edges)
     return roads.select("u", "v", "k", F.round("length_m", 3).alias("length_m"), F.round("width_m", 3).alias("width_m"), "is_residential", F.size("ring").alias("corners"))
 
 
-@query("R6_city_grid")
+@query("R6_city_grid", uses=("fx_nodes", "fx_edges"), sql=f"""WITH national AS ({projection_sql(2180, *GEO)}), {RESIDENTIAL}, {PIECES.replace('fx_nodes', 'national')}, {SEGMENTS.replace('least(400', 'least(500')}, {_candidates(2.0, 'framed')}
+SELECT seg_row * 500 + row AS row, seg_col * 500 + col AS col, 1e0 AS is_street, 0e0 AS altitude, CAST(max(CASE WHEN is_residential THEN 1 ELSE 0 END) AS DOUBLE) AS is_residential
+FROM boxes JOIN res USING (u, v) WHERE {SAT} GROUP BY 1, 2""")
 def city_grid(spark, sf):
     nodes, edges = geographic_network(spark, sf)
     roads = cut_lineage(city.city_roads(nodes, edges), "city-roads")
