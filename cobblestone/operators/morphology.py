@@ -17,12 +17,24 @@ THINNING_PAD = 5
 RING = ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))
 
 
-def remove_small_objects(cells: DataFrame, min_size: int = MIN_OBJECT) -> DataFrame:
-    """Drops 4-connected objects of fewer than ``min_size`` cells."""
-    labelled = components.label_cells(cells.select("row", "col"), lattice.ORTHOGONAL)
-    labelled = cut_lineage(labelled, "objects")
-    small = labelled.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") < min_size).select("label")
-    return labelled.join(small, "label", "left_anti").select("row", "col")
+def remove_small_objects(cells: DataFrame, min_size: int = MIN_OBJECT, tile: int = 256) -> DataFrame:
+    """Drops 4-connected objects of fewer than ``min_size`` cells.
+
+    An object that small reaches fewer than ``min_size`` cells from any of its cells, so
+    a tile with a halo of that width decides exactly for its core: one shuffle, no
+    labelling of the whole raster.
+    """
+
+    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["row", "col"], ignore_index=True)
+        rows, cols = pdf["row"].to_numpy("int64"), pdf["col"].to_numpy("int64")
+        root = components.group_labels(len(pdf), *components.neighbour_links(rows, cols, lattice.ORTHOGONAL))
+        large = np.bincount(root, minlength=len(pdf))[root] >= min_size
+        core = (rows // tile == pdf["tile_row"].iloc[0]) & (cols // tile == pdf["tile_col"].iloc[0])
+        return pdf.loc[large & core, ["row", "col"]]
+
+    tiled = lattice.covering_tiles(cells.select("row", "col"), tile, tile, min_size)
+    return tiled.groupBy("tile_row", "tile_col").applyInPandas(keep, "row int, col int")
 
 
 def dilate_cross(cells: DataFrame, height: int, width: int) -> DataFrame:
