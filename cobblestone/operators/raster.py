@@ -128,19 +128,19 @@ def rasterise_window(pieces: DataFrame, min_x: float, max_x: float, min_y: float
 
 
 def rasterise_segments(
-    pieces: DataFrame, segment_h: int, segment_w: int, density: float = 1.0, only: Column | None = None
+    pieces: DataFrame, segment_h: int, segment_w: int, density: float = 1.0, keep: tuple[str, ...] = ()
 ) -> DataFrame:
     """Streets to the cells of every segment in one job (R5): (seg_row, seg_col, row, col), row/col in the segment.
 
     Each segment has its own origin, truncated to whole metres, and only the part of
-    a street inside the segment's box counts. ``only`` leaves out streets that still
-    count for the total bounds.
+    a street inside the segment's box counts. ``keep`` names columns of the pieces that
+    stay with their cells.
     """
     bounds = piece_bounds(pieces).withColumns({
         "sw": F.least(F.lit(segment_w), F.ceil((F.col("max_x") - F.col("min_x")) / density).cast("int")),
         "sh": F.least(F.lit(segment_h), F.ceil((F.col("max_y") - F.col("min_y")) / density).cast("int")),
     })
-    joined = (pieces if only is None else pieces.where(only)).join(F.broadcast(bounds))  # one row
+    joined = pieces.join(F.broadcast(bounds))  # one row
     wx, wy = F.abs("nx"), F.abs("ny")
 
     def span(low, high, size, limit):
@@ -169,7 +169,7 @@ def rasterise_segments(
         "w": F.ceil((F.col("cx1") - F.col("cx0")) / density).cast("int"),
         "h": F.ceil((F.col("cy1") - F.col("cy0")) / density).cast("int"),
     })
-    return touched_cells(boxed, density, "seg_row", "seg_col")
+    return touched_cells(boxed, density, "seg_row", "seg_col", *keep)
 
 
 # --- tiles and cells --------------------------------------------------------------

@@ -48,17 +48,12 @@ def city_grid(roads: DataFrame, segment_h: int, segment_w: int, density: float =
 
     Row 0 is the northern edge; altitude is added by ``raster.add_elevation`` (R7).
     """
-    pieces = raster.street_pieces(roads, "is_residential")
-    streets = raster.rasterise_segments(pieces, segment_h, segment_w, density)
-    homes = raster.rasterise_segments(pieces, segment_h, segment_w, density, F.col("is_residential"))
-
-    def placed(cells):
-        return cells.select(
-            (F.col("seg_row") * segment_h + F.col("row")).alias("row"), (F.col("seg_col") * segment_w + F.col("col")).alias("col")
-        )
-
-    cells = placed(streets).select("row", "col", F.lit(1.0).alias("is_street"), F.lit(0.0).alias("altitude"), F.lit(0.0).alias("is_residential"))
-    return raster.add_residential(cells, placed(homes))
+    pieces = cut_lineage(raster.street_pieces(roads, "is_residential"), "pieces")
+    touched = raster.rasterise_segments(pieces, segment_h, segment_w, density, keep=("is_residential",))
+    cells = touched.groupBy(
+        (F.col("seg_row") * segment_h + F.col("row")).alias("row"), (F.col("seg_col") * segment_w + F.col("col")).alias("col")
+    ).agg(F.max(F.col("is_residential").cast("double")).alias("is_residential"))
+    return cells.select("row", "col", F.lit(1.0).alias("is_street"), F.lit(0.0).alias("altitude"), "is_residential")
 
 
 def grid_origin(roads: DataFrame, density: float, segment_h: int, segment_w: int) -> DataFrame:
