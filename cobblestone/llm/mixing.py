@@ -28,7 +28,9 @@ from cobblestone.llm.common import map_batches, stored, text_key
 from cobblestone.llm.words import words_of
 
 CAP = 3
+#: A chunk has about so many documents and words at most.
 CHUNK = 16_384
+CHUNK_WORDS = 4_000_000
 #: The Newton system holds a number per margin value and pair of values seen together; more than this is an error.
 MAX_CONSTRAINTS = 4096
 
@@ -140,8 +142,8 @@ def _diffuse(size: np.ndarray, rate: np.ndarray, cap: int) -> np.ndarray:
 
 
 def copies(sized: DataFrame, rates: DataFrame, source: str = "source", cap: int = CAP, chunk: int = CHUNK) -> DataFrame:
-    """``sized`` (source, size, salt, ...) with ``copies``; ``rates`` is (source, n_docs, rate), a row per source."""
-    parts = F.ceil(F.col("n_docs") / F.lit(chunk)).cast("bigint")
+    """``sized`` (source, size, salt, ...) with ``copies``; ``rates`` is (source, n_docs, source_size, rate), a row per source."""
+    parts = F.greatest(F.ceil(F.col("n_docs") / F.lit(chunk)), F.ceil(F.col("source_size") / F.lit(CHUNK_WORDS))).cast("bigint")
     table = rates.select(F.col(source).alias("_s"), "rate", parts.alias("_parts"))
     joined = sized.join(table, F.col(source).eqNullSafe(F.col("_s"))).withColumn("_part", F.pmod("salt", "_parts"))
     order = [c for c in sized.columns if c not in (source, "size", "salt")]
@@ -158,10 +160,10 @@ def copies(sized: DataFrame, rates: DataFrame, source: str = "source", cap: int
 
 def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", cap: int = CAP) -> DataFrame:
     """``docs`` without its text, with size, salt, source_size, target, rate and copies."""
-    sized = stored(sizes(docs, text), "sizes")
+    sized = sizes(docs, text)  # counted once for the totals and once for the copies, rather than written
     totals = sized.groupBy(source).agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     targets = stored(weighted_targets(totals, source, cap), "targets")
-    dual = multipliers(sized.select(source, "size"), {source: targets.select(source, "target")})[source]
+    dual = multipliers(targets.select(source, F.col("source_size").alias("size")), {source: targets.select(source, "target")})[source]
     kind = targets.schema[source].dataType.simpleString()
     solved = targets.sparkSession.createDataFrame(list(dual.items()), f"_v {kind}, _x double")
     rate = F.least(F.lit(float(cap)), F.round(F.exp("_x"), 9))
