@@ -145,7 +145,8 @@ def copies(sized: DataFrame, rates: DataFrame, source: str = "source", cap: int
     """``sized`` (source, size, salt, ...) with ``copies``; ``rates`` is (source, n_docs, source_size, rate), a row per source."""
     parts = F.greatest(F.ceil(F.col("n_docs") / F.lit(chunk)), F.ceil(F.col("source_size") / F.lit(CHUNK_WORDS))).cast("bigint")
     table = rates.select(F.col(source).alias("_s"), "rate", parts.alias("_parts"))
-    joined = sized.join(table, F.col(source).eqNullSafe(F.col("_s"))).withColumn("_part", F.pmod("salt", "_parts"))
+    # a row per source, at most MAX_CONSTRAINTS
+    joined = sized.join(F.broadcast(table), F.col(source).eqNullSafe(F.col("_s"))).withColumn("_part", F.pmod("salt", "_parts"))
     order = [c for c in sized.columns if c not in (source, "size", "salt")]
 
     def run(rows: pa.Table) -> pa.Table:

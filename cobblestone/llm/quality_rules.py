@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cobblestone.llm.common import map_batches
+from cobblestone.llm.common import map_batches, stored
 from cobblestone.llm.words import Words, mix, words_of
 
 MIN_WORDS = 20
@@ -129,7 +129,8 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", max_rate: f
     back is by a table of one row per host, and a hot host is split by Spark's skew join where that table is large.
     """
     verdicts = host_verdicts(measure(docs.select(F.col(text).alias("text"), F.col(host).alias("host"))), "host", max_rate)
-    verdicts = verdicts.select(F.col("host").alias("_host"), "host_rate", "host_kept")
+    # written, so that Spark knows its size before it plans the join
+    verdicts = stored(verdicts.select(F.col("host").alias("_host"), "host_rate", "host_kept"), "hosts")
     rest = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("host_rate", "host_kept", "base_failed", "kept")))
     measured = measure(rest, text).withColumn("base_failed", fails())
     joined = measured.join(verdicts, F.col(f"`{host}`").eqNullSafe(F.col("_host")), "left")

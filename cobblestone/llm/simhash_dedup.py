@@ -153,7 +153,8 @@ def links(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFr
     if radius > RADIUS:
         raise ValueError(f"the blocks guarantee links up to distance {RADIUS}")
     keyed = prints.select("fp", F.explode(F.array(*_keys())).alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # written, so that the join reads it as a table and Spark can split a hot key
+    sizes = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
     parts = F.ceil(F.col("n") / F.lit(shard)).cast("bigint")
     placed = keyed.join(sizes, "key").select("key", "fp", parts.alias("parts"), F.pmod(F.xxhash64("fp"), parts).alias("part"))
     placed = placed.select("key", "fp", "part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("other"))
@@ -191,7 +192,7 @@ def components(prints: DataFrame, ident: str = "doc_id") -> DataFrame:
     different = stored(prints.groupBy("fp").agg(F.min(ident).alias("least")), "fingerprints")
     groups = link_components(links(different))
     named = different.join(groups.withColumnRenamed("item", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    least = stored(named.groupBy("component").agg(F.min("least").alias("component_id")), "components")
     return named.select("fp", "component").join(least, "component").select("fp", "component_id")
 
 
