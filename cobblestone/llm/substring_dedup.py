@@ -129,6 +129,8 @@ def recurring(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
     seen = _anchors(docs, size, gram)
     anchors = seen.groupBy("a").agg(F.count("*").alias("n"), F.min("p").alias("p0"), F.max("p").alias("p1"))
     anchors = anchors.where("n > 1").select("a", (F.col("p0") != F.col("p1")).alias("mixed"))
+    # written before they are joined: Spark can split a hot key of a table, not of an aggregate in the same stage
+    anchors = stored(anchors, "anchors")
     places = stored(seen.join(anchors, "a").select("k", "at", "p", "mixed"), "recurring")
     mixed = places.where("mixed").groupBy("p").agg(F.count("*").alias("n"), F.min(F.struct("k", "at")).alias("x"))
     exemplars = mixed.select("x.k", F.struct(F.col("x.at").alias("at"), "p", "n").alias("m")).groupBy("k").agg(
@@ -138,8 +140,9 @@ def recurring(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
     one = docs.join(exemplars, "k").select("text", "marks")
     windows = stored(_windows(one, size, gram), "windows")
     windows = windows.groupBy("p", "off", "w").agg(F.max("n").alias("n"))
-    again = windows.groupBy("w").agg(F.sum("n").alias("n")).where("n > 1").select("w")
+    again = stored(windows.groupBy("w").agg(F.sum("n").alias("n")).where("n > 1").select("w"), "again")
     masks = windows.join(again, "w").groupBy("p").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("off").cast("int"))).alias("mask"))
+    masks = stored(masks, "masks")
     whole = places.where("not mixed").select("k", "at", "p", F.lit(-1).cast("long").alias("mask"))
     parts = places.where("mixed").select("k", "at", "p").join(masks, "p").select("k", "at", "p", "mask")
     marks = whole.unionByName(parts).groupBy("k", "at", "p").agg(F.max("mask").alias("mask"))
