@@ -110,6 +110,7 @@ def host_verdicts(measured: DataFrame, host: str, max_rate: float = MAX_HOST_RAT
     hosts = measured.groupBy(F.col(host).alias("host")).agg(
         F.count("*").alias("n_docs"), F.count_if(fails()).alias("n_failed")
     ).withColumn("raw", F.col("n_failed") / F.col("n_docs"))
+    hosts = stored(hosts, "host-sums")  # read twice, for the prior and for the rates
     prior = hosts.agg(F.avg("raw").alias("m"), F.coalesce(F.var_pop("raw"), F.lit(0.0)).alias("v"))
     strength = F.when(F.col("v") * 1e6 <= F.col("m") * (1 - F.col("m")), F.lit(1e6)).otherwise(
         F.col("m") * (1 - F.col("m")) / F.col("v") - 1
