@@ -298,9 +298,10 @@ def cut_cells(windows: DataFrame, cells: DataFrame, block: int = 64, keep: tuple
     )
 
 
-def halo_tiles(cells: DataFrame, tile_h: int, tile_w: int, halo: int = 10) -> DataFrame:
-    """Cells once per tile whose core plus halo covers them, tiles without street left out."""
-    spread = lattice.covering_tiles(cells, tile_h, tile_w, halo).where((F.col("tile_row") >= 0) & (F.col("tile_col") >= 0))
+def halo_tiles(cells: DataFrame, height: int, width: int, tile_h: int, tile_w: int, halo: int = 10) -> DataFrame:
+    """Cells once per tile of the raster whose core plus halo covers them, tiles without street left out."""
+    inside = F.col("tile_row").between(0, (height - 1) // tile_h) & F.col("tile_col").between(0, (width - 1) // tile_w)
+    spread = lattice.covering_tiles(cells, tile_h, tile_w, halo).where(inside)
     live = spread.groupBy("tile_row", "tile_col").agg(F.max("is_street").alias("_s")).where(F.col("_s") > 0).drop("_s")
     return spread.join(live, ["tile_row", "tile_col"], "left_semi")
 

@@ -77,8 +77,10 @@ def snap_winners(nodes: DataFrame, radius: float = SNAP_RADIUS) -> DataFrame:
 def contract(nodes: DataFrame, edges: DataFrame, winners: DataFrame):
     """The graph on its winners (G3): ends remapped, loops dropped, end vertices moved to the node kept.
 
-    Nodes that neither won a cluster nor end an edge are left out.
+    Nodes that neither won a cluster nor end an edge are left out; where nothing snaps, the graph stays as it is.
     """
+    if winners.isEmpty():
+        return nodes, edges.select("u", "v", "k", "geometry", "slope", "width")
     moved = nodes.join(winners, "node_id", "left").withColumn("winner", F.coalesce("winner", "node_id"))
     at = nodes.select(F.col("node_id").alias("winner"), planar.point(F.col("x"), F.col("y")).alias("at"))
     target = cut_lineage(moved.select("node_id", "winner").join(at, "winner"), "winners")

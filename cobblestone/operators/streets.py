@@ -185,13 +185,16 @@ def order_streets(streets: DataFrame, ends: DataFrame, far_ends: bool = False) -
 # --- metrics ----------------------------------------------------------------------
 
 
-def march(start: np.ndarray, step: np.ndarray, mask: np.ndarray, altitude: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Steps from every start along its unit vector until the street ends, and the last altitude met."""
+def march(start: np.ndarray, step: np.ndarray, mask: np.ndarray, altitude: np.ndarray, limit: int = MARCH_LIMIT) -> tuple[np.ndarray, np.ndarray]:
+    """Steps from every start along its unit vector until the street ends, and the last altitude met.
+
+    ``limit`` steps at most: what is wider than twice that on one side is an open area, not a street, and counts as so wide.
+    """
     n = len(start)
     position = start.astype(float)
     length, last = np.zeros(n, dtype=int), altitude[start[:, 0], start[:, 1]].astype(float)
     alive = np.arange(n)
-    for _ in range(MARCH_LIMIT):
+    for _ in range(limit):
         ahead = position[alive] + step[alive]
         y, x = np.rint(ahead).astype(int).T
         ok = (y >= 0) & (y < mask.shape[0]) & (x >= 0) & (x < mask.shape[1])

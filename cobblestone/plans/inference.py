@@ -8,12 +8,14 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cobblestone.operators import raster
 from cobblestone.operators.sampling import SampleShape
 from cobblestone.session import cut_lineage
 
+#: Whether a position is hidden, from its row and column.
+Region = Callable[[Column, Column], Column]
 Predictor = Callable[[np.ndarray, SampleShape], np.ndarray]
 PREDICTORS: dict[str, Predictor] = {}
 
@@ -99,18 +101,21 @@ def tile_dependencies(plan: DataFrame, rows: int, cols: int, shape: SampleShape)
     return joined.where(above | left).select("r", "c", "wave", "need_r", "need_c", "need_wave")
 
 
-def _tile_inputs(tiles: DataFrame, cells: DataFrame, predicted: DataFrame | None, shape: SampleShape) -> DataFrame:
-    """Dense input array of every tile: raster window, masked, with what earlier tiles predicted laid over its context."""
+def _tile_inputs(tiles: DataFrame, cells: DataFrame, predicted: DataFrame | None, shape: SampleShape, hidden: Region) -> DataFrame:
+    """Dense input array of every tile: raster window, masked, with what earlier tiles predicted laid over its context.
+
+    The mask is laid over every position of the window, whether the sparse raster has a row for it or not.
+    """
     half, size = shape.crop, shape.size
     names = raster.CHANNELS[: shape.inputs - 1]
     windows = tiles.select(F.struct("r", "c").alias("cut_id"), "y0", "x0", F.lit(size).alias("h"), F.lit(size).alias("w"))
     base = raster.cut_cells(windows, cells).select(
-        "cut_id", "row", "col", "is_predicted", *names, F.lit(-1).alias("rank")
+        "cut_id", "row", "col", *names, F.lit(-1).alias("rank")
     )
     if predicted is not None:
         fed = names[: shape.outputs]
         seen = predicted.select(
-            "r", "c", (F.col("row") + half).alias("row"), (F.col("col") + half).alias("col"), F.lit(0.0).alias("is_predicted"), *fed
+            "r", "c", (F.col("row") + half).alias("row"), (F.col("col") + half).alias("col"), *fed
         )
         over = raster.cut_cells(windows, seen)
         in_rows, in_cols = F.col("row").between(half, size - half - 1), F.col("col")
@@ -118,7 +123,7 @@ def _tile_inputs(tiles: DataFrame, cells: DataFrame, predicted: DataFrame | None
         earlier = (F.col("r") < F.col("cut_id.r")) | ((F.col("r") == F.col("cut_id.r")) & (F.col("c") < F.col("cut_id.c")))
         latest = over.where(zone & earlier).groupBy("cut_id", "row", "col").agg(
             F.max_by(F.struct(*fed), F.struct("r", "c")).alias("v")
-        ).select("cut_id", "row", "col", F.lit(0.0).alias("is_predicted"), "v.*", F.lit(1).alias("rank"))
+        ).select("cut_id", "row", "col", "v.*", F.lit(1).alias("rank"))
         base = base.unionByName(latest, allowMissingColumns=True)
     n = len(names)
     fed_count = min(n, shape.outputs)
@@ -131,11 +136,11 @@ def _tile_inputs(tiles: DataFrame, cells: DataFrame, predicted: DataFrame | None
             r, c = part["row"].to_numpy(int), part["col"].to_numpy(int)
             x[r, c, 1 : 1 + width] = part[list(names[:width])].to_numpy(np.float32)
             if rank == -1:
-                x[r, c, 0] = part["is_predicted"].to_numpy(np.float32)
-                hidden = x[..., 0] == 1
-                x[hidden, 1] = 0
+                mask = np.asarray(pdf["mask"].iloc[0], dtype=bool).reshape(size, size)
+                x[mask, 0] = 1
+                x[mask, 1] = 0
                 if n >= 3:
-                    x[hidden, 3] = 0
+                    x[mask, 3] = 0
                 border = np.ones((size, size), dtype=bool)
                 border[half : size - half, half : size - half] = False
                 x[border, 0] = 0
@@ -143,7 +148,14 @@ def _tile_inputs(tiles: DataFrame, cells: DataFrame, predicted: DataFrame | None
         return pd.DataFrame({"r": [head["r"]], "c": [head["c"]], "x": [x.ravel()]})
 
     keyed = windows.select("cut_id").join(base, "cut_id", "left").select(F.col("cut_id.r").alias("r"), F.col("cut_id.c").alias("c"), *[c for c in base.columns if c != "cut_id"])
-    return keyed.groupBy("r", "c").applyInPandas(dense, "r int, c int, x array<float>")
+    places = F.sequence(F.lit(0), F.lit(size * size - 1))
+    masks = tiles.select("r", "c", F.transform(places, lambda i: F.coalesce(hidden(
+        F.col("y0") + F.floor(i / size).cast("int"), F.col("x0") + i % size).cast("boolean"), F.lit(False))).alias("mask"))
+
+    def solve(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return dense(left.assign(mask=[right["mask"].iloc[0]] * len(left)))
+
+    return keyed.groupBy("r", "c").cogroup(masks.groupBy("r", "c")).applyInPandas(solve, "r int, c int, x array<float>")
 
 
 def _predict_tiles(tiles: DataFrame, inputs: DataFrame, shape: SampleShape, model: Predictor) -> DataFrame:
@@ -169,10 +181,13 @@ def _predict_tiles(tiles: DataFrame, inputs: DataFrame, shape: SampleShape, mode
     )
 
 
-def predict(cells: DataFrame, rows: int, cols: int, shape: SampleShape, model: str | Predictor = "neighbourhood") -> DataFrame:
+def predict(
+    cells: DataFrame, rows: int, cols: int, shape: SampleShape, hidden: Region, model: str | Predictor = "neighbourhood"
+) -> DataFrame:
     """Predicted raster, ``surplus`` smaller than the input on each axis (M6).
 
-    Input cells carry is_predicted. Tiles are predicted wave by wave; each wave is one
+    ``hidden`` tells from the row and column of a position, as Columns, whether it is to be predicted; it counts
+    for every position of the raster, with a cell in the sparse table or without. Tiles are predicted wave by wave; each wave is one
     parallel job that reads only the waves it can depend on, and writes its cells
     durably. The number of waves follows from the feedback between tiles.
     """
@@ -188,7 +203,7 @@ def predict(cells: DataFrame, rows: int, cols: int, shape: SampleShape, model: s
     for wave in range(last + 1):
         tiles = plan.where(F.col("wave") == wave)
         earlier = reduce(DataFrame.union, waves[-memory:]) if waves else None
-        found = _predict_tiles(tiles, _tile_inputs(tiles, cells, earlier, shape), shape, run)
+        found = _predict_tiles(tiles, _tile_inputs(tiles, cells, earlier, shape, hidden), shape, run)
         waves.append(cut_lineage(found, f"wave-{wave}"))
     owned = plan.select("r", "c", "own_y1", "own_x1")
     every = reduce(DataFrame.union, waves).join(owned, ["r", "c"])
@@ -203,9 +218,9 @@ def predict_fragment(
     """Masked prediction of a fragment next to its truth (M8): (row, col, y_, p_ channels) of the predicted area."""
     half = shape.crop
     fragment = raster.read_window(cells, row, col, height, width, rows, cols)
-    centre = F.col("row").between(half, height - half - 1) & F.col("col").between(half, width - half - 1)
-    masked = fragment.withColumn("is_predicted", centre.cast("double"))
     names = raster.CHANNELS[: shape.outputs]
-    found = predict(masked, height, width, shape, model).withColumnsRenamed({c: f"p_{c}" for c in names})
+    found = predict(
+        fragment, height, width, shape, lambda r, c: r.between(half, height - half - 1) & c.between(half, width - half - 1), model
+    ).withColumnsRenamed({c: f"p_{c}" for c in names})
     truth = fragment.select((F.col("row") - half).alias("row"), (F.col("col") - half).alias("col"), *[F.col(c).alias(f"y_{c}") for c in names])
     return found.join(truth, ["row", "col"], "left").na.fill(0.0, [f"y_{c}" for c in names])

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import os
+import uuid
 
 import numpy as np
 from pyspark.sql import SparkSession
@@ -102,20 +103,32 @@ class SegmentsWritten(WriterCommitMessage):
 
 
 class CityGridWriter(DataSourceWriter):
-    """Tiles (seg_row, seg_col, h, w, channels, data) into one v1 file."""
+    """Tiles (seg_row, seg_col, h, w, channels, data) into one new v1 file; it appears under its name when the job commits.
 
-    def __init__(self, path: str, options):
+    An existing file is never touched unless the mode is overwrite: segments are rewritten in the tile store.
+    """
+
+    def __init__(self, path: str, options, overwrite: bool):
         fields = [options.get(k, d) for k, d in (
             ("rows", None), ("cols", None), ("origin_x", "0.0"), ("origin_y", "0.0"), ("density", "1.0"),
             ("segment_h", "5000"), ("segment_w", "5000"), ("byteorder", "little"), ("channels", "3"))]
         header = (SEPARATOR.join(["1", *map(str, fields)]) + "\n").encode("latin1")
-        self.path, self.meta = path, header_fields(header)
+        if os.path.exists(path) and not overwrite:
+            raise FileExistsError(f"{path} exists; grid files are written once")
+        self.target, self.path, self.meta = path, f"{path}.{uuid.uuid4().hex}.part", header_fields(header)
         size = len(header) + VALUE_BYTES * self.meta["rows"] * self.meta["cols"] * self.meta["channels"]
         os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-        with open(path, "wb") as handle:
+        with open(self.path, "wb") as handle:
             handle.write(header)
             handle.truncate(size)
 
+    def commit(self, messages):
+        os.replace(self.path, self.target)
+
+    def abort(self, messages):
+        if os.path.exists(self.path):
+            os.remove(self.path)
+
     def write(self, iterator):
         kind = np.dtype("<f4" if self.meta["byteorder"] == "little" else ">f4")
         count = 0
@@ -143,7 +156,7 @@ class CityGridSource(DataSource):
         return CityGridReader(self.options["path"].removeprefix("file:"))
 
     def writer(self, schema, overwrite):
-        return CityGridWriter(self.options["path"].removeprefix("file:"), self.options)
+        return CityGridWriter(self.options["path"].removeprefix("file:"), self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:

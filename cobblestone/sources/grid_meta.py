@@ -73,11 +73,11 @@ def segment_catalogue(meta: DataFrame) -> DataFrame:
         "seg_col", F.explode(F.sequence(F.lit(0), F.ceil(F.col("cols") / F.col("segment_w")).cast("int") - 1))
     )
     value = F.col("channels").cast("bigint") * VALUE_BYTES
-    above = F.col("seg_row") * F.col("segment_h") * F.col("cols") * value
-    left = F.col("seg_col") * F.col("expected_h") * F.col("segment_w") * value
+    above = F.col("seg_row").cast("bigint") * F.col("segment_h") * F.col("cols") * value
+    left = F.col("seg_col").cast("bigint") * F.col("expected_h") * F.col("segment_w") * value
     return with_expected_shape(grid).withColumns({
         "byte_start": F.col("header_bytes") + above + left,
-        "byte_length": F.col("expected_h") * F.col("expected_w") * value,
+        "byte_length": F.col("expected_h").cast("bigint") * F.col("expected_w") * value,
     })
 
 

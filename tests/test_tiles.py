@@ -117,11 +117,9 @@ def test_waves_give_the_sequential_prediction(spark):
     hide = np.zeros((43, 50))
     hide[5:40, 8:44] = 1
     shape = sampling.SampleShape(size=20, surplus=8)
-    masked = cells.withColumn("is_predicted", (F.col("row").between(5, 39) & F.col("col").between(8, 43)).cast("double"))
-    got = inference.predict(masked, 43, 50, shape).toPandas()
-    # cells absent from the sparse input are all zero, so their mask counts as known in both
-    present = dense.any(axis=2)
-    want = predict_in_turn(np.dstack([hide * present, dense]), shape)
+    got = inference.predict(cells, 43, 50, shape, lambda r, c: r.between(5, 39) & c.between(8, 43)).toPandas()
+    # every hidden position is masked, also those without a cell in the sparse input
+    want = predict_in_turn(np.dstack([hide, dense]), shape)
     full = np.zeros_like(want)
     full[got["row"], got["col"]] = got[NAMES]
     assert len(got) == 35 * 42
@@ -178,3 +176,41 @@ def test_endless_samples(spark, tmp_path):
     stored = spark.read.parquet(str(tmp_path / "samples"))
     assert stored.where("batch < 2").select("sample_id").distinct().count() == 10
     assert stored.first()["x"] is not None
+
+
+def test_empty_hidden_cells_are_masked_too(spark):
+    """One row of cells on a raster of 20 x 20: all 144 hidden positions reach the model as hidden."""
+    cells = spark.createDataFrame([(9, c, 1.0, 0.0, 0.0) for c in range(20)], "row int, col int, is_street double, altitude double, is_residential double")
+    shape = sampling.SampleShape(size=20, surplus=8)
+    seen = lambda x, s: np.repeat(x[:, s.crop : -s.crop, s.crop : -s.crop, :1], s.outputs, axis=3)
+    got = inference.predict(cells, 20, 20, shape, lambda r, c: r.between(4, 15) & c.between(4, 15), seen).toPandas()
+    assert len(got) == 144 and (got["is_street"] == 1).all()
+
+
+def test_a_graph_without_snaps_stays(spark):
+    from cobblestone.operators import street_graph
+
+    nodes = spark.createDataFrame([("a", 0.0, 0.0), ("b", 9.0, 0.0), ("c", 50.0, 50.0)], "node_id string, x double, y double")
+    edges = spark.createDataFrame([("a", "b", 0, [(0.0, 0.0), (9.0, 0.0)], 0.0, 3.0)], "u string, v string, k int, geometry array<struct<x:double,y:double>>, slope double, width double")
+    none = spark.createDataFrame([], "node_id string, winner string")
+    kept, lines = street_graph.contract(nodes, edges, none)
+    assert kept.count() == 3 and lines.count() == 1
+
+
+def test_segments_of_a_grid_beyond_32_bits(spark):
+
+    meta = spark.createDataFrame([(60_000, 60_000, 5_000, 5_000, 3, 40)], "rows int, cols int, segment_h int, segment_w int, channels int, header_bytes int")
+    last = grid_meta.segment_catalogue(meta).where("seg_row = 11 and seg_col = 11").first()
+    assert last.byte_start + last.byte_length == 40 + 60_000 * 60_000 * 3 * grid_meta.VALUE_BYTES
+
+
+def test_an_existing_grid_file_is_not_overwritten(spark, tmp_path):
+
+    citygrid.register(spark)
+    tile = spark.createDataFrame([(0, 0, 2, 2, 3, [1.0] * 12)], "seg_row int, seg_col int, h int, w int, channels int, data array<float>")
+    write = lambda: tile.write.format("citygrid").options(rows=2, cols=2, segment_h=2, segment_w=2).mode("append").save(str(tmp_path / "g"))
+    write()
+    before = (tmp_path / "g").read_bytes()
+    with pytest.raises(Exception, match="exists"):
+        write()
+    assert (tmp_path / "g").read_bytes() == before and len(list(tmp_path.iterdir())) == 1

@@ -166,15 +166,18 @@ def upsert_cells(spark, sf):
 @query("J7_F7_halo_tiles", uses=("fx_streets",), sql="""
 WITH t AS (SELECT *, unnest(generate_series(CAST(floor((col - 10) / 100e0) AS INT), CAST(floor((col + 10) / 100e0) AS INT))) AS tile_col FROM (
   SELECT *, unnest(generate_series(CAST(floor((row - 10) / 120e0) AS INT), CAST(floor((row + 10) / 120e0) AS INT))) AS tile_row FROM fx_streets) q)
-SELECT tile_row, tile_col, row, col FROM t WHERE tile_row >= 0 AND tile_col >= 0""")
+SELECT tile_row, tile_col, row, col FROM t
+WHERE tile_row >= 0 AND tile_col >= 0 AND tile_row < ceil((SELECT max(row) + 1 FROM fx_streets) / 120e0) AND tile_col < ceil((SELECT max(col) + 1 FROM fx_streets) / 100e0)""")
 def halo_tiles(spark, sf):
-    return raster.halo_tiles(view(spark, sf, "fx_streets"), 120, 100).select("tile_row", "tile_col", "row", "col")
+    streets = view(spark, sf, "fx_streets")
+    s = streets.agg(F.max("row"), F.max("col")).first()
+    return raster.halo_tiles(streets, s[0] + 1, s[1] + 1, 120, 100).select("tile_row", "tile_col", "row", "col")
 
 
 @query("F7_live_tiles", uses=("fx_cells",), sql="""
 SELECT CAST(floor(row / 8e0) AS INT) AS tile_row, CAST(floor(col / 8e0) AS INT) AS tile_col, count(*) AS cells FROM fx_cells GROUP BY 1, 2 HAVING max(is_street) > 0""")
 def live_tiles(spark, sf):
-    return raster.halo_tiles(cells_of(spark, sf), 8, 8, 0).groupBy("tile_row", "tile_col").agg(F.count("*").alias("cells"))
+    return raster.halo_tiles(cells_of(spark, sf), CELLS_SIDE, CELLS_SIDE, 8, 8, 0).groupBy("tile_row", "tile_col").agg(F.count("*").alias("cells"))
 
 
 @query("P15_threshold", uses=("fx_pred",), sql="SELECT l_orderkey, l_linenumber, CASE WHEN y_pred > 0.5 THEN 1e0 ELSE 0e0 END AS y_pred FROM fx_pred")

@@ -160,13 +160,13 @@ def tile_shape(rows, cols):
 def masked_streets(spark, sf):
     streets = view(spark, sf, "fx_streets")
     s = streets.agg(F.max("row"), F.max("col")).first()
-    return streets.withColumn("is_predicted", F.lit(1.0)), s[0] + 1, s[1] + 1
+    return streets, s[0] + 1, s[1] + 1
 
 
 @query("M6_tiled_inference")
 def tiled_inference(spark, sf):
     cells, rows, cols = masked_streets(spark, sf)
-    out = inference.predict(cells.withColumn("is_predicted", (F.floor(F.col("row") / 40) % 2).cast("double")), rows, cols, tile_shape(rows, cols))
+    out = inference.predict(cells, rows, cols, tile_shape(rows, cols), lambda r, c: F.floor(r / 40) % 2 == 1)
     return out.groupBy(F.floor(F.col("row") / 50).alias("band"), F.floor(F.col("col") / 50).alias("column")).agg(
         F.count("*").alias("cells"), F.sum("is_street").alias("street_cells"), F.round(F.avg("altitude"), 4).alias("altitude"))
 
@@ -174,7 +174,7 @@ def tiled_inference(spark, sf):
 @query("M8_evaluation_fragment")
 def evaluation_fragment(spark, sf):
     cells, rows, cols = masked_streets(spark, sf)
-    both = inference.predict_fragment(cells.drop("is_predicted"), 0, 0, rows, cols, rows, cols, tile_shape(rows, cols))
+    both = inference.predict_fragment(cells, 0, 0, rows, cols, rows, cols, tile_shape(rows, cols))
     report = evaluation.binary_report(both.withColumn("run", F.lit("fragment")), "y_is_street", "p_is_street", "run")
     return report.select("run", *[F.round(c, 6).alias(c) for c in report.columns[1:]])
 
