@@ -77,7 +77,8 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "
     goal = items.select(F.col(item).alias("item"), F.col("text").alias("body"), text_key("text").alias("content"))
     unique = shingles(goal.select("content", "body").dropDuplicates(["content"]), "body", "own")
     unique = stored(unique.withColumn("length", F.size("own")).withColumn("fp", simhash("own")), "items").where("length > 0")
-    seeds = stored(unique.select("content", "length", F.posexplode("own").alias("place", "s")), "seeds")
+    # where a window is laid depends on length and place only: items that share a shingle there are one row of the joins
+    seeds = stored(unique.select("length", F.posexplode("own").alias("place", "s")).distinct(), "seeds")
     known = stored(seeds.select("s").distinct(), "shared")
     texts = docs.select(text_key(text).alias("k"), F.col(text).alias("body"))
     # outer, since Spark would push the filter that a plain explode brings below the shingles and compute them per element
