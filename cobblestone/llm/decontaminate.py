@@ -118,4 +118,4 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", ident: s
 def clean(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """The documents that hold no benchmark item, with all their columns."""
     bad = stored(matches(docs, items, text).select(F.col("k").alias("_bad")).distinct(), "contaminated")
-    return docs.join(bad, text_key(text) == F.col("_bad"), "left_anti")
+    return docs.join(bad, text_key(text) == bad["_bad"], "left_anti")

@@ -31,6 +31,7 @@ CAP = 3
 #: A chunk has about so many documents and words at most.
 CHUNK = 16_384
 CHUNK_WORDS = 4_000_000
+RESERVED = ("size", "salt", "source_size", "target", "rate", "copies", "n_docs", "_text", "_s", "_parts", "_part", "_order", "_v", "_x")
 #: The Newton system holds a number per margin value and pair of values seen together; more than this is an error.
 MAX_CONSTRAINTS = 4096
 
@@ -147,20 +148,26 @@ def copies(sized: DataFrame, rates: DataFrame, source: str = "source", cap: int
     table = rates.select(F.col(source).alias("_s"), "rate", parts.alias("_parts"))
     # a row per source, at most MAX_CONSTRAINTS
     joined = sized.join(F.broadcast(table), F.col(source).eqNullSafe(F.col("_s"))).withColumn("_part", F.pmod("salt", "_parts"))
-    order = [c for c in sized.columns if c not in (source, "size", "salt")]
+    # equal sizes and texts are settled by the whole row
+    joined = joined.withColumn("_order", F.xxhash64(*(F.col(f"`{c}`") for c in sized.columns)))
+    helpers = ["_s", "_parts", "_part", "_order"]
 
     def run(rows: pa.Table) -> pa.Table:
-        keys = [("size", "descending"), *((c, "ascending") for c in ("salt", *order))]
-        rows = rows.take(pc.sort_indices(rows, sort_keys=keys)).drop_columns(["_s", "_parts", "_part"])
+        keys = [("size", "descending"), ("salt", "ascending"), ("_order", "ascending")]
+        rows = rows.take(pc.sort_indices(rows, sort_keys=keys)).drop_columns(helpers)
         taken = _diffuse(rows["size"].to_numpy(), rows["rate"].to_numpy(), cap)
         return rows.append_column("copies", pa.array(taken))
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields if f.name not in ("_s", "_parts", "_part")]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields if f.name not in helpers]
     return joined.groupBy("_s", "_part").applyInArrow(run, ", ".join(fields) + ", copies bigint")
 
 
 def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", cap: int = CAP) -> DataFrame:
-    """``docs`` without its text, with size, salt, source_size, target, rate and copies."""
+    """``docs`` without its text, with size, salt, source_size, target, rate and copies.
+
+    Columns of these names, and of the ``RESERVED`` ones, are replaced or left out.
+    """
+    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c in (text, source) or c not in RESERVED))
     sized = sizes(docs, text)  # counted once for the totals and once for the copies, rather than written
     totals = sized.groupBy(source).agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     targets = stored(weighted_targets(totals, source, cap), "targets")

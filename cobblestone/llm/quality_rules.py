@@ -134,5 +134,5 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", max_rate: f
     verdicts = stored(verdicts.select(F.col("host").alias("_host"), "host_rate", "host_kept"), "hosts")
     rest = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("host_rate", "host_kept", "base_failed", "kept")))
     measured = measure(rest, text).withColumn("base_failed", fails())
-    joined = measured.join(verdicts, F.col(f"`{host}`").eqNullSafe(F.col("_host")), "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce("host_kept", F.lit(True))).drop("_host", "host_kept")
+    joined = measured.join(verdicts, measured[f"`{host}`"].eqNullSafe(verdicts["_host"]), "left")
+    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce("host_kept", F.lit(True))).drop(verdicts["_host"]).drop("host_kept")

@@ -185,9 +185,10 @@ def _covered(words: Words, lists, size: int, gram: int) -> np.ndarray:
 
 def remove_recurring(docs: DataFrame, text: str = "text", size: int = SIZE, gram: int = GRAM, digest: bool = False) -> DataFrame:
     """``docs`` with n_words, n_removed and the kept words joined by one space (``kept_text``, null if nothing went),
-    or, with ``digest``, their SHA-256 in place of the text columns."""
+    or, with ``digest``, their SHA-256 in place of the text columns. Columns of these names are replaced, and those called
+    ``_k``, ``_marks`` or ``_text`` left out (but for the text itself)."""
     names = ["n_words", "n_removed", "kept_sha256" if digest else "kept_text"]
-    rest = [f for f in docs.schema.fields if f.name not in (*names, "_k", "_marks") and not (digest and f.name == text)]
+    rest = [f for f in docs.schema.fields if f.name not in (*names, "_k", "_marks", "_text") and not (digest and f.name == text)]
     keyed = docs.select(text_key(text).alias("_k"), F.col(text).alias("_text"), *(F.col(f"`{f.name}`") for f in rest))
     marks = recurring(keyed.select(F.col("_k").alias("k"), F.col("_text").alias("text")), size, gram)
     joined = keyed.join(marks.select(F.col("k").alias("_k"), F.col("marks").alias("_marks")), "_k", "left")

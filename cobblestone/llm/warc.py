@@ -258,7 +258,9 @@ class WarcReader(DataSourceReader):
                 return False
         return True
 
-    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Files | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # Spark's stand-in where no partition is planned
+            return
         store, _ = pafs.FileSystem.from_uri(self.path)
         rows, size = [], 0
         for path in partition.paths:
