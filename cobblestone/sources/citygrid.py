@@ -78,6 +78,8 @@ class CityGridReader(DataSourceReader):
     def read(self, partition):
         import pyarrow as pa
 
+        if partition is None:  # Spark's stand-in where no segment is left to read
+            return
         meta = partition.meta
         start, h, w = segment_range(meta, partition.seg_row, partition.seg_col)
         n = meta["channels"]

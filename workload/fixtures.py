@@ -13,19 +13,15 @@ TABLES = (
     "conversations"
 ).split()
 
-# Fixed values of the fixtures: lattice width, raster pitch, segment size.
-LATTICE = 40
+# Raster cells between two lattice nodes.
 PITCH = 16
-STREETS_WIDTH = LATTICE * PITCH
-CELLS_SIDE = 512
 
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
-    # customers as nodes of a jittered 100 m lattice, 40 wide
+    # customers as nodes of a jittered 100 m lattice, as wide as high
     "fx_nodes": ((), """
-SELECT c_custkey AS node_id, CAST(c_custkey % 40 AS INT) AS lc, CAST(floor(c_custkey / CAST(40 AS DOUBLE)) AS INT) AS lr,
-  CAST((c_custkey % 40) * 100 + (c_custkey * 7 % 11) AS DOUBLE) AS x,
-  CAST(CAST(floor(c_custkey / CAST(40 AS DOUBLE)) AS INT) * 100 + (c_custkey * 5 % 13) AS DOUBLE) AS y, c_mktsegment
-FROM {customer}"""),
+SELECT node_id, lc, lr, CAST(lc * 100 + (node_id * 7 % 11) AS DOUBLE) AS x, CAST(lr * 100 + (node_id * 5 % 13) AS DOUBLE) AS y, c_mktsegment
+FROM (SELECT node_id, CAST(node_id % side AS INT) AS lc, CAST(floor(node_id / CAST(side AS DOUBLE)) AS INT) AS lr, c_mktsegment
+      FROM (SELECT c_custkey AS node_id, c_mktsegment, (SELECT CAST(ceil(sqrt(count(*))) AS INT) FROM {customer}) AS side FROM {customer}) c) q"""),
     # one-way lattice edges with messy tags: rows R*, columns C*
     "fx_edges": (("fx_nodes",), """
 SELECT q.u, q.v, 0 AS k, q.name,
@@ -36,20 +32,22 @@ FROM (SELECT a.node_id AS u, b.node_id AS v, concat('R', CAST(a.lr AS VARCHAR(10
       FROM fx_nodes a JOIN fx_nodes b ON b.node_id = a.node_id + 1 AND b.lr = a.lr
       UNION ALL
       SELECT a.node_id, b.node_id, concat('C', CAST(a.lc AS VARCHAR(10))), a.c_mktsegment
-      FROM fx_nodes a JOIN fx_nodes b ON b.node_id = a.node_id + 40) q"""),
+      FROM fx_nodes a JOIN fx_nodes b ON b.lr = a.lr + 1 AND b.lc = a.lc) q"""),
     # long row streets; a column street starts only at BUILDING customers, so most nodes have degree 2
     "fx_ways": (("fx_nodes",), """
 SELECT a.node_id AS u, b.node_id AS v, 0 AS k, concat('R', CAST(a.lr AS VARCHAR(10))) AS name
 FROM fx_nodes a JOIN fx_nodes b ON b.node_id = a.node_id + 1 AND b.lr = a.lr
 UNION ALL
 SELECT a.node_id, b.node_id, 0, concat('C', CAST(a.lc AS VARCHAR(10)))
-FROM fx_nodes a JOIN fx_nodes b ON b.node_id = a.node_id + 40 WHERE a.c_mktsegment = 'BUILDING'"""),
-    # noise raster, 512 x 512
-    "fx_cells": ((), """
-SELECT CAST(l_orderkey % 512 AS INT) AS row, CAST(l_partkey % 512 AS INT) AS col,
-  CAST(max(CASE WHEN l_quantity >= 25 THEN 1 ELSE 0 END) AS DOUBLE) AS is_street, max(l_extendedprice) AS altitude,
+FROM fx_nodes a JOIN fx_nodes b ON b.lr = a.lr + 1 AND b.lc = a.lc WHERE a.c_mktsegment = 'BUILDING'"""),
+    # noise raster: eight places per order in a square, so that its cells grow with lineitem in both directions
+    "fx_side": ((), "SELECT CAST(ceil(sqrt(8 * (max(l_orderkey) + 1))) AS INT) AS side FROM {lineitem}"),
+    "fx_cells": (("fx_side",), """
+SELECT CAST(floor(place / CAST(side AS DOUBLE)) AS INT) AS row, CAST(place % side AS INT) AS col,
+  CAST(max(CASE WHEN l_quantity >= 15 THEN 1 ELSE 0 END) AS DOUBLE) AS is_street, max(l_extendedprice) AS altitude,
   CAST(max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS DOUBLE) AS is_residential
-FROM {lineitem} GROUP BY 1, 2"""),
+FROM (SELECT l_orderkey * 8 + l_linenumber AS place, (SELECT side FROM fx_side) AS side, l_quantity, l_extendedprice, l_returnflag FROM {lineitem}) q
+GROUP BY 1, 2"""),
     # drawn streets that grow with customer: a bar right of and a bar below each lattice node,
     # 3 to 5 cells thick; some market segments leave a bar out (crossings, T-junctions, dead ends)
     "fx_streets": (("fx_nodes",), """
@@ -128,3 +126,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     files = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}
     views = _with([name], {**files, "explode": "explode", "seq": "sequence"})
     return spark.sql(f"WITH {views} SELECT * FROM {name}")
+
+
+def cells_side(spark: SparkSession, sf_dir: str) -> int:
+    """Rows and columns of ``fx_cells``."""
+    return view(spark, sf_dir, "fx_side").first()[0]

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from cobblestone.functions import lattice
 from cobblestone.operators import components, morphology
-from workload.fixtures import CELLS_SIDE, STREETS_WIDTH, view
+from workload.fixtures import cells_side, view
 from workload.registry import query
 
 # --- SQL building blocks -------------------------------------------------------------------------
@@ -14,6 +14,7 @@ CROSS5 = "(VALUES " + ", ".join(f"({i}, {j})" for i, j in lattice.CROSS) + ") o(
 AROUND8 = "(VALUES " + ", ".join(f"({i}, {j})" for i, j in lattice.AROUND) + ") o(di, dj)"
 RING8 = "(VALUES " + ", ".join(f"({i}, {j}, {1 << b})" for b, (i, j) in enumerate(morphology.RING)) + ") o(di, dj, bit)"
 SIZE = "size AS (SELECT max(row) + 1 AS h, max(col) + 1 AS w FROM fx_streets)"
+LAST = "(SELECT side - 1 FROM fx_side)"
 NOISE = "img AS (SELECT row, col FROM fx_cells WHERE is_street > 0)"
 KEY = "CAST(row AS BIGINT) * 4294967296 + col"
 
@@ -86,21 +87,23 @@ def remove_small(spark, sf):
     return morphology.remove_small_objects(noise_of(spark, sf))
 
 
-DILATED = f"""dil AS (SELECT DISTINCT row + di AS row, col + dj AS col FROM img, {CROSS5} WHERE row + di BETWEEN 0 AND 511 AND col + dj BETWEEN 0 AND 511)"""
+DILATED = f"""dil AS (SELECT DISTINCT row + di AS row, col + dj AS col FROM img, {CROSS5} WHERE row + di BETWEEN 0 AND {LAST} AND col + dj BETWEEN 0 AND {LAST})"""
 CLOSED = DILATED + f""",
-closed AS (SELECT row, col FROM (SELECT d.row + di AS row, d.col + dj AS col FROM dil d, {CROSS5}) q WHERE row BETWEEN 0 AND 511 AND col BETWEEN 0 AND 511 GROUP BY row, col
-  HAVING count(*) = 5 - (CASE WHEN row = 0 THEN 1 ELSE 0 END + CASE WHEN row = 511 THEN 1 ELSE 0 END + CASE WHEN col = 0 THEN 1 ELSE 0 END + CASE WHEN col = 511 THEN 1 ELSE 0 END))"""
+closed AS (SELECT row, col FROM (SELECT d.row + di AS row, d.col + dj AS col FROM dil d, {CROSS5}) q WHERE row BETWEEN 0 AND {LAST} AND col BETWEEN 0 AND {LAST} GROUP BY row, col
+  HAVING count(*) = 5 - (CASE WHEN row = 0 THEN 1 ELSE 0 END + CASE WHEN row = {LAST} THEN 1 ELSE 0 END + CASE WHEN col = 0 THEN 1 ELSE 0 END + CASE WHEN col = {LAST} THEN 1 ELSE 0 END))"""
 
 
 @query("R11_binary_closing", uses=("fx_cells",), sql=f"WITH {NOISE}, {CLOSED} SELECT row, col FROM closed")
 def closing(spark, sf):
-    return morphology.close_cross(noise_of(spark, sf), CELLS_SIDE, CELLS_SIDE)
+    side = cells_side(spark, sf)
+    return morphology.close_cross(noise_of(spark, sf), side, side)
 
 
 @query("R12_dilate_square", uses=("fx_cells",), sql=f"""WITH {NOISE}, s AS (SELECT unnest(generate_series(-2, 2)) AS d), a AS (SELECT DISTINCT row + d AS row, col FROM img, s),
-b AS (SELECT DISTINCT row, col + d AS col FROM a, s) SELECT row, col FROM b WHERE row BETWEEN 0 AND 511 AND col BETWEEN 0 AND 511""")
+b AS (SELECT DISTINCT row, col + d AS col FROM a, s) SELECT row, col FROM b WHERE row BETWEEN 0 AND {LAST} AND col BETWEEN 0 AND {LAST}""")
 def dilation(spark, sf):
-    return morphology.dilate_square(noise_of(spark, sf), CELLS_SIDE, CELLS_SIDE, 2)
+    side = cells_side(spark, sf)
+    return morphology.dilate_square(noise_of(spark, sf), side, side, 2)
 
 
 BORDER = f"""border AS MATERIALIZED (SELECT s.row, s.col FROM fx_streets s JOIN (SELECT row + di AS row, col + dj AS col, count(*) AS n FROM fx_streets, {BLOCK9} GROUP BY 1, 2) c USING (row, col), size

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from cobblestone.functions import lattice
 from cobblestone.operators import network, raster
 from cobblestone.session import scratch_path
-from workload.fixtures import CELLS_SIDE, view
+from workload.fixtures import cells_side, view
 from workload.q_geometry import RIBBON
 from workload.q_network import geometry_of
 from workload.registry import query
@@ -82,13 +82,18 @@ def cells_of(spark, sf):
     return view(spark, sf, "fx_cells")
 
 
+def stored_tiles(spark, sf):
+    side = cells_side(spark, sf)
+    return raster.dense_tiles(cells_of(spark, sf), side, side, 150, 100)
+
+
 @query("R2_dense_tiles", uses=("fx_cells",), sql="""
-WITH t AS (SELECT unnest(generate_series(0, 3)) AS seg_row), g AS (SELECT seg_row, unnest(generate_series(0, 5)) AS seg_col FROM t),
+WITH t AS (SELECT side, unnest(generate_series(0, (side - 1) // 150)) AS seg_row FROM fx_side), g AS (SELECT side, seg_row, unnest(generate_series(0, (side - 1) // 100)) AS seg_col FROM t),
 c AS (SELECT CAST(floor(row / 150e0) AS INT) AS seg_row, CAST(floor(col / 100e0) AS INT) AS seg_col, sum(is_street) AS s, sum(CAST(altitude AS FLOAT)) AS a, sum(is_residential) AS r FROM fx_cells GROUP BY 1, 2)
-SELECT seg_row, seg_col, CASE WHEN seg_row = 3 THEN 62 ELSE 150 END AS h, CASE WHEN seg_col = 5 THEN 12 ELSE 100 END AS w,
+SELECT seg_row, seg_col, least(150, side - seg_row * 150) AS h, least(100, side - seg_col * 100) AS w,
   coalesce(s, 0e0) AS street_cells, round(coalesce(a, 0), 1) AS altitude_sum, coalesce(r, 0e0) AS residential_cells FROM g LEFT JOIN c USING (seg_row, seg_col)""")
 def dense_tiles(spark, sf):
-    tiles = raster.dense_tiles(cells_of(spark, sf), CELLS_SIDE, CELLS_SIDE, 150, 100)
+    tiles = stored_tiles(spark, sf)
     def total(k):
         picked = F.filter("data", lambda x, i: i % 3 == k)
         return F.aggregate(picked, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
@@ -97,44 +102,45 @@ def dense_tiles(spark, sf):
 
 @query("R1_tiles_to_cells", uses=("fx_cells",), sql="SELECT row, col, is_street, CAST(altitude AS FLOAT) AS altitude, is_residential FROM fx_cells")
 def tiles_to_cells(spark, sf):
-    tiles = raster.dense_tiles(cells_of(spark, sf), CELLS_SIDE, CELLS_SIDE, 150, 100)
-    return raster.tile_cells(tiles, 150, 100).select("row", "col", F.col("is_street").cast("double").alias("is_street"), "altitude", F.col("is_residential").cast("double").alias("is_residential"))
+    return raster.tile_cells(stored_tiles(spark, sf), 150, 100).select("row", "col", F.col("is_street").cast("double").alias("is_street"), "altitude", F.col("is_residential").cast("double").alias("is_residential"))
 
 
 @query("R9_resegment", uses=("fx_cells",), sql="""
 SELECT CAST(floor(row / 90e0) AS INT) AS seg_row, CAST(floor(col / 70e0) AS INT) AS seg_col, row, col, is_street, CAST(altitude AS FLOAT) AS altitude FROM fx_cells""")
 def resegment(spark, sf):
-    tiles = raster.dense_tiles(cells_of(spark, sf), CELLS_SIDE, CELLS_SIDE, 150, 100)
-    new = raster.resegment(tiles, CELLS_SIDE, CELLS_SIDE, (150, 100), (90, 70))
+    side = cells_side(spark, sf)
+    new = raster.resegment(stored_tiles(spark, sf), side, side, (150, 100), (90, 70))
     cells = raster.tile_cells(new, 90, 70)
     return cells.select(*lattice.segment_of(F.col("row"), F.col("col"), 90, 70), "row", "col", F.col("is_street").cast("double").alias("is_street"), "altitude")
 
 
 @query("F4_window_read", uses=("fx_cells",), sql="""
-SELECT row - 37 AS row, col - 101 AS col, is_street, altitude FROM fx_cells WHERE row BETWEEN 37 AND 436 AND col BETWEEN 101 AND 400""")
+SELECT row - side // 10 AS row, col - side // 5 AS col, is_street, altitude FROM fx_cells, fx_side
+WHERE row >= side // 10 AND row < side // 10 + side * 3 // 4 AND col >= side // 5 AND col < side // 5 + side // 2""")
 def window_read(spark, sf):
-    return raster.read_window(cells_of(spark, sf), 37, 101, 400, 300, CELLS_SIDE, CELLS_SIDE).select("row", "col", "is_street", "altitude")
+    side = cells_side(spark, sf)
+    return raster.read_window(cells_of(spark, sf), side // 10, side // 5, side * 3 // 4, side // 2, side, side).select("row", "col", "is_street", "altitude")
 
 
-CUTS = """req AS (SELECT o_orderkey AS cut_id, CAST(o_custkey % 40 AS INT) AS x, CAST(o_orderkey % 37 AS INT) AS y, CAST(20 + o_orderkey % 3 * 4 AS INT) AS h, CAST(24 AS INT) AS w, CAST(16 AS INT) AS surplus FROM orders),
+CUTS = """req AS (SELECT o_orderkey AS cut_id, CAST(o_custkey % (side // 12) AS INT) AS x, CAST(o_orderkey % (side // 13) AS INT) AS y, CAST(20 + o_orderkey % 3 * 4 AS INT) AS h, CAST(24 AS INT) AS w, CAST(16 AS INT) AS surplus, side FROM orders, fx_side),
 s AS (SELECT *, greatest(least(surplus, x, y, w, h), 0) AS s FROM req),
 cuts AS (SELECT cut_id, {mode} , h, w FROM s)"""
-CUTS_PLAIN = CUTS.format(mode="least(CAST(trunc(y - s / 2e0) AS INT), 512 - h) AS y0, least(CAST(trunc(x - s / 2e0) AS INT), 512 - w) AS x0")
-CUTS_INDEX = CUTS.format(mode="least(CAST(trunc(y * (h - s) - s / 2e0) AS INT), 512 - h) AS y0, least(CAST(trunc(x * (w - s) - s / 2e0) AS INT), 512 - w) AS x0")
+CUTS_PLAIN = CUTS.format(mode="least(CAST(trunc(y - s / 2e0) AS INT), side - h) AS y0, least(CAST(trunc(x - s / 2e0) AS INT), side - w) AS x0")
+CUTS_INDEX = CUTS.format(mode="least(CAST(trunc(y * (h - s) - s / 2e0) AS INT), side - h) AS y0, least(CAST(trunc(x * (w - s) - s / 2e0) AS INT), side - w) AS x0")
 
 
 def cut_requests(spark, sf):
     from workload.fixtures import table
-    k = F.col("o_orderkey")
+    k, side = F.col("o_orderkey"), cells_side(spark, sf)
     return table(spark, sf, "orders").select(
-        k.alias("cut_id"), (F.col("o_custkey") % 40).cast("int").alias("x"), (k % 37).cast("int").alias("y"),
+        k.alias("cut_id"), (F.col("o_custkey") % (side // 12)).cast("int").alias("x"), (k % (side // 13)).cast("int").alias("y"),
         (20 + k % 3 * 4).cast("int").alias("h"), F.lit(24).alias("w"), F.lit(16).alias("surplus"))
 
 
-@query("F5_cut_windows", sql=f"""WITH {CUTS_INDEX} SELECT 'index' AS mode, * FROM cuts UNION ALL (WITH {CUTS_PLAIN} SELECT 'plain', * FROM cuts)""")
+@query("F5_cut_windows", uses=("fx_side",), sql=f"""WITH {CUTS_INDEX} SELECT 'index' AS mode, * FROM cuts UNION ALL (WITH {CUTS_PLAIN} SELECT 'plain', * FROM cuts)""")
 def cut_windows(spark, sf):
-    req = cut_requests(spark, sf)
-    parts = [raster.cut_windows(req, CELLS_SIDE, CELLS_SIDE, i).select(F.lit(m).alias("mode"), "*") for m, i in (("index", True), ("plain", False))]
+    req, side = cut_requests(spark, sf), cells_side(spark, sf)
+    parts = [raster.cut_windows(req, side, side, i).select(F.lit(m).alias("mode"), "*") for m, i in (("index", True), ("plain", False))]
     return parts[0].union(parts[1])
 
 
@@ -142,7 +148,8 @@ def cut_windows(spark, sf):
 SELECT cut_id, count(*) AS cells, sum(is_street) AS street, CAST(sum((row - y0) * 1000 + col - x0) AS BIGINT) AS place_sum
 FROM cuts JOIN fx_cells ON row >= y0 AND row < y0 + h AND col >= x0 AND col < x0 + w GROUP BY cut_id""")
 def cut_cells(spark, sf):
-    windows = raster.cut_windows(cut_requests(spark, sf), CELLS_SIDE, CELLS_SIDE, True)
+    side = cells_side(spark, sf)
+    windows = raster.cut_windows(cut_requests(spark, sf), side, side, True)
     out = raster.cut_cells(windows, cells_of(spark, sf).select("row", "col", "is_street"), 32)
     return out.groupBy("cut_id").agg(F.count("*").alias("cells"), F.sum("is_street").alias("street"), F.sum(F.col("row") * 1000 + F.col("col")).alias("place_sum"))
 
@@ -177,7 +184,8 @@ def halo_tiles(spark, sf):
 @query("F7_live_tiles", uses=("fx_cells",), sql="""
 SELECT CAST(floor(row / 8e0) AS INT) AS tile_row, CAST(floor(col / 8e0) AS INT) AS tile_col, count(*) AS cells FROM fx_cells GROUP BY 1, 2 HAVING max(is_street) > 0""")
 def live_tiles(spark, sf):
-    return raster.halo_tiles(cells_of(spark, sf), CELLS_SIDE, CELLS_SIDE, 8, 8, 0).groupBy("tile_row", "tile_col").agg(F.count("*").alias("cells"))
+    side = cells_side(spark, sf)
+    return raster.halo_tiles(cells_of(spark, sf), side, side, 8, 8, 0).groupBy("tile_row", "tile_col").agg(F.count("*").alias("cells"))
 
 
 @query("P15_threshold", uses=("fx_pred",), sql="SELECT l_orderkey, l_linenumber, CASE WHEN y_pred > 0.5 THEN 1e0 ELSE 0e0 END AS y_pred FROM fx_pred")

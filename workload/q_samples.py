@@ -8,7 +8,7 @@ from cobblestone.plans import city, inference, training
 from cobblestone.session import cut_lineage, scratch_path
 from cobblestone.sources import citygrid, tiles as tile_store
 from cobblestone.streaming import ingest, log_monitor, samples as stream_samples
-from workload.fixtures import CELLS_SIDE, table, view
+from workload.fixtures import cells_side, table, view
 from workload.q_geometry import projection_sql
 from workload.q_network import edges_of
 from workload.q_raster import PIECES, SAT, SEGMENTS, _candidates
@@ -27,15 +27,14 @@ def between_sql(salt: int, low: str, high: str) -> str:
 
 
 SAMPLES = f"""ids AS (SELECT c_custkey AS sample_id FROM customer),
-cuts AS (SELECT sample_id, {between_sql(1, '0', '443')} AS y0, {between_sql(2, '0', '431')} AS x0, 68 AS h, 80 AS w FROM ids),
+cuts AS (SELECT sample_id, {between_sql(1, '0', '(side - 69)')} AS y0, {between_sql(2, '0', '(side - 81)')} AS x0, 68 AS h, 80 AS w FROM ids, fx_side),
 clips AS (SELECT *, {between_sql(3, '8', '(w - 40)')} AS cx, {between_sql(4, '8', '(h - 40)')} AS cy FROM cuts),
 windows AS (SELECT sample_id, y0 + least(CAST(trunc(cy - greatest(least(16, cx, cy, 48), 0) / 2e0) AS INT), h - 48) AS y0, x0 + least(CAST(trunc(cx - greatest(least(16, cx, cy, 48), 0) / 2e0) AS INT), w - 48) AS x0 FROM clips)"""
 
 
 def grids_of(spark, sf):
-    """One grid: the noise raster, one row derived from its cells."""
-    side = view(spark, sf, "fx_cells").agg(F.count("*").alias("n"))
-    return side.select(F.lit("noise").alias("city"), F.lit(0).alias("city_no"), F.lit(CELLS_SIDE).alias("rows"), F.lit(CELLS_SIDE).alias("cols"))
+    """One grid: the noise raster."""
+    return view(spark, sf, "fx_side").select(F.lit("noise").alias("city"), F.lit(0).alias("city_no"), F.col("side").alias("rows"), F.col("side").alias("cols"))
 
 
 def ids_of(spark, sf):
@@ -46,12 +45,12 @@ def windows_of(spark, sf):
     return sampling.sample_windows(sampling.random_cuts(ids_of(spark, sf), grids_of(spark, sf), 68, 80), SHAPE)
 
 
-@query("M1_random_cuts", sql=f"WITH {SAMPLES} SELECT sample_id, y0, x0, h, w FROM cuts")
+@query("M1_random_cuts", uses=("fx_side",), sql=f"WITH {SAMPLES} SELECT sample_id, y0, x0, h, w FROM cuts")
 def random_cuts(spark, sf):
     return sampling.random_cuts(ids_of(spark, sf), grids_of(spark, sf), 68, 80).select("sample_id", "y0", "x0", "h", "w")
 
 
-@query("M2_sample_windows", sql=f"WITH {SAMPLES} SELECT sample_id, y0, x0 FROM windows")
+@query("M2_sample_windows", uses=("fx_side",), sql=f"WITH {SAMPLES} SELECT sample_id, y0, x0 FROM windows")
 def sample_windows(spark, sf):
     return windows_of(spark, sf).select("sample_id", "y0", "x0")
 
@@ -151,10 +150,8 @@ def tile_dependencies(spark, sf):
     return deps.select("r", "c", "need_r", "need_c", (F.col("need_wave") < F.col("wave")).alias("earlier_wave"))
 
 
-def tile_shape(rows, cols):
-    """Tiles of 320 with a fifth of context, smaller on a raster that is smaller itself."""
-    size = min(320, rows, cols)
-    return SampleShape(size=size, surplus=size // 10 * 2)
+# one shape at every scale; a raster smaller than a tile is refused
+TILE_SHAPE = SampleShape(size=160, surplus=32)
 
 
 def masked_streets(spark, sf):
@@ -166,7 +163,7 @@ def masked_streets(spark, sf):
 @query("M6_tiled_inference")
 def tiled_inference(spark, sf):
     cells, rows, cols = masked_streets(spark, sf)
-    out = inference.predict(cells, rows, cols, tile_shape(rows, cols), lambda r, c: F.floor(r / 40) % 2 == 1)
+    out = inference.predict(cells, rows, cols, TILE_SHAPE, lambda r, c: F.floor(r / 40) % 2 == 1)
     return out.groupBy(F.floor(F.col("row") / 50).alias("band"), F.floor(F.col("col") / 50).alias("column")).agg(
         F.count("*").alias("cells"), F.sum("is_street").alias("street_cells"), F.round(F.avg("altitude"), 4).alias("altitude"))
 
@@ -174,7 +171,7 @@ def tiled_inference(spark, sf):
 @query("M8_evaluation_fragment")
 def evaluation_fragment(spark, sf):
     cells, rows, cols = masked_streets(spark, sf)
-    both = inference.predict_fragment(cells, 0, 0, rows, cols, rows, cols, tile_shape(rows, cols))
+    both = inference.predict_fragment(cells, 0, 0, rows, cols, rows, cols, TILE_SHAPE)
     report = evaluation.binary_report(both.withColumn("run", F.lit("fragment")), "y_is_street", "p_is_street", "run")
     return report.select("run", *[F.round(c, 6).alias(c) for c in report.columns[1:]])
 
@@ -199,10 +196,11 @@ def training_baseline(spark, sf):
 
 
 def grid_file(spark, sf):
-    tiles = raster.dense_tiles(view(spark, sf, "fx_cells"), CELLS_SIDE, CELLS_SIDE, 150, 200)
+    side = cells_side(spark, sf)
+    tiles = raster.dense_tiles(view(spark, sf, "fx_cells"), side, side, 150, 200)
     path = scratch_path(spark, "grids").removeprefix("file:") + "/noise.grid_city"
     citygrid.register(spark)
-    options = {"rows": CELLS_SIDE, "cols": CELLS_SIDE, "segment_h": 150, "segment_w": 200}
+    options = {"rows": side, "cols": side, "segment_h": 150, "segment_w": 200}
     tiles.write.format("citygrid").options(**options).mode("append").save(path)
     return path
 
@@ -213,9 +211,9 @@ def grid_file_round_trip(spark, sf):
     return spark.read.format("citygrid").load(path).where("altitude <> 0").select("seg_row", "seg_col", "row", "col", "altitude")
 
 
-@query("S1_segment_read", uses=("fx_cells",), sql="SELECT row, col, is_street, is_residential FROM fx_cells WHERE row >= 450 AND col BETWEEN 200 AND 399 AND altitude <> 0")
+@query("S1_segment_read", uses=("fx_cells",), sql="SELECT row, col, is_street, is_residential FROM fx_cells WHERE row BETWEEN 150 AND 299 AND col < 200 AND altitude <> 0")
 def segment_read(spark, sf):
-    cells = spark.read.format("citygrid").load(grid_file(spark, sf)).where("seg_row = 3 AND seg_col = 1 AND altitude <> 0")
+    cells = spark.read.format("citygrid").load(grid_file(spark, sf)).where("seg_row = 1 AND seg_col = 0 AND altitude <> 0")
     return cells.select("row", "col", F.col("is_street").cast("double").alias("is_street"), F.col("is_residential").cast("double").alias("is_residential"))
 
 
@@ -223,7 +221,8 @@ def segment_read(spark, sf):
 SELECT row, col, is_street FROM fx_cells WHERE is_street > 0 AND NOT (row < 150 AND col < 200) UNION ALL SELECT row, col, is_street FROM fx_streets WHERE row < 150 AND col < 200""")
 def tile_store_rewrite(spark, sf):
     path = scratch_path(spark, "tiles")
-    tiles = raster.dense_tiles(view(spark, sf, "fx_cells"), CELLS_SIDE, CELLS_SIDE, 150, 200).withColumn("city", F.lit("noise"))
+    side = cells_side(spark, sf)
+    tiles = raster.dense_tiles(view(spark, sf, "fx_cells"), side, side, 150, 200).withColumn("city", F.lit("noise"))
     tile_store.write_tiles(tiles, path)
     corner = raster.read_window(view(spark, sf, "fx_streets"), 0, 0, 150, 200, 150, 200)
     tile_store.write_tiles(raster.dense_tiles(corner, 150, 200, 150, 200).withColumn("city", F.lit("noise")), path)
@@ -280,12 +279,14 @@ def live_log_monitor(spark, sf):
     return log_monitor.best_so_far(spark, store).select(run.alias("run"), "metric", "best_epoch", "best_value")
 
 
-@query("T2_segment_ingest", uses=("fx_cells",), sql="SELECT 'noise' AS city, 12 AS done, 1e0 AS share, (SELECT count(*) FROM fx_cells WHERE is_street > 0) AS street_cells")
+@query("T2_segment_ingest", uses=("fx_cells",), sql="SELECT 'noise' AS city, (SELECT ((side - 1) // 150 + 1) * ((side - 1) // 200 + 1) FROM fx_side) AS done, 1e0 AS share, (SELECT count(*) FROM fx_cells WHERE is_street > 0) AS street_cells")
 def segment_ingest(spark, sf):
-    tiles = raster.dense_tiles(view(spark, sf, "fx_cells"), CELLS_SIDE, CELLS_SIDE, 150, 200).withColumn("city", F.lit("noise"))
+    side = cells_side(spark, sf)
+    tiles = raster.dense_tiles(view(spark, sf, "fx_cells"), side, side, 150, 200).withColumn("city", F.lit("noise"))
+    segments = -(-side // 150) * -(-side // 200)
     arriving, store = scratch_path(spark, "arriving"), scratch_path(spark, "ingested")
     tiles.repartition(4).write.parquet(arriving)
     stream = ingest.tile_stream(spark, arriving, tiles.schema, max_files=2)
-    ingest.ingest(stream, store, scratch_path(spark, "ingest-state"), 12).awaitTermination()
+    ingest.ingest(stream, store, scratch_path(spark, "ingest-state"), segments).awaitTermination()
     cells = raster.tile_cells(tile_store.read_tiles(spark, store), 150, 200).where("is_street > 0").agg(F.count("*").alias("street_cells"))
-    return ingest.stored_share(spark, store, 12).join(F.broadcast(cells))
+    return ingest.stored_share(spark, store, segments).join(F.broadcast(cells))
