@@ -208,7 +208,7 @@ def march(start: np.ndarray, step: np.ndarray, mask: np.ndarray, altitude: np.nd
     return length, last
 
 
-def line_metrics(rows, cols, mask, altitude, density: float) -> tuple[float, float, float]:
+def line_metrics(rows, cols, mask, altitude, density: float, limit: int = MARCH_LIMIT) -> tuple[float, float, float]:
     """Width (median), largest slope along and across one line, sampled every third cell."""
     n = len(rows)
     if n < 2:
@@ -224,8 +224,8 @@ def line_metrics(rows, cols, mask, altitude, density: float) -> tuple[float, flo
         return 0.0, 0.0, 0.0
     along = np.abs(altitude[q[:, 0], q[:, 1]].astype(float) - altitude[p[:, 0], p[:, 1]]) / (length * density)
     across = np.column_stack([-delta[:, 1], delta[:, 0]]) / length[:, None]
-    left, height_left = march(p, across, mask, altitude)
-    right, height_right = march(p, -across, mask, altitude)
+    left, height_left = march(p, across, mask, altitude, limit)
+    right, height_right = march(p, -across, mask, altitude, limit)
     width = (left + right) * density
     wide = width > 0
     if not wide.any():
@@ -236,10 +236,12 @@ def line_metrics(rows, cols, mask, altitude, density: float) -> tuple[float, flo
 
 def street_metrics(
     lines: DataFrame, cells: DataFrame, height: int, width: int, tile_h: int, tile_w: int, halo: int = HALO,
-    density: float = METRIC_DENSITY,
+    density: float = METRIC_DENSITY, march_limit: int = MARCH_LIMIT,
 ) -> DataFrame:
     """Adds width, max_long_slope and max_trans_slope to street lines.
 
+    ``march_limit`` is the most cells looked at to either side of a line; what is wider counts as so wide.
+
     Lines and the street cells (row, col, altitude) of their tile's window meet in one
     cogroup, so nothing is exploded per step of a march.
     """
@@ -260,7 +262,7 @@ def street_metrics(
         mask[y[inside], x[inside]] = True
         altitude[y[inside], x[inside]] = ground["altitude"].to_numpy()[inside]
         measured = [
-            line_metrics(np.asarray(r) - top, np.asarray(c) - left, mask, altitude, density)
+            line_metrics(np.asarray(r) - top, np.asarray(c) - left, mask, altitude, density, march_limit)
             for r, c in zip(pdf["rows"], pdf["cols"])
         ]
         return pdf.assign(**dict(zip(("width", "max_long_slope", "max_trans_slope"), map(list, zip(*measured)))))
