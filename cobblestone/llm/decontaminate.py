@@ -2,16 +2,18 @@
 
 Texts become lower-case words without ASCII punctuation, and 64-bit hashes of their five-word shingles. For each benchmark
 item of L words, windows of L words of a document are fingerprinted (SimHash over the window's shingles) and looked up in
-a multi-index: fingerprints of 64 bits in ``RADIUS + 1`` blocks agree in one block at least when they differ in at most
-``RADIUS`` bits, so an equi-join on (L, block, value) meets all pairs within the radius. Pairs within it are verified by
-the exact weighted similarity of their shingles, ``sum of least / sum of greatest`` multiplicity, at 0.8 or more.
+a multi-index: of four blocks of 16 bits one at least differs in at most ``RADIUS // 4`` = 3 bits when the fingerprints
+differ in at most ``RADIUS`` = 15. Every item is entered under each block value within 3 bits of its own (697 a block), so
+an equi-join on (L, block, value) meets all pairs within the radius, and 4 in 100 of the others. Pairs within it are
+verified by the exact weighted similarity of their shingles, ``sum of least / sum of greatest`` multiplicity, at 0.8 or more.
 
 Windows are laid only where they share a shingle with some item (aligned so that the shared shingle has the same place in
 both): any other window has similarity 0 and could not be verified, so nothing is lost by leaving it out. Two texts with
 similarity 0.8 differ in about 10 of 64 bits; the radius of 15 lies nearly two standard deviations above that.
 
-The shingle table of the benchmark is written first: Spark knows its size and broadcasts it only if it is small. Documents
-without any shared shingle end after one scan; no text is shuffled but those of documents that share one.
+The tables made of the benchmark are written first: Spark knows their size and broadcasts them only if they are small.
+Documents without any shared shingle end after one scan; no text is shuffled but those of documents that share one. The
+index is asked once for each different (L, fingerprint), so a passage that a third of all documents hold is one question.
 
 Nulls: a null text or item has no words and never matches; items of fewer than five words are no evidence and never match.
 Repeated items are reported each; repeated rows of documents too. Either table may be empty.
@@ -25,6 +27,10 @@ from cobblestone.llm.common import stored, text_key, whole
 
 SHINGLE = 5
 RADIUS = 15
+BLOCKS = 4
+_WIDTH = 64 // BLOCKS
+#: Block values within reach of 0; one block at least of two fingerprints within ``RADIUS`` differs by one of them.
+_NEAR = [m for m in range(1 << _WIDTH) if m.bit_count() <= RADIUS // BLOCKS]
 THRESHOLD = 0.8
 _LONG = "bigint"
 
@@ -55,11 +61,18 @@ def simhash(column: str) -> Column:
 
 def _blocks(frame: DataFrame) -> DataFrame:
     """A row per block of the fingerprint ``fp``: (block, value)."""
-    width = 64 // (RADIUS + 1)
-    values = [F.shiftrightunsigned("fp", width * i).bitwiseAND((1 << width) - 1) for i in range(RADIUS + 1)]
+    values = [F.shiftrightunsigned("fp", _WIDTH * i).bitwiseAND((1 << _WIDTH) - 1) for i in range(BLOCKS)]
     return frame.select("*", F.posexplode(F.array(*values)).alias("block", "value"))
 
 
+def _index(unique: DataFrame) -> DataFrame:
+    """(content, length, goal, block, value): every item under all block values within reach of its own."""
+    near = F.lit(_NEAR).cast(f"array<{_LONG}>")
+    entries = _blocks(unique.select("content", "length", F.col("fp").alias("goal"), "fp"))
+    around = F.transform(near, lambda m: F.col("value").bitwiseXOR(m))
+    return entries.select("content", "length", "goal", "block", F.explode(around).alias("value"))
+
+
 def similarity(a: str, b: str) -> Column:
     """Weighted Jaccard similarity of two shingle arrays; weights are multiplicities."""
 
@@ -95,13 +108,14 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "
         "k", "length", "first", F.slice("own", F.col("first") + 1, F.col("last") - F.col("first")).alias("part")
     )
     windows = stored(windows.withColumn("fp", simhash("part")), "windows")
-    left = _blocks(windows.select("k", "length", "first", "fp"))
-    right = _blocks(unique.select("content", "length", F.col("fp").alias("goal"), "fp")).select("content", "length", "goal", "block", "value")
-    pairs = left.join(right, ["length", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("goal"))) <= RADIUS)
-    pairs = pairs.select("k", "length", "first", "content").distinct()
-    verified = pairs.join(windows.select("k", "length", "first", "part"), ["k", "length", "first"]).join(
-        unique.select("content", "own"), "content"
-    ).withColumn("similarity", similarity("part", "own")).where(F.col("similarity") >= threshold)
+    index = stored(_index(unique), "index")
+    asked = _blocks(windows.select("length", "fp").distinct()).join(index, ["length", "block", "value"])
+    asked = asked.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("goal"))) <= RADIUS)
+    # written before it meets the windows: many of them may have one fingerprint, and Spark can split a hot key of a table
+    answers = stored(asked.select("length", "fp", "content").distinct(), "answers")
+    pairs = windows.join(answers, ["length", "fp"])
+    verified = pairs.join(unique.select("content", "own"), "content")
+    verified = verified.withColumn("similarity", similarity("part", "own")).where(F.col("similarity") >= threshold)
     best = verified.groupBy("k", "content").agg(F.max(F.struct("similarity", (-F.col("first")).alias("back"))).alias("b"))
     return best.join(goal.select("content", "item"), "content").select(
         "k", "item", F.col("b.similarity").alias("similarity"), (-F.col("b.back")).alias("first_word")
