@@ -47,6 +47,15 @@ def neighbourhood_share(x: np.ndarray, shape: SampleShape) -> np.ndarray:
     return np.stack([window_sum(x[..., 1 + k] * known) / count for k in range(shape.outputs)], axis=-1)
 
 
+@predictor("row_carry")
+def carried_along_rows(x: np.ndarray, shape: SampleShape) -> np.ndarray:
+    """Every position takes the nearest known one at or left of it, so that feedback carries values along whole rows."""
+    inside = slice(shape.crop, shape.size - shape.crop)
+    known = np.where(x[..., 0] == 0, np.arange(shape.size), 0)
+    at = np.maximum.accumulate(known, axis=2)[:, inside, inside]
+    return np.take_along_axis(x[:, inside, :, 1 : 1 + shape.outputs], at[..., None], axis=2)
+
+
 def _starts(extent: int, stride: int) -> list[int]:
     return [min(s, extent - stride) for s in range(0, extent, stride)]
 

@@ -168,6 +168,34 @@ def tiled_inference(spark, sf):
         F.count("*").alias("cells"), F.sum("is_street").alias("street_cells"), F.round(F.avg("altitude"), 4).alias("altitude"))
 
 
+#: Every position of the raster, its value and what M6 and M8 leave of it around the hidden region ``{hidden}``.
+CARRY = """extent AS (SELECT CAST(max(row) + 1 AS INT) AS h, CAST(max(col) + 1 AS INT) AS w FROM fx_streets),
+place AS (SELECT row, unnest(generate_series(0, w - 1)) AS col, h, w FROM (SELECT unnest(generate_series(0, h - 1)) AS row, h, w FROM extent) q),
+seen AS (SELECT p.row, p.col, p.h, p.w, coalesce(s.is_street, 0) AS is_street, coalesce(s.altitude, 0) AS altitude, {hidden} AS hidden, p.col BETWEEN 16 AND p.w - 17 AS central
+  FROM place p LEFT JOIN fx_streets s ON s.row = p.row AND s.col = p.col),
+carried AS (SELECT row, col, h, w, is_street AS y_is_street,
+  last_value(CASE WHEN NOT hidden THEN is_street WHEN NOT central THEN 0 END IGNORE NULLS) OVER along AS is_street,
+  last_value(CASE WHEN NOT (hidden AND central) THEN altitude END IGNORE NULLS) OVER along AS altitude
+  FROM seen WINDOW along AS (PARTITION BY row ORDER BY col ROWS UNBOUNDED PRECEDING)),
+done AS (SELECT row - 16 AS row, col - 16 AS col, y_is_street, is_street, altitude FROM carried WHERE row BETWEEN 16 AND h - 17 AND col BETWEEN 16 AND w - 17)"""
+CHECKERED = CARRY.format(hidden="(p.row // 40 + p.col // 56) % 2 = 1")
+FRAGMENT = CARRY.format(hidden="p.row BETWEEN 16 AND p.h - 17 AND p.col BETWEEN 16 AND p.w - 17")
+
+
+@query("M6_U1_carried_inference", uses=("fx_streets",), sql=f"WITH {CHECKERED} SELECT row, col, is_street, round(altitude, 2) AS altitude FROM done")
+def carried_inference(spark, sf):
+    cells, rows, cols = masked_streets(spark, sf)
+    out = inference.predict(cells, rows, cols, TILE_SHAPE, lambda r, c: (F.floor(r / 40) + F.floor(c / 56)) % 2 == 1, "row_carry")
+    return out.select("row", "col", "is_street", F.round("altitude", 2).alias("altitude"))
+
+
+@query("M8_carried_fragment", uses=("fx_streets",), sql=f"""WITH {FRAGMENT} SELECT row, col, y_is_street, is_street AS p_is_street FROM done""")
+def carried_fragment(spark, sf):
+    cells, rows, cols = masked_streets(spark, sf)
+    both = inference.predict_fragment(cells, 0, 0, rows, cols, rows, cols, TILE_SHAPE, "row_carry")
+    return both.select("row", "col", "y_is_street", "p_is_street")
+
+
 @query("M8_evaluation_fragment")
 def evaluation_fragment(spark, sf):
     cells, rows, cols = masked_streets(spark, sf)

@@ -230,6 +230,19 @@ def graph_round_trip(spark, sf):
     return back.select("u", "v", "k", F.size("geometry").alias("vertices"))
 
 
+@query("S12_stored_lattice", uses=("fx_nodes", "fx_edges"), sql="""
+SELECT e.u, e.v, e.k, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2, b.c_mktsegment AS to_segment
+FROM fx_edges e JOIN fx_nodes a ON a.node_id = e.u JOIN fx_nodes b ON b.node_id = e.v""")
+def stored_lattice(spark, sf):
+    from workload.q_network import geometry_of
+    path = scratch_path(spark, "lattice")
+    geojson.write_graph(view(spark, sf, "fx_nodes"), geometry_of(spark, sf).select("u", "v", "k", "geometry"), path)
+    nodes, edges = geojson.read_graph(spark, path)
+    g, to = F.col("geometry"), nodes.select(F.col("node_id").alias("v"), F.col("c_mktsegment").alias("to_segment"))
+    return edges.join(to, "v").select(
+        "u", "v", "k", g[0]["x"].alias("x1"), g[0]["y"].alias("y1"), g[1]["x"].alias("x2"), g[1]["y"].alias("y2"), "to_segment")
+
+
 @query("S11_geojson_features", uses=("fx_nodes", "fx_edges"), sql="""
 SELECT u, v, k, concat('{"type":"Feature","geometry":{"type":"LineString","coordinates":[[', a.x, ',', a.y, '],[', b.x, ',', b.y, ']]},"properties":{"u":', u, ',"v":', v, ',"slope":0.0,"width":6.5}}') AS feature
 FROM fx_edges e JOIN fx_nodes a ON a.node_id = e.u JOIN fx_nodes b ON b.node_id = e.v""")
