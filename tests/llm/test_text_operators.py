@@ -279,3 +279,11 @@ def test_extra_columns_stay(docs):
     assert set(docs.columns) <= set(kept.columns)
     assert set(docs.columns) - {"text", "k", "marks"} <= set(substring_dedup.remove_recurring(docs, digest=True).columns)
     assert docs.select(F.count("*")).first()[0] == kept.count()
+
+
+def test_blocks_reach_every_fingerprint_within_the_radius():
+    rng, width = random.Random(4), 64 // decontaminate.BLOCKS
+    near = set(decontaminate._NEAR)
+    for _ in range(2000):
+        apart = sum(1 << b for b in rng.sample(range(64), decontaminate.RADIUS))
+        assert any(apart >> (width * i) & ((1 << width) - 1) in near for i in range(decontaminate.BLOCKS))
