@@ -6,8 +6,8 @@ they are exponentially tilted: ``rate = exp(sum of the multipliers of the docume
 minimise a convex function, found by Newton steps. Gradient and Hessian of each step are sums over the corpus, taken by
 Spark over cells (different combinations of margin values with their tokens, combined once).
 
-Rates become whole copies by error diffusion: the documents of a source are spread by hash over bounded chunks, and a
-chunk takes its documents from the longest to the shortest, handing the tokens rounded away on to the next, so that the
+Rates become whole copies by error diffusion: the documents of a source are spread by a hash of the whole row over bounded
+chunks (rows that are repeated as a whole in turn, so that copies of one text spread as well), and a chunk takes its documents from the longest to the shortest, handing the tokens rounded away on to the next, so that the
 short ones settle the account. Copies are at most ``cap`` per document.
 
 Nulls: a null text has size 0, a null margin value is a value of its own. Repeated rows are mixed one by one. Results
@@ -31,7 +31,7 @@ CAP = 3
 #: A chunk has about so many documents and words at most.
 CHUNK = 16_384
 CHUNK_WORDS = 4_000_000
-RESERVED = ("size", "salt", "source_size", "target", "rate", "copies", "n_docs", "_text", "_s", "_parts", "_part", "_order", "_v", "_x")
+RESERVED = ("size", "salt", "source_size", "target", "rate", "copies", "n_docs", "_text", "_s", "_parts", "_part", "_order", "_times", "_turn", "_v", "_x")
 #: The Newton system holds a number per margin value and pair of values seen together; more than this is an error.
 MAX_CONSTRAINTS = 4096
 
@@ -142,24 +142,39 @@ def _diffuse(size: np.ndarray, rate: np.ndarray, cap: int) -> np.ndarray:
     return copies
 
 
-def copies(sized: DataFrame, rates: DataFrame, source: str = "source", cap: int = CAP, chunk: int = CHUNK) -> DataFrame:
-    """``sized`` (source, size, salt, ...) with ``copies``; ``rates`` is (source, n_docs, source_size, rate), a row per source."""
+def dealt(sized: DataFrame, rates: DataFrame, source: str = "source", chunk: int = CHUNK) -> DataFrame:
+    """The different rows of ``sized`` with rate, _order (a hash of the row), _s, _part (its chunk) and _times.
+
+    A row that is repeated as a whole goes to the chunks in turn, so that no chunk depends on the number of its copies.
+    """
     parts = F.greatest(F.ceil(F.col("n_docs") / F.lit(chunk)), F.ceil(F.col("source_size") / F.lit(CHUNK_WORDS))).cast("bigint")
     table = rates.select(F.col(source).alias("_s"), "rate", parts.alias("_parts"))
+    different = sized.groupBy(*(F.col(f"`{c}`") for c in sized.columns)).agg(F.count("*").alias("_times"))
+    different = different.withColumn("_order", F.xxhash64(*(F.col(f"`{c}`") for c in sized.columns)))
     # a row per source, at most MAX_CONSTRAINTS
-    joined = sized.join(F.broadcast(table), F.col(source).eqNullSafe(F.col("_s"))).withColumn("_part", F.pmod("salt", "_parts"))
-    # equal sizes and texts are settled by the whole row
-    joined = joined.withColumn("_order", F.xxhash64(*(F.col(f"`{c}`") for c in sized.columns)))
-    helpers = ["_s", "_parts", "_part", "_order"]
+    joined = different.join(F.broadcast(table), F.col(source).eqNullSafe(F.col("_s")))
+    turns = F.sequence(F.lit(0).cast("bigint"), F.least("_times", "_parts") - 1)
+    turned = joined.select("*", F.explode(turns).alias("_turn"))
+    # of the copies 0 .. _times - 1 this chunk takes those that leave the remainder _turn; the hash is cut, so that it cannot overflow
+    part = F.pmod(F.pmod("_order", "_parts") + F.col("_turn"), "_parts")
+    times = F.ceil((F.col("_times") - F.col("_turn")) / F.col("_parts")).cast("bigint")
+    return turned.withColumn("_part", part).withColumn("_times", times).drop("_turn", "_parts")
+
+
+def copies(sized: DataFrame, rates: DataFrame, source: str = "source", cap: int = CAP, chunk: int = CHUNK) -> DataFrame:
+    """``sized`` (source, size, salt, ...) with ``copies``; ``rates`` is (source, n_docs, source_size, rate), a row per source."""
+    rows = dealt(sized, rates, source, chunk)
+    helpers = ["_s", "_part", "_order", "_times"]
 
     def run(rows: pa.Table) -> pa.Table:
         keys = [("size", "descending"), ("salt", "ascending"), ("_order", "ascending")]
-        rows = rows.take(pc.sort_indices(rows, sort_keys=keys)).drop_columns(helpers)
+        order = pc.sort_indices(rows, sort_keys=keys).to_numpy()
+        rows = rows.take(pa.array(np.repeat(order, rows["_times"].to_numpy()[order]))).drop_columns(helpers)
         taken = _diffuse(rows["size"].to_numpy(), rows["rate"].to_numpy(), cap)
         return rows.append_column("copies", pa.array(taken))
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields if f.name not in helpers]
-    return joined.groupBy("_s", "_part").applyInArrow(run, ", ".join(fields) + ", copies bigint")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name not in helpers]
+    return rows.groupBy("_s", "_part").applyInArrow(run, ", ".join(fields) + ", copies bigint")
 
 
 def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", cap: int = CAP) -> DataFrame:
