@@ -7,9 +7,9 @@ with about the same shift between document and template make a candidate, which
 a band of ``BAND`` words around that shift; its coverage is the share of the template's words that are aligned with
 equal words, its span reaches from the first to the last of them.
 
-Templates are a bounded parameter (a few licenses, not data), so the index travels with the task and nothing is shuffled.
-Reported are candidates with a coverage of at least ``COVERAGE``; of overlapping ones of a document the one with more
-matched words. Nulls: a null text has no license; other columns are passed through; empty tables give empty results.
+Templates are a bounded table (notices and short licenses, not data), so the index travels with the task and nothing is shuffled.
+Reported are candidates with a coverage of at least ``COVERAGE``; of overlapping ones of a document the one with most
+matched words less the words that template and span have beside them. Nulls: a null text has no license; other columns are passed through; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -26,33 +26,101 @@ from cobblestone.llm.words import LOWER, Words, chunks, flat, sliding_argmin, sp
 GRAM, WINDOW, BAND = 3, 3, 8
 COVERAGE = 0.8
 
-#: The usual notices of well-known licenses.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-header": (
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with'
-        " the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by"
-        ' applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,'
-        " WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language"
-        " governing permissions and limitations under the License."
-    ),
-    "MIT": "Released under the MIT License.",
-    "MIT-text": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated"
-        ' documentation files (the "Software"), to deal in the Software without restriction, including without limitation'
-        " the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to"
-        " permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright"
-        " notice and this permission notice shall be included in all copies or substantial portions of the Software."
-    ),
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0-header": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public"
-        " License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any"
-        " later version."
-    ),
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-}
+_MIT_GRANT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated"
+    ' documentation files (the "Software"), to deal in the Software without restriction, including without limitation'
+    " the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to"
+    " permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright"
+    " notice and this permission notice shall be included in all copies or substantial portions of the Software."
+)
+_MIT_WARRANTY = (
+    ' THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE'
+    " WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR"
+    " COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR"
+    " OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_ISC = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,"
+    " provided that the above copyright notice and this permission notice appear in all copies."
+    ' THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL'
+    " IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,"
+    " INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN"
+    " ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF"
+    " THIS SOFTWARE."
+)
+_BSD_HEAD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following"
+    " conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and"
+    " the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of"
+    " conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+)
+_BSD_NAMES = (
+    " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products"
+    " derived from this software without specific prior written permission."
+)
+_BSD_WARRANTY = (
+    ' THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,'
+    " INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE"
+    " DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,"
+    " SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;"
+    " LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN"
+    " CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS"
+    " SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+
+
+def _gnu(what: str, name: str, version: str) -> dict[str, str]:
+    """The grant alone (two wordings of the version) and the whole notice of a GNU license."""
+    start = f"This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation, "
+    later = start + f"either version {version} of the License, or (at your option) any later version."
+    rest = (
+        f" This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty"
+        f" of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details. You should have received a"
+        f" copy of the GNU {name} along with this {what}. If not, see <https://www.gnu.org/licenses/>."
+    )
+    return {"grant": later, "only-grant": start + f"version {version} of the License.", "header": later + rest}
+
+
+def _templates() -> dict[str, str]:
+    """Name -> text: notices, and the whole texts of MIT, ISC and BSD. Whole texts of the long licenses are not among them."""
+    out = {
+        "Apache-2.0-header": (
+            'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'
+        ),
+        "MIT-grant": _MIT_GRANT, "MIT-text": _MIT_GRANT + _MIT_WARRANTY, "ISC-text": _ISC,
+        "BSD-2-Clause-text": _BSD_HEAD + _BSD_WARRANTY, "BSD-3-Clause-text": _BSD_HEAD + _BSD_NAMES + _BSD_WARRANTY,
+        "MPL-2.0-header": (
+            "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not"
+            " distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+        ),
+        "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
+        "MPL-2.0": "Licensed under the Mozilla Public License, version 2.0.",
+    }
+    for name in ("MIT", "ISC", "BSD 2-Clause", "BSD 3-Clause"):
+        out[name.replace(" ", "-")] = f"Released under the {name} License."
+    for short, name, versions in (
+        ("GPL", "General Public License", ("2", "3")), ("LGPL", "Lesser General Public License", ("2.1", "3")),
+        ("AGPL", "Affero General Public License", ("3",)),
+    ):
+        for version in versions:
+            ident = f"{short}-{version if '.' in version else version + '.0'}"
+            out[ident] = f"This work is licensed under the GNU {name}, version {version}."
+            for what in ("program", "library") if short == "LGPL" else ("program",):
+                for part, text in _gnu(what, name, version).items():
+                    out[f"{ident}-{part}" + ("-library" if what == "library" else "")] = text
+    for short, name in (
+        ("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"),
+        ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+    ):
+        for version, where in (("4.0", "International"), ("3.0", "Unported")):
+            ident, long = f"CC-{short}-{version}", f"This work is licensed under a Creative Commons {name} {version} {where} License."
+            # the names of two licenses stand for the forms they had first
+            out[ident if ident == "CC-BY-4.0" else f"{ident}-notice"] = long
+            out["CC-BY-4.0-short" if ident == "CC-BY-4.0" else ident] = f"Licensed under CC {short} {version}."
+    return out
+
+
+TEMPLATES = _templates()
 
 _APART = np.ones(256, bool)
 _APART[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -147,11 +215,17 @@ def _matches(words: Words, d: int, index: Index, hashes: np.ndarray, at: np.ndar
     text, found = words.codes()[lo:hi], []
     for name, shift in _candidates(owner, place, at[which] - lo):
         template = index.codes[name]
+        # no more words can be aligned than the text has inside the band
+        near = text[max(0, shift - BAND) : max(0, shift + len(template) + BAND)]
+        if len(near) < coverage * len(template) or np.isin(template, near).sum() < coverage * len(template):
+            continue
         pairs = align(template, text, shift)
         if pairs and len(pairs) >= coverage * len(template):
             found.append((len(pairs), len(pairs) / len(template), name, pairs[0][1], pairs[-1][1] + 1))
     taken: list[tuple[int, int]] = []
-    for matched, share, name, first, last in sorted(found, key=lambda f: (-f[0], f[3], f[2])):
+    # matched words less those left out on either side, so that of close variants the true one comes first
+    missed = {f: len(index.codes[f[2]]) + f[4] - f[3] - 2 * f[0] for f in found}
+    for matched, share, name, first, last in sorted(found, key=lambda f: (missed[f] - f[0], f[3], f[2])):
         if all(last <= a or first >= b for a, b in taken):
             taken.append((first, last))
             yield name, share, matched, first, last
