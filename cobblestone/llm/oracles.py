@@ -73,3 +73,42 @@ firsts AS (SELECT d, max(page_id) AS f FROM digests GROUP BY d)
 SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
   CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> f THEN f END AS refers_to
 FROM digests JOIN firsts USING (d)"""
+
+_STEP = "list_transform({}, lambda c: xor(c >> 1, (c & 1) * 3988292384))"
+_CRC_TABLE = "range(256)"
+for _ in range(8):
+    _CRC_TABLE = _STEP.format(_CRC_TABLE)
+
+ORACLES["op11_spelling_variants"] = f"""
+WITH RECURSIVE crc AS (SELECT {_CRC_TABLE} AS tab),
+found AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run
+  FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS n, hex(coalesce(doc_id::VARCHAR, '') || ':' || run) AS x FROM found GROUP BY ALL),
+hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(
+    list_transform(range(0, len(x), 2), lambda i: ('0x' || substr(x, i + 1, 2))::BIGINT),
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295)) AS h
+  FROM counted, crc),
+spelt AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % len(run)) || substr(run, h % len(run) + 2) ELSE run END AS word, n FROM hashed),
+words AS MATERIALIZED (
+  SELECT word, sum(n)::BIGINT AS n FROM spelt WHERE len(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cut AS MATERIALIZED (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM (SELECT word, n, unnest(range(1, len(word) + 1)) AS i FROM words)),
+pairs AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM cut a JOIN cut b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.less = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.less = b.word),
+ranked AS (
+  SELECT word, other, m, count(*) OVER (PARTITION BY word) AS n_near,
+    row_number() OVER (PARTITION BY word ORDER BY m DESC, hex(other)) AS place
+  FROM pairs),
+formed AS MATERIALIZED (
+  SELECT w.word, CASE WHEN m >= 2 * n THEN other END AS form, n, coalesce(n_near, 0)::BIGINT AS n_near,
+    CASE WHEN m >= 2 * n THEN m END AS form_n
+  FROM words w LEFT JOIN ranked r ON r.word = w.word AND place = 1),
+walk AS (
+  SELECT word, word AS root, form AS next FROM formed
+  UNION ALL SELECT k.word, f.word, f.form FROM walk k JOIN formed f ON f.word = k.next)
+SELECT f.word, f.form, k.root, f.n, f.n_near, f.form_n FROM formed f JOIN walk k ON k.word = f.word AND k.next IS NULL"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cobblestone.llm import (
-    chat_format, decontaminate, html_extract, license_scan, mixing, quality_rules, simhash_dedup, substring_dedup, toxicity, warc,
+    chat_format, decontaminate, html_extract, license_scan, mixing, quality_rules, simhash_dedup, spelling_variants, substring_dedup, toxicity, warc,
 )
 from cobblestone.llm.common import table
 from cobblestone.llm.oracles import ORACLES  # noqa: F401
@@ -68,7 +68,11 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_html_extract, op2_toxicity, op3_license_scan, op4_chat_format, op5_substring_dedup, op6_decontaminate,
-    op7_simhash_dedup, op8_quality_rules, op9_warc, op10_mix_sources,
+    op7_simhash_dedup, op8_quality_rules, op9_warc, op10_mix_sources, op11_spelling_variants,
 )}
