@@ -24,6 +24,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
         conf.unset(_CLEAN) if before is None else conf.set(_CLEAN, before)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote, once what was read from them is written itself."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        for name in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

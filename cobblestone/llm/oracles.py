@@ -112,3 +112,21 @@ walk AS (
   SELECT word, word AS root, form AS next FROM formed
   UNION ALL SELECT k.word, f.word, f.form FROM walk k JOIN formed f ON f.word = k.next)
 SELECT f.word, f.form, k.root, f.n, f.n_near, f.form_n FROM formed f JOIN walk k ON k.word = f.word AND k.next IS NULL"""
+
+ORACLES["op12_minhash_dedup"] = r"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingles AS MATERIALIZED (
+  SELECT DISTINCT r, array_to_string(w[p : p + 4], ' ') AS s
+  FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS p FROM docs)),
+sizes AS MATERIALIZED (SELECT r, count(*) AS n FROM shingles GROUP BY r),
+shared AS (
+  SELECT a.r AS a, b.r AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.r <> b.r GROUP BY ALL),
+links AS MATERIALIZED (
+  SELECT a, b FROM shared JOIN sizes x ON x.r = a JOIN sizes y ON y.r = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach AS (SELECT a AS r, b AS o FROM links UNION SELECT reach.r, links.b FROM reach JOIN links ON links.a = reach.o),
+least AS (SELECT reach.r, min(d.doc_id) AS m FROM reach JOIN docs d ON d.r = reach.o GROUP BY reach.r)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, m) AS component_id, doc_id IS NOT DISTINCT FROM least(doc_id, m) AS kept
+FROM docs LEFT JOIN sizes USING (r) LEFT JOIN least USING (r)"""

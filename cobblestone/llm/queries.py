@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cobblestone.llm import (
-    chat_format, decontaminate, html_extract, license_scan, mixing, quality_rules, simhash_dedup, spelling_variants, substring_dedup, toxicity, warc,
+    chat_format, decontaminate, html_extract, license_scan, minhash_dedup, mixing, quality_rules, simhash_dedup, spelling_variants,
+    substring_dedup, token_alignment, toxicity, warc,
 )
 from cobblestone.llm.common import table
 from cobblestone.llm.oracles import ORACLES  # noqa: F401
@@ -72,7 +73,16 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.linked(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_html_extract, op2_toxicity, op3_license_scan, op4_chat_format, op5_substring_dedup, op6_decontaminate,
-    op7_simhash_dedup, op8_quality_rules, op9_warc, op10_mix_sources, op11_spelling_variants,
+    op7_simhash_dedup, op8_quality_rules, op9_warc, op10_mix_sources, op11_spelling_variants, op12_minhash_dedup,
+    op13_token_alignment,
 )}

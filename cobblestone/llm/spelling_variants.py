@@ -175,8 +175,9 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cell, home, home_n, met = None, [], [], False
 
     def within():
-        a, b = near_in_cell(home, home)
-        yield from _summary(home, home_n, a, b)
+        if home:  # a part may have no words
+            a, b = near_in_cell(home, home)
+            yield from _summary(home, home_n, a, b)
 
     for batch in batches:
         if not batch.num_rows:
