@@ -13,8 +13,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 CHUNK = 1 << 20
+LONG_WORD = 512
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -97,6 +99,9 @@ class Words:
             total = np.zeros(len(self.data) + 1, _U)
             np.cumsum(_BYTE_CODE[self.data] * up[:-1], out=total[1:])
             self._codes = mix((total[self.end] - total[self.begin]) * down[self.begin] + (self.end - self.begin).astype(_U))
+            # polynomials modulo 2^64 can be made to agree from 1,024 bytes on
+            for i in np.flatnonzero(self.end - self.begin >= LONG_WORD).tolist():
+                self._codes[i] = xxhash.xxh64_intdigest(self.data[self.begin[i] : self.end[i]].tobytes(), 42)
         return self._codes
 
     def spans(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
