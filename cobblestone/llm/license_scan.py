@@ -2,19 +2,25 @@
 
 Words are runs of letters and digits (and of any non-ASCII bytes), ASCII case folded. Templates are winnowed: of every
 ``WINDOW`` consecutive ``GRAM``-word hashes the smallest is kept, in an inverted index from hash to (template, position).
-Whole documents are winnowed alike, so any common run of ``WINDOW + GRAM - 1`` words has a fingerprint in common. Hits
-with about the same shift between document and template make a candidate, which is aligned by dynamic programming inside
-a band of ``BAND`` words around that shift; its coverage is the share of the template's words that are aligned with
-equal words, its span reaches from the first to the last of them.
-
-Templates are a bounded table (notices and short licenses, not data), so the index travels with the task and nothing is shuffled.
+Whole documents are winnowed alike, so any common run of ``WINDOW + GRAM - 1`` words has a fingerprint in common. Hits of
+a template whose shifts between document and template stay together make a candidate; it needs ``SHARE`` of the template's
+own fingerprints. The longest chain of its hits that rises on both sides is laid: equal words count along the diagonals of
+the hits, and the gaps between them, the head and the tail are aligned by dynamic programming inside a band of ``BAND``
+words more than their lengths differ. Coverage is the share of the template's words that are aligned with equal words, the
+span reaches from the first to the last of them. Words that tell a license from others (its name and version) must all
+match, side by side: a license or version that has no template is not reported as its neighbour.
+
+Templates are a bounded table (notices and whole licenses, not data), so the index travels with the task and nothing is shuffled.
 Reported are candidates with a coverage of at least ``COVERAGE``; of overlapping ones of a document the one with most
 matched words less the words that template and span have beside them. Nulls: a null text has no license; other columns are passed through; empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +31,9 @@ from cobblestone.llm.words import LOWER, Words, chunks, flat, sliding_argmin, sp
 
 GRAM, WINDOW, BAND = 3, 3, 8
 COVERAGE = 0.8
+#: Share of a template's fingerprints that a candidate has.
+SHARE = 0.1
+_DOT = ord(".")
 
 _MIT_GRANT = (
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated"
@@ -69,42 +78,51 @@ _BSD_WARRANTY = (
 )
 
 
+_BSD_ADVERTISING = (
+    " 3. All advertising materials mentioning features or use of this software must display the following acknowledgement:"
+    " This product includes software developed by the organization. 4. Neither the name of the copyright holder nor the names of"
+    " its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+)
+
+
 def _gnu(what: str, name: str, version: str) -> dict[str, str]:
     """The grant alone (two wordings of the version) and the whole notice of a GNU license."""
-    start = f"This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation, "
-    later = start + f"either version {version} of the License, or (at your option) any later version."
+    start = f"This {what} is free software: you can redistribute it and/or modify it under the terms of the {{GNU {name}}} as published by the Free Software Foundation, "
+    later = start + f"either {{version {version}}} of the License, or (at your option) any later version."
     rest = (
         f" This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty"
         f" of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details. You should have received a"
         f" copy of the GNU {name} along with this {what}. If not, see <https://www.gnu.org/licenses/>."
     )
-    return {"grant": later, "only-grant": start + f"version {version} of the License.", "header": later + rest}
+    return {"grant": later, "only-grant": start + f"{{version {version}}} of the License.", "header": later + rest}
 
 
 def _templates() -> dict[str, str]:
-    """Name -> text: notices, and the whole texts of MIT, ISC and BSD. Whole texts of the long licenses are not among them."""
+    """Name -> text. A name is the license and the kind of text: ``notice`` and ``short`` (a sentence), ``grant``, ``header``
+    (of a source file) or ``text`` (whole). Words in braces tell a license from others: they must match, side by side."""
     out = {
         "Apache-2.0-header": (
-            'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'
+            'Licensed under the {Apache License, Version 2.0} (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'
         ),
         "MIT-grant": _MIT_GRANT, "MIT-text": _MIT_GRANT + _MIT_WARRANTY, "ISC-text": _ISC,
         "BSD-2-Clause-text": _BSD_HEAD + _BSD_WARRANTY, "BSD-3-Clause-text": _BSD_HEAD + _BSD_NAMES + _BSD_WARRANTY,
+        "BSD-4-Clause-text": _BSD_HEAD + _BSD_ADVERTISING + _BSD_WARRANTY,
         "MPL-2.0-header": (
-            "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not"
+            "This Source Code Form is subject to the terms of the {Mozilla Public License, v. 2.0}. If a copy of the MPL was not"
             " distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
         ),
-        "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-        "MPL-2.0": "Licensed under the Mozilla Public License, version 2.0.",
+        "Apache-2.0-notice": "Licensed under the {Apache License, Version 2.0}.",
+        "MPL-2.0-notice": "Licensed under the {Mozilla Public License, version 2.0}.",
     }
-    for name in ("MIT", "ISC", "BSD 2-Clause", "BSD 3-Clause"):
-        out[name.replace(" ", "-")] = f"Released under the {name} License."
+    for name in ("MIT", "ISC", "BSD 2-Clause", "BSD 3-Clause", "BSD 4-Clause"):
+        out[name.replace(" ", "-") + "-notice"] = f"Released under the {{{name} License}}."
     for short, name, versions in (
         ("GPL", "General Public License", ("2", "3")), ("LGPL", "Lesser General Public License", ("2.1", "3")),
         ("AGPL", "Affero General Public License", ("3",)),
     ):
         for version in versions:
             ident = f"{short}-{version if '.' in version else version + '.0'}"
-            out[ident] = f"This work is licensed under the GNU {name}, version {version}."
+            out[f"{ident}-notice"] = f"This work is licensed under the {{GNU {name}, version {version}}}."
             for what in ("program", "library") if short == "LGPL" else ("program",):
                 for part, text in _gnu(what, name, version).items():
                     out[f"{ident}-{part}" + ("-library" if what == "library" else "")] = text
@@ -113,13 +131,20 @@ def _templates() -> dict[str, str]:
         ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
     ):
         for version, where in (("4.0", "International"), ("3.0", "Unported")):
-            ident, long = f"CC-{short}-{version}", f"This work is licensed under a Creative Commons {name} {version} {where} License."
-            # the names of two licenses stand for the forms they had first
-            out[ident if ident == "CC-BY-4.0" else f"{ident}-notice"] = long
-            out["CC-BY-4.0-short" if ident == "CC-BY-4.0" else ident] = f"Licensed under CC {short} {version}."
+            ident = f"CC-{short}-{version}"
+            out[f"{ident}-notice"] = f"This work is licensed under a {{Creative Commons {name} {version}}} {where} License."
+            out[f"{ident}-short"] = f"Licensed under {{CC {short} {version}}}."
+    for file in sorted((Path(__file__).parent / "licenses").glob("*.txt")):
+        out[f"{file.stem}-text"] = file.read_text(encoding="utf-8")
     return out
 
 
+def plain_text(template: str) -> str:
+    """A template without the braces around its telling words."""
+    return _TELLING.sub(r"\1", template)
+
+
+_TELLING = re.compile(r"\{([^{}]*)\}")
 TEMPLATES = _templates()
 
 _APART = np.ones(256, bool)
@@ -131,7 +156,9 @@ def _words(column: pa.Array) -> Iterator[Words]:
     for first, last in chunks(offsets):
         part = data[offsets[first] : offsets[last]]
         plain = np.where(_APART[part], np.uint8(0x20), LOWER[part])
-        yield split(plain, offsets[first : last + 1] - offsets[first], first)
+        words = split(plain, offsets[first : last + 1] - offsets[first], first)
+        words.raw = part  # the bytes as they are
+        yield words
 
 
 def winnow(words: Words, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,20 +171,25 @@ def winnow(words: Words, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Index:
-    """Templates as word codes, and their fingerprints sorted by hash."""
+    """Templates as word codes, the words that must match, and their fingerprints sorted by hash."""
 
     def __init__(self, templates: dict[str, str]):
-        self.names, self.codes = list(templates), []
+        self.names, self.codes, self.telling, self.sizes = list(templates), [], [], []
         hashes, owners, places = [], [], []
-        for words in _words(pa.array(list(templates.values()), pa.string())):
-            for d in range(words.docs):
-                lo, hi = int(words.bounds[d]), int(words.bounds[d + 1])
-                owner = len(self.codes)
-                self.codes.append(words.codes()[lo:hi])
-                h, at = winnow(words, lo, hi)
-                hashes.append(h)
-                owners.append(np.full(len(h), owner))
-                places.append(at - lo)
+        for owner, template in enumerate(templates.values()):
+            marks, shift = [], 0
+            for m in _TELLING.finditer(template):
+                marks.append((len(template[: m.start()].encode()) - shift, len(template[: m.end()].encode()) - shift - 2))
+                shift += 2
+            words = next(_words(pa.array([plain_text(template)], pa.string())))
+            n = len(words.begin)
+            self.codes.append(words.codes())
+            self.telling.append([np.flatnonzero((words.begin >= lo) & (words.end <= hi)) for lo, hi in marks])
+            h, at = winnow(words, 0, n)
+            hashes.append(h)
+            owners.append(np.full(len(h), owner))
+            places.append(at)
+            self.sizes.append(len(h))
         hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         order = np.argsort(hashes, kind="stable")
         self.hashes = hashes[order]
@@ -198,30 +230,87 @@ def align(template: np.ndarray, text: np.ndarray, shift: int, band: int = BAND)
     return pairs[::-1]
 
 
-def _candidates(owner: np.ndarray, place: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int]]:
-    """(template, shift) of runs of hits whose shifts lie within the band of one another."""
-    order = np.lexsort((at - place, owner))
-    owner, shift = owner[order], (at - place)[order]
-    start = 0
-    for i in range(1, len(owner) + 1):
-        if i == len(owner) or owner[i] != owner[start] or shift[i] - shift[start] > BAND:
-            yield int(owner[start]), int(shift[(start + i - 1) // 2])
-            start = i
+def _chain(place: np.ndarray, at: np.ndarray) -> list[tuple[int, int]]:
+    """The longest chain of hits that rise in the template and in the text."""
+    order = np.lexsort((-at, place))
+    ends, last, back, rows = [], [], [], list(zip(place[order].tolist(), at[order].tolist()))
+    for i, (_, t) in enumerate(rows):
+        k = bisect_left(ends, t)
+        back.append(last[k - 1] if k else -1)
+        ends[k : k + 1], last[k : k + 1] = [t], [i]
+    out, i = [], last[-1] if last else -1
+    while i >= 0:
+        out.append(rows[i])
+        i = back[i]
+    return out[::-1]
+
+
+def _candidates(place: np.ndarray, at: np.ndarray, length: int) -> Iterator[list[tuple[int, int]]]:
+    """Chains of hits of one template, one for each place in the text where shifts stay together."""
+    order = np.argsort(at - place, kind="stable")
+    shift = (at - place)[order]
+    cuts = np.flatnonzero(np.diff(shift) > max(BAND // 2, length // 4)) + 1
+    for part in np.split(order, cuts):
+        yield _chain(place[part], at[part])
+
+
+def align_chain(template: np.ndarray, text: np.ndarray, chain: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Pairs (template word, text word) along a chain of hits: equal words on the diagonals of the hits, banded alignment
+    before, between and after them."""
+    runs = []  # template first, end; shift
+    for p, t in chain:
+        if runs and runs[-1][2] == t - p:
+            runs[-1][1] = p + GRAM
+        else:
+            runs.append([p, p + GRAM, t - p])
+    p0, t0 = runs[0][0], runs[0][0] + runs[0][2]
+    lo = max(0, t0 - p0 - BAND)
+    pairs = [(p, t + lo) for p, t in align(template[:p0], text[lo:t0], t0 - lo - p0)] if p0 else []
+    p_end, t_end = p0, t0
+    for first, end, shift in runs:
+        first = max(first, p_end, t_end - shift)
+        if first >= end:
+            continue
+        gap, over = template[p_end:first], text[t_end : first + shift]
+        if len(gap) and len(over):
+            pairs += [(p + p_end, t + t_end) for p, t in align(gap, over, 0, BAND + abs(len(over) - len(gap)))]
+        same = np.flatnonzero(template[first:end] == text[first + shift : end + shift]) + first
+        pairs += zip(same.tolist(), (same + shift).tolist())
+        p_end, t_end = end, end + shift
+    tail = template[p_end:]
+    if len(tail):
+        pairs += [(p + p_end, t + t_end) for p, t in align(tail, text[t_end : t_end + len(tail) + BAND], 0)]
+    return pairs
+
+
+def _told(pairs: list[tuple[int, int]], telling: list[np.ndarray], words: Words, base: int) -> bool:
+    """Are the words that tell the license apart all there, side by side, and no version cut short (2 of 2.1)?"""
+    where = dict(pairs)
+    for group in telling:
+        found = [where.get(p) for p in group.tolist()]
+        if None in found or any(b != a + 1 for a, b in zip(found, found[1:])):
+            return False
+        i = base + found[-1]
+        stop = words.end[i]
+        if i + 1 < len(words.begin) and words.begin[i + 1] == stop + 1 and words.raw[stop] == _DOT:
+            if all(48 <= c < 58 for c in (words.data[words.begin[i]], words.data[words.begin[i + 1]])):
+                return False
+    return True
 
 
 def _matches(words: Words, d: int, index: Index, hashes: np.ndarray, at: np.ndarray, coverage: float):
     lo, hi = int(words.bounds[d]), int(words.bounds[d + 1])
     which, owner, place = index.hits(hashes)
+    at = at[which] - lo
     text, found = words.codes()[lo:hi], []
-    for name, shift in _candidates(owner, place, at[which] - lo):
-        template = index.codes[name]
-        # no more words can be aligned than the text has inside the band
-        near = text[max(0, shift - BAND) : max(0, shift + len(template) + BAND)]
-        if len(near) < coverage * len(template) or np.isin(template, near).sum() < coverage * len(template):
-            continue
-        pairs = align(template, text, shift)
-        if pairs and len(pairs) >= coverage * len(template):
-            found.append((len(pairs), len(pairs) / len(template), name, pairs[0][1], pairs[-1][1] + 1))
+    for name in np.unique(owner).tolist():
+        template, own = index.codes[name], owner == name
+        for chain in _candidates(place[own], at[own], len(template)):
+            if len(chain) < SHARE * index.sizes[name]:
+                continue
+            pairs = align_chain(template, text, chain)
+            if pairs and len(pairs) >= coverage * len(template) and _told(pairs, index.telling[name], words, lo):
+                found.append((len(pairs), len(pairs) / len(template), name, pairs[0][1], pairs[-1][1] + 1))
     taken: list[tuple[int, int]] = []
     # matched words less those left out on either side, so that of close variants the true one comes first
     missed = {f: len(index.codes[f[2]]) + f[4] - f[3] - 2 * f[0] for f in found}
