@@ -2,9 +2,11 @@
 
 A page is cut into blocks (text between block-level tags); every block has the path of tags from the root to it. Text
 length and punctuation are added up per path, and a path's score fuses its two ratios: characters per block, times one
-plus punctuation marks per block. Scores are smoothed over similar paths (a Gaussian of the number of steps in which two
-paths differ; paths under one content root, such as ``article``, support each other at any depth) and held against a
-share of the best one. Blocks of paths at or above it are the text, in page order.
+plus punctuation marks per block. Scores are smoothed over similar paths (a Gaussian of the number of last steps without
+which they agree, at most ``REACH``; the paths are a tree, so this is linear in them) and weighted by the share of characters
+outside links. A path must reach a share of the best score: ``INSIDE`` of the best one of its content root, such as
+``article``, where even short blocks belong to the text and what is nearly all links does not, so that no article hides
+another; ``THRESHOLD`` of the best one where a page has no content root. Blocks of such paths are the text, in page order.
 
 Paths through menus, headers, footers, sidebars, notices, adverts, forms and reader comments (by element, role or the words
 of class and id) score nothing; comments, scripts, styles and the like are no text at all. Paths outside the content root
@@ -18,7 +20,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from math import exp
 
 import pyarrow as pa
@@ -26,8 +30,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from cobblestone.llm.common import map_batches
 
-#: Share of the best smoothed score that a path must reach.
-THRESHOLD = 0.2
+#: Share of the best smoothed score that a path must reach, without and inside a content root.
+THRESHOLD, INSIDE = 0.2, 0.02
+REACH = 3
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -88,32 +93,74 @@ def _hints(attributes: str, inside: bool) -> tuple[str, bool, bool]:
     return label, drop, root
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], int, str]]:
-    """(path, root, text) of every block; root numbers the content root it is in, 0 for none, -1 if dropped."""
-    out: list[tuple[tuple[str, ...], int, str]] = []
-    stack: list[tuple[str, str, int]] = []  # tag, label, root
-    roots, pieces, at = 0, [], 0
+@dataclass
+class Block:
+    path: int  # its node in the tree of tag paths
+    root: int  # the content root it is in, 0 for none
+    text: str
+    linked: float  # share of its characters inside links
 
-    def flush():
+
+def blocks(page: str) -> tuple[list[Block], list[int]]:
+    """The blocks of a page that are not dropped, and the parent of every node of its tree of tag paths.
+
+    Even numbers of a root are content elements, odd ones content by name only.
+    """
+    out: list[Block] = []
+    children: dict[tuple[int, str], int] = {}
+    parents = [-1]
+    stack: list[tuple[str, int, int]] = []  # tag, node, root
+    opened: Counter = Counter()
+    roots, pieces, at, link, sizes = 0, [], 0, False, [0, 0]
+
+    def below(label: str) -> int:
+        key = (stack[-1][1] if stack else 0, label)
+        if key not in children:
+            children[key] = len(parents)
+            parents.append(key[0])
+        return children[key]
+
+    def push(tag: str, label: str, state: int) -> None:
+        stack.append((tag, below(label), state))
+        opened[tag] += 1
+
+    def cut(first: int) -> None:
+        while len(stack) > first:
+            opened[stack.pop()[0]] -= 1
+
+    def add(piece: str) -> None:
+        pieces.append(piece)
+        size = sum(map(len, piece.split()))
+        sizes[0] += size
+        sizes[1] += size if link else 0
+
+    def flush() -> None:
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
+            root = stack[-1][2] if stack else 0
+            if text and root >= 0:
+                linked = sizes[1] / max(sizes[0], 1)
+                # blocks that are mostly links are a path of their own
+                out.append(Block(below("links") if 2 * linked > 1 else stack[-1][1] if stack else 0, root, text, linked))
             pieces.clear()
-            if text:
-                out.append((tuple(s[1] for s in stack), stack[-1][2] if stack else 0, text))
+            sizes[:] = 0, 0
 
     for token in _TOKEN.finditer(page):
         if token.start() > at:
-            pieces.append(page[at : token.start()])
+            add(page[at : token.start()])
         at = token.end()
         tag = token[3] or token[6]
         if tag is None:
             continue
         tag, closing, attributes = tag.lower(), token[2] or token[5], token[4] or token[7] or ""
+        if tag == "a":
+            link = not closing
         if closing:
-            if any(s[0] == tag for s in stack):
+            if opened[tag]:
                 flush()
-                while stack.pop()[0] != tag:
-                    pass
+                while stack[-1][0] != tag:
+                    cut(len(stack) - 1)
+                cut(len(stack) - 1)
             elif tag not in _INLINE:
                 flush()
             continue
@@ -124,24 +171,30 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], int, str]]:
                 pieces.append(" " if tag == "br" else "")
             elif drop or tag == "button" or tag == "label":
                 flush()
-                stack.append((tag, tag + label, -1))
+                push(tag, tag + label, -1)
             continue
         flush()
         if tag in _VOID:
             continue
         while stack and stack[-1][0] in _INLINE:
-            stack.pop()
-        names = [s[0] for s in stack]
-        if "p" in names and names.index("p") > max((i for i, n in enumerate(names) if n in ("td", "th", "li", "button")), default=-1):
-            del stack[names.index("p") :]
-        elif tag in _CLOSES:
+            cut(len(stack) - 1)
+        if opened["p"]:
+            i = len(stack) - 1
+            while stack[i][0] not in ("p", "td", "th", "li", "button"):
+                i -= 1
+            if stack[i][0] == "p":
+                while i and stack[i - 1][0] == "p":
+                    i -= 1
+                cut(i)
+        if tag in _CLOSES:
             shut, stop = _CLOSES[tag]
-            for i in range(len(names) - 1, -1, -1):
-                if names[i] in stop:
-                    break
-                if names[i] in shut:
-                    del stack[i:]
-                    break
+            if any(opened[t] for t in shut):
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] in stop:
+                        break
+                    if stack[i][0] in shut:
+                        cut(i)
+                        break
         state = stack[-1][2] if stack else 0
         if state >= 0 and tag not in ("html", "body"):
             if tag in _DROP or drop and tag not in _ROOTS or tag == "header" and state == 0:
@@ -153,49 +206,62 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], int, str]]:
             elif root and state == 0 and tag not in _HEADINGS:
                 roots += 2
                 state = roots + 1  # odd: content by name only
-        stack.append((tag, tag + label, state))
+        push(tag, tag + label, state)
     if at < len(page):
-        pieces.append(page[at:])
+        add(page[at:])
     flush()
-    return out
+    return out, parents
 
 
-def _apart(a: tuple[str, ...], b: tuple[str, ...]) -> int:
-    """Steps by which two paths differ after what they share."""
-    same = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        same += 1
-    return max(len(a), len(b)) - same
+def path_scores(found: list[Block], parents: list[int]) -> dict[tuple[int, int], float]:
+    """(path, root) -> score: characters per block times one plus punctuation marks per block, smoothed over the paths that
+    share all but the last ``REACH`` steps or fewer (of one root only), times the share of characters outside links."""
+    sums: dict[tuple[int, int], list] = {}
+    for b in found:
+        total = sums.setdefault((b.path, b.root), [0, 0, 0, 0.0])
+        total[0] += len(b.text)
+        total[1] += len(_MARK.findall(b.text))
+        total[2] += 1
+        total[3] += b.linked * len(b.text)
+    ratio = {key: size / n * (1 + marks / n) for key, (size, marks, n, _) in sums.items()}
+    trunks: dict[tuple[int, int, int], list] = {}  # paths by what is left of them without their last steps
 
+    def above(path: int) -> Iterator[tuple[int, int]]:
+        for k in range(REACH + 1):
+            if path < 0:
+                return
+            yield k, path
+            path = parents[path]
+
+    for (path, root), value in ratio.items():
+        for _, trunk in above(path):
+            total = trunks.setdefault((trunk, root), [0.0, 0])
+            total[0] += value
+            total[1] += 1
+    out = {}
+    for path, root in ratio:
+        value = weight = 0.0
+        for k, trunk in above(path):
+            total, n = trunks[trunk, root]
+            value += exp(-(k**2) / 2) * total / n
+            weight += exp(-(k**2) / 2)
+        size, _, _, linked = sums[path, root]
+        out[path, root] = value / weight * (1 - linked / size)
+    return out
 
-def content(page: str | None, threshold: float = THRESHOLD) -> str:
-    found = [b for b in blocks(page or "") if b[1] >= 0]
+
+def content(page: str | None, threshold: float = THRESHOLD, inside: float = INSIDE) -> str:
+    found, parents = blocks(page or "")
     # elements made for content come before names that suggest it
-    for group in ([b for b in found if b[1] and b[1] % 2 == 0], [b for b in found if b[1]]):
+    for group in ([b for b in found if b.root and b.root % 2 == 0], [b for b in found if b.root]):
         if group:
             found = group
             break
-    sums: dict[tuple, list] = {}
-    for path, root, text in found:
-        total = sums.setdefault((path, root), [0, 0, 0])
-        total[0] += len(text)
-        total[1] += len(_MARK.findall(text))
-        total[2] += 1
-    ratio = {key: size / n * (1 + marks / n) for key, (size, marks, n) in sums.items()}
-    best_of: dict[int, float] = {}
-    for (_, root), value in ratio.items():
-        best_of[root] = max(best_of.get(root, 0.0), value)
-    smooth = {}
-    for key, value in ratio.items():
-        if key[1]:
-            smooth[key] = max(value, best_of[key[1]] / 2)
-        else:
-            near = [(other, exp(-(_apart(key[0], k[0]) ** 2) / 2)) for k, other in ratio.items() if not k[1]]
-            smooth[key] = sum(v * w for v, w in near) / sum(w for _, w in near)
-    least = threshold * max(smooth.values(), default=0.0)
-    return "\n".join(text for path, root, text in found if smooth[path, root] >= least)
+    scores = path_scores(found, parents)
+    best: dict[int, float] = {}
+    for (_, root), value in scores.items():
+        best[root] = max(best.get(root, 0.0), value)
+    return "\n".join(b.text for b in found if scores[b.path, b.root] >= (inside if b.root else threshold) * best[b.root])
 
 
 def extract(pages: DataFrame, page: str = "html", threshold: float = THRESHOLD) -> DataFrame:
