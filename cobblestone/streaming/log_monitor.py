@@ -1,35 +1,108 @@
-"""Live monitor of training logs (T1): epoch metrics and the best epoch per run as files arrive."""
+"""Live monitor of training logs (T1): epoch metrics and the best epoch per run while the logs are written.
+
+Lines are parsed by Spark; the epoch announced last and the best value of every metric are state of the run, so an epoch
+may be announced in one micro-batch and measured in a later one, and no stored batch is read again.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from cobblestone.operators import training_log
+from cobblestone.sources import growing_logs
 
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+MEASURED = "run string, at bigint, place int, epoch int, metric string, value double, best_epoch int, best_value double"
 
-def log_stream(spark: SparkSession, folder: str, max_files: int = 100) -> DataFrame:
-    """Log lines of a growing folder, one file per run."""
-    lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(folder)
-    return lines.select(
-        F.col("_metadata.file_path").alias("run"), F.col("_metadata.file_block_start").alias("block"), "value"
-    )
 
+def log_stream(spark: SparkSession, folder: str, piece_bytes: int = growing_logs.PIECE_BYTES) -> DataFrame:
+    """Complete lines (run, at, value) of a folder of growing files, one file per run; ``at`` is the line's first byte."""
+    growing_logs.register(spark)
+    lines = spark.readStream.format("growing_logs").option("path", folder).option("pieceBytes", piece_bytes).load()
+    return lines.withColumnRenamed("file", "run")
 
-def monitor(lines: DataFrame, store: str, checkpoint: str):
-    """Starts the monitor: every micro-batch adds its metrics under ``store``/batch=<id>.
 
-    A file belongs to one micro-batch, so the epoch marker is carried inside the batch.
-    Writing a batch twice replaces it, which makes the sink exactly-once.
-    """
+def parsed(lines: DataFrame) -> DataFrame:
+    """(run, at, place, mark, metric, value): a row per metric of a line, and one per line that announces an epoch."""
+    mark = training_log.epoch_of(F.col("value"))
+    hits = F.when(F.col("value").contains(training_log.METRIC_MARK), training_log.found_metrics(F.col("value")))
+    rows = lines.where(F.col("value").contains(training_log.METRIC_MARK) | mark.isNotNull())
+    rows = rows.select("run", "at", mark.alias("mark"), F.posexplode_outer(hits).alias("place", "m"))
+    return rows.select("run", "at", F.coalesce("place", F.lit(-1)).alias("place"), "mark", "m.metric", "m.value")
+
+
+class RunMonitor(StatefulProcessor):
+    """State of a run: the epoch announced last, and the best value of each metric with its epoch."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.epoch = handle.getValueState("epoch", "epoch int")
+        self.best = handle.getMapState("best", "metric string", "epoch int, value double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values(["at", "place"], kind="stable")
+        before = self.epoch.get()[0] if self.epoch.exists() else np.nan
+        epoch = batch["mark"].astype("float64").ffill().fillna(before)
+        if not np.isnan(epoch.iloc[-1]):
+            self.epoch.update((int(epoch.iloc[-1]),))
+        found = batch.assign(epoch=epoch)[batch["metric"].notna() & epoch.notna()]
+        for metric, series in found.groupby("metric", sort=False):
+            known = self.best.containsKey((metric,))
+            first_epoch, first = self.best.getValue((metric,)) if known else (np.nan, -np.inf)
+            value = series["value"].astype("float64").fillna(-np.inf).to_numpy()
+            top = np.maximum.accumulate(np.concatenate([[first], value]))
+            better = value > top[:-1]
+            best_epoch = pd.Series(np.where(better, series["epoch"], np.nan)).ffill().fillna(first_epoch).to_numpy()
+            if better.any():
+                self.best.updateValue((metric,), (int(best_epoch[-1]), float(top[-1])))
+            yield pd.DataFrame({
+                "run": key[0], "at": series["at"], "place": series["place"], "epoch": series["epoch"].astype("int32"), "metric": metric,
+                "value": series["value"], "best_epoch": pd.array(best_epoch, "Int32"), "best_value": np.where(top[1:] > -np.inf, top[1:], np.nan),
+            })
+
+    def close(self) -> None:
+        pass
 
+
+def measured(lines: DataFrame) -> DataFrame:
+    """Every metric of a stream of lines with its epoch and the best value and epoch so far (the first one on ties)."""
+    return parsed(lines).groupBy("run").transformWithStateInPandas(
+        statefulProcessor=RunMonitor(), outputStructType=MEASURED, outputMode="Update", timeMode="None")
+
+
+def monitor(lines: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
+    """Starts the monitor over everything there is; call it again for what was appended since.
+
+    Every micro-batch writes its metrics under ``store``/metrics/batch=<id> and the runs' last bests under
+    ``store``/best/batch=<id>. Writing a batch twice replaces it, which makes the sink exactly-once.
+    """
     def add(batch: DataFrame, batch_id: int) -> None:
-        numbered = batch.withColumn("line_no", F.monotonically_increasing_id())
-        metrics = training_log.extract_metrics(numbered, by=("run",), block=F.col("block"))
-        metrics.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+        rows = batch.drop("place").persist()
+        rows.write.mode("overwrite").parquet(f"{store}/metrics/batch={batch_id}")
+        last = F.max_by(F.struct("best_epoch", "best_value", "at"), "at").alias("b")
+        rows.groupBy("run", "metric").agg(last).select("run", "metric", "b.*").write.mode("overwrite").parquet(f"{store}/best/batch={batch_id}")
+        rows.unpersist()
 
-    return lines.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    conf = lines.sparkSession.conf
+    before = conf.get(_STORE, None)
+    conf.set(_STORE, _ROCKS)  # the query keeps the setting it was started with
+    try:
+        writer = measured(lines).writeStream.outputMode("update").foreachBatch(add)
+        return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        conf.unset(_STORE) if before is None else conf.set(_STORE, before)
 
 
 def best_so_far(spark: SparkSession, store: str) -> DataFrame:
-    """Best value and epoch of every run and metric among the batches stored so far."""
-    return training_log.best_epoch(spark.read.parquet(store), by=("run", "metric"))
+    """Best value and epoch of every run and metric; reads a row per run, metric and batch that changed it."""
+    last = F.max_by(F.struct("best_epoch", "best_value"), "at").alias("b")
+    return spark.read.parquet(f"{store}/best").groupBy("run", "metric").agg(last).select("run", "metric", "b.*")
+
+
+def metrics_so_far(spark: SparkSession, store: str) -> DataFrame:
+    return spark.read.parquet(f"{store}/metrics").drop("batch")

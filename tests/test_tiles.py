@@ -9,7 +9,9 @@ from cobblestone.operators import raster, sampling
 from cobblestone.plans import city, inference
 from cobblestone.sources import citygrid, grid_meta
 from cobblestone.sources.network import uniform_tags
-from cobblestone.streaming import ingest, samples
+from cobblestone.sources import growing_logs
+from cobblestone.sources.tile_log import TileLog
+from cobblestone.streaming import ingest, log_monitor, samples
 
 NAMES = list(raster.CHANNELS)
 
@@ -150,14 +152,67 @@ def test_city_roads_and_grid(spark):
     assert cells.where("is_street = 1").count() > 300 and cells.where("is_residential = 1").count() == 0
 
 
-def test_ingest_replaces_segments_and_reports_progress(spark, tmp_path):
-    _, cells = noise(spark, 40, 40)
-    tiles = raster.dense_tiles(cells, 40, 40, 20, 20).withColumn("city", F.lit("x"))
-    tiles.repartition(4, "seg_row", "seg_col").write.parquet(str(tmp_path / "in"))
+def test_ingest_keeps_the_last_arrival_and_reports_progress(spark, tmp_path):
+    """An older tile that comes late loses; a second start goes on after the first; the states written on the way agree."""
+    kind = "city string, seg_row int, seg_col int, arrived bigint, data array<float>"
+    rows = [("x", i % 2, i // 2 % 3, a, [float(a)]) for i, a in enumerate([5, 9, 3, 8, 7, 2, 6, 1, 4, 10, 0, 11])]
+    folder, store, state = (str(tmp_path / x) for x in ("in", "store", "state"))
     seen = []
-    stream = ingest.tile_stream(spark, str(tmp_path / "in"), tiles.schema, max_files=1)
-    ingest.ingest(stream, str(tmp_path / "store"), str(tmp_path / "state"), 4, lambda share, text: seen.append(share)).awaitTermination()
-    assert seen == sorted(seen) and seen[-1] == 1.0
+    for part in (rows[:8], rows[8:]):
+        for i in range(0, len(part), 2):
+            spark.createDataFrame(part[i : i + 2], kind).coalesce(1).write.mode("append").parquet(folder)
+        stream = ingest.tile_stream(spark, folder, kind, max_files=1)
+        ingest.ingest(stream, store, state, 6, lambda share, text: seen.append((round(6 * share), text)), every=4).awaitTermination()
+    want = {}
+    for city, r, c, a, _ in rows:
+        want[r, c] = max(want.get((r, c), -1), a)
+    log = TileLog(spark, store, every=4)
+    assert {(t.seg_row, t.seg_col): t.data[0] for t in log.tiles(kind).collect()} == want
+    assert log.head().batch == 5 and log.head().done == 6
+    assert [n for n, _ in seen] == [2, 4, 6, 6, 6, 6] and seen[-1][1] == "batch 5 saved"
+    assert {(e.seg_row, e.seg_col): e.arrived for e in log.entries().collect()} == want
+    assert [r.added for r in ingest.progress(spark, store).orderBy("batch").collect()] == [2, 2, 2, 0, 0, 0]
+
+
+def growing(path, text):
+    with open(path, "a", encoding="utf-8") as file:
+        file.write(text)
+
+
+def test_lines_appended_to_a_known_log_count(spark, tmp_path):
+    """Cut lines wait, an epoch announced before a restart counts after it, long logs are read in pieces."""
+    logs, store, state = tmp_path / "logs", str(tmp_path / "store"), str(tmp_path / "state")
+    logs.mkdir()
+
+    def watch():
+        log_monitor.monitor(log_monitor.log_stream(spark, str(logs), piece_bytes=64), store, state).awaitTermination()
+        rows = log_monitor.best_so_far(spark, store).collect()
+        return {(r.run.rsplit("/", 1)[1], r.metric): (r.best_epoch, r.best_value) for r in rows}
+
+    growing(logs / "a", "is_street_loss: 9\nperforming 1-th epoch\nval_is_street_x: 0.5 - is_street_loss: 2\n" + "noise\n" * 50 + "performing 2-th ep")
+    assert watch() == {("a", "val_is_street_x"): (1, 0.5), ("a", "is_street_loss"): (1, 2.0)}
+    growing(logs / "a", "och\nval_is_street_x: 0.7\nval_is_street_x: 0.")
+    growing(logs / "b", "")
+    assert watch()["a", "val_is_street_x"] == (2, 0.7)
+    growing(logs / "a", "9\r\nperforming 3-th epoch\nval_is_street_x: 0.9\n")
+    growing(logs / "b", "performing 7-th epoch\nval_is_street_x: -1\n")
+    assert watch() == {("a", "val_is_street_x"): (2, 0.9), ("a", "is_street_loss"): (1, 2.0), ("b", "val_is_street_x"): (7, -1.0)}
+    metrics = [(r.epoch, r.value) for r in log_monitor.metrics_so_far(spark, store).where("run like '%a' and metric = 'val_is_street_x'").orderBy("at").collect()]
+    assert metrics == [(1, 0.5), (2, 0.7), (2, 0.9), (3, 0.9)]
+
+
+@pytest.mark.parametrize("piece", [1, 3, 7, 1000])
+def test_pieces_of_a_log_hold_every_line_once(tmp_path, piece):
+    text = "a\n\nbcd\n" + "x" * 20 + "\n\n\nlast\nopen"
+    (tmp_path / "l").write_text(text)
+    reader = growing_logs.GrowingLogReader({"path": str(tmp_path), "piecebytes": str(piece)})
+    end = reader.latestOffset()
+    lines = [r for p in reader.partitions(reader.initialOffset(), end) for b in reader.read(p) for r in zip(b["at"].to_pylist(), b["value"].to_pylist())]
+    assert [v for _, v in lines] == text.split("\n")[:-1]
+    assert all(text[at : at + len(v)] == v and (at == 0 or text[at - 1] == "\n") for at, v in lines)
+    (tmp_path / "l").write_text("a\n")
+    with pytest.raises(ValueError, match="shorter"):
+        reader.partitions(end, reader.latestOffset())
 
 
 def test_endless_samples(spark, tmp_path):

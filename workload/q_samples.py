@@ -6,7 +6,8 @@ from cobblestone.operators import evaluation, raster, sampling
 from cobblestone.operators.sampling import LCG_INCREMENT as C, LCG_MODULUS as M, LCG_MULTIPLIER as A, SampleShape
 from cobblestone.plans import city, inference, training
 from cobblestone.session import cut_lineage, scratch_path
-from cobblestone.sources import citygrid, tiles as tile_store
+from cobblestone.sources import citygrid, growing_logs, tiles as tile_store
+from cobblestone.sources.tile_log import TileLog
 from cobblestone.streaming import ingest, log_monitor, samples as stream_samples
 from workload.fixtures import cells_side, table, view
 from workload.q_geometry import projection_sql
@@ -292,29 +293,105 @@ def city_grid(spark, sf):
     return city.city_grid(roads, 500, 500, 2.0)
 
 
-@query("T1_live_log_monitor", uses=("fx_log",), sql="""
-WITH marked AS (SELECT line_no, value, last_value(CASE WHEN regexp_matches(value, 'performing ([0-9]+)-th epoch') THEN CAST(regexp_extract(value, 'performing ([0-9]+)-th epoch', 1) AS INT) END IGNORE NULLS) OVER (ORDER BY line_no) AS epoch FROM fx_log),
-hits AS (SELECT line_no // 1000 AS run, epoch, unnest(regexp_extract_all(value, '(val_)?is_street[_\\w]*:\\s*([0-9.eE+-]+)', 0)) AS m FROM marked WHERE epoch IS NOT NULL),
-x AS (SELECT run, epoch, trim(split_part(m, ':', 1)) AS metric, CAST(trim(split_part(m, ':', 2)) AS DOUBLE) AS value FROM hits)
-SELECT run, metric, epoch AS best_epoch, value AS best_value FROM (SELECT *, row_number() OVER (PARTITION BY run, metric ORDER BY value DESC, epoch) AS rn FROM x) q WHERE rn = 1""")
+# the log as one file per 1,000 lines; a file belongs to the run that wrote it
+LOG_METRICS = """WITH marked AS (SELECT line_no, value, line_no // 1000 AS run, last_value(CASE WHEN regexp_matches(value, 'performing ([0-9]+)-th epoch') THEN CAST(regexp_extract(value, 'performing ([0-9]+)-th epoch', 1) AS INT) END IGNORE NULLS) OVER (PARTITION BY line_no // 1000 ORDER BY line_no) AS epoch FROM fx_log),
+hits AS (SELECT run, line_no, epoch, unnest(regexp_extract_all(value, '(val_)?is_street[_\\w]*:\\s*([0-9.eE+-]+)', 0)) AS m FROM marked WHERE epoch IS NOT NULL),
+x AS (SELECT run, line_no, epoch, trim(split_part(m, ':', 1)) AS metric, CAST(trim(split_part(m, ':', 2)) AS DOUBLE) AS value FROM hits)"""
+
+
+def deliver(runs, folder, share):
+    """Writes the first ``share`` of the bytes of every run's log, as a trainer would have by then; again for more."""
+
+    def write(pdf):
+        run = int(pdf["run"].iloc[0])
+        text = "".join(v + "\n" for v in pdf.sort_values("line_no")["value"]).encode()
+        part = text[: int(len(text) * (share if run % 3 else max(0, 2 * share - 1)))]  # some runs begin later
+        if part:
+            store, root = growing_logs.open_store(folder)
+            store.create_dir(root)
+            with store.open_output_stream(f"{root}/{run}.log") as file:
+                file.write(part)
+        return pdf[["run"]].head(1)
+
+    runs.groupBy("run").applyInPandas(write, "run bigint").write.format("noop").mode("overwrite").save()
+
+
+def watched(spark, sf):
+    """The stored results of a monitor that was started three times while the logs grew, lines cut anywhere."""
+    folder, store, state = (scratch_path(spark, x) for x in ("growing-logs", "monitor", "monitor-state"))
+    runs = view(spark, sf, "fx_log").withColumn("run", F.floor(F.col("line_no") / 1000))
+    for share in (0.37, 0.71, 1.0):
+        deliver(runs, folder, share)
+        log_monitor.monitor(log_monitor.log_stream(spark, folder, piece_bytes=4096), store, state).awaitTermination()
+    return store
+
+
+def run_of_file():
+    return F.regexp_extract("run", "([0-9]+)[.]log$", 1).cast("bigint").alias("run")
+
+
+@query("T1_live_log_monitor", uses=("fx_log",), sql=LOG_METRICS + """
+SELECT run, metric, epoch AS best_epoch, value AS best_value FROM (SELECT *, row_number() OVER (PARTITION BY run, metric ORDER BY value DESC, line_no) AS rn FROM x) q WHERE rn = 1""")
 def live_log_monitor(spark, sf):
-    folder = scratch_path(spark, "live-log")
-    runs = view(spark, sf, "fx_log").withColumn("run", F.floor(F.col("line_no") / 1000))  # one log file per run
-    runs.repartition("run").sortWithinPartitions("run", "line_no").select("run", "value").write.partitionBy("run").text(folder)
-    store = scratch_path(spark, "monitor")
-    log_monitor.monitor(log_monitor.log_stream(spark, f"{folder}/*"), store, scratch_path(spark, "monitor-state")).awaitTermination()
-    run = F.regexp_extract("run", "run=([0-9]+)/", 1).cast("bigint")
-    return log_monitor.best_so_far(spark, store).select(run.alias("run"), "metric", "best_epoch", "best_value")
+    return log_monitor.best_so_far(spark, watched(spark, sf)).withColumn("run", run_of_file())
 
 
-@query("T2_segment_ingest", uses=("fx_cells",), sql="SELECT 'noise' AS city, (SELECT ((side - 1) // 150 + 1) * ((side - 1) // 200 + 1) FROM fx_side) AS done, 1e0 AS share, (SELECT count(*) FROM fx_cells WHERE is_street > 0) AS street_cells")
-def segment_ingest(spark, sf):
+@query("T1_metrics_of_growing_logs", uses=("fx_log",), sql=LOG_METRICS + """,
+b AS (SELECT *, max(value) OVER w AS best_value FROM x WINDOW w AS (PARTITION BY run, metric ORDER BY line_no))
+SELECT run, epoch, metric, value, best_value, first_value(epoch) OVER (PARTITION BY run, metric, best_value ORDER BY line_no) AS best_epoch FROM b""")
+def metrics_of_growing_logs(spark, sf):
+    return log_monitor.metrics_so_far(spark, watched(spark, sf)).select(run_of_file(), "epoch", "metric", "value", "best_value", "best_epoch")
+
+
+def arrivals(spark, sf):
+    """Tiles of the noise raster in four deliveries, each segment twice: of even segments the version with doubled altitude
+    arrives last, of odd ones first (its delivery may still come later)."""
     side = cells_side(spark, sf)
     tiles = raster.dense_tiles(view(spark, sf, "fx_cells"), side, side, 150, 200).withColumn("city", F.lit("noise"))
+    even = (F.col("seg_row") + F.col("seg_col")) % 2 == 0
+    number = F.col("seg_row") * -(-side // 200) + F.col("seg_col")
+    # channels are interleaved, altitude is the second of three
+    doubled = tiles.withColumn("data", F.transform("data", lambda v, i: F.when(i % 3 == 1, 2 * v).otherwise(v)))
+    first = tiles.withColumns({"arrived": number + 1000, "delivery": number % 4})
+    second = doubled.withColumns({"arrived": F.when(even, number + 5000).otherwise(number), "delivery": (number + 1) % 4})
+    return cut_lineage(first.unionByName(second).withColumn("arrived", F.col("arrived").cast("bigint")), "arrivals"), side
+
+
+def ingested(spark, sf):
+    """The store after all deliveries, one file each; every second batch writes the state."""
+    tiles, side = arrivals(spark, sf)
+    folder, store = scratch_path(spark, "arriving"), scratch_path(spark, "ingested")
+    schema = tiles.drop("delivery").schema
+    for d in range(4):
+        tiles.where(F.col("delivery") == d).drop("delivery").coalesce(1).write.mode("append").parquet(folder)
     segments = -(-side // 150) * -(-side // 200)
-    arriving, store = scratch_path(spark, "arriving"), scratch_path(spark, "ingested")
-    tiles.repartition(4).write.parquet(arriving)
-    stream = ingest.tile_stream(spark, arriving, tiles.schema, max_files=2)
-    ingest.ingest(stream, store, scratch_path(spark, "ingest-state"), segments).awaitTermination()
-    cells = raster.tile_cells(tile_store.read_tiles(spark, store), 150, 200).where("is_street > 0").agg(F.count("*").alias("street_cells"))
-    return ingest.stored_share(spark, store, segments).join(F.broadcast(cells))
+    stream = ingest.tile_stream(spark, folder, schema, max_files=1)
+    ingest.ingest(stream, store, scratch_path(spark, "ingest-state"), segments, every=2).awaitTermination()
+    return store, schema
+
+
+SEGMENT = "(row // 150) * ((side - 1) // 200 + 1) + col // 200"
+
+
+@query("T2_segment_ingest", uses=("fx_cells", "fx_side"), sql="""
+SELECT row // 150 AS seg_row, col // 200 AS seg_col, CAST(count(*) AS BIGINT) AS street_cells, round(sum(CAST(CAST(altitude AS FLOAT) AS DOUBLE)) * CASE WHEN (row // 150 + col // 200) % 2 = 0 THEN 2 ELSE 1 END, 2) AS altitude
+FROM fx_cells WHERE is_street > 0 GROUP BY row // 150, col // 200""")
+def segment_ingest(spark, sf):
+    store, schema = ingested(spark, sf)
+    cells = raster.tile_cells(TileLog(spark, store, every=2).tiles(schema).drop("arrived"), 150, 200).where("is_street > 0")
+    return cells.groupBy(F.floor(F.col("row") / 150).alias("seg_row"), F.floor(F.col("col") / 200).alias("seg_col")).agg(
+        F.count("*").alias("street_cells"), F.round(F.sum("altitude"), 2).alias("altitude"))
+
+
+@query("T2_U3_ingest_progress", uses=("fx_side",), sql="""
+WITH segs AS (SELECT r * nc + c AS number, (r + c) % 2 AS odd, nr * nc AS total FROM (
+  SELECT unnest(range((side - 1) // 150 + 1)) AS r, (side - 1) // 150 + 1 AS nr, (side - 1) // 200 + 1 AS nc FROM fx_side) a, LATERAL (SELECT unnest(range(nc)) AS c) b),
+tiles AS (SELECT number, total, number + 1000 AS arrived, number % 4 AS batch FROM segs
+  UNION ALL SELECT number, total, CASE WHEN odd = 0 THEN number + 5000 ELSE number END, (number + 1) % 4 FROM segs),
+firsts AS (SELECT number, min(batch) AS f FROM tiles GROUP BY number)
+SELECT CAST(batch AS BIGINT) AS batch, count(*) AS tiles, CAST(max(arrived) AS BIGINT) AS last_arrival, CAST(count(*) FILTER (f = batch) AS BIGINT) AS added,
+  CAST(sum(count(*) FILTER (f = batch)) OVER (ORDER BY batch) AS BIGINT) AS done, sum(count(*) FILTER (f = batch)) OVER (ORDER BY batch) / CAST(max(total) AS DOUBLE) AS share
+FROM tiles JOIN firsts USING (number) GROUP BY batch""")
+def ingest_progress(spark, sf):
+    store, _ = ingested(spark, sf)
+    return ingest.progress(spark, store).select("batch", "tiles", "last_arrival", "added", "done", "share")
