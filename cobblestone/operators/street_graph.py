@@ -55,6 +55,21 @@ def assemble(crossings: DataFrame, owned: DataFrame, pieces: DataFrame):
     return nodes, number_parallel(edges, "tile_row", "tile_col", "street", "piece").select("u", "v", "k", "geometry", "slope", "width")
 
 
+def from_parts(parts: DataFrame):
+    """Nodes and edges of the raw graph (G12) from crossroads and clipped lines of tiles (``street_tiles``)."""
+    crossroads = parts.where("kind = 'crossroad'").select(node_id(F.col("y"), F.col("x")).alias("node_id"), "y", "x", F.lit(CROSSROAD).alias("type"))
+    lines = parts.where("kind = 'line'")
+    ends = F.explode(F.array(*[F.struct(F.col(f"{e}_y").alias("y"), F.col(f"{e}_x").alias("x"), F.col(f"{e}_node").alias("node")) for e in "pq"]))
+    loose = lines.select(ends.alias("e")).where("not e.node")
+    connectors = loose.select(node_id(F.col("e.y"), F.col("e.x")).alias("node_id"), "e.y", "e.x", F.lit(CONNECTOR).alias("type"))
+    rank = F.struct((F.col("type") != CROSSROAD).alias("r"), "y", "x")
+    nodes = crossroads.union(connectors).groupBy("node_id").agg(F.min_by(F.struct("y", "x", "type"), rank).alias("n")).select("node_id", "n.*")
+    named = lines.withColumns({
+        "u": node_id(F.col("p_y"), F.col("p_x")), "v": node_id(F.col("q_y"), F.col("q_x")), "geometry": F.zip_with("xs", "ys", planar.point)})
+    edges = number_parallel(named.where(F.col("u") != F.col("v")), "tile_row", "tile_col", "label", "piece")
+    return nodes, edges.select("u", "v", "k", "geometry", "slope", "width")
+
+
 def number_parallel(edges: DataFrame, *order: str) -> DataFrame:
     """Key k = 0, 1, ... of parallel edges; a group is the edges between one pair of nodes."""
     return edges.withColumn("k", F.row_number().over(Window.partitionBy("u", "v").orderBy(*order)) - 1)

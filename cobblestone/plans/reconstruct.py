@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from cobblestone.operators import curvature, morphology, street_graph, streets
+from cobblestone.operators import curvature, morphology, street_graph, street_tiles, streets
 from cobblestone.session import cut_lineage
 from cobblestone.sources import geojson
 
@@ -16,17 +16,19 @@ class Grid:
     """Shape, tiling and place of a raster; origin in degrees for the export.
 
     By default a street with one crossroad closes on its start, so that snapping merges
-    its two ends and the street drops out; ``far_ends`` keeps dead ends as edges.
+    its two ends and the street drops out; ``far_ends`` keeps dead ends as edges. Tiles are what a task holds, with a
+    margin of ``march_limit`` cells and the halo; they need not be the segments the raster is stored in.
     """
 
     height: int
     width: int
-    tile_h: int = 5000
-    tile_w: int = 5000
+    tile_h: int = 1024
+    tile_w: int = 1024
     density: float = 1.0
     lat0: float = 0.0
     lon0: float = 0.0
     far_ends: bool = False
+    march_limit: int = streets.MARCH_LIMIT
 
 
 def clean_mask(cells: DataFrame, grid: Grid) -> DataFrame:
@@ -37,31 +39,19 @@ def clean_mask(cells: DataFrame, grid: Grid) -> DataFrame:
     return closed.join(ground, ["row", "col"], "left").withColumn("altitude", F.coalesce("altitude", F.lit(0.0)))
 
 
-def street_lines(mask: DataFrame, grid: Grid):
-    """Crossroad cells and measured street lines of every tile."""
-    shape = (grid.height, grid.width)
-    skeleton = morphology.skeletonise(mask, *shape)
-    crossings, street_cells = streets.discover(skeleton, *shape, grid.tile_h, grid.tile_w)
-    crossings = cut_lineage(crossings, "crossings")
-    street_cells = cut_lineage(street_cells, "street-cells")
-    ends = streets.street_ends(streets.junctions(crossings, street_cells))
-    lines = streets.order_streets(street_cells, ends, grid.far_ends)
-    return crossings, streets.street_metrics(lines, mask, *shape, grid.tile_h, grid.tile_w)
-
-
 def raw_graph(cells: DataFrame, grid: Grid, downsampling: int = 1):
-    """The graph in raster positions before snapping."""
+    """The graph in raster positions before snapping (G9 to G12, A12), from one pass over the tiles of the thinned mask."""
     mask = cut_lineage(clean_mask(cells, grid), "clean-mask")
-    crossings, lines = street_lines(mask, grid)
-    pieces = streets.clip_lines(lines, grid.height, grid.width, grid.tile_h, grid.tile_w, downsampling)
-    owned = cut_lineage(street_graph.crossroad_nodes(crossings, grid.tile_h, grid.tile_w), "crossroads")
-    nodes, edges = street_graph.assemble(crossings, owned, pieces)
-    return cut_lineage(nodes, "raw-nodes"), cut_lineage(edges, "raw-edges")
+    skeleton = morphology.skeletonise(mask, grid.height, grid.width)
+    tiling = street_tiles.Tiling(
+        grid.height, grid.width, grid.tile_h, grid.tile_w, far_ends=grid.far_ends, downsampling=downsampling, march_limit=grid.march_limit)
+    return street_graph.from_parts(cut_lineage(street_tiles.graph_parts(mask, skeleton, tiling), "graph-parts"))
 
 
 def snapped_graph(cells: DataFrame, grid: Grid, downsampling: int = 1):
     """Nodes and edges in raster positions, close nodes merged."""
     nodes, edges = raw_graph(cells, grid, downsampling)
+    nodes = cut_lineage(nodes, "raw-nodes")
     winners = cut_lineage(street_graph.snap_winners(nodes), "snap-winners")
     nodes, edges = street_graph.contract(nodes, edges, winners)
     return cut_lineage(nodes, "nodes"), cut_lineage(edges, "edges")
