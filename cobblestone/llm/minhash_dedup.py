@@ -10,9 +10,11 @@ and only of sets larger than a sketch (smaller ones are bounded exactly). So bot
 * Inverted lists of the values are counted; a node with too few values that others have too is done. The values of the rest
   are put in one order, rare ones first, and only as many of the first ones name a list as are needed for every pair to meet.
 * In each of ``ROUNDS`` a list's members meet one member, an end of the list in another component. A group of near copies
-  thus costs its rows, not its pairs. Then all members of a list that are still in different components meet. Lists of more
-  than ``CROWD`` members are split by a second and a third shared value first, which any similar pair has.
-* Pairs are held against sizes and the sketch of their union as they are joined, before they are written, and what is left
+  thus costs its rows, not its pairs. Then all members of a list that are still in different components meet, ``BLOCK`` against
+  ``BLOCK`` of a long list.
+* Pairs are held against sizes and bitmaps as they are joined, before they are written. A bitmap has the parity of the
+  shingles that fall on each of ``64 * LONGS`` bits, so the bits that differ are at most the shingles that differ: no similar
+  pair is dropped. The sketch of their union estimates the similarity of the different pairs that are left, and what passes
   is confirmed by the similarity of the full sets.
 
 Nulls: a null text has an empty set, like an empty text; near_duplicates() takes all of those for one node, linked() for
@@ -39,8 +41,8 @@ SIMILARITY = (85, 100)
 KEPT = 48
 LOSS = 1e-9
 ROUNDS = 2
-CROWD = 64
-DEEPEST = 3  # shared values that name a list at most
+BLOCK = 1024
+LONGS = 16
 
 
 def least_shared(kept: int, num: int, den: int, loss: float = LOSS) -> int:
@@ -80,6 +82,16 @@ def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
 
 
+_MAP = [f"w{i}" for i in range(LONGS)]
+
+
+def _bitmaps(values: np.ndarray, n: np.ndarray) -> list[pa.Array]:
+    bits = np.zeros((LONGS, len(n)), np.uint64)
+    place = values.view(np.uint64) % np.uint64(64 * LONGS)
+    np.bitwise_xor.at(bits, ((place >> np.uint64(6)).astype(np.int64), np.repeat(np.arange(len(n)), n)), np.uint64(1) << (place & np.uint64(63)))
+    return [pa.array(w.view(np.int64)) for w in bits]
+
+
 def _scan(docs: DataFrame, fn: Callable[[pa.RecordBatch, Words], pa.RecordBatch], schema: str) -> DataFrame:
     """``fn`` over the texts (first column) of a table, a bounded number of bytes at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,17 +103,17 @@ def _scan(docs: DataFrame, fn: Callable[[pa.RecordBatch, Words], pa.RecordBatch]
 
 
 def sketches(docs: DataFrame, text: str, keep: tuple[str, ...], size: int, kept: int) -> DataFrame:
-    """(*keep, node, n, sketch): a row per document; ``n`` is the size of its set."""
+    """(*keep, node, n, sketch, w0, w1, ...): a row per document; ``n`` is the size of its set, w the longs of its bitmap."""
     def run(part, words):
         values, bounds = shingle_sets(words, size)
         n = np.diff(bounds)
         rank = np.arange(len(values)) - np.repeat(bounds[:-1], n)
         short = np.concatenate([[0], np.cumsum(np.minimum(n, kept))])
-        columns = [*part.columns[1:], pa.array(_nodes(values, bounds)), pa.array(n), _lists(values[rank < kept], short)]
-        return pa.RecordBatch.from_arrays(columns, [*keep, "node", "n", "sketch"])
+        columns = [*part.columns[1:], pa.array(_nodes(values, bounds)), pa.array(n), _lists(values[rank < kept], short), *_bitmaps(values, n)]
+        return pa.RecordBatch.from_arrays(columns, [*keep, "node", "n", "sketch", *_MAP])
 
-    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return _scan(docs.select(F.col(text).alias("_text"), *(F.col(f"`{c}`") for c in keep)), run, kinds + "node bigint, n bigint, sketch array<bigint>")
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep) + "node bigint, n bigint, sketch array<bigint>"
+    return _scan(docs.select(F.col(text).alias("_text"), *(F.col(f"`{c}`") for c in keep)), run, kinds + "".join(f", {w} bigint" for w in _MAP))
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -129,50 +141,49 @@ class _Threshold:
         whole = F.col("n") * self.den < self.kept * self.num  # any union with it is smaller than a sketch
         return F.when(whole, F.ceil(F.col("n") * self.num / self.den)).otherwise(self.sampled).cast("int")
 
-    def sizes(self, m: Column, n: Column) -> Column:
-        return self.den * F.least(m, n) >= self.num * F.greatest(m, n)
+    def possible(self, a: str, b: str) -> Column:
+        """May the sets with sizes and bitmaps in the columns ``n_a``, ``w0_a`` and so on be similar? Exact: none is lost."""
+        m, n = F.col(f"n_{a}"), F.col(f"n_{b}")
+        apart = sum((F.bit_count(F.col(f"{w}_{a}").bitwiseXOR(F.col(f"{w}_{b}"))) for w in _MAP), F.lit(0))
+        # num / den of the union in both: of m + n shingles at most this share differs
+        return (self.den * F.least(m, n) >= self.num * F.greatest(m, n)) & ((self.num + self.den) * apart <= (self.den - self.num) * (m + n))
 
-    def likely(self, x: Column, y: Column) -> Column:
-        """May sets with the sketches x and y be similar? Exact where their union is smaller than a sketch."""
-        union = F.array_sort(F.array_union(x, y))
-        last = F.element_at(union, F.least(F.size(union), F.lit(self.kept)))
-        shared = F.size(F.filter(F.array_intersect(x, y), lambda v: v <= last))
-        few = F.size(union) < self.kept
-        return F.when(few, self.den * shared >= self.num * F.size(union)).otherwise(shared >= self.sampled)
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose sketches ``x`` and ``y`` let them be similar; exact where their union is smaller than a sketch."""
+        pairs = pairs.withColumn("_u", F.slice(F.array_sort(F.array_union("x", "y")), 1, self.kept))
+        pairs = pairs.withColumn("_both", F.size(F.array_intersect(F.array_intersect("x", "y"), "_u")))
+        few = F.size("_u") < self.kept
+        return pairs.where((few & (self.den * F.col("_both") >= self.num * F.size("_u"))) | (~few & (F.col("_both") >= self.sampled))).drop("_u", "_both")
 
     def similar(self, x: Column, y: Column) -> Column:
         both = F.size(F.array_intersect(x, y))
         return (self.num + self.den) * both >= self.num * (F.size(x) + F.size(y))
 
 
+def _sided(nodes: DataFrame, side: str) -> DataFrame:
+    """(node, n, w0, ...) with the names of one side of a pair."""
+    return nodes.select(*(F.col(c).alias(f"{c}_{side}") for c in ("node", "n", *_MAP)))
+
+
 def _ordered(nodes: DataFrame, limit: _Threshold) -> DataFrame:
-    """(node, n, sketch, least, common): the nodes that others may be similar to, with the values they share, rare ones first."""
+    """(node, n, sketch, least, common, w0, ...): the nodes that others may be similar to, with the values they share, rare ones first."""
     rows = nodes.where(~limit.alone()).select("node", F.explode("sketch").alias("value"))
     times = stored(rows.groupBy("value").agg(F.count("*").alias("times")).where("times > 1"), "times")
     common = rows.join(times, "value").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("times", "value"))).alias("c"))
-    few = nodes.select("node", "n", "sketch", limit.least().alias("least"))
+    few = nodes.select("node", "n", "sketch", limit.least().alias("least"), *_MAP)
     out = common.join(few, "node").where(F.size("c") >= F.col("least"))
-    out = stored(out.select("node", "n", "sketch", "least", F.col("c.value").alias("common")), "ordered")
+    out = stored(out.select("node", "n", "sketch", "least", F.col("c.value").alias("common"), *_MAP), "ordered")
     discard(times)
     return out
 
 
 def _first_lists(ordered: DataFrame) -> DataFrame:
-    """(key, node, place): a list per value that is among the first of some nodes'."""
-    first = F.slice("common", 1, F.size("common") - F.col("least") + 1)
-    return ordered.select("node", F.posexplode(first).alias("place", "key"))
-
-
-def _split(lists: DataFrame, ordered: DataFrame, depth: int) -> DataFrame:
-    """The lists again, each by one more shared value, the ``depth``-th of a pair: it comes later and not too late."""
-    rest = F.slice("common", F.col("place") + 2, F.greatest(F.size("common") - F.col("least") + depth - 1 - F.col("place"), F.lit(0)))
-    met = lists.select("key", "node", "place").join(ordered.select("node", "common", "least"), "node")
-    met = met.select("key", "node", "place", F.posexplode(rest).alias("step", "value"))
-    return met.select(F.xxhash64("key", "value").alias("key"), "node", (F.col("place") + F.col("step") + 1).alias("place"))
+    """(key, node): a list per value that is among the first of some nodes'."""
+    return ordered.select("node", F.explode(F.slice("common", 1, F.size("common") - F.col("least") + 1)).alias("key"))
 
 
 def _ends(lists: DataFrame) -> DataFrame:
-    """(key, lo, hi, least, most, members) of the lists (key, node, component) with several components."""
+    """(key, lo, hi, members, least_node, most_node) of the lists (key, node, component) with several components."""
     return lists.groupBy("key").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"),
         F.min_by("node", "component").alias("least_node"), F.max_by("node", "component").alias("most_node"),
@@ -191,25 +202,37 @@ def _labelled(rows: DataFrame, groups: DataFrame | None) -> DataFrame:
     return rows.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def _confirmed(pairs: DataFrame, own: DataFrame, limit: _Threshold) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar."""
+def _confirmed(pairs: DataFrame, ordered: DataFrame, own: DataFrame, limit: _Threshold) -> DataFrame:
+    """The pairs (a, b) that sketches let be similar and whose full sets are."""
+    def both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+        for node, name in (("a", "x"), ("b", "y")):
+            pairs = pairs.join(table.select(F.col("node").alias(node), F.col(column).alias(name)), node)
+        return pairs
+
     pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    left, right = own.select(F.col("node").alias("a"), F.col("own").alias("x")), own.select(F.col("node").alias("b"), F.col("own").alias("y"))
-    found = stored(pairs.join(left, "a").join(right, "b").where(limit.similar(F.col("x"), F.col("y"))).select("a", "b"), "links")
-    discard(pairs)
+    likely = stored(limit.likely(both(pairs, ordered, "sketch")).select("a", "b"), "likely")
+    found = stored(both(likely, own, "own").where(limit.similar(F.col("x"), F.col("y"))).select("a", "b"), "links")
+    discard(pairs, likely)
     return found
 
 
 def _crossing(lists: DataFrame, ordered: DataFrame, limit: _Threshold) -> DataFrame:
-    """Pairs (a, b) of one list (key, node, component) in different components that sizes and sketches let be similar."""
-    full = lists.join(ordered.select("node", "n", "sketch"), "node")
-    other = full.select("key", *(F.col(c).alias(f"{c}_b") for c in ("node", "component", "n", "sketch")))
-    apart = (F.col("node") < F.col("node_b")) & (F.col("component") != F.col("component_b")) & limit.sizes(F.col("n"), F.col("n_b"))
-    met = full.join(other, "key").where(apart & limit.likely(F.col("sketch"), F.col("sketch_b")))
-    return met.select(F.col("node").alias("a"), F.col("node_b").alias("b"))
-
-
-def _components(ordered: DataFrame, own: DataFrame, limit: _Threshold, crowd: int) -> DataFrame | None:
+    """Pairs (a, b) of one list (key, members, node, component) in different components that sizes and bitmaps let be similar.
+
+    Two blocks of a list meet in a cell of their own."""
+    blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
+    placed = lists.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    cells = placed.select("key", "node", "component", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    cells = cells.join(ordered.select("node", "n", *_MAP), "node")
+    a, b = (cells.select("key", "lo", "hi", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "component", "block", "n", *_MAP))) for s in "ab")
+    placed_so = (F.col("block_a") == F.col("lo")) & (F.col("block_b") == F.col("hi"))
+    once = (F.col("lo") < F.col("hi")) | (F.col("node_a") < F.col("node_b"))
+    apart = (F.col("component_a") != F.col("component_b")) & limit.possible("a", "b")
+    return a.join(b, ["key", "lo", "hi"]).where(placed_so & once & apart).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+
+def _components(ordered: DataFrame, own: DataFrame, limit: _Threshold) -> DataFrame | None:
     """(node, component) of the nodes that similar ones are joined to; None if there are none."""
     links = groups = None
 
@@ -219,47 +242,37 @@ def _components(ordered: DataFrame, own: DataFrame, limit: _Threshold, crowd: in
             links = found if links is None else links.union(found)
             groups = _grouped(links)
 
-    short = ordered.select("node", "n", "sketch")
-    a, b = (short.select(*(F.col(c).alias(f"{c}_{s}") for c in short.columns)) for s in "ab")
     for step in range(ROUNDS):
         lists = stored(_labelled(_first_lists(ordered), groups), "lists")
         ends = lists.join(_ends(lists), "key")
         meets = F.when(F.col("component") == F.col("lo"), F.col("most_node")).otherwise(F.col("least_node"))
-        met = ends.select(F.col("node").alias("node_a"), meets.alias("node_b")).distinct().join(a, "node_a").join(b, "node_b")
-        near = met.where(limit.sizes(F.col("n_a"), F.col("n_b")) & limit.likely(F.col("sketch_a"), F.col("sketch_b")))
+        met = ends.select(F.col("node").alias("node_a"), meets.alias("node_b")).distinct()
+        near = met.join(_sided(ordered, "a"), "node_a").join(_sided(ordered, "b"), "node_b").where(limit.possible("a", "b"))
         one = near.groupBy(F.col("node_a").alias("a")).agg(F.min_by("node_b", F.xxhash64("node_b", F.lit(step))).alias("b"))
-        add(_confirmed(one, own, limit))
+        add(_confirmed(one, ordered, own, limit))
         discard(lists)
     # and then all that are not in one component
-    rest, lists = None, _first_lists(ordered)
-    for depth in range(1, DEEPEST + 1):
-        lists = stored(_labelled(lists, groups), "lists")
-        lists = stored(lists.join(_ends(lists).select("key", "members"), "key"), "apart")
-        small = lists if depth == DEEPEST else lists.where(F.col("members") <= crowd)
-        pairs = stored(_crossing(small.select("key", "node", "component"), ordered, limit).distinct(), "crossing")
-        rest = pairs if rest is None else rest.union(pairs)
-        large = lists.where(F.col("members") > crowd)
-        if depth == DEEPEST or not large.limit(1).count():
-            break
-        lists = _split(large, ordered, depth + 1)
-    add(_confirmed(rest, own, limit))
+    lists = stored(_labelled(_first_lists(ordered), groups), "lists")
+    apart = stored(lists.join(_ends(lists).select("key", "members"), "key"), "apart")
+    add(_confirmed(_crossing(apart, ordered, limit), ordered, own, limit))
+    discard(lists, apart)
     return groups
 
 
 def near_duplicates(
     docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), similarity: tuple[int, int] = SIMILARITY,
-    size: int = SHINGLE, kept: int = KEPT, crowd: int = CROWD,
+    size: int = SHINGLE, kept: int = KEPT,
 ) -> DataFrame:
     """(*keep, node, n, component), a row per document; ``component`` is that of the links of at least the similarity."""
     limit = _Threshold(*similarity, kept)
     names = tuple(f"_{i}" for i in range(len(keep)))  # no name of the caller's can clash
     docs = docs.select(F.col(text).alias("_text"), text_key(text).alias("_key"), *(F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)))
     known = stored(sketches(docs, "_text", ("_key", *names), size, kept), "sketches")
-    nodes = stored(known.select("node", "n", "sketch", "_key").dropDuplicates(["node"]), "nodes")
+    nodes = stored(known.select("node", "n", "sketch", *_MAP, "_key").dropDuplicates(["node"]), "nodes")
     ordered = _ordered(nodes, limit)
     texts = docs.select("_text", "_key").join(nodes.select("node", "_key").join(ordered.select("node"), "node", "left_semi"), "_key")
     own = stored(full_sets(texts.dropDuplicates(["node"]), size).dropDuplicates(["node"]), "own")
-    groups = _components(ordered, own, limit, crowd)
+    groups = _components(ordered, own, limit)
     discard(nodes, ordered, own)
     found = _labelled(known.select("node", "n", *names), groups)
     return found.select(*(F.col(n).alias(c) for c, n in zip(keep, names)), "node", "n", "component")

@@ -64,13 +64,14 @@ def groups(pairs):
     return sorted(map(sorted, out.values()))
 
 
-@pytest.mark.parametrize("similarity, crowd, rounds", [((85, 100), 64, 2), ((4, 5), 64, 2), ((4, 5), 2, 0), ((85, 100), 1, 1)])
-def test_links_equal_brute_force(spark, similarity, crowd, rounds, monkeypatch):
-    """Also where every list is split by a second and a third shared value, and where no round came before."""
-    monkeypatch.setattr(minhash_dedup, "ROUNDS", rounds or 1)
+@pytest.mark.parametrize("similarity, block, rounds", [((85, 100), 1024, 2), ((4, 5), 1024, 2), ((4, 5), 2, 1), ((85, 100), 3, 0)])
+def test_links_equal_brute_force(spark, similarity, block, rounds, monkeypatch):
+    """Also where lists are cut into small blocks, and where no round came before."""
+    monkeypatch.setattr(minhash_dedup, "ROUNDS", rounds)
+    monkeypatch.setattr(minhash_dedup, "BLOCK", block)
     texts = edited()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
-    got = minhash_dedup.near_duplicates(docs, similarity=similarity, crowd=crowd).collect()
+    got = minhash_dedup.near_duplicates(docs, similarity=similarity).collect()
     brute = brute_components(texts, *similarity)
     assert groups((r.component, r.doc_id) for r in got) == groups((brute[shingle_set(t)], i) for i, t in enumerate(texts))
 
