@@ -28,9 +28,9 @@ def labels_sql(source: str, name: str = "lab", offsets: str = AROUND8) -> str:
   WHERE r.row = l.row + o.di AND r.col = l.col + o.dj AND r.label > l.label GROUP BY r.row, r.col)"""
 
 
-def thinning_sql(passes: int, pad: int = 5) -> str:
-    """The framed raster and a fixed number of sub-iterations: skel(row, col)."""
-    parts = [SIZE, f"""img0 AS MATERIALIZED (SELECT row, col FROM fx_streets UNION ALL
+def thinning_sql(passes: int, pad: int = 5, source: str = "fx_streets", before: tuple[str, ...] = ()) -> str:
+    """The framed raster and a fixed number of sub-iterations: skel(row, col); ``before`` defines the source."""
+    parts = [SIZE, *before, f"""img0 AS MATERIALIZED (SELECT row, col FROM {source} UNION ALL
   SELECT row, unnest(CASE WHEN row BETWEEN 0 AND h - 1 THEN list_concat(generate_series(-{pad}, -1), generate_series(w, w + {pad - 1})) ELSE generate_series(-{pad}, w + {pad - 1}) END) AS col
   FROM (SELECT h, w, unnest(generate_series(-{pad}, h + {pad - 1})) AS row FROM size) q)"""]
     for k in range(passes):

@@ -8,40 +8,16 @@ from cobblestone.plans import reconstruct
 from cobblestone.session import cut_lineage, scratch_path
 from cobblestone.sources import geojson
 from workload.fixtures import view
-from workload.q_morphology import (
-    AROUND8, BORDER, CROSSROADS_SQL, KEY, PASSES, SIZE, labels_sql, skeleton_of, streets_of, thinning_sql,
-)
+from workload.graph_sql import DISCOVERY, JUNCTIONS, LINES, STREET_GRAPH, TILE_H, TILE_W
+from workload.q_morphology import BORDER, SIZE, labels_sql, skeleton_of, streets_of
 from workload.registry import query
 from workload.sqltext import dist
 
-TILE_H, TILE_W = 150, 200
-
-
 def grid_of(spark, sf):
     cells, height, width = streets_of(spark, sf)
     return cells, reconstruct.Grid(height, width, TILE_H, TILE_W, 1.0, 50.0, 19.0)
 
 
-def tiled_labels_sql(source: str, name: str) -> str:
-    return f"""{name}_cells AS MATERIALIZED (SELECT tile_row, tile_col, row, col FROM (SELECT *, unnest(generate_series(CAST(floor((col - 10) / {TILE_W}e0) AS INT), CAST(floor((col + 10) / {TILE_W}e0) AS INT))) AS tile_col FROM (
-  SELECT *, unnest(generate_series(CAST(floor((row - 10) / {TILE_H}e0) AS INT), CAST(floor((row + 10) / {TILE_H}e0) AS INT))) AS tile_row FROM {source}) q) p, size
-  WHERE tile_row BETWEEN 0 AND (h - 1) // {TILE_H} AND tile_col BETWEEN 0 AND (w - 1) // {TILE_W}),
-{name}(tile_row, tile_col, row, col, label) USING KEY (tile_row, tile_col, row, col) AS (
-  SELECT tile_row, tile_col, row, col, {KEY} FROM {name}_cells
-  UNION
-  SELECT r.tile_row, r.tile_col, r.row, r.col, min(l.label) FROM {name} l, {AROUND8}, recurring.{name} r
-  WHERE r.tile_row = l.tile_row AND r.tile_col = l.tile_col AND r.row = l.row + o.di AND r.col = l.col + o.dj AND r.label > l.label GROUP BY ALL),
-{name}_marked AS MATERIALIZED (SELECT l.*, bool_or(row IN (greatest(tile_row * {TILE_H} - 10, 0), least((tile_row + 1) * {TILE_H} + 10, h) - 1)
-  OR col IN (greatest(tile_col * {TILE_W} - 10, 0), least((tile_col + 1) * {TILE_W} + 10, w) - 1)) OVER (PARTITION BY tile_row, tile_col, label) AS conflict FROM {name} l, size)"""
-
-
-DISCOVERY = f"""{thinning_sql(PASSES)}, {CROSSROADS_SQL}, {tiled_labels_sql('xroads', 'crossing')}, {tiled_labels_sql('separated', 'street')}"""
-JUNCTIONS = f"""junction AS MATERIALIZED (SELECT tile_row, tile_col, crossroad, street, conflict, row, col FROM (
-  SELECT c.tile_row, c.tile_col, c.label AS crossroad, c.conflict, s.label AS street, s.row, s.col,
-    row_number() OVER (PARTITION BY c.tile_row, c.tile_col, c.label, s.label ORDER BY c.row, c.col, di, dj) AS rn
-  FROM crossing_marked c, {AROUND8}, street_marked s WHERE s.tile_row = c.tile_row AND s.tile_col = c.tile_col AND s.row = c.row + di AND s.col = c.col + dj) q WHERE rn = 1)"""
-
-
 def discovered(spark, sf):
     skel, h, w = skeleton_of(spark, sf)
     crossings, lines = streets.discover(skel, h, w, TILE_H, TILE_W)
@@ -86,10 +62,12 @@ def lines_of(spark, sf):
     return streets.order_streets(cells, streets.street_ends(streets.junctions(crossings, cells))), h, w
 
 
-@query("G10_G11_ordered_streets")
+@query("G10_G11_ordered_streets", uses=("fx_streets",), sql=f"WITH RECURSIVE {DISCOVERY}, {LINES} SELECT tile_row, tile_col, street, position, row, col FROM ordered")
 def ordered_streets(spark, sf):
+    """Every cell of every line with its place."""
     lines, _, _ = lines_of(spark, sf)
-    return lines.select("tile_row", "tile_col", "street", F.size("rows").alias("cells"), F.get("rows", F.lit(0)).alias("start_row"), F.get("cols", F.lit(0)).alias("start_col"))
+    placed = lines.select("tile_row", "tile_col", "street", F.posexplode(F.arrays_zip("rows", "cols")).alias("position", "c"))
+    return placed.select("tile_row", "tile_col", "street", "position", F.col("c.rows").alias("row"), F.col("c.cols").alias("col"))
 
 
 # axis-parallel lines through the drawn bars, so that SQL can state the march
@@ -126,7 +104,7 @@ def street_metrics(spark, sf):
     return bar_metrics(spark, sf).select("street", *[F.round(c, 6).alias(c) for c in ("width", "max_long_slope", "max_trans_slope")])
 
 
-@query("G12_clipped_graph")
+@query("G12_clipped_graph", uses=("fx_streets",), sql=f"WITH RECURSIVE {STREET_GRAPH} SELECT u, v, k, CAST(vertices AS INT) AS vertices, CAST(width AS DOUBLE) AS width FROM raw_edges")
 def clipped_graph(spark, sf):
     cells, grid = grid_of(spark, sf)
     nodes, edges = reconstruct.raw_graph(cells, grid)
@@ -196,7 +174,7 @@ def flood(spark, sf):
 # --- whole plans ---------------------------------------------------------------------------------
 
 
-@query("G13_street_graph_edges")
+@query("G13_street_graph_edges", uses=("fx_streets",), sql=f"WITH RECURSIVE {STREET_GRAPH} SELECT u, v, k, CAST(vertices AS INT) AS vertices, round(slope, 6) AS slope, round(CAST(width AS DOUBLE), 6) AS width FROM edge")
 def graph_edges(spark, sf):
     cells, grid = grid_of(spark, sf)
     _, edges = reconstruct.street_graph_of(cells, grid)
