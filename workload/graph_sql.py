@@ -1,10 +1,9 @@
-"""The street graph of a raster in SQL: ordered lines by keyed recursion, marches, clipping, snapping, contraction."""
+"""The street graph of a raster in SQL: ordered lines by keyed recursion, marches, clipping, snapping, contraction, radii."""
 
-from cobblestone.functions import lattice
-from workload.q_morphology import AROUND8, CROSS5, CROSSROADS_SQL, KEY, PASSES, labels_sql, thinning_sql
+from cobblestone.functions import geodesy
+from workload.q_morphology import AROUND8, CROSS5, CROSSROADS_SQL, KEY, PASSES, thinning_sql
 
 TILE_H, TILE_W = 150, 200
-ORTHOGONAL4 = "(VALUES " + ", ".join(f"({i}, {j})" for i, j in lattice.ORTHOGONAL) + ") o(di, dj)"
 
 
 def tiled_labels_sql(source: str, name: str) -> str:
@@ -71,8 +70,12 @@ ordered AS MATERIALIZED (SELECT w.tile_row, w.tile_col, w.street, CAST(row_numbe
 
 #: the raster without specks and pinholes
 CLEAN = (
-    labels_sql("fx_streets", "object", ORTHOGONAL4),
-    "large AS MATERIALIZED (SELECT row, col FROM object JOIN (SELECT label FROM object GROUP BY label HAVING count(*) >= 10) b USING (label))",
+    # runs of a row; nine steps from run to run show at least ten cells of any object that has as many
+    """run AS MATERIALIZED (SELECT row_number() OVER () AS id, row, min(col) AS c0, max(col) AS c1, count(*) AS cells FROM (SELECT row, col, col - row_number() OVER (PARTITION BY row ORDER BY col) AS g FROM fx_streets) q GROUP BY row, g),
+touching AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM run a JOIN run b ON abs(a.row - b.row) = 1 AND a.c0 <= b.c1 AND b.c0 <= a.c1)""",
+    """around(root, id, step) USING KEY (root, id) AS (SELECT id, id, 0 FROM run WHERE cells < 10
+  UNION SELECT n.root, t.b, n.step + 1 FROM around n JOIN touching t ON t.a = n.id LEFT JOIN recurring.around r ON r.root = n.root AND r.id = t.b WHERE n.step < 9 AND r.id IS NULL GROUP BY n.root, t.b, n.step)""",
+    """large AS MATERIALIZED (SELECT row, unnest(generate_series(c0, c1)) AS col FROM run JOIN (SELECT root AS id FROM around JOIN run USING (id) GROUP BY root HAVING sum(cells) >= 10 UNION ALL SELECT id FROM run WHERE cells >= 10) k USING (id))""",
     f"grown AS MATERIALIZED (SELECT DISTINCT row + di AS row, col + dj AS col FROM large, {CROSS5}, size WHERE row + di BETWEEN 0 AND h - 1 AND col + dj BETWEEN 0 AND w - 1)",
     f"""mask AS MATERIALIZED (SELECT q.row, q.col, coalesce(any_value(f.altitude), 0e0) AS altitude FROM (
   SELECT row, col FROM (SELECT g.row + di AS row, g.col + dj AS col FROM grown g, {CROSS5}) v, size WHERE row BETWEEN 0 AND h - 1 AND col BETWEEN 0 AND w - 1 GROUP BY row, col
@@ -127,4 +130,48 @@ bent AS MATERIALIZED (SELECT coalesce(a.winner, u) AS u, coalesce(b.winner, v) A
 edge AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY u, v ORDER BY ou, ov, ok) - 1 AS k FROM bent WHERE u <> v),
 node AS MATERIALIZED (SELECT * FROM raw_nodes WHERE node_id IN (SELECT winner FROM winner UNION SELECT u FROM bent UNION SELECT v FROM bent) OR (SELECT count(*) FROM winner) = 0)"""
 
+LAT0, LON0 = 50.0, 19.0
+
+
+def degrees_sql(y: str, x: str) -> tuple[str, str]:
+    """Latitude and longitude of a raster position."""
+    return f"({LAT0} - {y} * 1e0 / 111132e0)", f"({LON0} + {x} * 1e0 / (111412e0 * cos(radians({LAT0}))))"
+
+
+def metres_sql(source: str, keep: str) -> str:
+    """Positions (``keep``, y, x) of a raster in metres of UTM zone 34: (``keep``, mx, my)."""
+    lat, lon = degrees_sql("y", "x")
+    scale, e = repr(geodesy.UTM_SCALE * geodesy.RECTIFYING_RADIUS), repr(geodesy.ECCENTRICITY_LIKE)
+    xs = " + ".join(f"CAST({a!r} AS DOUBLE) * cos({2 * (j + 1)} * xi) * sinh({2 * (j + 1)} * eta)" for j, a in enumerate(geodesy.ALPHA))
+    ys = " + ".join(f"CAST({a!r} AS DOUBLE) * sin({2 * (j + 1)} * xi) * cosh({2 * (j + 1)} * eta)" for j, a in enumerate(geodesy.ALPHA))
+    return f"""SELECT {keep}, 500000 + {scale} * (eta + {xs}) AS mx, {scale} * (xi + {ys}) AS my
+  FROM (SELECT *, atan2(t, cos(dl)) AS xi, atanh(sin(dl) / sqrt(1 + t * t)) AS eta FROM (SELECT *, radians(lon) - radians(21e0) AS dl, sinh(atanh(sin(radians(lat))) - {e} * atanh({e} * sin(radians(lat)))) AS t
+    FROM (SELECT *, {lat} AS lat, {lon} AS lon FROM {source}) g) h) i"""
+
+
+def _gap(a: str, b: str) -> str:
+    return f"sqrt(({b}x - {a}x) * ({b}x - {a}x) + ({b}y - {a}y) * ({b}y - {a}y))"
+
+
+#: ``radii``: the radius between every two neighbours of a node, 10 m along their edges
+RADII = f"""corners AS (SELECT {T}, piece, position - min(position) OVER s AS i, r + enter * dr AS y, c + enter * dc AS x FROM pieced WINDOW s AS (PARTITION BY {T}, piece)
+  UNION ALL SELECT {T}, piece, vertices - 1, qy, qx FROM pieces),
+placed AS (SELECT e.u, e.v, e.k, c.i, CASE WHEN c.i = 0 THEN a.y WHEN c.i = e.vertices - 1 THEN b.y ELSE c.y END AS y, CASE WHEN c.i = 0 THEN a.x WHEN c.i = e.vertices - 1 THEN b.x ELSE c.x END AS x
+  FROM edge e JOIN corners c USING ({T}, piece) JOIN raw_nodes a ON a.node_id = e.u JOIN raw_nodes b ON b.node_id = e.v),
+metric AS MATERIALIZED ({metres_sql('placed', 'u, v, k, i')}),
+spot AS MATERIALIZED ({metres_sql('node', 'node_id')}),
+stretch AS (SELECT m.*, lead(mx) OVER w AS nx, lead(my) OVER w AS ny FROM metric m WINDOW w AS (PARTITION BY u, v, k ORDER BY i)),
+bits AS (SELECT u, v, k, i, mx AS ax, my AS ay, nx AS ex, ny AS ey, {_gap('m', 'n')} AS d FROM stretch WHERE nx IS NOT NULL),
+summed AS MATERIALIZED (SELECT *, sum(d) OVER (PARTITION BY u, v, k ORDER BY i) - d AS gone, sum(d) OVER (PARTITION BY u, v, k) AS total FROM bits WHERE d > 0),
+way AS (SELECT node, n, u, v, k FROM (SELECT *, row_number() OVER (PARTITION BY node, n ORDER BY rank, k) AS rn FROM (
+  SELECT u AS node, v AS n, 0 AS rank, u, v, k FROM edge UNION ALL SELECT v, u, 1, u, v, k FROM edge) a) b WHERE rn = 1),
+aims AS (SELECT w.node, w.n, s.*, a.mx AS qx, a.my AS qy, CASE WHEN w.node = w.u THEN CASE WHEN total < 10 THEN total / 2 ELSE 10 END ELSE total - CASE WHEN total < 10 THEN total / 2 ELSE 10 END END AS aim
+  FROM way w JOIN summed s USING (u, v, k) JOIN spot a ON a.node_id = w.node),
+arm AS MATERIALIZED (SELECT node, n, qx, qy, ax + share * ex - share * ax AS px, ay + share * ey - share * ay AS py FROM (SELECT *, (aim - gone) / d AS share FROM aims) f WHERE gone < aim AND aim <= gone + d),
+sides AS (SELECT a.node, a.n AS n1, b.n AS n2, sqrt((a.px - a.qx) ** 2 + (a.py - a.qy) ** 2) AS a, sqrt((b.px - b.qx) ** 2 + (b.py - b.qy) ** 2) AS b, sqrt((a.px - b.px) ** 2 + (a.py - b.py) ** 2) AS c FROM arm a JOIN arm b ON a.node = b.node AND a.n < b.n),
+halves AS (SELECT *, (a + b + c) / 2 AS s FROM sides),
+areas AS (SELECT *, s * (s - a) * (s - b) * (s - c) AS sq FROM halves),
+degree AS (SELECT node, count(*) AS degree FROM (SELECT u AS node FROM edge UNION ALL SELECT v FROM edge) d GROUP BY node),
+radii AS MATERIALIZED (SELECT node, n1, n2, CASE WHEN degree <= 2 THEN 'street' ELSE 'junction' END AS kind, CASE WHEN least(a, b, c) < 1e-9 OR sq <= 1e-16 THEN CAST('Infinity' AS DOUBLE) ELSE a * b * c / (4 * sqrt(sq)) END AS radius FROM areas JOIN degree USING (node))"""
+
 STREET_GRAPH = ",\n".join([thinning_sql(PASSES, source="mask", before=CLEAN), FOUND, LINES, METRICS, GRAPH, SNAPPED])

@@ -8,7 +8,7 @@ from cobblestone.plans import reconstruct
 from cobblestone.session import cut_lineage, scratch_path
 from cobblestone.sources import geojson
 from workload.fixtures import view
-from workload.graph_sql import DISCOVERY, JUNCTIONS, LINES, STREET_GRAPH, TILE_H, TILE_W
+from workload.graph_sql import DISCOVERY, JUNCTIONS, LINES, RADII, STREET_GRAPH, TILE_H, TILE_W, degrees_sql
 from workload.q_morphology import BORDER, SIZE, labels_sql, skeleton_of, streets_of
 from workload.registry import query
 from workload.sqltext import dist
@@ -181,24 +181,34 @@ def graph_edges(spark, sf):
     return edges.select("u", "v", "k", F.size("geometry").alias("vertices"), F.round("slope", 6).alias("slope"), F.round("width", 6).alias("width"))
 
 
-@query("G13_street_graph_nodes")
+@query("G13_street_graph_nodes", uses=("fx_streets",), sql=f"WITH RECURSIVE {STREET_GRAPH} SELECT node_id, type, round({degrees_sql('y', 'x')[0]}, 9) AS lat, round({degrees_sql('y', 'x')[1]}, 9) AS lon FROM node")
 def graph_nodes(spark, sf):
     cells, grid = grid_of(spark, sf)
     nodes, _ = reconstruct.street_graph_of(cells, grid)
     return nodes.select("node_id", "type", F.round("y", 9).alias("lat"), F.round("x", 9).alias("lon"))
 
 
-@query("G15_A14_analysis")
+@query("G15_A14_analysis", uses=("fx_streets",), sql=f"""WITH RECURSIVE {STREET_GRAPH}, {RADII}
+SELECT CASE WHEN radius > 1000 THEN 'straight' WHEN radius <= 30 THEN 'sharp' ELSE 'gentle' END AS turn_class, count(*) AS turns, CASE WHEN max(radius) <= 1000 THEN round(avg(radius), 3) END AS value FROM radii GROUP BY 1
+UNION ALL SELECT 'mean slope', count(slope), round(avg(slope), 6) FROM edge""")
 def analysis(spark, sf):
     cells, grid = grid_of(spark, sf)
     out = reconstruct.analyse(cells, grid)
     report = curvature.radius_report(out.radii)
     slopes = curvature.mean_slope(out.steepness)
-    return report.select("turn_class", "turns", F.round("mean_radius", 3).alias("value")).union(
-        slopes.select(F.lit("mean slope"), "edges", F.round("mean_slope", 6)))
+    # the radii of nearly straight turns are huge and ill-conditioned: counted only
+    mean = F.when(F.col("turn_class") != "straight", F.round("mean_radius", 3))
+    return report.select("turn_class", "turns", mean.alias("value")).union(slopes.select(F.lit("mean slope"), "edges", F.round("mean_slope", 6)))
 
 
-@query("S12_graph_round_trip")
+@query("A14_radii_of_the_graph", uses=("fx_streets",), sql=f"WITH RECURSIVE {STREET_GRAPH}, {RADII} SELECT node, n1, n2, kind, round(least(radius, 1000), 3) AS radius FROM radii")
+def radii_of_the_graph(spark, sf):
+    cells, grid = grid_of(spark, sf)
+    radii = reconstruct.analyse(cells, grid).radii
+    return radii.select("node", "n1", "n2", "kind", F.round(F.least("radius", F.lit(1000.0)), 3).alias("radius"))
+
+
+@query("S12_graph_round_trip", uses=("fx_streets",), sql=f"WITH RECURSIVE {STREET_GRAPH} SELECT u, v, k, CAST(vertices AS INT) AS vertices FROM edge")
 def graph_round_trip(spark, sf):
     cells, grid = grid_of(spark, sf)
     nodes, edges = reconstruct.snapped_graph(cells, grid)
