@@ -178,8 +178,8 @@ def _ordered(nodes: DataFrame, limit: _Threshold) -> DataFrame:
 
 
 def _first_lists(ordered: DataFrame) -> DataFrame:
-    """(key, node): a list per value that is among the first of some nodes'."""
-    return ordered.select("node", F.explode(F.slice("common", 1, F.size("common") - F.col("least") + 1)).alias("key"))
+    """(node, place, key): a list per value that is among the first of some nodes', ``place`` of them before it."""
+    return ordered.select("node", F.posexplode(F.slice("common", 1, F.size("common") - F.col("least") + 1)).alias("place", "key"))
 
 
 def _ends(lists: DataFrame) -> DataFrame:
@@ -217,18 +217,19 @@ def _confirmed(pairs: DataFrame, ordered: DataFrame, own: DataFrame, limit: _Thr
 
 
 def _crossing(lists: DataFrame, ordered: DataFrame, limit: _Threshold) -> DataFrame:
-    """Pairs (a, b) of one list (key, members, node, component) in different components that sizes and bitmaps let be similar.
+    """Pairs (a, b) of a list (key, members, node, place, component) in different components that sizes and bitmaps let be similar.
 
-    Two blocks of a list meet in a cell of their own."""
+    Two blocks of a list meet in a cell of their own, and a pair is named by the first list that both are in."""
     blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
     placed = lists.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    cells = placed.select("key", "node", "component", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    cells = cells.join(ordered.select("node", "n", *_MAP), "node")
-    a, b = (cells.select("key", "lo", "hi", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "component", "block", "n", *_MAP))) for s in "ab")
+    cells = placed.select("key", "node", "place", "component", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    cells = cells.join(ordered.select("node", "n", "common", *_MAP), "node").withColumn("before", F.slice("common", 1, F.col("place")))
+    columns = ("node", "component", "block", "n", "before", *_MAP)
+    a, b = (cells.select("key", "lo", "hi", *(F.col(c).alias(f"{c}_{s}") for c in columns)) for s in "ab")
     placed_so = (F.col("block_a") == F.col("lo")) & (F.col("block_b") == F.col("hi"))
     once = (F.col("lo") < F.col("hi")) | (F.col("node_a") < F.col("node_b"))
-    apart = (F.col("component_a") != F.col("component_b")) & limit.possible("a", "b")
+    apart = (F.col("component_a") != F.col("component_b")) & limit.possible("a", "b") & ~F.arrays_overlap("before_a", "before_b")
     return a.join(b, ["key", "lo", "hi"]).where(placed_so & once & apart).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
