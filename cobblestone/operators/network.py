@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cobblestone.functions import geodesy, planar, tags
 from cobblestone.operators.ordered import number_rows
@@ -85,29 +85,34 @@ def degrees(edges: DataFrame) -> DataFrame:
     )
 
 
-def adjacency_list(edges: DataFrame, chunk: int = 100_000) -> DataFrame:
-    """Neighbour arrays per node (A8): (u, part, neighbours).
+def adjacency_list(edges: DataFrame) -> DataFrame:
+    """Neighbour lists (A8) as rows (u, v, place), ``place`` counting a node's neighbours from 0 in order.
 
-    A node's list is one row (part 0) up to ``chunk`` neighbours; a larger hub is
-    spread by target over several rows, so no row or task holds an unbounded list.
+    Rows are range-partitioned by (u, v), so the list of a hub goes over as many partitions as it needs; a node's list is a
+    run of consecutive rows, and no row or task holds an unbounded array.
     """
-    out = edges.groupBy("u").agg(F.count("*").alias("n"))
-    parts = F.ceil(F.col("n") / chunk).cast("int")
-    keyed = edges.select("u", "v").join(out, "u").select("u", "v", F.pmod(F.hash("v"), parts).alias("part"))
-    return keyed.groupBy("u", "part").agg(F.sort_array(F.collect_list("v")).alias("neighbours"))
+    ranged = _ranged(edges.select("u", "v"), "u", "v")
+    within = Window.partitionBy("_part", "u").orderBy("v")
+    numbered = ranged.withColumn("_i", F.row_number().over(within) - 1)
+    # what earlier partitions hold of a node: a row per partition and node at its edge
+    sizes = ranged.groupBy("u", "_part").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy("u").orderBy("_part")) - F.col("_n")).where("_before > 0")
+    joined = numbered.join(before.drop("_n"), ["u", "_part"], "left")
+    return joined.select("u", "v", (F.col("_i") + F.coalesce("_before", F.lit(0))).alias("place"))
 
 
-def dense_index(nodes: DataFrame, buckets: int = 64) -> DataFrame:
+def _ranged(rows: DataFrame, *order: str) -> DataFrame:
+    """Rows cut into ranges of ``order`` of about equal size, numbered ``_part``; written, so that the cuts are made once."""
+    return cut_lineage(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+
+
+def dense_index(nodes: DataFrame) -> DataFrame:
     """node_id to 0..n-1 in id order, without one global window.
 
-    Approximate quantiles cut the ids into buckets of similar size; each bucket is
-    numbered on its own and shifted by the sizes of the buckets before it (a table
-    of ``buckets`` rows). The cuts only balance the work, they do not affect the result.
+    Ids are cut into ranges of similar size; each is numbered on its own and shifted by the sizes of the ranges before it
+    (a table with a row per range).
     """
-    cuts = nodes.approxQuantile("node_id", [i / buckets for i in range(1, buckets)], 0.005)
-    bounds = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))])
-    bucket = F.size(F.filter(bounds, lambda b: b <= F.col("node_id")))
-    return number_rows(nodes.select("node_id", bucket.alias("bucket")), "bucket", "node_id", "node_index")
+    return number_rows(_ranged(nodes.select("node_id"), "node_id"), "_part", "node_id", "node_index")
 
 
 def adjacency_matrix(edges: DataFrame, index: DataFrame) -> DataFrame:

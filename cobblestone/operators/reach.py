@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cobblestone.functions import lattice
@@ -9,22 +11,46 @@ from cobblestone.operators import components
 from cobblestone.session import cut_lineage
 
 
-def reachable(cells: DataFrame, handles: DataFrame, predicate: Column) -> DataFrame:
-    """Street cells a 4-neighbour flood visits from each handle: (handle_id, row, col).
+@dataclass(frozen=True)
+class Flood:
+    """What floods reach (G16), in rows linear in cells and handles.
+
+    ``handles`` is (handle_id, row, col, label), the component each flood is in (null where it stops at once); ``cells`` is
+    (label, row, col), the component's cells and the cells around it that are visited but pass nothing on.
+    """
+
+    handles: DataFrame
+    cells: DataFrame
+
+    def sizes(self) -> DataFrame:
+        """Cells visited from each handle: (handle_id, cells)."""
+        counts = self.cells.groupBy("label").agg(F.count("*").alias("cells"))
+        return self.handles.join(counts, "label", "left").select("handle_id", F.coalesce("cells", F.lit(1)).alias("cells"))
+
+    def visited(self) -> DataFrame:
+        """Every cell of every flood: (handle_id, row, col)."""
+        alone = self.handles.where("label is null").select("handle_id", "row", "col")
+        return alone.union(self.handles.select("handle_id", "label").join(self.cells, "label").select("handle_id", "row", "col"))
+
+
+def flood(cells: DataFrame, handles: DataFrame, predicate: Column) -> Flood:
+    """Street cells a 4-neighbour flood visits from each handle (handle_id, row, col).
 
     A visited cell passes the flood on only where ``predicate`` holds (a Column over
     the cell's columns). What passes it on is one component of the passing cells, so
     the flood takes the few rounds of component labelling instead of one per step.
     """
+    street = cells.select("row", "col")
     passing = components.label_cells(cells.where(predicate).select("row", "col"), lattice.ORTHOGONAL)
-    passing = cut_lineage(passing, "passing")
-    start = handles.join(cells.select("row", "col"), ["row", "col"], "left_semi")
-    begun = start.join(passing, ["row", "col"]).select("handle_id", "label")
-    inner = begun.join(passing, "label").select("handle_id", "row", "col")
-    rim = lattice.spread(inner, lattice.ORTHOGONAL, "handle_id").select("handle_id", "row", "col").join(
-        cells.select("row", "col"), ["row", "col"], "left_semi"
-    )
-    return start.select("handle_id", "row", "col").union(inner).unionByName(rim).distinct()
+    passing = cut_lineage(passing.select("label", "row", "col"), "passing")
+    rim = lattice.spread(passing, lattice.ORTHOGONAL, "label").select("label", "row", "col").join(street, ["row", "col"], "left_semi")
+    starts = handles.join(street, ["row", "col"], "left_semi").join(passing, ["row", "col"], "left")
+    return Flood(starts.select("handle_id", "row", "col", "label"), passing.unionByName(rim).distinct())
+
+
+def reachable(cells: DataFrame, handles: DataFrame, predicate: Column) -> DataFrame:
+    """Every cell of every flood: (handle_id, row, col); handles times the cells of their components."""
+    return flood(cells, handles, predicate).visited()
 
 
 def opposite_cells(borders: DataFrame, height: int, width: int, first_reach: int = 4) -> DataFrame:

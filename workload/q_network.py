@@ -83,10 +83,10 @@ def degrees(spark, sf):
 
 
 @query("A8_adjacency_list", uses=("fx_edges",), sql="""
-SELECT u, 0 AS part, array_to_string(list_sort(list(v)), ',') AS neighbours FROM fx_edges GROUP BY u""")
+SELECT u, v, row_number() OVER (PARTITION BY u ORDER BY v) - 1 AS place FROM (SELECT u, v FROM fx_edges UNION ALL SELECT v, u FROM fx_edges) e""")
 def adjacency_list(spark, sf):
-    return network.adjacency_list(edges_of(spark, sf)).withColumn(
-        "neighbours", F.array_join(F.col("neighbours").cast("array<string>"), ","))
+    edges = edges_of(spark, sf).select("u", "v")
+    return network.adjacency_list(edges.union(edges.select("v", "u")))
 
 
 @query("A8_adjacency_matrix", uses=("fx_nodes", "fx_edges"), sql="""

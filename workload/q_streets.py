@@ -159,16 +159,30 @@ def opposite(spark, sf):
     return reach.opposite_cells(borders, h, w).select("row", "col", "distance", "to_row", "to_col")
 
 
+def flooded(spark, sf):
+    handles = view(spark, sf, "fx_nodes").where("c_mktsegment = 'HOUSEHOLD'").select(
+        F.col("node_id").alias("handle_id"), (F.col("lr") * 16).alias("row"), (F.col("lc") * 16).alias("col"))
+    return reach.flood(view(spark, sf, "fx_streets"), handles, (F.col("row") % 16 != 15) & (F.col("col") % 16 != 15))
+
+
 @query("G16_U2_flood", uses=("fx_streets", "fx_nodes"), sql="""WITH RECURSIVE handle AS (SELECT n.node_id AS handle_id, n.lr * 16 AS row, n.lc * 16 AS col FROM fx_nodes n JOIN fx_streets s ON s.row = n.lr * 16 AND s.col = n.lc * 16 WHERE n.c_mktsegment = 'HOUSEHOLD'),
 flood AS (SELECT handle_id, row, col FROM handle UNION
   SELECT f.handle_id, s.row, s.col FROM flood f, (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) o(di, dj), fx_streets s
   WHERE f.row % 16 <> 15 AND f.col % 16 <> 15 AND s.row = f.row + di AND s.col = f.col + dj)
 SELECT handle_id, row, col FROM flood""")
 def flood(spark, sf):
-    cells = view(spark, sf, "fx_streets")
-    handles = view(spark, sf, "fx_nodes").where("c_mktsegment = 'HOUSEHOLD'").select(
-        F.col("node_id").alias("handle_id"), (F.col("lr") * 16).alias("row"), (F.col("lc") * 16).alias("col"))
-    return reach.reachable(cells, handles, (F.col("row") % 16 != 15) & (F.col("col") % 16 != 15))
+    return flooded(spark, sf).visited()
+
+
+@query("G16_flood_components", uses=("fx_streets", "fx_nodes"), sql=f"""WITH RECURSIVE pass AS (SELECT row, col FROM fx_streets WHERE row % 16 <> 15 AND col % 16 <> 15),
+{labels_sql('pass', 'lab', '(VALUES (-1, 0), (0, -1), (0, 1), (1, 0)) o(di, dj)')},
+visited AS (SELECT label, row, col FROM lab UNION SELECT l.label, s.row, s.col FROM lab l, (VALUES (-1, 0), (0, -1), (0, 1), (1, 0)) o(di, dj), fx_streets s WHERE s.row = l.row + di AND s.col = l.col + dj)
+SELECT 'cell' AS kind, CAST(NULL AS BIGINT) AS handle_id, label, row, col FROM visited
+UNION ALL SELECT 'handle', n.node_id, l.label, s.row, s.col FROM fx_nodes n JOIN fx_streets s ON s.row = n.lr * 16 AND s.col = n.lc * 16 LEFT JOIN lab l ON l.row = s.row AND l.col = s.col WHERE n.c_mktsegment = 'HOUSEHOLD'""")
+def flood_components(spark, sf):
+    out = flooded(spark, sf)
+    cells = out.cells.select(F.lit("cell").alias("kind"), F.lit(None).cast("bigint").alias("handle_id"), "label", "row", "col")
+    return cells.unionByName(out.handles.withColumn("kind", F.lit("handle")))
 
 
 # --- whole plans ---------------------------------------------------------------------------------
