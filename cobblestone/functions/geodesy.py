@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, functions as F
 
 # Mean earth radius, metres per degree, ellipsoid and projection parameters.
@@ -109,6 +110,20 @@ def to_geographic(x: Column, y: Column, epsg: Column) -> Column:
     return F.struct(F.degrees(lon).alias("x"), F.degrees(lat).alias("y"))
 
 
+def degrees_of(x: np.ndarray, y: np.ndarray, epsg: int) -> tuple[np.ndarray, np.ndarray]:
+    """Longitudes and latitudes of positions in metres, as ``to_geographic`` gives them, for whole tiles."""
+    national = epsg == EPSG_2180
+    meridian = math.radians(EPSG_2180_CENTRAL_MERIDIAN if national else (epsg % 100) * 6.0 - 183.0)
+    size = (EPSG_2180_SCALE if national else UTM_SCALE) * RECTIFYING_RADIUS
+    northing = EPSG_2180_FALSE_NORTHING if national else UTM_FALSE_NORTHING_SOUTH if epsg >= 32700 else 0.0
+    xi, eta = (y - northing) / size, (x - UTM_FALSE_EASTING) / size
+    xi0 = xi - _sum([b * np.sin(2 * (j + 1) * xi) * np.cosh(2 * (j + 1) * eta) for j, b in enumerate(BETA)])
+    eta0 = eta - _sum([b * np.cos(2 * (j + 1) * xi) * np.sinh(2 * (j + 1) * eta) for j, b in enumerate(BETA)])
+    chi = np.arcsin(np.sin(xi0) / np.cosh(eta0))
+    lat = chi + _sum([d * np.sin(2 * (j + 1) * chi) for j, d in enumerate(DELTA)])
+    return np.degrees(meridian + np.arctan2(np.sinh(eta0), np.cos(xi0))), np.degrees(lat)
+
+
 def is_metric(x: Column) -> Column:
     """Whether an origin is in metres rather than degrees (used when no EPSG code is given)."""
     return ~x.between(-180.0, 180.0)

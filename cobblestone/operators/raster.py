@@ -26,10 +26,10 @@ def street_pieces(edges: DataFrame, *keep: str) -> DataFrame:
     return flat.select(*keep, "x1", "y1", "x2", "y2", (dy * half).alias("nx"), (-dx * half).alias("ny"))
 
 
-def piece_bounds(pieces: DataFrame) -> DataFrame:
-    """Total bounds of the street polygons (A1), one row."""
+def piece_bounds(pieces: DataFrame, *by: str) -> DataFrame:
+    """Total bounds of the street polygons (A1), one row; a row per value of ``by`` if given."""
     wx, wy = F.abs("nx"), F.abs("ny")
-    return pieces.agg(
+    return pieces.groupBy(*by).agg(
         F.min(F.least("x1", "x2") - wx).alias("min_x"), F.min(F.least("y1", "y2") - wy).alias("min_y"),
         F.max(F.greatest("x1", "x2") + wx).alias("max_x"), F.max(F.greatest("y1", "y2") + wy).alias("max_y"),
     )
@@ -44,9 +44,11 @@ def _corners():
     return [(x1 + nx, y1 + ny), (x2 + nx, y2 + ny), (x2 - nx, y2 - ny), (x1 - nx, y1 - ny)]
 
 
-def touched_cells(framed: DataFrame, density: float, *keys: str) -> DataFrame:
+def touched_cells(framed: DataFrame, density: float | Column, *keys: str) -> DataFrame:
     """Every raster cell a street piece touches (all-touched), once per frame.
 
+    ``density`` may be a column of the frame, so that frames of different density are one job.
+
     A frame is an origin (ox, oy: upper left), a clip box (cx0 .. cy1) and a shape
     (h, w). A rectangle is convex, so within one raster row it covers one run of
     columns: rows are exploded, the run follows in closed form, and the work is
@@ -136,11 +138,18 @@ def rasterise_segments(
     a street inside the segment's box counts. ``keep`` names columns of the pieces that
     stay with their cells.
     """
-    bounds = piece_bounds(pieces).withColumns({
-        "sw": F.least(F.lit(segment_w), F.ceil((F.col("max_x") - F.col("min_x")) / density).cast("int")),
-        "sh": F.least(F.lit(segment_h), F.ceil((F.col("max_y") - F.col("min_y")) / density).cast("int")),
+    sizes = {"density": F.lit(float(density)), "segment_h": F.lit(segment_h), "segment_w": F.lit(segment_w)}
+    joined = pieces.join(F.broadcast(piece_bounds(pieces).withColumns(sizes)))  # one row
+    return touched_cells(_segment_frames(joined), F.col("density"), "seg_row", "seg_col", *keep)
+
+
+def _segment_frames(joined: DataFrame) -> DataFrame:
+    """Pieces with the bounds, density and segment size of their raster, once per segment they may touch, with its frame."""
+    density = F.col("density")
+    joined = joined.withColumns({
+        "sw": F.least("segment_w", F.ceil((F.col("max_x") - F.col("min_x")) / density).cast("int")),
+        "sh": F.least("segment_h", F.ceil((F.col("max_y") - F.col("min_y")) / density).cast("int")),
     })
-    joined = pieces.join(F.broadcast(bounds))  # one row
     wx, wy = F.abs("nx"), F.abs("ny")
 
     def span(low, high, size, limit):
@@ -160,7 +169,7 @@ def rasterise_segments(
             F.col("max_y") - F.greatest("y1", "y2") - wy, F.col("max_y") - F.least("y1", "y2") + wy, step_y,
             F.col("max_y") - F.col("min_y"))),
     )
-    boxed = tiles.withColumns({
+    return tiles.withColumns({
         "cx0": F.col("min_x") + F.col("seg_col") * step_x, "cy1": F.col("max_y") - F.col("seg_row") * step_y,
     }).withColumns({
         "cx1": F.least(F.col("cx0") + step_x, F.col("max_x")), "cy0": F.greatest(F.col("cy1") - step_y, F.col("min_y")),
@@ -169,7 +178,6 @@ def rasterise_segments(
         "w": F.ceil((F.col("cx1") - F.col("cx0")) / density).cast("int"),
         "h": F.ceil((F.col("cy1") - F.col("cy0")) / density).cast("int"),
     })
-    return touched_cells(boxed, density, "seg_row", "seg_col", *keep)
 
 
 # --- tiles and cells --------------------------------------------------------------
