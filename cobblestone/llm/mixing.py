@@ -149,8 +149,13 @@ def dealt(sized: DataFrame, rates: DataFrame, source: str = "source", chunk: int
     """
     parts = F.greatest(F.ceil(F.col("n_docs") / F.lit(chunk)), F.ceil(F.col("source_size") / F.lit(CHUNK_WORDS))).cast("bigint")
     table = rates.select(F.col(source).alias("_s"), "rate", parts.alias("_parts"))
-    different = sized.groupBy(*(F.col(f"`{c}`") for c in sized.columns)).agg(F.count("*").alias("_times"))
-    different = different.withColumn("_order", F.xxhash64(*(F.col(f"`{c}`") for c in sized.columns)))
+    # maps can be neither grouped nor hashed: their text stands for them
+    maps = [f.name for f in sized.schema.fields if "map<" in f.dataType.simpleString()]
+    told = [(F.to_json(F.struct(F.col(f"`{c}`"))) if c in maps else F.col(f"`{c}`")).alias(f"_m{i}" if c in maps else c) for i, c in enumerate(sized.columns)]
+    first = [F.first(F.col(f"`{c}`")).alias(c) for c in maps]
+    different = sized.groupBy(*told).agg(F.count("*").alias("_times"), *first)
+    order = F.xxhash64(*(F.col(f"`_m{i}`" if c in maps else f"`{c}`") for i, c in enumerate(sized.columns)))
+    different = different.select(*(F.col(f"`{c}`") for c in sized.columns), "_times", order.alias("_order"))
     # a row per source, at most MAX_CONSTRAINTS
     joined = different.join(F.broadcast(table), F.col(source).eqNullSafe(F.col("_s")))
     turns = F.sequence(F.lit(0).cast("bigint"), F.least("_times", "_parts") - 1)

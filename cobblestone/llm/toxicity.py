@@ -10,7 +10,7 @@ Training uses a bounded sample: the ``FIT_ROWS`` labelled rows with the smallest
 whole texts of all documents. The model is one weight per bucket, a fixed 2^16 numbers, whatever the corpus.
 
 Nulls: a null text is scored like an empty one; labels other than 0 and 1 and rows without id are not used; a document
-labelled twice counts twice. Without labelled rows every score is 0. Repeated rows are scored alike; an empty table gives
+labelled twice alike counts once, and so does an id that several documents have. Without labelled rows every score is 0. Repeated rows are scored alike; an empty table gives
 an empty result.
 """
 
@@ -154,5 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "
     sample = usable.select(F.col(ident).alias("_id"), F.col(label).cast("int").alias("_label"))
     sample = sample.orderBy(F.xxhash64("_id"), "_id", "_label").limit(rows)
     # the sample has at most ``rows`` rows
-    texts = docs.join(F.broadcast(sample), F.col(ident) == F.col("_id")).select(F.col(text).alias("_text"), "_label")
+    texts = docs.join(F.broadcast(sample), F.col(ident) == F.col("_id")).select("_id", F.col(text).alias("_text"), "_label")
+    # an id that documents share counts once: of its texts the one with the smallest hash
+    texts = texts.groupBy("_id", "_label").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
     return fit(features(texts, "_text", "_label").toArrow())

@@ -56,7 +56,8 @@ def common(a, b):
 
 
 def test_mutated_texts_are_aligned_almost_as_well_as_by_brute_force(spark):
-    """Scattered and block edits of texts up to 1,800 words; a chain of hits may miss few equal words."""
+    """Scattered and block edits of texts up to 1,800 words. A chain of hits may miss few equal words, and up to four that an
+    insertion longer than the band parts from the first or last hit."""
     rng = random.Random(4)
     rows, best = [], {}
     for name, template in TEMPLATES.items():
@@ -75,7 +76,7 @@ def test_mutated_texts_are_aligned_almost_as_well_as_by_brute_force(spark):
     for name, share in best.items():
         found = {x[0]: x[1] for x in got.get(name, [])}
         telling = "{" in TEMPLATES[name]
-        assert telling and not found or max(found.values()) >= share - 0.03, (name, share, found)
+        assert telling and not found or max(found.values()) >= share - 0.02 - 4 / len(plain_text(TEMPLATES[name]).split()), (name, share, found)
 
 
 def test_a_long_text_twice(spark):
