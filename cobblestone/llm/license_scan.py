@@ -245,13 +245,21 @@ def _chain(place: np.ndarray, at: np.ndarray) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def _candidates(place: np.ndarray, at: np.ndarray, length: int) -> Iterator[list[tuple[int, int]]]:
-    """Chains of hits of one template, one for each place in the text where shifts stay together."""
+def _candidates(place: np.ndarray, at: np.ndarray, length: int, least: float) -> Iterator[list[tuple[int, int]]]:
+    """Chains of hits of one template where most shifts stay together; what a chain spans is gone before the next one."""
     order = np.argsort(at - place, kind="stable")
-    shift = (at - place)[order]
-    cuts = np.flatnonzero(np.diff(shift) > max(BAND // 2, length // 4)) + 1
-    for part in np.split(order, cuts):
-        yield _chain(place[part], at[part])
+    place, at = place[order], at[order]
+    width = max(BAND // 2, length // 2)  # less than a copy further on
+    while len(at) >= max(1, least):
+        shift = at - place
+        counts = np.searchsorted(shift, shift + width, "right") - np.arange(len(shift))
+        first = int(counts.argmax())
+        if counts[first] < least:
+            return
+        chain = _chain(place[first : first + counts[first]], at[first : first + counts[first]])
+        yield chain
+        left = (at < chain[0][1]) | (at > chain[-1][1])
+        place, at = place[left], at[left]
 
 
 def align_chain(template: np.ndarray, text: np.ndarray, chain: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -305,9 +313,7 @@ def _matches(words: Words, d: int, index: Index, hashes: np.ndarray, at: np.ndar
     text, found = words.codes()[lo:hi], []
     for name in np.unique(owner).tolist():
         template, own = index.codes[name], owner == name
-        for chain in _candidates(place[own], at[own], len(template)):
-            if len(chain) < SHARE * index.sizes[name]:
-                continue
+        for chain in _candidates(place[own], at[own], len(template), SHARE * index.sizes[name]):
             pairs = align_chain(template, text, chain)
             if pairs and len(pairs) >= coverage * len(template) and _told(pairs, index.telling[name], words, lo):
                 found.append((len(pairs), len(pairs) / len(template), name, pairs[0][1], pairs[-1][1] + 1))
