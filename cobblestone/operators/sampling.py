@@ -6,10 +6,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from cobblestone.functions import lattice
 from cobblestone.operators import raster
+from cobblestone.session import cut_lineage
 
 # Parameters of the reproducible draw (a 31-bit linear congruential step).
 LCG_MULTIPLIER = 1103515245
@@ -69,6 +70,37 @@ def random_cuts(ids: DataFrame, grids: DataFrame, cut_h: int, cut_w: int) -> Dat
     )
 
 
+#: Parts that the range of a weighted draw is cut into, so that it meets its option by an equi-join.
+_PARTS = 1024
+
+
+def weighted_cuts(ids: DataFrame, grids: DataFrame, sizes: list[tuple[int, int]]) -> DataFrame:
+    """A random cut per sample out of all cuts of the given sizes of all cities (M1): (sample_id, city, y0, x0, h, w).
+
+    ``grids`` is (city, city_no, rows, cols). A city and size is drawn in proportion to the number of places it has, and then
+    a place; sizes that do not fit a city are never drawn. Options are as many as cities times sizes; their cumulative
+    weights are ranges that the draws fall into.
+    """
+    size = F.explode(F.array(*[F.struct(F.lit(h).alias("h"), F.lit(w).alias("w")) for h, w in sizes]))
+    options = grids.select("city", "city_no", "rows", "cols", size.alias("s")).select("city", "city_no", "rows", "cols", "s.h", "s.w")
+    places = (F.col("rows") - F.col("h") + 1).cast("bigint") * (F.col("cols") - F.col("w") + 1)
+    options = options.where("rows >= h and cols >= w").withColumn("places", places)
+    up_to = F.sum("places").over(Window.orderBy("city_no", "h", "w"))  # a row per city and size
+    ranged = cut_lineage(options.withColumn("high", up_to).withColumn("low", F.col("high") - F.col("places")), "options")
+    total = ranged.agg(F.max("high").alias("total"))  # one row
+
+    def part(value: Column) -> Column:
+        return F.floor(value * _PARTS / F.col("total"))
+
+    spread = ranged.join(F.broadcast(total)).withColumn("part", F.explode(F.sequence(part(F.col("low")), part(F.col("high") - 1))))
+    number = F.pmod(draw(F.col("sample_id"), 5) * LCG_MODULUS + draw(F.col("sample_id"), 6), F.col("total"))
+    drawn = ids.join(F.broadcast(total)).withColumn("drawn", number).withColumn("part", part(F.col("drawn"))).drop("total")
+    met = drawn.join(spread, "part").where((F.col("low") <= F.col("drawn")) & (F.col("drawn") < F.col("high")))
+    return met.select(
+        "sample_id", "city", draw_between(F.col("sample_id"), 1, F.lit(0), F.col("rows") - F.col("h")).alias("y0"),
+        draw_between(F.col("sample_id"), 2, F.lit(0), F.col("cols") - F.col("w")).alias("x0"), "h", "w")
+
+
 def sample_windows(cuts: DataFrame, shape: SampleShape) -> DataFrame:
     """A random sample window inside every cut, in grid positions (M2)."""
     size, crop = F.lit(shape.size), F.lit(shape.crop)
@@ -115,7 +147,8 @@ def input_channels(inputs: int) -> list[str]:
 def sample_cells(windows: DataFrame, cells: DataFrame, shape: SampleShape, block: int | None = None) -> DataFrame:
     """Samples in sparse form (M2): (sample_id, row, col, is_predicted, x channels, y_ channels of the centre).
 
-    ``cells`` carries a city column when there are several grids.
+    ``cells`` carries a city column when there are several grids. Every position to predict has a row, zero where the
+    raster has no cell; positions of the context without a cell have none.
     """
     block = block or max(shape.size // 2, 8)
     named = windows.withColumnRenamed("sample_id", "cut_id")
@@ -124,7 +157,12 @@ def sample_cells(windows: DataFrame, cells: DataFrame, shape: SampleShape, block
         cut = both.where(F.col("_city") == F.col("city")).drop("_city", "city")
     else:
         cut = raster.cut_cells(named, cells, block)
-    marked = cut.withColumnRenamed("cut_id", "sample_id").withColumn("is_predicted", centre_mask(shape))
+    cut = cut.withColumnRenamed("cut_id", "sample_id")
+    inner = F.sequence(F.lit(shape.crop), F.lit(shape.size - shape.crop - 1))
+    centre = windows.select("sample_id", F.explode(inner).alias("row")).withColumn("col", F.explode(inner))
+    bare = centre.join(cut.select("sample_id", "row", "col"), ["sample_id", "row", "col"], "left_anti")
+    cut = cut.unionByName(bare.select("*", *[F.lit(0).cast(dict(cut.dtypes)[c]).alias(c) for c in cut.columns if c not in ("sample_id", "row", "col")]))
+    marked = cut.withColumn("is_predicted", centre_mask(shape))
     targets = [F.when(F.col("is_predicted") == 1, F.col(c)).alias(f"y_{c}") for c in raster.CHANNELS[: shape.outputs]]
     return hide_predicted(marked.select("*", *targets), shape.inputs).select(
         "sample_id", "row", "col", *input_channels(shape.inputs), *[f"y_{c}" for c in raster.CHANNELS[: shape.outputs]]

@@ -51,6 +51,42 @@ def random_cuts(spark, sf):
     return sampling.random_cuts(ids_of(spark, sf), grids_of(spark, sf), 68, 80).select("sample_id", "y0", "x0", "h", "w")
 
 
+# the noise raster and the drawn streets as two cities of different size, three cut sizes
+SIZES = [(64, 64), (68, 80), (120, 96)]
+CITIES_SQL = f"""grids AS (SELECT 'noise' AS city, 0 AS city_no, side AS rows, side AS cols FROM fx_side UNION ALL SELECT 'streets', 1, max(row) + 1, max(col) + 1 FROM fx_streets),
+options AS (SELECT *, CAST(rows - h + 1 AS BIGINT) * (cols - w + 1) AS places FROM grids, (VALUES {', '.join(map(str, SIZES))}) s(h, w) WHERE rows >= h AND cols >= w),
+ranges AS (SELECT *, CAST(sum(places) OVER (ORDER BY city_no, h, w) AS BIGINT) AS high, CAST(sum(places) OVER () AS BIGINT) AS total FROM options),
+drawn AS (SELECT c_custkey AS sample_id, ({draw_sql(5, 'c_custkey')} * {M} + {draw_sql(6, 'c_custkey')}) % (SELECT any_value(total) FROM ranges) AS r FROM customer),
+cuts AS (SELECT sample_id, city, {between_sql(1, '0', '(rows - h)')} AS y0, {between_sql(2, '0', '(cols - w)')} AS x0, h, w FROM drawn JOIN ranges ON r >= high - places AND r < high)"""
+
+
+def two_cities(spark, sf):
+    """(grids, cells) of both."""
+    streets = view(spark, sf, "fx_streets")
+    size = streets.agg((F.max("row") + 1).alias("rows"), (F.max("col") + 1).alias("cols"))
+    grids = grids_of(spark, sf).unionByName(size.select(F.lit("streets").alias("city"), F.lit(1).alias("city_no"), "rows", "cols"))
+    cells = [df.select(F.lit(name).alias("city"), "row", "col", "is_street", "altitude", "is_residential") for name, df in (("noise", view(spark, sf, "fx_cells")), ("streets", streets))]
+    return grids, cells[0].union(cells[1])
+
+
+@query("M1_weighted_cuts", uses=("fx_side", "fx_streets"), sql=f"WITH {CITIES_SQL} SELECT sample_id, city, y0, x0, h, w FROM cuts")
+def weighted_cuts(spark, sf):
+    return sampling.weighted_cuts(ids_of(spark, sf), two_cities(spark, sf)[0], SIZES)
+
+
+@query("M2_samples_of_many_cities", uses=("fx_side", "fx_streets", "fx_cells"), sql=f"""WITH {CITIES_SQL},
+clips AS (SELECT *, {between_sql(3, '8', '(w - 40)')} AS cx, {between_sql(4, '8', '(h - 40)')} AS cy FROM cuts),
+windows AS (SELECT sample_id, city, y0 + least(CAST(trunc(cy - greatest(least(16, cx, cy, 48), 0) / 2e0) AS INT), h - 48) AS y0, x0 + least(CAST(trunc(cx - greatest(least(16, cx, cy, 48), 0) / 2e0) AS INT), w - 48) AS x0 FROM clips),
+every AS (SELECT 'noise' AS city, row, col, is_street FROM fx_cells UNION ALL SELECT 'streets', row, col, is_street FROM fx_streets),
+c AS (SELECT sample_id, CASE WHEN row - y0 BETWEEN 8 AND 39 AND col - x0 BETWEEN 8 AND 39 THEN 1 ELSE 0 END AS hid, is_street FROM windows w JOIN every e ON e.city = w.city AND row >= y0 AND row < y0 + 48 AND col >= x0 AND col < x0 + 48),
+s AS (SELECT sample_id, sum(CASE WHEN hid = 1 THEN 0 ELSE is_street END) AS xs, sum(CASE WHEN hid = 1 THEN is_street ELSE 0 END) AS ys FROM c GROUP BY sample_id)
+SELECT w.sample_id, w.sample_id // 8 AS batch_id, 48 * 48 * 2 AS x_size, 32 * 32 AS y_size, 1024 + coalesce(xs, 0) AS x_sum, coalesce(ys, 0) AS y_sum FROM windows w LEFT JOIN s USING (sample_id)""")
+def samples_of_many_cities(spark, sf):
+    grids, cells = two_cities(spark, sf)
+    windows = sampling.sample_windows(sampling.weighted_cuts(ids_of(spark, sf), grids, SIZES), ARRAY_SHAPE)
+    return array_summary(sampling.sample_arrays(windows, cells, ARRAY_SHAPE))
+
+
 @query("M2_sample_windows", uses=("fx_side",), sql=f"WITH {SAMPLES} SELECT sample_id, y0, x0 FROM windows")
 def sample_windows(spark, sf):
     return windows_of(spark, sf).select("sample_id", "y0", "x0")
@@ -58,7 +94,10 @@ def sample_windows(spark, sf):
 
 @query("M2_F8_F10_sample_cells", uses=("fx_cells",), sql=f"""WITH {SAMPLES},
 c AS (SELECT sample_id, row - y0 AS row, col - x0 AS col, is_street, altitude, is_residential FROM windows JOIN fx_cells ON row >= y0 AND row < y0 + 48 AND col >= x0 AND col < x0 + 48),
-m AS (SELECT *, CASE WHEN row BETWEEN 8 AND 39 AND col BETWEEN 8 AND 39 THEN 1 ELSE 0 END AS hid FROM c)
+places AS (SELECT sample_id, row, unnest(generate_series(0, 47)) AS col FROM (SELECT sample_id, unnest(generate_series(0, 47)) AS row FROM windows) p),
+h AS (SELECT p.*, coalesce(is_street, 0) AS is_street, coalesce(altitude, 0) AS altitude, coalesce(is_residential, 0) AS is_residential, c.row IS NOT NULL AS there, CASE WHEN p.row BETWEEN 8 AND 39 AND p.col BETWEEN 8 AND 39 THEN 1 ELSE 0 END AS hid
+  FROM places p LEFT JOIN c USING (sample_id, row, col)),
+m AS (SELECT * FROM h WHERE there OR hid = 1)
 SELECT sample_id, CAST(sum(hid) AS BIGINT) AS hidden, count(*) AS cells, sum(CASE WHEN hid = 1 THEN 0 ELSE is_street END) AS x_street, sum(CASE WHEN hid = 1 THEN 0 ELSE is_residential END) AS x_residential, round(sum(altitude), 2) AS x_altitude,
   sum(CASE WHEN hid = 1 THEN is_street END) AS y_street, round(sum(CASE WHEN hid = 1 THEN altitude END), 2) AS y_altitude, sum(CASE WHEN hid = 1 THEN is_residential END) AS y_residential FROM m GROUP BY sample_id""")
 def sample_cells(spark, sf):
