@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cobblestone.operators import raster, sampling
-from cobblestone.plans import city, inference
+from cobblestone.plans import city, inference, training
 from cobblestone.sources import citygrid, grid_meta
 from cobblestone.sources.network import uniform_tags
 from cobblestone.sources import growing_logs
@@ -215,6 +215,24 @@ def test_pieces_of_a_log_hold_every_line_once(tmp_path, piece):
         reader.partitions(end, reader.latestOffset())
 
 
+def test_features_of_tiles_equal_those_of_samples(spark):
+    """What the fitted model sees in tiled inference is what it was trained on."""
+    _, cells = noise(spark, 60, 60)
+    shape = sampling.SampleShape(size=24, surplus=8)
+    windows = spark.createDataFrame([(1, "a", 3, 5, 24, 24), (2, "a", 30, 20, 24, 24)], "sample_id bigint, city string, y0 int, x0 int, h int, w int")
+    samples = sampling.sample_cells(windows, cells, shape)
+    arrays = sampling.sample_arrays(windows, cells, shape).orderBy("sample_id").collect()
+    x = np.stack([np.asarray(r.x, float).reshape(24, 24, shape.inputs) for r in arrays])
+    got = training.tile_features(x, shape)
+    rows = training.border_features(samples, windows, shape).collect()
+    assert len(rows) == 2 * 16 * 16
+    for r in rows:
+        assert [r[c] for c in training.FEATURES] == got[r.sample_id - 1, r.row - 4, r.col - 4].tolist()
+    model = training.StreetModel((1.0, 1.0, 1.0, 1.0, 0.1, 0.1, -0.2), -1.0)
+    y = model(x, shape)
+    assert y.shape == (2, 16, 16, shape.outputs) and ((0 < y[..., 0]) & (y[..., 0] < 1)).all()
+
+
 def test_endless_samples(spark, tmp_path):
     _, cells = noise(spark, 60, 60)
     grids = spark.createDataFrame([("a", 0, 60, 60)], "city string, city_no int, rows int, cols int")

@@ -244,22 +244,70 @@ def evaluation_fragment(spark, sf):
     return report.select("run", *[F.round(c, 6).alias(c) for c in report.columns[1:]])
 
 
-@query("M5_training_baseline")
-def training_baseline(spark, sf):
-    shape = SampleShape(size=48, surplus=16)
+# bands of 128 rows of the drawn streets as cities
+BAND_SHAPE = SampleShape(size=48, surplus=16)
+BANDS = f"""bands AS (SELECT concat('band', n) AS city, n AS city_no, least(128, h - n * 128) AS rows, w AS cols FROM (SELECT unnest(generate_series(0, (h - 48) // 128)) AS n, h, w FROM (SELECT max(row) + 1 AS h, max(col) + 1 AS w FROM fx_streets) s) q WHERE h - n * 128 >= 48),
+options AS (SELECT *, CAST(rows - 47 AS BIGINT) * (cols - 47) AS places FROM bands),
+ranges AS (SELECT *, CAST(sum(places) OVER (ORDER BY city_no) AS BIGINT) AS high, CAST(sum(places) OVER () AS BIGINT) AS total FROM options),
+drawn AS (SELECT s_suppkey AS sample_id, ({draw_sql(5, 's_suppkey')} * {M} + {draw_sql(6, 's_suppkey')}) % (SELECT any_value(total) FROM ranges) AS r FROM supplier),
+cuts AS (SELECT sample_id, city, city_no, {between_sql(1, '0', '(rows - 48)')} AS y0, {between_sql(2, '0', '(cols - 48)')} AS x0 FROM drawn JOIN ranges ON r >= high - places AND r < high),
+clips AS (SELECT *, {between_sql(3, '8', '8')} AS cx, {between_sql(4, '8', '8')} AS cy FROM cuts),
+windows AS (SELECT sample_id, city_no, y0 + least(CAST(trunc(cy - greatest(least(16, cx, cy, 48), 0) / 2e0) AS INT), 0) AS y0, x0 + least(CAST(trunc(cx - greatest(least(16, cx, cy, 48), 0) / 2e0) AS INT), 0) AS x0 FROM clips)"""
+
+
+def banded(spark, sf):
+    """(cities, windows, features) of the bands."""
     cells = view(spark, sf, "fx_streets")
-    s = cells.agg(F.max("row"), F.max("col")).first()
-    grids = grids_of(spark, sf).select("city", "city_no", F.lit(s[0] + 1).alias("rows"), F.lit(s[1] + 1).alias("cols"))
+    size = cells.agg((F.max("row") + 1).alias("h"), (F.max("col") + 1).alias("w"))
+    band = F.floor(F.col("row") / 128).cast("int")
+    cities = size.select("h", "w", F.explode(F.sequence(F.lit(0), F.floor((F.col("h") - 48) / 128).cast("int"))).alias("city_no")).where("h - city_no * 128 >= 48")
+    cities = cities.select(F.concat(F.lit("band"), "city_no").alias("city"), "city_no", F.least(F.lit(128), F.col("h") - F.col("city_no") * 128).alias("rows"), F.col("w").alias("cols"))
+    own = cells.select(F.concat(F.lit("band"), band).alias("city"), (F.col("row") % 128).alias("row"), "col", "is_street", "altitude", "is_residential")
     ids = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("sample_id"))
-    windows = cut_lineage(sampling.sample_windows(sampling.random_cuts(ids, grids, 48, 48), shape), "m5-windows")
-    samples = cut_lineage(sampling.sample_cells(windows, cells, shape), "m5-samples")
-    features = cut_lineage(training.border_features(samples, windows, shape), "m5-features")
-    held_out = F.pmod(F.hash("sample_id"), F.lit(5)) == 0
-    model = training.fit(features.where(~held_out))
-    report = training.evaluate(model, features.where(held_out))
+    windows = cut_lineage(sampling.sample_windows(sampling.weighted_cuts(ids, cities, [(48, 48)]), BAND_SHAPE), "m5-windows")
+    samples = cut_lineage(sampling.sample_cells(windows, own, BAND_SHAPE), "m5-samples")
+    return cities, windows, cut_lineage(training.border_features(samples, windows, BAND_SHAPE), "m5-features")
+
+
+@query("M5_border_features", uses=("fx_streets",), sql=f"""WITH {BANDS},
+street AS (SELECT row // 128 AS city_no, row % 128 AS row, col FROM fx_streets WHERE is_street > 0),
+seen AS (SELECT sample_id, s.row - y0 AS row, s.col - x0 AS col FROM windows w JOIN street s ON s.city_no = w.city_no AND s.row BETWEEN y0 AND y0 + 47 AND s.col BETWEEN x0 AND x0 + 47),
+known AS (SELECT * FROM seen WHERE NOT (row BETWEEN 8 AND 39 AND col BETWEEN 8 AND 39)),
+by_row AS (SELECT sample_id, row, max(CASE WHEN col = 7 THEN 1e0 ELSE 0e0 END) AS "left", max(CASE WHEN col = 40 THEN 1e0 ELSE 0e0 END) AS "right", CAST(count(*) AS DOUBLE) AS row_known FROM known GROUP BY 1, 2),
+by_col AS (SELECT sample_id, col, max(CASE WHEN row = 7 THEN 1e0 ELSE 0e0 END) AS above, max(CASE WHEN row = 40 THEN 1e0 ELSE 0e0 END) AS below, CAST(count(*) AS DOUBLE) AS col_known FROM known GROUP BY 1, 2),
+hidden AS (SELECT sample_id, row, unnest(generate_series(8, 39)) AS col FROM (SELECT sample_id, unnest(generate_series(8, 39)) AS row FROM windows) p)
+SELECT h.sample_id, h.row, h.col, CASE WHEN s.row IS NULL THEN 0e0 ELSE 1e0 END AS label, coalesce("left", 0) AS "left", coalesce("right", 0) AS "right", coalesce(above, 0) AS above, coalesce(below, 0) AS below,
+  coalesce(row_known, 0) AS row_known, coalesce(col_known, 0) AS col_known, CAST(least(h.row - 8, 39 - h.row, h.col - 8, 39 - h.col) AS DOUBLE) AS depth
+FROM hidden h LEFT JOIN seen s USING (sample_id, row, col) LEFT JOIN by_row r ON r.sample_id = h.sample_id AND r.row = h.row LEFT JOIN by_col c ON c.sample_id = h.sample_id AND c.col = h.col""")
+def border_features(spark, sf):
+    return banded(spark, sf)[2].select("sample_id", "row", "col", "label", *training.FEATURES)
+
+
+def fitted(spark, sf):
+    """The model of the cities that are not held out (one in four is), and its validation rows."""
+    cities, windows, features = banded(spark, sf)
+    held_out = sampling.pick_cities(cities, max(1, cities.count() // 4))
+    train, validation = training.by_city(features, windows, held_out)
+    return training.fit(train), validation
+
+
+@query("M5_training_baseline")
+def training_baseline(spark, sf):
+    model, validation = fitted(spark, sf)
+    report = training.evaluate(model, validation)
     return report.select("run", *[F.round(c, 4).alias(c) for c in report.columns[1:]])
 
 
+@query("M6_fitted_inference")
+def fitted_inference(spark, sf):
+    """Inference with the fitted model: cells and street cells by parts of the raster."""
+    model = training.StreetModel.of(fitted(spark, sf)[0])
+    cells, rows, cols = masked_streets(spark, sf)
+    out = inference.predict(cells, rows, cols, TILE_SHAPE, lambda r, c: (F.floor(r / 40) + F.floor(c / 56)) % 2 == 1, model)
+    return out.groupBy(F.floor(F.col("row") / 50).alias("band"), F.floor(F.col("col") / 50).alias("column")).agg(
+        F.count("*").alias("cells"), F.sum("is_street").alias("street_cells"))
+
+
 # --- grid files, tile store, city plans, streams -------------------------------------------------
 
 
