@@ -2,14 +2,14 @@
 
 Texts become lower-case words without ASCII punctuation, and 64-bit hashes of their five-word shingles. For each benchmark
 item of L words, windows of L words of a document are fingerprinted (SimHash over the window's shingles) and looked up in
-a multi-index: of four blocks of 16 bits one at least differs in at most ``RADIUS // 4`` = 3 bits when the fingerprints
-differ in at most ``RADIUS`` = 15. Every item is entered under each block value within 3 bits of its own (697 a block), so
-an equi-join on (L, block, value) meets all pairs within the radius, and 4 in 100 of the others. Pairs within it are
+a multi-index: of four blocks of 16 bits one at least differs in at most ``RADIUS // 4`` = 4 bits when the fingerprints
+differ in at most ``RADIUS`` = 19. Every item is entered under each block value within 4 bits of its own (2,517 a block), so
+an equi-join on (L, block, value) meets all pairs within the radius, and some 15 in 100 of the others. Pairs within it are
 verified by the exact weighted similarity of their shingles, ``sum of least / sum of greatest`` multiplicity, at 0.8 or more.
 
 Windows are laid only where they share a shingle with some item (aligned so that the shared shingle has the same place in
 both): any other window has similarity 0 and could not be verified, so nothing is lost by leaving it out. Two texts with
-similarity 0.8 differ in about 10 of 64 bits; the radius of 15 lies nearly two standard deviations above that.
+similarity 0.8 differ in about 10 of 64 bits; the radius of 19 lies over three standard deviations above that.
 
 The tables made of the benchmark are written first: Spark knows their size and broadcasts them only if they are small.
 Documents without any shared shingle end after one scan; no text is shuffled but those of documents that share one. The
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cobblestone.llm.common import stored, text_key, whole
 
 SHINGLE = 5
-RADIUS = 15
+RADIUS = 19
 BLOCKS = 4
 _WIDTH = 64 // BLOCKS
 #: Block values within reach of 0; one block at least of two fingerprints within ``RADIUS`` differs by one of them.

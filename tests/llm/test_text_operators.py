@@ -287,3 +287,17 @@ def test_blocks_reach_every_fingerprint_within_the_radius():
     for _ in range(2000):
         apart = sum(1 << b for b in rng.sample(range(64), decontaminate.RADIUS))
         assert any(apart >> (width * i) & ((1 << width) - 1) in near for i in range(decontaminate.BLOCKS))
+
+
+def test_edits_at_the_threshold_are_found(spark):
+    """One changed word in items of 49 to 59 words (similarity 0.80 to 0.84): at most one in a hundred may be lost."""
+    rng = random.Random(6)
+    items, texts = [], []
+    for i in range(200):
+        words = ["w%d" % rng.randrange(10**6) for _ in range(rng.randrange(49, 60))]
+        items.append((i, " ".join(words)))
+        words[rng.randrange(5, len(words) - 5)] = "changed"
+        texts.append((i, " ".join(["before"] * 30 + words + ["after"] * 30)))
+    found = decontaminate.contaminated(spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    hits = {(r.doc_id, r.item_id) for r in found.collect()}
+    assert all(a == b for a, b in hits) and len(hits) >= 198
