@@ -1,7 +1,7 @@
 """Segmented v1 grid files as a Spark data source, for reading by segment and writing segments.
 
 ``spark.read.format("citygrid").load(folder_or_file)`` gives one row per cell; a filter
-on seg_row / seg_col / file reads only those byte ranges.
+on seg_row / seg_col / file, or a range of row / col, reads only those byte ranges. Files may lie in any store ``pyarrow.fs`` knows.
 ``tiles.write.format("citygrid").option("rows", ...)...`` writes one file; every task
 writes its own segments' byte ranges, so tasks never wait for each other.
 """
@@ -9,17 +9,27 @@ writes its own segments' byte ranges, so tasks never wait for each other.
 from __future__ import annotations
 
 import math
+import operator
 import os
 import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
+from pyarrow import fs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import (
+    DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual,
+    WriterCommitMessage,
+)
+
+from cobblestone.sources.growing_logs import open_store
 
 # Fixed values of the v1 format: separator, fields, value type, channel names in file order.
 SEPARATOR = ";"
 VALUE_BYTES = 4
 CHANNELS = ("is_street", "altitude", "is_residential")
+SHARE_BYTES = 64 << 20
 
 
 def header_fields(line: bytes) -> dict:
@@ -43,60 +53,95 @@ def segment_range(meta: dict, seg_row: int, seg_col: int) -> tuple[int, int, int
     return meta["start"] + VALUE_BYTES * meta["channels"] * (top * meta["cols"] + h * left), h, w
 
 
-class Segment(InputPartition):
-    def __init__(self, path, meta, seg_row, seg_col):
-        self.path, self.meta, self.seg_row, self.seg_col = path, meta, seg_row, seg_col
+@dataclass
+class Share(InputPartition):
+    """The segments of ``file`` whose number leaves the remainder ``part`` when divided by ``parts``."""
+
+    file: str
+    part: int
+    parts: int
+
+
+_TESTS = {EqualTo: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt, LessThanOrEqual: operator.le}
 
 
 class CityGridReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path, self.wanted = path, {}
+    """Files are listed in the driver, opened by tasks only; a large one is dealt out by its size.
+
+    Equality, ranges and lists on file, seg_row and seg_col are taken over; on row and col they leave out segments that
+    hold no such cell, and Spark still tests the cells.
+    """
+
+    def __init__(self, path: str, share_bytes: int = SHARE_BYTES):
+        self.path, self.share_bytes = path, share_bytes
+        self.wanted: list[tuple[str, Callable, object]] = []
 
     def pushFilters(self, filters):
         for f in filters:
-            if isinstance(f, EqualTo) and f.attribute in (("seg_row",), ("seg_col",), ("file",)):
-                self.wanted[f.attribute[0]] = f.value
+            name = f.attribute[0] if hasattr(f, "attribute") and len(f.attribute) == 1 else None
+            if isinstance(f, In) and name in ("file", "seg_row", "seg_col"):
+                self.wanted.append((name, lambda a, b: a in b, tuple(f.value)))
+            elif type(f) in _TESTS and name in ("file", "seg_row", "seg_col", "row", "col"):
+                self.wanted.append((name, _TESTS[type(f)], f.value))
+                if name in ("row", "col"):
+                    yield f
             else:
                 yield f
 
+    def _passes(self, name: str, value) -> bool:
+        return all(test(value, bound) for n, test, bound in self.wanted if n == name)
+
+    def _may_hold(self, name: str, first: int, last: int) -> bool:
+        """Whether some cell of first .. last can pass the ranges on row or col."""
+        own = [(test, bound) for n, test, bound in self.wanted if n == name]
+        return all(test(first, bound) or test(last, bound) or test is operator.eq and first <= bound <= last for test, bound in own)
+
     def partitions(self):
-        files = [self.path]
-        if os.path.isdir(self.path):
-            files = [os.path.join(self.path, n) for n in sorted(os.listdir(self.path)) if not n.startswith(("_", "."))]
+        store, root = open_store(self.path)
+        info = store.get_file_info(root)
+        infos = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(root))
         out = []
-        for name in files:
-            if self.wanted.get("file", os.path.basename(name)) != os.path.basename(name):
-                continue
-            with open(name, "rb") as handle:
-                meta = header_fields(handle.readline())
-            for r in range(math.ceil(meta["rows"] / meta["segment_h"])):
-                for c in range(math.ceil(meta["cols"] / meta["segment_w"])):
-                    if self.wanted.get("seg_row", r) == r and self.wanted.get("seg_col", c) == c:
-                        out.append(Segment(name, meta, r, c))
+        for info in sorted(infos, key=lambda i: i.path):
+            if info.type == fs.FileType.File and not info.base_name.startswith(("_", ".")) and self._passes("file", info.base_name):
+                parts = max(1, -(-info.size // self.share_bytes))
+                out += [Share(info.path, k, parts) for k in range(parts)]
         return out
 
     def read(self, partition):
         import pyarrow as pa
 
-        if partition is None:  # Spark's stand-in where no segment is left to read
+        if partition is None:  # Spark's stand-in where no file is left to read
             return
-        meta = partition.meta
-        start, h, w = segment_range(meta, partition.seg_row, partition.seg_col)
-        n = meta["channels"]
-        kind = np.dtype("<f4" if meta["byteorder"] == "little" else ">f4")
-        with open(partition.path, "rb") as handle:
-            handle.seek(start)
-            values = np.frombuffer(handle.read(h * w * n * VALUE_BYTES), dtype=kind).astype(np.float32).reshape(h * w, n)
-        row, col = np.divmod(np.arange(h * w, dtype=np.int32), np.int32(w))
-        zeros = np.zeros(h * w, dtype=np.float32)
-        columns = [
-            pa.array([os.path.basename(partition.path)] * (h * w), pa.string()),
-            pa.array(np.full(h * w, partition.seg_row, np.int32)), pa.array(np.full(h * w, partition.seg_col, np.int32)),
-            pa.array((row + partition.seg_row * meta["segment_h"]).astype(np.int32)),
-            pa.array((col + partition.seg_col * meta["segment_w"]).astype(np.int32)),
-            *[pa.array(values[:, k] if k < n else zeros) for k in range(len(CHANNELS))],
-        ]
-        yield pa.RecordBatch.from_arrays(columns, names=["file", "seg_row", "seg_col", "row", "col", *CHANNELS])
+        store, _ = open_store(self.path)
+        with store.open_input_file(partition.file) as handle:
+            head = b""
+            while b"\n" not in head:
+                more = handle.read(256)
+                if not more:
+                    break
+                head += more
+            meta = header_fields(head[: head.find(b"\n") + 1])
+            n, wide = meta["channels"], math.ceil(meta["cols"] / meta["segment_w"])
+            kind = np.dtype("<f4" if meta["byteorder"] == "little" else ">f4")
+            for number in range(partition.part, math.ceil(meta["rows"] / meta["segment_h"]) * wide, partition.parts):
+                seg_row, seg_col = divmod(number, wide)
+                if not (self._passes("seg_row", seg_row) and self._passes("seg_col", seg_col)):
+                    continue
+                start, h, w = segment_range(meta, seg_row, seg_col)
+                top, left = seg_row * meta["segment_h"], seg_col * meta["segment_w"]
+                if not (self._may_hold("row", top, top + h - 1) and self._may_hold("col", left, left + w - 1)):
+                    continue
+                handle.seek(start)
+                values = np.frombuffer(handle.read(h * w * n * VALUE_BYTES), dtype=kind).astype(np.float32).reshape(h * w, n)
+                row, col = np.divmod(np.arange(h * w, dtype=np.int32), np.int32(w))
+                zeros = np.zeros(h * w, dtype=np.float32)
+                columns = [
+                    pa.array([partition.file.rsplit("/", 1)[-1]] * (h * w), pa.string()),
+                    pa.array(np.full(h * w, seg_row, np.int32)), pa.array(np.full(h * w, seg_col, np.int32)),
+                    pa.array((row + top).astype(np.int32)), pa.array((col + left).astype(np.int32)),
+                    *[pa.array(values[:, k] if k < n else zeros) for k in range(len(CHANNELS))],
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["file", "seg_row", "seg_col", "row", "col", *CHANNELS])
 
 
 class SegmentsWritten(WriterCommitMessage):
@@ -155,7 +200,7 @@ class CityGridSource(DataSource):
         return "file string, seg_row int, seg_col int, row int, col int, is_street float, altitude float, is_residential float"
 
     def reader(self, schema):
-        return CityGridReader(self.options["path"].removeprefix("file:"))
+        return CityGridReader(self.options["path"], int(self.options.get("shareBytes", SHARE_BYTES)))
 
     def writer(self, schema, overwrite):
         return CityGridWriter(self.options["path"].removeprefix("file:"), self.options, overwrite)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from cobblestone.sources.growing_logs import open_store
+
 # Fixed values of the v1 grid file: header separator, field count, bytes per cell value.
 SEPARATOR = ";"
 HEADER_FIELDS = 10
@@ -20,8 +22,12 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             out = []
             for name in batch["path"]:
-                with open(name.split(":", 1)[-1].replace("//", "/"), "rb") as handle:
-                    out.append(handle.readline().rstrip(b"\n").decode("latin1"))
+                store, place = open_store(name)
+                with store.open_input_file(place) as handle:
+                    head = b""
+                    while b"\n" not in head and (more := handle.read(256)):
+                        head += more
+                out.append(head.split(b"\n", 1)[0].decode("latin1"))
             yield pd.DataFrame({"path": batch["path"], "header": out})
 
     return listing.mapInPandas(first_lines, "path string, header string")

@@ -9,6 +9,7 @@ it knows. A file that became shorter stops the query: its lines are not what was
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,8 +35,10 @@ class Piece(InputPartition):
 
 
 def open_store(path: str) -> tuple[fs.FileSystem, str]:
-    """File system and place of a URI or a local path."""
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") and ":" not in path else path.replace("file:", "file://", 1))
+    """File system and place of a URI (also ``file:/path``) or a local path."""
+    if "://" not in path and path.startswith("file:"):
+        path = path.removeprefix("file:")
+    return fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
 
 
 def complete_bytes(file, size: int) -> int:

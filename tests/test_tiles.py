@@ -39,6 +39,11 @@ def test_grid_file_round_trip_and_segment_pushdown(spark, tmp_path, order):
     got = np.zeros_like(dense)
     got[back["row"], back["col"]] = back[NAMES]
     assert len(back) == 66 * 50 and np.array_equal(got, dense.astype("float32"))
+    every = [(r.seg_row, r.seg_col, r.row, r.col) for r in spark.read.format("citygrid").load(path).collect()]
+    for test, keep in (("seg_row in (0, 2) and seg_col >= 1", lambda a, b, r, c: a in (0, 2) and b >= 1), ("row > 7 and col <= 12", lambda a, b, r, c: r > 7 and c <= 12),
+                       ("row = 9", lambda a, b, r, c: r == 9), ("seg_row < 1 or col = 3", lambda a, b, r, c: a < 1 or c == 3)):
+        some = spark.read.format("citygrid").option("shareBytes", 100).load(path).where(test)
+        assert sorted((r.seg_row, r.seg_col, r.row, r.col) for r in some.collect()) == sorted(x for x in every if keep(*x))
     part = spark.read.format("citygrid").load(path).where("seg_row = 2 AND seg_col = 1")
     assert part.rdd.getNumPartitions() == 1 and part.count() == 6 * 10
     meta = grid_meta.parse_headers(grid_meta.read_headers(spark, path)).first()
