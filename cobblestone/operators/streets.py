@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from cobblestone.functions import lattice
 from cobblestone.operators import components, morphology
@@ -50,8 +50,8 @@ def discover(skeleton: DataFrame, height: int, width: int, tile_h: int, tile_w:
 
     def labelled(cells):
         cells = components.label_within(_tiled(cells, tile_h, tile_w, halo, height, width), TILE)
-        marked = cells.groupBy(*TILE, "label").agg(F.bool_or(rim).alias("conflict"))
-        return cells.join(marked, [*TILE, "label"])
+        # a group is one component of one tile
+        return cells.withColumn("conflict", F.bool_or(rim).over(Window.partitionBy(*TILE, "label")))
 
     return labelled(crossings), labelled(streets)
 
