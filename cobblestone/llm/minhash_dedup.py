@@ -9,9 +9,9 @@ and only of sets larger than a sketch (smaller ones are bounded exactly). So bot
 
 * Inverted lists of the values are counted; a node with too few values that others have too is done. The values of the rest
   are put in one order, rare ones first, and only as many of the first ones name a list as are needed for every pair to meet.
-* In each of ``ROUNDS`` a list's members meet one member, an end of the list in another component. A group of near copies
-  thus costs its rows, not its pairs. Then all members of a list that are still in different components meet, ``BLOCK`` against
-  ``BLOCK`` of a long list.
+* In each of ``ROUNDS`` a list's members meet one member, another one each time, if it is in another component; of its lists a
+  node takes up to ``MEETS`` such members. A group of near copies thus costs its rows, not its pairs. Then all members of a list
+  that are still in different components meet, ``BLOCK`` against ``BLOCK`` of a long list.
 * Pairs are held against sizes and bitmaps as they are joined, before they are written. A bitmap has the parity of the
   shingles that fall on each of ``64 * LONGS`` bits, so the bits that differ are at most the shingles that differ: no similar
   pair is dropped. The sketch of their union estimates the similarity of the different pairs that are left, and what passes
@@ -30,7 +30,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cobblestone.llm.common import discard, stored, text_key
 from cobblestone.llm.words import Words, words_of
@@ -40,7 +40,8 @@ SHINGLE = 5
 SIMILARITY = (85, 100)
 KEPT = 48
 LOSS = 1e-9
-ROUNDS = 2
+ROUNDS = 3
+MEETS = 8
 BLOCK = 1024
 LONGS = 16
 
@@ -182,12 +183,10 @@ def _first_lists(ordered: DataFrame) -> DataFrame:
     return ordered.select("node", F.posexplode(F.slice("common", 1, F.size("common") - F.col("least") + 1)).alias("place", "key"))
 
 
-def _ends(lists: DataFrame) -> DataFrame:
-    """(key, lo, hi, members, least_node, most_node) of the lists (key, node, component) with several components."""
-    return lists.groupBy("key").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"),
-        F.min_by("node", "component").alias("least_node"), F.max_by("node", "component").alias("most_node"),
-    ).where("lo != hi")
+def _mixed(lists: DataFrame) -> DataFrame:
+    """(key, members) of the lists (key, node, component) with several components."""
+    found = lists.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"))
+    return found.where("lo != hi").select("key", "members")
 
 
 def _grouped(links: DataFrame) -> DataFrame:
@@ -245,16 +244,18 @@ def _components(ordered: DataFrame, own: DataFrame, limit: _Threshold) -> DataFr
 
     for step in range(ROUNDS):
         lists = stored(_labelled(_first_lists(ordered), groups), "lists")
-        ends = lists.join(_ends(lists), "key")
-        meets = F.when(F.col("component") == F.col("lo"), F.col("most_node")).otherwise(F.col("least_node"))
-        met = ends.select(F.col("node").alias("node_a"), meets.alias("node_b")).distinct()
+        pick = F.min_by(F.struct("node", "component"), F.xxhash64("node", "key", F.lit(step))).alias("one")
+        pivots = lists.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), pick).where("lo != hi")
+        met = lists.join(pivots, "key").where(F.col("component") != F.col("one.component"))
+        met = met.select(F.col("node").alias("node_a"), F.col("one.node").alias("node_b")).distinct()
         near = met.join(_sided(ordered, "a"), "node_a").join(_sided(ordered, "b"), "node_b").where(limit.possible("a", "b"))
-        one = near.groupBy(F.col("node_a").alias("a")).agg(F.min_by("node_b", F.xxhash64("node_b", F.lit(step))).alias("b"))
-        add(_confirmed(one, ordered, own, limit))
+        place = F.row_number().over(Window.partitionBy("node_a").orderBy(F.xxhash64("node_b", F.lit(step))))
+        some = near.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), place.alias("place")).where(F.col("place") <= MEETS)
+        add(_confirmed(some, ordered, own, limit))
         discard(lists)
     # and then all that are not in one component
     lists = stored(_labelled(_first_lists(ordered), groups), "lists")
-    apart = stored(lists.join(_ends(lists).select("key", "members"), "key"), "apart")
+    apart = stored(lists.join(_mixed(lists), "key"), "apart")
     add(_confirmed(_crossing(apart, ordered, limit), ordered, own, limit))
     discard(lists, apart)
     return groups
