@@ -40,7 +40,7 @@ SHINGLE = 5
 SIMILARITY = (85, 100)
 KEPT = 48
 LOSS = 1e-9
-ROUNDS = 3
+ROUNDS = 2
 MEETS = 8
 BLOCK = 1024
 LONGS = 16
