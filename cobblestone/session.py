@@ -7,8 +7,18 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# What decides on broadcasts. Files of cells hold a hundredth of the bytes of their rows, and estimates do not count what an
+# explode adds, so the size of a scan or a view says nothing: a side is broadcast by hint, or once its shuffled rows are small.
+JOINS = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m",
+    # a table with few keys leaves most partitions empty and is broadcast all the same
+    "spark.sql.adaptive.nonEmptyPartitionRatioForBroadcastJoin": "0",
+}
+
 # Settings every job here relies on; executors, memory and parallelism stay with the cluster.
 SETTINGS = {
+    **JOINS,
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -28,6 +38,13 @@ def build_session(app: str = "cobblestone", master: str | None = None, **extra)
     return builder.getOrCreate()
 
 
+def settle(spark: SparkSession) -> SparkSession:
+    """Sets ``JOINS`` on a session that somebody else has made."""
+    for key, value in JOINS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
@@ -52,8 +69,8 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
-    One evaluation, a durable result if executors are lost, and a scan whose size
-    Spark knows, so that later joins are broadcast only when it is really small.
+    One evaluation, and a durable result if executors are lost. The size of its files is far below that of its rows,
+    so joins must not be planned by it (``JOINS``).
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cobblestone.session import settle
 from workload import fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,7 +19,11 @@ def query(name: str, sql: str | None = None, uses: tuple[str, ...] = ()):
     """Register a query; ``uses`` names the fixture views its SQL reads."""
 
     def register(fn: Query) -> Query:
-        QUERIES[name] = fn
+        @wraps(fn)
+        def settled(spark, sf_dir):
+            return fn(settle(spark), sf_dir)
+
+        QUERIES[name] = settled
         if sql is not None:
             ORACLES[name] = fixtures.duckdb_sql(sql, uses)
         return fn
