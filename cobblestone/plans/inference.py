@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import math
+from bisect import insort
 from collections.abc import Callable
-from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cobblestone.operators import raster
 from cobblestone.operators.sampling import SampleShape
-from cobblestone.session import cut_lineage
+from cobblestone.session import cut_lineage, scratch_path
 
 #: Whether a position is hidden, from its row and column.
 Region = Callable[[Column, Column], Column]
@@ -95,6 +95,13 @@ def tile_plan(spark: SparkSession, rows: int, cols: int, shape: SampleShape) ->
     )
 
 
+def _feeds(oy, ox, ty, tx, stride: int, half: int) -> Column:
+    """Whether the context above or left of the tile at (ty, tx) holds cells that the tile at (oy, ox) predicts."""
+    above = (oy < ty) & (oy + stride > ty - half) & (ox < tx + stride + half) & (ox + stride > tx - half)
+    left = (ox < tx) & (ox + stride > tx - half) & (oy < ty + stride) & (oy + stride > ty)
+    return above | left
+
+
 def tile_dependencies(plan: DataFrame, rows: int, cols: int, shape: SampleShape) -> DataFrame:
     """Pairs of tiles (r, c) that read what (need_r, need_c) predicted, with both waves."""
     stride, half = shape.size - shape.surplus, shape.surplus // 2
@@ -105,89 +112,143 @@ def tile_dependencies(plan: DataFrame, rows: int, cols: int, shape: SampleShape)
     )
     other = plan.select(F.col("r").alias("need_r"), F.col("c").alias("need_c"), F.col("y0").alias("oy"), F.col("x0").alias("ox"), F.col("wave").alias("need_wave"))
     joined = near.join(other, ["need_r", "need_c"])
-    above = (F.col("oy") < F.col("ty")) & (F.col("oy") + stride > F.col("ty") - half) & (F.col("ox") < F.col("tx") + stride + half) & (F.col("ox") + stride > F.col("tx") - half)
-    left = (F.col("ox") < F.col("tx")) & (F.col("ox") + stride > F.col("tx") - half) & (F.col("oy") < F.col("ty") + stride) & (F.col("oy") + stride > F.col("ty"))
-    return joined.where(above | left).select("r", "c", "wave", "need_r", "need_c", "need_wave")
+    feeds = _feeds(*(F.col(c) for c in ("oy", "ox", "ty", "tx")), stride, half)
+    return joined.where(feeds).select("r", "c", "wave", "need_r", "need_c", "need_wave")
+
+
+#: Rows and slanted columns of tiles that one task predicts, one tile after the other.
+BLOCK = 8
+
+_PLACE = "r int, c int, y0 int, x0 int, own_y1 int, own_x1 int, br int, bc int"
+_NAMES = [kind.split()[0] for kind in _PLACE.split(", ")]
+_INTS = pa.schema([(n, pa.int32()) for n in _NAMES])
+
+
+def _with_arrays(tiles: pa.Table, name: str, values: list[np.ndarray]) -> pa.Table:
+    """The places of tiles with one array each beside them."""
+    ends = np.cumsum([0, *(v.size for v in values)]).astype(np.int32)
+    return tiles.select(_NAMES).cast(_INTS).append_column(name, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([v.ravel() for v in values]))))
 
 
-def _tile_inputs(tiles: DataFrame, cells: DataFrame, predicted: DataFrame | None, shape: SampleShape, hidden: Region) -> DataFrame:
-    """Dense input array of every tile: raster window, masked, with what earlier tiles predicted laid over its context.
+def _flat(table: pa.Table, name: str) -> np.ndarray:
+    """All values of a column of arrays, one after the other."""
+    return table[name].combine_chunks().flatten().to_numpy()
+
+
+def _tile_inputs(plan: DataFrame, cells: DataFrame, shape: SampleShape, hidden: Region) -> DataFrame:
+    """Dense input array of every tile: raster window and mask, without what other tiles predict.
 
     The mask is laid over every position of the window, whether the sparse raster has a row for it or not.
     """
     half, size = shape.crop, shape.size
     names = raster.CHANNELS[: shape.inputs - 1]
-    windows = tiles.select(F.struct("r", "c").alias("cut_id"), "y0", "x0", F.lit(size).alias("h"), F.lit(size).alias("w"))
-    base = raster.cut_cells(windows, cells).select(
-        "cut_id", "row", "col", *names, F.lit(-1).alias("rank")
-    )
-    if predicted is not None:
-        fed = names[: shape.outputs]
-        seen = predicted.select(
-            "r", "c", (F.col("row") + half).alias("row"), (F.col("col") + half).alias("col"), *fed
-        )
-        over = raster.cut_cells(windows, seen)
-        in_rows, in_cols = F.col("row").between(half, size - half - 1), F.col("col")
-        zone = (F.col("row") < half) | (in_rows & (in_cols < half))
-        earlier = (F.col("r") < F.col("cut_id.r")) | ((F.col("r") == F.col("cut_id.r")) & (F.col("c") < F.col("cut_id.c")))
-        latest = over.where(zone & earlier).groupBy("cut_id", "row", "col").agg(
-            F.max_by(F.struct(*fed), F.struct("r", "c")).alias("v")
-        ).select("cut_id", "row", "col", "v.*", F.lit(1).alias("rank"))
-        base = base.unionByName(latest, allowMissingColumns=True)
-    n = len(names)
-    fed_count = min(n, shape.outputs)
-
-    def dense(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.zeros((size, size, 1 + n), dtype=np.float32)
-        filled = pdf[pdf["row"].notna()]
-        for rank, width in ((-1, n), (1, fed_count)):
-            part = filled[filled["rank"] == rank]
-            r, c = part["row"].to_numpy(int), part["col"].to_numpy(int)
-            x[r, c, 1 : 1 + width] = part[list(names[:width])].to_numpy(np.float32)
-            if rank == -1:
-                mask = np.asarray(pdf["mask"].iloc[0], dtype=bool).reshape(size, size)
-                x[mask, 0] = 1
-                x[mask, 1] = 0
-                if n >= 3:
-                    x[mask, 3] = 0
-                border = np.ones((size, size), dtype=bool)
-                border[half : size - half, half : size - half] = False
-                x[border, 0] = 0
-        head = pdf.iloc[0]
-        return pd.DataFrame({"r": [head["r"]], "c": [head["c"]], "x": [x.ravel()]})
-
-    keyed = windows.select("cut_id").join(base, "cut_id", "left").select(F.col("cut_id.r").alias("r"), F.col("cut_id.c").alias("c"), *[c for c in base.columns if c != "cut_id"])
+    windows = plan.select(F.struct("r", "c").alias("cut_id"), "y0", "x0", F.lit(size).alias("h"), F.lit(size).alias("w"))
+    seen = raster.cut_cells(windows, cells).select(F.col("cut_id.r").alias("r"), F.col("cut_id.c").alias("c"), "row", "col", *(F.col(n).cast("float") for n in names))
     places = F.sequence(F.lit(0), F.lit(size * size - 1))
-    masks = tiles.select("r", "c", F.transform(places, lambda i: F.coalesce(hidden(
+    masks = plan.select(*_NAMES, F.transform(places, lambda i: F.coalesce(hidden(
         F.col("y0") + F.floor(i / size).cast("int"), F.col("x0") + i % size).cast("boolean"), F.lit(False))).alias("mask"))
 
-    def solve(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return dense(left.assign(mask=[right["mask"].iloc[0]] * len(left)))
+    def dense(tile: pa.Table, own: pa.Table) -> pa.Table:
+        x = np.zeros((size, size, 1 + len(names)), dtype=np.float32)
+        row, col = own["row"].to_numpy(), own["col"].to_numpy()
+        for k, name in enumerate(names):
+            x[row, col, 1 + k] = own[name].to_numpy()
+        mask = np.asarray(tile["mask"].combine_chunks().flatten().to_numpy(zero_copy_only=False), dtype=bool).reshape(size, size)
+        x[mask, 0] = 1
+        x[mask, 1] = 0
+        if len(names) >= 3:
+            x[mask, 3] = 0
+        border = np.ones((size, size), dtype=bool)
+        border[half : size - half, half : size - half] = False
+        x[border, 0] = 0
+        return _with_arrays(tile.slice(0, 1), "x", [x])
+
+    return masks.groupBy("r", "c").cogroup(seen.groupBy("r", "c")).applyInArrow(dense, f"{_PLACE}, x array<float>")
+
+
+def _block(r, c, k: int) -> tuple[Column, Column]:
+    """Blocks of tiles, slanted by ``k`` columns a row: what a tile reads is in its own block or in blocks above or left of it."""
+    return F.floor(r / BLOCK).cast("int"), F.floor((c + k * r) / BLOCK).cast("int")
+
 
-    return keyed.groupBy("r", "c").cogroup(masks.groupBy("r", "c")).applyInPandas(solve, "r int, c int, x array<float>")
+def _fed(earlier: DataFrame, step: int, rows: int, cols: int, shape: SampleShape) -> DataFrame:
+    """What tiles have predicted, once per block of ``step`` that reads it: (br, bc, from_r, from_c, oy, ox, y)."""
+    stride, half = shape.size - shape.surplus, shape.surplus // 2
+    out_h, out_w = rows - shape.surplus, cols - shape.surplus
+    reach, k = math.ceil(half / stride) + 2, reach_right(out_w, shape)
+    steps = F.array(*[F.struct(F.lit(i).alias("di"), F.lit(j).alias("dj")) for i in range(reach + 1) for j in range(-reach, reach + 1) if (i, j) > (0, 0)])
+
+    def reads(s: Column) -> Column:
+        r, c = F.col("r") + s["di"], F.col("c") + s["dj"]
+        ty, tx = F.least(r * stride, F.lit(out_h - stride)), F.least(c * stride, F.lit(out_w - stride))
+        exists = c.between(0, math.ceil(out_w / stride) - 1) & (r < math.ceil(out_h / stride))
+        return exists & (sum(_block(r, c, k)) == step) & _feeds(F.col("y0"), F.col("x0"), ty, tx, stride, half)
+
+    def block_of(s: Column) -> Column:
+        return F.struct(*(b.alias(n) for b, n in zip(_block(F.col("r") + s["di"], F.col("c") + s["dj"], k), ("br", "bc"))))
 
+    to = F.array_distinct(F.transform(F.filter(steps, reads), block_of))
+    met = earlier.select(F.col("r").alias("from_r"), F.col("c").alias("from_c"), F.col("y0").alias("oy"), F.col("x0").alias("ox"), "y", F.explode(to).alias("b"))
+    return met.select("b.br", "b.bc", "from_r", "from_c", "oy", "ox", "y")
 
-def _predict_tiles(tiles: DataFrame, inputs: DataFrame, shape: SampleShape, model: Predictor) -> DataFrame:
-    """Cells predicted for every tile, in output positions, 0/1 above one half for the binary channels."""
-    inner, outputs = shape.size - 2 * shape.crop, list(raster.CHANNELS[: shape.outputs])
 
-    def run(batches):
-        for pdf in batches:
-            x = np.stack(pdf["x"].to_numpy()).reshape(-1, shape.size, shape.size, shape.inputs)
-            y = np.asarray(model(x, shape), dtype=np.float64)
+def _predict_tiles(inputs: DataFrame, fed: DataFrame | None, parts: int, shape: SampleShape, model: Predictor) -> DataFrame:
+    """Prediction of every tile as one array, 0/1 above one half for the binary channels.
+
+    The tiles of a block follow each other. What earlier tiles predicted is laid over a tile's context above and left first, the
+    latest tile's on top.
+    """
+    half, size = shape.crop, shape.size
+    inner, outputs = size - 2 * half, raster.CHANNELS[: shape.outputs]
+    kept = min(shape.inputs - 1, shape.outputs)
+    zone = np.zeros((size, size), dtype=bool)
+    zone[: size - half, :half] = zone[:half] = True
+
+    def run(block: pa.Table, seen: pa.Table | None) -> pa.Table:
+        block = block.sort_by([("r", "ascending"), ("c", "ascending")])
+        windows, known, results = _flat(block, "x").reshape(-1, size, size, shape.inputs), [], []
+        if seen is not None and seen.num_rows:
+            at = zip(*(seen[n].to_pylist() for n in ("from_r", "from_c", "oy", "ox")))
+            known = sorted(zip(at, _flat(seen, "y").reshape(-1, inner, inner, len(outputs))), key=lambda k: k[0])
+        for i, (r, c, top, left) in enumerate(zip(*(block[n].to_pylist() for n in ("r", "c", "y0", "x0")))):
+            x = windows[i].copy()
+            for (from_r, from_c, oy, ox), found in known:
+                y, x0 = oy + half - top, ox + half - left
+                if (from_r, from_c) >= (r, c) or abs(y) >= size or abs(x0) >= size:
+                    continue
+                rows, cols = slice(max(y, 0), max(min(y + inner, size), 0)), slice(max(x0, 0), max(min(x0 + inner, size), 0))
+                laid, on = found[rows.start - y : rows.stop - y, cols.start - x0 : cols.stop - x0, :kept], zone[rows, cols]
+                x[rows, cols, 1 : 1 + kept][on] = laid[on]
+            out = np.array(model(x[None], shape), dtype=np.float64)[0]
             for k, name in enumerate(outputs):
                 if name != "altitude":
-                    y[..., k] = y[..., k] > 0.5
-            row, col = np.divmod(np.arange(inner * inner, dtype=np.int32), np.int32(inner))
-            for i, (r, c) in enumerate(zip(pdf["r"], pdf["c"])):
-                flat = y[i].reshape(inner * inner, len(outputs))
-                yield pd.DataFrame({"r": np.int32(r), "c": np.int32(c), "i": row, "j": col} | {n: flat[:, k] for k, n in enumerate(outputs)})
-
-    schema = "r int, c int, i int, j int, " + ", ".join(f"{n} double" for n in outputs)
-    found = inputs.mapInPandas(run, schema)
-    return found.join(tiles.select("r", "c", "y0", "x0"), ["r", "c"]).select(
-        "r", "c", (F.col("y0") + F.col("i")).alias("row"), (F.col("x0") + F.col("j")).alias("col"), *outputs
-    )
+                    out[..., k] = out[..., k] > 0.5
+            results.append(out)
+            insort(known, ((r, c, top, left), out), key=lambda k: k[0])
+        return _with_arrays(block, "y", results)
+
+    schema = f"{_PLACE}, y array<double>"
+    tiles = inputs.repartition(parts, "br", "bc").groupBy("br", "bc")
+    if fed is None:
+        return tiles.applyInArrow(lambda block: run(block, None), schema)
+    return tiles.cogroup(fed.repartition(parts, "br", "bc").groupBy("br", "bc")).applyInArrow(run, schema)
+
+
+def _owned_cells(tiles: DataFrame, shape: SampleShape) -> DataFrame:
+    """The cells of predicted tiles, each from the tile that owns it."""
+    inner, outputs = shape.size - 2 * shape.crop, raster.CHANNELS[: shape.outputs]
+
+    def cells(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                tile = pa.Table.from_batches([batch.slice(i, 1)])
+                y0, x0, y1, x1 = (tile[n][0].as_py() for n in ("y0", "x0", "own_y1", "own_x1"))
+                y = _flat(tile, "y").reshape(inner, inner, len(outputs))[: y1 - y0, : x1 - x0]
+                row, col = (np.arange(a, a + n, dtype=np.int32) for a, n in zip((y0, x0), y.shape))
+                columns = [np.repeat(row, len(col)), np.tile(col, len(row)), *(y[..., k].ravel() for k in range(len(outputs)))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["row", "col", *outputs])
+
+    return tiles.mapInArrow(cells, "row int, col int, " + ", ".join(f"{n} double" for n in outputs))
 
 
 def predict(
@@ -196,28 +257,31 @@ def predict(
     """Predicted raster, ``surplus`` smaller than the input on each axis (M6).
 
     ``hidden`` tells from the row and column of a position, as Columns, whether it is to be predicted; it counts
-    for every position of the raster, with a cell in the sparse table or without. Tiles are predicted wave by wave; each wave is one
-    parallel job that reads only the waves it can depend on, and writes its cells
-    durably. The number of waves follows from the feedback between tiles.
+    for every position of the raster, with a cell in the sparse table or without. One job cuts the raster into the input
+    arrays of all tiles. Blocks of ``BLOCK`` x ``BLOCK`` tiles are predicted step by step, the blocks of a diagonal in one
+    parallel job that reads its own arrays and the tiles of the steps it can depend on, and writes a row per tile durably.
+    The number of steps follows from the feedback between tiles; every cell is read once, whatever their number.
     """
     run = PREDICTORS[model] if isinstance(model, str) else model
     spark = cells.sparkSession
-    plan = tile_plan(spark, rows, cols, shape)
-    plan = cut_lineage(plan, "tile-plan")
+    stride = shape.size - shape.surplus
     k = reach_right(cols - shape.surplus, shape)
-    above = math.ceil((shape.surplus // 2) / (shape.size - shape.surplus)) + 1
-    memory = above + (k + 1) * above
-    waves: list[DataFrame] = []
-    last = plan.agg(F.max("wave")).first()[0]
-    for wave in range(last + 1):
-        tiles = plan.where(F.col("wave") == wave)
-        earlier = reduce(DataFrame.union, waves[-memory:]) if waves else None
-        found = _predict_tiles(tiles, _tile_inputs(tiles, cells, earlier, shape, hidden), shape, run)
-        waves.append(cut_lineage(found, f"wave-{wave}"))
-    owned = plan.select("r", "c", "own_y1", "own_x1")
-    every = reduce(DataFrame.union, waves).join(owned, ["r", "c"])
-    kept = every.where((F.col("row") < F.col("own_y1")) & (F.col("col") < F.col("own_x1")))
-    return kept.select("row", "col", *raster.CHANNELS[: shape.outputs])
+    br, bc = _block(F.col("r"), F.col("c"), k)
+    plan = cut_lineage(tile_plan(spark, rows, cols, shape).withColumns({"br": br, "bc": bc, "step": br + bc}), "tile-plan")
+    above = math.ceil((shape.surplus // 2) / stride) + 1
+    memory = math.ceil(above / BLOCK) + math.ceil((k + 1) * above / BLOCK)
+    inputs, done = scratch_path(spark, "tile-inputs"), scratch_path(spark, "tiles")
+    arrays = _tile_inputs(plan, cells, shape, hidden).withColumn("step", F.col("br") + F.col("bc"))
+    arrays.repartition("br", "bc").write.partitionBy("step").parquet(inputs)
+    found = spark.read.schema(f"{_PLACE}, y array<double>")
+    steps = [(row["step"], row["blocks"]) for row in plan.groupBy("step").agg(F.count_distinct("br").alias("blocks")).orderBy("step").collect()]
+    for step, blocks in steps:
+        own = spark.read.schema(f"{_PLACE}, x array<float>").parquet(f"{inputs}/step={step}")
+        near = [f"{done}/{s}" for s, _ in steps if step - memory <= s < step]
+        fed = _fed(found.parquet(*near), step, rows, cols, shape) if near else None
+        parts = min(blocks, spark.sparkContext.defaultParallelism)
+        _predict_tiles(own, fed, parts, shape, run).write.parquet(f"{done}/{step}")
+    return _owned_cells(found.parquet(*(f"{done}/{s}" for s, _ in steps)), shape)
 
 
 def predict_fragment(

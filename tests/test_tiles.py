@@ -292,3 +292,25 @@ def test_an_existing_grid_file_is_not_overwritten(spark, tmp_path):
     with pytest.raises(Exception, match="exists"):
         write()
     assert (tmp_path / "g").read_bytes() == before and len(list(tmp_path.iterdir())) == 1
+
+
+def test_blocks_of_tiles_give_the_sequential_prediction(spark):
+    """More than a block of tiles in both directions, the last row and column moved; a job cuts all windows, one more per diagonal of blocks."""
+    dense, cells = noise(spark, 75, 83, seed=4, share=0.9)
+    hide = np.zeros((75, 83))
+    hide[4:71, 4:79] = 1
+    shape = sampling.SampleShape(size=12, surplus=6)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("blocks", "tiled inference")
+    try:
+        got = inference.predict(cells, 75, 83, shape, lambda r, c: r.between(4, 70) & c.between(4, 78)).toPandas()
+        taken = tracker.getJobIdsForGroup("blocks")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    want = predict_in_turn(np.dstack([hide, dense]), shape)
+    full = np.zeros_like(want)
+    full[got["row"], got["col"]] = got[NAMES]
+    assert len(got) == want.shape[0] * want.shape[1]
+    assert np.array_equal(full[..., [0, 2]], want[..., [0, 2]])
+    assert np.allclose(full[..., 1], want[..., 1], atol=1e-3)
+    assert len(taken) <= 50
