@@ -73,6 +73,8 @@ def elevation_tiles(meta: DataFrame, elevation: DataFrame, step: float) -> DataF
     ``elevation`` is (iy, ix, elevation) of a lattice of ``step`` degrees. A segment asks for the few lattice places its cells
     fall on and meets them in one cogroup, so cells need no rows and are never joined.
     """
+    # a segment is a short row and much work: with the number named, Spark does not put them all into one task
+    spread = [int(meta.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEYS]
     every = cut_lineage(segments(meta), "segments")
     names = every.columns
 
@@ -86,7 +88,7 @@ def elevation_tiles(meta: DataFrame, elevation: DataFrame, step: float) -> DataF
                     [pa.array([seg[k]] * n, kind) for k, kind in zip(KEYS, (pa.string(), pa.int32(), pa.int32()))]
                     + [pa.array((at >> 32).astype(np.int32)), pa.array((at & 0xFFFFFFFF).astype(np.uint32).view(np.int32))], [*KEYS, "iy", "ix"])
 
-    asked = every.repartition(*KEYS).mapInArrow(wanted, "city string, seg_row int, seg_col int, iy int, ix int")
+    asked = every.repartition(*spread).mapInArrow(wanted, "city string, seg_row int, seg_col int, iy int, ix int")
     found = asked.join(elevation.select("iy", "ix", "elevation"), ["iy", "ix"]).select(*KEYS, "iy", "ix", F.col("elevation").cast("double"))
 
     def fill(seg: pa.Table, known: pa.Table) -> pa.Table:
@@ -102,7 +104,7 @@ def elevation_tiles(meta: DataFrame, elevation: DataFrame, step: float) -> DataF
         kinds = pa.schema([("city", pa.string()), ("seg_row", pa.int32()), ("seg_col", pa.int32()), ("h", pa.int32()), ("w", pa.int32()), ("altitude", pa.list_(pa.float32()))])
         return pa.table(out, schema=kinds)
 
-    return every.groupBy(*KEYS).cogroup(found.groupBy(*KEYS)).applyInArrow(
+    return every.repartition(*spread).groupBy(*KEYS).cogroup(found.repartition(*spread).groupBy(*KEYS)).applyInArrow(
         fill, "city string, seg_row int, seg_col int, h int, w int, altitude array<float>")
 
 

@@ -152,3 +152,14 @@ def test_opposite_cells_far_apart(spark):
     df = spark.createDataFrame([(0, 0, 1), (0, 1, 1), (40, 3, 2), (41, 3, 2)], "row int, col int, label long")
     got = {(r["row"], r["col"]): (r["distance"], r["to_row"], r["to_col"]) for r in reach.opposite_cells(df, 50, 50).collect()}
     assert got == {(0, 0): (43, 40, 3), (0, 1): (42, 40, 3), (40, 3): (42, 0, 1), (41, 3): (43, 0, 1)}
+
+
+def test_segments_are_many_tasks_for_the_altitude(spark):
+    """A table of segments is short, the work on each is not."""
+    from cobblestone.operators import grids
+
+    meta = spark.createDataFrame([(f"c{i}", 40, 50, 500000.0 + i, 5500000.0, 2.0, 20, 25, 32634) for i in range(12)], "city string, rows int, cols int, origin_x double, origin_y double, density double, segment_h int, segment_w int, epsg int")
+    places = spark.range(100).selectExpr("cast(19855 + id % 10 as int) iy", "cast(8398 + floor(id / 10) as int) ix", "cast(id as double) elevation")
+    tiles = grids.elevation_tiles(meta, places, 0.0025)
+    assert tiles.count() == 48
+    assert tiles.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
