@@ -55,16 +55,44 @@ def segments(meta: DataFrame) -> DataFrame:
     return grid_meta.with_expected_shape(every)
 
 
-def _lattice(seg: dict, step: float) -> Iterator[np.ndarray]:
-    """Places in the elevation lattice of a segment's cells, some rows at a time, as ``(iy << 32) + ix``."""
-    col = seg["seg_col"] * seg["segment_w"] + np.arange(seg["expected_w"])
+def _places(seg: dict, row: np.ndarray, col: np.ndarray, step: float) -> np.ndarray:
+    """Places in the elevation lattice of rows and columns of a segment, as ``(iy << 32) + ix``."""
     metric = seg["epsg"] is not None or not -180 <= seg["origin_x"] <= 180
+    col, row = seg["seg_col"] * seg["segment_w"] + col, seg["seg_row"] * seg["segment_h"] + row
+    x, y = np.meshgrid(seg["origin_x"] + col * seg["density"], seg["origin_y"] - row * seg["density"])
+    if metric:
+        x, y = geodesy.degrees_of(x, y, seg["epsg"] or DEFAULT_EPSG)
+    return (np.floor(y / step).astype(np.int64) << 32) + np.floor(x / step).astype(np.int64)
+
+
+def _apart(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(iy, ix) of places; ``ix`` is negative west of Greenwich."""
+    ix = (place & 0xFFFFFFFF).astype(np.uint32).view(np.int32).astype(np.int64)
+    return (place - ix) >> 32, ix
+
+
+def _lattice(seg: dict, step: float) -> Iterator[np.ndarray]:
+    """Places of all cells of a segment, some rows at a time."""
     for first in range(0, seg["expected_h"], _ROWS_AT_ONCE):
-        row = seg["seg_row"] * seg["segment_h"] + np.arange(first, min(first + _ROWS_AT_ONCE, seg["expected_h"]))
-        x, y = np.meshgrid(seg["origin_x"] + col * seg["density"], seg["origin_y"] - row * seg["density"])
-        if metric:
-            x, y = geodesy.degrees_of(x, y, seg["epsg"] or DEFAULT_EPSG)
-        yield (np.floor(y / step).astype(np.int64) << 32) + np.floor(x / step).astype(np.int64)
+        yield _places(seg, np.arange(first, min(first + _ROWS_AT_ONCE, seg["expected_h"])), np.arange(seg["expected_w"]), step)
+
+
+def _box(seg: dict, step: float) -> np.ndarray | None:
+    """Every place that a segment's cells may fall on, from the cells along its sides; None if that is more than it has cells.
+
+    A projection maps the inside of a segment to the inside of what its sides map to. Between two cells a side may bend a
+    little beyond both, hence one place more all around.
+    """
+    h, w = seg["expected_h"], seg["expected_w"]
+    parts = []
+    for row, col in ((np.array([0, h - 1]), np.arange(w)), (np.arange(h), np.array([0, w - 1]))):
+        parts.append(_places(seg, row, col, step).ravel())
+    side = np.concatenate(parts)
+    iy, ix = _apart(side)
+    ys, xs = np.arange(iy.min() - 1, iy.max() + 2), np.arange(ix.min() - 1, ix.max() + 2)
+    if len(ys) * len(xs) > h * w:
+        return None
+    return np.add.outer(ys << 32, xs).ravel()
 
 
 def elevation_tiles(meta: DataFrame, elevation: DataFrame, step: float) -> DataFrame:
@@ -81,12 +109,13 @@ def elevation_tiles(meta: DataFrame, elevation: DataFrame, step: float) -> DataF
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for seg in batch.to_pylist():
-                parts = [np.unique(p) for p in _lattice(seg, step)]
-                at = np.unique(np.concatenate(parts))
-                n = len(at)
+                at = _box(seg, step)
+                if at is None:
+                    at = np.unique(np.concatenate([np.unique(p) for p in _lattice(seg, step)]))
+                n, (iy, ix) = len(at), _apart(at)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([seg[k]] * n, kind) for k, kind in zip(KEYS, (pa.string(), pa.int32(), pa.int32()))]
-                    + [pa.array((at >> 32).astype(np.int32)), pa.array((at & 0xFFFFFFFF).astype(np.uint32).view(np.int32))], [*KEYS, "iy", "ix"])
+                    + [pa.array(iy.astype(np.int32)), pa.array(ix.astype(np.int32))], [*KEYS, "iy", "ix"])
 
     asked = every.repartition(*spread).mapInArrow(wanted, "city string, seg_row int, seg_col int, iy int, ix int")
     found = asked.join(elevation.select("iy", "ix", "elevation"), ["iy", "ix"]).select(*KEYS, "iy", "ix", F.col("elevation").cast("double"))

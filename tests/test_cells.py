@@ -163,3 +163,19 @@ def test_segments_are_many_tasks_for_the_altitude(spark):
     tiles = grids.elevation_tiles(meta, places, 0.0025)
     assert tiles.count() == 48
     assert tiles.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_the_sides_of_a_segment_name_the_places_of_all_its_cells():
+    """Also west of Greenwich, where places are negative, and not for cells wider than the lattice."""
+    import numpy as np
+    from cobblestone.operators import grids
+
+    seg = {"seg_row": 1, "seg_col": 2, "segment_h": 300, "segment_w": 400, "expected_h": 300, "expected_w": 350, "origin_x": 350000.0, "origin_y": 5500000.0, "density": 3.0, "epsg": 2180}
+    for epsg in (2180, 32634, None):
+        for origin in (350000.0, 700000.0, -3.0):
+            own = seg | {"epsg": epsg, "origin_x": origin} | ({"origin_y": 50.0, "density": 1e-5} if origin < 0 and epsg is None else {})
+            want = np.unique(np.concatenate([p.ravel() for p in grids._lattice(own, 0.0025)]))
+            assert np.isin(want, grids._box(own, 0.0025)).all()
+            iy, ix = grids._apart(want)
+            assert np.array_equal((iy << 32) + ix, want)
+    assert grids._box(seg | {"density": 9000.0, "expected_h": 3, "expected_w": 3}, 0.0025) is None
