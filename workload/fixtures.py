@@ -1,7 +1,8 @@
 """Views over the driver's tables, written once as SQL for both engines.
 
 Placeholders: ``{table}`` is a driver table, ``{explode}``/``{seq}`` the engine's
-spelling of array explosion and integer ranges. Every view covers its whole table.
+spelling of array explosion and integer ranges; ``{spread}`` has Spark deal the few rows of a select, which become many, to
+all tasks (DuckDB gets nothing there). Every view covers its whole table.
 """
 
 from __future__ import annotations
@@ -56,11 +57,11 @@ SELECT row, col, CAST(1 AS DOUBLE) AS is_street, CAST(row AS DOUBLE) / 10 + CAST
 FROM (SELECT CAST(r0 + di AS INT) AS row, CAST(c0 + dj AS INT) AS col, res
       FROM (SELECT r0, c0, w, res, di, {explode}({seq}(0, w - 1)) AS dj
             FROM (SELECT r0, c0, w, res, {explode}({seq}(0, h - 1)) AS di
-                  FROM (SELECT lr * 16 AS r0, lc * 16 AS c0, CAST(3 + node_id % 3 AS INT) AS h, 16 AS w,
+                  FROM (SELECT{spread} lr * 16 AS r0, lc * 16 AS c0, CAST(3 + node_id % 3 AS INT) AS h, 16 AS w,
                           CAST(CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 1 ELSE 0 END AS DOUBLE) AS res
                         FROM fx_nodes WHERE c_mktsegment <> 'MACHINERY'
                         UNION ALL
-                        SELECT lr * 16, lc * 16, 16, CAST(3 + node_id % 2 AS INT), CAST(0 AS DOUBLE)
+                        SELECT{spread} lr * 16, lc * 16, 16, CAST(3 + node_id % 2 AS INT), CAST(0 AS DOUBLE)
                         FROM fx_nodes WHERE c_mktsegment <> 'BUILDING') bars) p1) p2) p3
 GROUP BY row, col"""),
     "fx_tags": ((), """
@@ -109,7 +110,7 @@ def duckdb_sql(sql: str, uses: tuple[str, ...] = ()) -> str:
     """The query behind its fixture views, as one DuckDB statement."""
     if not uses:
         return sql
-    views = _with(uses, {**{t: t for t in TABLES}, "explode": "unnest", "seq": "generate_series"})
+    views = _with(uses, {**{t: t for t in TABLES}, "explode": "unnest", "seq": "generate_series", "spread": ""})
     body = sql.strip()
     if body[:14].upper() == "WITH RECURSIVE":
         return f"WITH RECURSIVE {views},\n{body[14:]}"
@@ -124,7 +125,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     files = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}
-    views = _with([name], {**files, "explode": "explode", "seq": "sequence"})
+    # a table of one small file is one task, which would hold every cell that its rows become
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    views = _with([name], {**files, "explode": "explode", "seq": "sequence", "spread": f" /*+ REPARTITION({tasks}) */"})
     return spark.sql(f"WITH {views} SELECT * FROM {name}")
 
 
