@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from cobblestone.functions import lattice
@@ -66,15 +69,34 @@ def dilate_square(cells: DataFrame, height: int, width: int, times: int) -> Data
     return wide.where(lattice.inside(height, width)).distinct()
 
 
-def border_cells(cells: DataFrame, height: int, width: int) -> DataFrame:
+def tile_images(cells: DataFrame, tile: int, halo: int, solve: Callable[[np.ndarray, int, int], np.ndarray]) -> DataFrame:
+    """Cells (row, col) that ``solve`` sets in each square tile; one shuffle of the cells, and a task holds one tile.
+
+    ``solve`` gets the tile with ``halo`` cells around it as a boolean array and the position of the tile's corner, and
+    returns the array of the tile alone.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        top, left = table["tile_row"][0].as_py() * tile, table["tile_col"][0].as_py() * tile
+        image = np.zeros((tile + 2 * halo, tile + 2 * halo), dtype=bool)
+        image[table["row"].to_numpy() - (top - halo), table["col"].to_numpy() - (left - halo)] = True
+        rows, cols = np.nonzero(solve(image, top, left))
+        return pa.table({"row": pa.array((rows + top).astype(np.int32)), "col": pa.array((cols + left).astype(np.int32))})
+
+    plain = cells.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"))
+    return lattice.covering_tiles(plain, tile, tile, halo).groupBy("tile_row", "tile_col").applyInArrow(run, "row int, col int")
+
+
+def border_cells(cells: DataFrame, height: int, width: int, tile: int = 256) -> DataFrame:
     """Street cells with a non-street cell in their 3 x 3 neighbourhood inside the raster."""
-    votes = lattice.spread(cells.select("row", "col"), lattice.BLOCK)
-    counted = votes.groupBy("row", "col").agg(
-        F.count("*").alias("n"), F.bool_or((F.col("di") == 0) & (F.col("dj") == 0)).alias("street")
-    )
-    high = F.lit(3) - F.col("row").isin(0, height - 1).cast("int")
-    wide = F.lit(3) - F.col("col").isin(0, width - 1).cast("int")
-    return counted.where(F.col("street") & (F.col("n") < high * wide)).select("row", "col")
+
+    def border(image: np.ndarray, top: int, left: int) -> np.ndarray:
+        row, col = np.arange(top - 1, top + tile + 1)[:, None], np.arange(left - 1, left + tile + 1)[None, :]
+        full = image | (row < 0) | (row >= height) | (col < 0) | (col >= width)  # what lies outside the raster does not count
+        tall = full[:-2] & full[1:-1] & full[2:]
+        return image[1:-1, 1:-1] & ~(tall[:, :-2] & tall[:, 1:-1] & tall[:, 2:])
+
+    return tile_images(cells, tile, 1, border)
 
 
 def border_components(cells: DataFrame, height: int, width: int) -> DataFrame:

@@ -26,3 +26,14 @@ def test_nodes_are_dealt_to_tasks_before_they_become_cells(spark):
     plan = plan_of(view(spark, SMALL, "fx_streets"))
     spread = [line for line in plan.splitlines() if "Repartition" in line]
     assert len(spread) == 2 and all(int("".join(filter(str.isdigit, s.split("Repartition")[1].split(",")[0]))) >= 32 for s in spread)
+
+
+def test_border_cells_by_tiles(spark):
+    rng = np.random.default_rng(3)
+    h, w = 37, 29
+    image = rng.random((h, w)) < 0.85
+    wide = np.pad(image, 1, constant_values=True)
+    full = np.logical_and.reduce([wide[i : i + h, j : j + w] for i in range(3) for j in range(3)])
+    df = morphology.border_cells(raster(spark, image), h, w, tile=8)
+    assert told(df) == sorted(zip(*(x.tolist() for x in np.nonzero(image & ~full))))
+    assert "Aggregate" not in plan_of(df)  # no vote per cell and neighbour
