@@ -40,12 +40,16 @@ def flood(cells: DataFrame, handles: DataFrame, predicate: Column) -> Flood:
     the cell's columns). What passes it on is one component of the passing cells, so
     the flood takes the few rounds of component labelling instead of one per step.
     """
-    street = cells.select("row", "col")
-    passing = components.label_cells(cells.where(predicate).select("row", "col"), lattice.ORTHOGONAL)
+    passes = F.bool_or(F.coalesce(predicate, F.lit(False))).alias("passes")
+    street = cut_lineage(cells.groupBy("row", "col").agg(passes), "street")
+    passing = components.label_cells(street.where("passes").select("row", "col"), lattice.ORTHOGONAL)
     passing = cut_lineage(passing.select("label", "row", "col"), "passing")
-    rim = lattice.spread(passing, lattice.ORTHOGONAL, "label").select("label", "row", "col").join(street, ["row", "col"], "left_semi")
-    starts = handles.join(street, ["row", "col"], "left_semi").join(passing, ["row", "col"], "left")
-    return Flood(starts.select("handle_id", "row", "col", "label"), passing.unionByName(rim).distinct())
+    # a neighbour that passes on has the component itself, so only the others look around them
+    stops = street.where("not passes").select("row", "col", F.col("row").alias("_row"), F.col("col").alias("_col"))
+    beside = lattice.spread(stops, lattice.ORTHOGONAL, "_row", "_col").select("row", "col", "_row", "_col")
+    rim = beside.join(passing, ["row", "col"]).select("label", F.col("_row").alias("row"), F.col("_col").alias("col")).distinct()
+    starts = handles.join(street.select("row", "col"), ["row", "col"], "left_semi").join(passing, ["row", "col"], "left")
+    return Flood(starts.select("handle_id", "row", "col", "label"), passing.unionByName(rim))
 
 
 def reachable(cells: DataFrame, handles: DataFrame, predicate: Column) -> DataFrame:

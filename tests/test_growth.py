@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from cobblestone.operators import morphology
+from cobblestone.operators import morphology, reach
 from workload.fixtures import view
 
 SMALL = "/root/testdata/sf0.001"
@@ -37,3 +37,26 @@ def test_border_cells_by_tiles(spark):
     df = morphology.border_cells(raster(spark, image), h, w, tile=8)
     assert told(df) == sorted(zip(*(x.tolist() for x in np.nonzero(image & ~full))))
     assert "Aggregate" not in plan_of(df)  # no vote per cell and neighbour
+
+
+def test_flood_looks_around_the_cells_that_stop_it(spark):
+    rng = np.random.default_rng(5)
+    image, free = rng.random((20, 20)) < 0.8, rng.random((20, 20)) < 0.7
+    cells = spark.createDataFrame([(int(r), int(c), bool(free[r, c]) if free[r, c] or (r + c) % 2 else None) for r, c in zip(*np.nonzero(image))], "row int, col int, free boolean")
+    starts = [(int(r), int(c)) for r, c in zip(*np.nonzero(image))][::7] + [(int(r), int(c)) for r, c in zip(*np.nonzero(~image))][:3]
+    handles = spark.createDataFrame([(k, r, c) for k, (r, c) in enumerate(starts)], "handle_id bigint, row int, col int")
+    out = reach.flood(cells, handles, F.col("free"))
+    want = []
+    for k, start in enumerate(starts):
+        seen, todo = set(), [start] if image[start] else []
+        while todo:
+            at = todo.pop()
+            if at in seen:
+                continue
+            seen.add(at)
+            if free[at]:
+                near = [(at[0] + i, at[1] + j) for i, j in ((-1, 0), (1, 0), (0, -1), (0, 1))]
+                todo += [p for p in near if min(p) >= 0 and max(p) < 20 and image[p]]
+        want += [(k, *p) for p in seen]
+    assert told(out.visited().select("handle_id", "row", "col")) == sorted(want)
+    assert out.cells._jdf.queryExecution().optimizedPlan().nodeName() == "Union"  # cells that pass are not sorted out again
