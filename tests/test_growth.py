@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from cobblestone.operators import morphology, reach
+from cobblestone.operators import morphology, reach, streets
 from workload.fixtures import view
 
 SMALL = "/root/testdata/sf0.001"
@@ -60,3 +60,36 @@ def test_flood_looks_around_the_cells_that_stop_it(spark):
         want += [(k, *p) for p in seen]
     assert told(out.visited().select("handle_id", "row", "col")) == sorted(want)
     assert out.cells._jdf.queryExecution().optimizedPlan().nodeName() == "Union"  # cells that pass are not sorted out again
+
+
+def test_lines_march_together(spark):
+    rng = np.random.default_rng(7)
+    mask, altitude = rng.random((60, 70)) < 0.9, rng.random((60, 70))
+    lines = [(np.clip(np.cumsum(rng.integers(-1, 2, n)) + 30, 0, 59), np.clip(np.cumsum(rng.integers(-1, 2, n)) + 30, 0, 69)) for n in (1, 2, 3, 4, 9, 40)]
+    lines.append((np.full(5, 10), np.full(5, 10)))  # never moves
+
+    def alone(r, c):
+        p = [(i, min(i + 3, len(r) - 1)) for i in range(0, len(r) - 1, 3)]
+        width, along, drop = [], [0.0], [0.0]
+        for i, j in p:
+            d = np.array([r[j] - r[i], c[j] - c[i]], float)
+            size = np.hypot(*d)
+            if not size:
+                continue
+            along.append(abs(altitude[r[j], c[j]] - altitude[r[i], c[i]]) / size)
+            sides = []
+            for sign in (1, -1):
+                at, n, last = np.array([r[i], c[i]], float), 0, altitude[r[i], c[i]]
+                while n < 101:
+                    y, x = np.rint(at + sign * np.array([-d[1], d[0]]) / size).astype(int)
+                    if not (0 <= y < 60 and 0 <= x < 70 and mask[y, x]):
+                        break
+                    at, n, last = at + sign * np.array([-d[1], d[0]]) / size, n + 1, altitude[y, x]
+                sides.append((n, last))
+            if sides[0][0] + sides[1][0]:
+                width.append(sides[0][0] + sides[1][0])
+                drop.append(abs(sides[0][1] - sides[1][1]) / width[-1])
+        return [np.median(width) if width else 0.0, max(along), max(drop)]
+
+    got = streets.lines_metrics([r for r, _ in lines], [c for _, c in lines], mask, altitude, 1.0)
+    assert np.allclose(got, [alone(r, c) for r, c in lines])
