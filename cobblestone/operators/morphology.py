@@ -69,6 +69,47 @@ def dilate_square(cells: DataFrame, height: int, width: int, times: int) -> Data
     return wide.where(lattice.inside(height, width)).distinct()
 
 
+def clean_tiles(cells: DataFrame, height: int, width: int, min_size: int = MIN_OBJECT, tile: int = 256) -> DataFrame:
+    """``remove_small_objects`` and ``close_cross`` of the cells with ``is_street`` > 0, with altitude, in one shuffle.
+
+    ``cells`` is (row, col, is_street, altitude); the result (row, col, altitude), 0.0 where the raster has no altitude. A closed
+    cell depends on objects that come within two cells of it, so a halo of ``min_size`` + 2 decides exactly.
+    """
+    halo = min_size + 2
+
+    def run(table: pa.Table) -> pa.Table:
+        tile_row, tile_col = table["tile_row"][0].as_py(), table["tile_col"][0].as_py()
+        top, left = tile_row * tile - halo, tile_col * tile - halo
+        row, col = table["row"].to_numpy() - top, table["col"].to_numpy() - left
+        image = np.zeros((tile + 2 * halo, tile + 2 * halo), dtype=bool)
+        ground = np.zeros(image.shape)
+        ground[row, col] = table["altitude"].to_numpy(zero_copy_only=False)
+        street = table["street"].to_numpy(zero_copy_only=False).astype(bool)
+        image[row[street], col[street]] = True
+        rows, cols = np.nonzero(image)
+        if len(rows):
+            root = components.group_labels(len(rows), *components.neighbour_links(rows, cols, lattice.ORTHOGONAL))
+            small = np.bincount(root, minlength=len(rows))[root] < min_size
+            image[rows[small], cols[small]] = False
+        i, j = np.arange(top, top + len(image))[:, None], np.arange(left, left + len(image))[None, :]
+        inside = (i >= 0) & (i < height) & (j >= 0) & (j < width)
+        grown = image.copy()
+        grown[1:-1, 1:-1] = np.logical_or.reduce([image[1 + a : len(image) - 1 + a, 1 + b : len(image) - 1 + b] for a, b in lattice.CROSS])
+        solid = grown | ~inside  # cells outside the raster do not count
+        core = slice(halo, halo + tile)
+        closed = np.logical_and.reduce([solid[halo + a : halo + a + tile, halo + b : halo + b + tile] for a, b in lattice.CROSS]) & inside[core, core]
+        rows, cols = np.nonzero(closed)
+        return pa.table({
+            "row": pa.array((rows + top + halo).astype(np.int32)), "col": pa.array((cols + left + halo).astype(np.int32)),
+            "altitude": pa.array(ground[rows + halo, cols + halo])})
+
+    plain = cells.select(
+        F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.coalesce(F.col("altitude").cast("double"), F.lit(0.0)).alias("altitude"),
+        F.coalesce(F.col("is_street") > 0, F.lit(False)).alias("street"))
+    tiled = lattice.covering_tiles(plain, tile, tile, halo)
+    return tiled.groupBy("tile_row", "tile_col").applyInArrow(run, "row int, col int, altitude double")
+
+
 def tile_images(cells: DataFrame, tile: int, halo: int, solve: Callable[[np.ndarray, int, int], np.ndarray]) -> DataFrame:
     """Cells (row, col) that ``solve`` sets in each square tile; one shuffle of the cells, and a task holds one tile.
 
@@ -146,20 +187,31 @@ def subtract(a: DataFrame, b: DataFrame) -> DataFrame:
 
 # --- thinning ---------------------------------------------------------------------
 
-def thin_once(image: np.ndarray, second: bool) -> np.ndarray:
-    """One sub-iteration of Zhang and Suen (1984) on a boolean array with a rim of spare cells."""
-    core = image[1:-1, 1:-1]
-    h, w = core.shape
-    ring = [image[1 + i : 1 + i + h, 1 + j : 1 + j + w] for i, j in RING]
-    total = sum(r.astype(np.int8) for r in ring)
-    runs = sum((~ring[k] & ring[(k + 1) % 8]).astype(np.int8) for k in range(8))
-    north, east, south, west = ring[0], ring[2], ring[4], ring[6]
+def _thinned(second: bool) -> np.ndarray:
+    """Whether a sub-iteration of Zhang and Suen (1984) deletes a cell, by the mask of its ring."""
+    ring = (np.arange(256)[:, None] >> np.arange(8)) & 1 == 1
+    total = ring.sum(axis=1)
+    runs = (~ring & np.roll(ring, -1, axis=1)).sum(axis=1)
+    north, east, south, west = ring[:, 0], ring[:, 2], ring[:, 4], ring[:, 6]
     if second:
         keep = (north & east & west) | (north & south & west)
     else:
         keep = (north & east & south) | (east & south & west)
+    return (total >= 2) & (total <= 6) & (runs == 1) & ~keep
+
+
+_THINNED = (_thinned(False), _thinned(True))
+
+
+def thin_once(image: np.ndarray, second: bool) -> np.ndarray:
+    """One sub-iteration on a boolean array with a rim of spare cells."""
+    h, w = image.shape[0] - 2, image.shape[1] - 2
+    bits = image.view(np.uint8)
+    mask = np.zeros((h, w), np.uint8)
+    for bit, (i, j) in enumerate(RING):
+        mask |= bits[1 + i : 1 + i + h, 1 + j : 1 + j + w] << bit
     out = image.copy()
-    out[1:-1, 1:-1] = core & ~((total >= 2) & (total <= 6) & (runs == 1) & ~keep)
+    out[1:-1, 1:-1] &= ~_THINNED[second][mask]
     return out
 
 
@@ -177,23 +229,28 @@ def frame_cells(spark, height: int, width: int, pad: int = THINNING_PAD) -> Data
 def _thin_tiles(cells: DataFrame, tile: int, passes: int, first: int) -> DataFrame:
     """``passes`` sub-iterations on every tile grown by ``passes`` cells, which makes its core exact."""
 
-    def thin(pdf: pd.DataFrame) -> pd.DataFrame:
-        top, left = int(pdf["tile_row"].iloc[0]) * tile, int(pdf["tile_col"].iloc[0]) * tile
+    def thin(table: pa.Table) -> pa.Table:
+        top, left = table["tile_row"][0].as_py() * tile, table["tile_col"][0].as_py() * tile
         rim = passes + 1
         image = np.zeros((tile + 2 * rim, tile + 2 * rim), dtype=bool)
-        image[pdf["row"] - top + rim, pdf["col"] - left + rim] = True
+        image[table["row"].to_numpy() - top + rim, table["col"].to_numpy() - left + rim] = True
         before = image[rim:-rim, rim:-rim].copy()
+        idle = 0
         for k in range(passes):
-            image = thin_once(image, second=(first + k) % 2 == 1)
+            thinner = thin_once(image, second=(first + k) % 2 == 1)
+            idle = idle + 1 if np.array_equal(thinner, image) else 0
+            image = thinner
+            if idle == 2:  # neither kind of sub-iteration finds anything any more
+                break
         core = image[rim:-rim, rim:-rim]
         rows, cols = np.nonzero(core)
-        out = pd.DataFrame({"row": rows + top, "col": cols + left}, dtype="Int32")
-        if out.empty:  # a tile thinned away still reports its deletions
-            out = pd.DataFrame({"row": [pd.NA], "col": [pd.NA]}, dtype="Int32")
-        return out.assign(deleted=np.int64((before & ~core).sum()))
+        deleted = pa.array(np.full(max(len(rows), 1), (before & ~core).sum(), np.int64))
+        if not len(rows):  # a tile thinned away still reports its deletions
+            return pa.table({"row": pa.array([None], pa.int32()), "col": pa.array([None], pa.int32()), "deleted": deleted})
+        return pa.table({"row": pa.array((rows + top).astype(np.int32)), "col": pa.array((cols + left).astype(np.int32)), "deleted": deleted})
 
     tiled = lattice.covering_tiles(cells.select("row", "col"), tile, tile, passes)
-    return tiled.groupBy("tile_row", "tile_col").applyInPandas(thin, "row int, col int, deleted bigint")
+    return tiled.groupBy("tile_row", "tile_col").applyInArrow(thin, "row int, col int, deleted bigint")
 
 
 def skeletonise(

@@ -71,7 +71,9 @@ class _Parts:
         rows, cols = np.nonzero(cells)  # raster order
         self.rows, self.cols = rows + y0, cols + x0
         n = len(rows)
-        root = components.group_labels(n, *components.neighbour_links(self.rows, self.cols, lattice.AROUND)) if n else np.zeros(0, np.int64)
+        none = np.zeros(0, np.int64)
+        self.links = components.neighbour_links(self.rows, self.cols, lattice.AROUND) if n else (none, none)
+        root = components.group_labels(n, *self.links) if n else none
         self.root = root
         self.key = (self.rows.astype(np.int64) << 32) + self.cols
         self.label = self.key[root]
@@ -145,40 +147,61 @@ def tile_graph(tile_row: int, tile_col: int, row: np.ndarray, col: np.ndarray, a
 
     order = np.argsort(lines.root, kind="stable")
     cuts = np.flatnonzero(np.diff(lines.root[order])) + 1
+    neighbours = streets.adjacent(len(order), *lines.links)
+    found = []
     for part in np.split(order, cuts) if len(order) else []:
         if len(part) < 2:
             continue
-        street = int(lines.root[part[0]])
-        start, stop = ends.get(street, (None, None))
-        place = [None if c is None else int(np.searchsorted(part, c)) for c in (start, stop)]
-        line = part[streets.order_street(lines.rows[part], lines.cols[part], *place, t.far_ends)]
+        first = int(part[0])
+        line = np.array(streets.order_cells(neighbours, first, *ends.get(first, (None, None)), t.far_ends))
         rows, cols = lines.rows[line], lines.cols[line]
         parts = streets.clip_line(cols.astype(float), rows.astype(float), box)
-        if not parts:
-            continue
-        width, along, _ = streets.line_metrics(rows - top, cols - left, mask, ground, t.density, t.march_limit)
+        if parts:
+            found.append((int(lines.label[first]), rows, cols, parts))
+    measured = streets.lines_metrics([f[1] - top for f in found], [f[2] - left for f in found], mask, ground, t.density, t.march_limit)
+    for (label, rows, _, parts), (width, along, _) in zip(found, measured.tolist()):
         for piece, (xs, ys) in enumerate(parts):
-            keep = np.unique(np.r_[0, np.arange(1, len(xs) - 1, t.downsampling), len(xs) - 1]).astype(int)
-            out.append((tile_row, tile_col, "line", int(lines.label[part[0]]), len(line), None, None, piece, xs[keep], ys[keep], along, width,
+            if t.downsampling > 1:
+                keep = np.unique(np.r_[0, np.arange(1, len(xs) - 1, t.downsampling), len(xs) - 1]).astype(int)
+                kept = xs[keep], ys[keep]
+            else:
+                kept = xs, ys
+            out.append((tile_row, tile_col, "line", label, len(rows), None, None, piece, *kept, along, width,
                         *end(ys[0], xs[0]), *end(ys[-1], xs[-1])))
     return out
 
 
+#: Cells on a side of the square that one task gets: several small tiles share their margins.
+_SQUARE = 768
+
+
 def graph_parts(mask: DataFrame, skeleton: DataFrame, tiling: Tiling) -> DataFrame:
     """Crossroads and clipped lines (``SCHEMA``) of every tile of a raster.
 
-    ``mask`` is (row, col, altitude), ``skeleton`` (row, col). A tile with its margin is what one task holds.
+    ``mask`` is (row, col, altitude), ``skeleton`` (row, col). What one task holds is a tile with its margin, or as many
+    tiles as fill a square of ``_SQUARE`` cells with the margin of that.
     """
     t = tiling
+    high, wide = max(1, _SQUARE // t.tile_h), max(1, _SQUARE // t.tile_w)
+    tile_rows, tile_cols = -(-t.height // t.tile_h), -(-t.width // t.tile_w)
     cells = mask.select("row", "col", "altitude", F.lit(False).alias("thin")).union(skeleton.select("row", "col", F.lit(None).cast("double"), F.lit(True)))
-    inside = F.col("tile_row").between(0, (t.height - 1) // t.tile_h) & F.col("tile_col").between(0, (t.width - 1) // t.tile_w)
-    tiles = lattice.covering_tiles(cells, t.tile_h, t.tile_w, t.margin).where(inside)
+    inside = F.col("tile_row").between(0, (tile_rows - 1) // high) & F.col("tile_col").between(0, (tile_cols - 1) // wide)
+    squares = lattice.covering_tiles(cells, high * t.tile_h, wide * t.tile_w, t.margin).where(inside)
 
     def solve(table: pa.Table) -> pa.Table:
         row, col = (table[c].to_numpy().astype(np.int64) for c in ("row", "col"))
         altitude = table["altitude"].to_numpy(zero_copy_only=False).astype(float)
-        rows = tile_graph(table["tile_row"][0].as_py(), table["tile_col"][0].as_py(), row, col, altitude, table["thin"].to_numpy(zero_copy_only=False).astype(bool), t)
+        thin = table["thin"].to_numpy(zero_copy_only=False).astype(bool)
+        y, x = table["tile_row"][0].as_py() * high, table["tile_col"][0].as_py() * wide
+        rows = []
+        for tile_row in range(y, min(y + high, tile_rows)):
+            band = np.flatnonzero((row >= tile_row * t.tile_h - t.margin) & (row < (tile_row + 1) * t.tile_h + t.margin))
+            own = row[band], col[band], altitude[band], thin[band]
+            for tile_col in range(x, min(x + wide, tile_cols)):
+                near = np.flatnonzero((own[1] >= tile_col * t.tile_w - t.margin) & (own[1] < (tile_col + 1) * t.tile_w + t.margin))
+                if len(near):
+                    rows += tile_graph(tile_row, tile_col, *(c[near] for c in own), t)
         columns = zip(*rows) if rows else [()] * len(_FIELDS)
         return pa.table([pa.array(c, kind) for c, (_, kind) in zip(columns, _FIELDS)], names=[n for n, _ in _FIELDS])
 
-    return tiles.groupBy("tile_row", "tile_col").applyInArrow(solve, SCHEMA)
+    return squares.groupBy("tile_row", "tile_col").applyInArrow(solve, SCHEMA)

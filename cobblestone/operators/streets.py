@@ -135,15 +135,24 @@ def order_street(rows: np.ndarray, cols: np.ndarray, start, end, far_ends: bool
     is the tip of the longest branch that leaves by another neighbour, which for a
     plain dead end is the start again; ``far_ends`` takes the far tip instead.
     """
-    a, b = components.neighbour_links(rows, cols, lattice.AROUND)
-    neighbours: list[list[int]] = [[] for _ in range(len(rows))]
+    return order_cells(adjacent(len(rows), *components.neighbour_links(rows, cols, lattice.AROUND)), 0, start, end, far_ends)
+
+
+def adjacent(n: int, a: np.ndarray, b: np.ndarray) -> list[list[int]]:
+    """The neighbours of each of ``n`` cells in raster order, given links a-b."""
+    neighbours: list[list[int]] = [[] for _ in range(n)]
     for i, j in zip(a.tolist(), b.tolist()):
         neighbours[i].append(j)
         neighbours[j].append(i)
     for around in neighbours:
         around.sort()
+    return neighbours
+
+
+def order_cells(neighbours: list[list[int]], first: int, start, end, far_ends: bool = False) -> list[int]:
+    """``order_street`` for the street whose first cell in raster order is ``first``."""
     if start is None:
-        start, end = longest_branches(*breadth_first(neighbours, 0))
+        start, end = longest_branches(*breadth_first(neighbours, first))
     elif end is None:
         end = longest_branches(*breadth_first(neighbours, start))[0 if far_ends else 1]
     order, _ = breadth_first(neighbours, start)
@@ -289,6 +298,8 @@ def street_metrics(
 def clip_line(x: np.ndarray, y: np.ndarray, box) -> list[tuple[np.ndarray, np.ndarray]]:
     """The parts of a polyline inside a box (x0, y0, x1, y1), as coordinate arrays."""
     x0, y0, x1, y1 = box
+    if len(x) > 1 and x.min() >= x0 and x.max() <= x1 and y.min() >= y0 and y.max() <= y1:
+        return [(x, y)]
     dx, dy = np.diff(x), np.diff(y)
     enter, leave = np.zeros(len(dx)), np.ones(len(dx))
     for start, delta, low, high in ((x[:-1], dx, x0, x1), (y[:-1], dy, y0, y1)):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from cobblestone.operators import curvature, morphology, street_graph, street_tiles, streets
 from cobblestone.session import cut_lineage
@@ -33,10 +33,7 @@ class Grid:
 
 def clean_mask(cells: DataFrame, grid: Grid) -> DataFrame:
     """Street cells without specks and pinholes, with altitude: (row, col, altitude)."""
-    mask = cells.where(F.col("is_street") > 0).select("row", "col")
-    closed = morphology.close_cross(morphology.remove_small_objects(mask), grid.height, grid.width)
-    ground = cells.select("row", "col", "altitude")
-    return closed.join(ground, ["row", "col"], "left").withColumn("altitude", F.coalesce("altitude", F.lit(0.0)))
+    return morphology.clean_tiles(cells, grid.height, grid.width)
 
 
 def raw_graph(cells: DataFrame, grid: Grid, downsampling: int = 1):

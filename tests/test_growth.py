@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from cobblestone.operators import morphology, reach, streets
+from cobblestone.operators import morphology, reach, street_tiles, streets
 from workload.fixtures import view
 
 SMALL = "/root/testdata/sf0.001"
@@ -93,3 +93,35 @@ def test_lines_march_together(spark):
 
     got = streets.lines_metrics([r for r, _ in lines], [c for _, c in lines], mask, altitude, 1.0)
     assert np.allclose(got, [alone(r, c) for r, c in lines])
+
+
+def test_clean_tiles_equal_the_two_steps(spark):
+    rng = np.random.default_rng(11)
+    image = rng.random((45, 38)) < 0.45
+    rows = [(int(r), int(c), float(image[r, c]), float(r + c) if (r * c) % 5 else None) for r in range(45) for c in range(38) if image[r, c] or rng.random() < 0.3]
+    cells = spark.createDataFrame(rows, "row int, col int, is_street double, altitude double")
+    closed = morphology.close_cross(morphology.remove_small_objects(raster(spark, image)), 45, 38)
+    ground = {(r, c): a or 0.0 for r, c, _, a in rows}
+    want = sorted((r, c, ground.get((r, c), 0.0)) for r, c in told(closed))
+    got = morphology.clean_tiles(cells, 45, 38, tile=16)
+    assert len(want) > 100 and told(got) == want
+    assert "Join" not in plan_of(got)
+
+
+def test_small_tiles_share_a_task(spark):
+    image = np.zeros((130, 170), bool)
+    image[20:23], image[80:84], image[:, 30:33], image[:, 100:104] = True, True, True, True
+    cells = raster(spark, image).withColumn("altitude", F.col("row") * 0.5)
+    skeleton = morphology.skeletonise(cells, 130, 170)
+    tiling = street_tiles.Tiling(130, 170, 40, 50)
+    parts = street_tiles.graph_parts(cells, skeleton, tiling)
+    ground, lines = ({(r.row, r.col): r for r in df.collect()} for df in (cells, skeleton))
+    at = np.array([*ground, *lines])
+    altitude = np.array([r.altitude for r in ground.values()] + [np.nan] * len(lines))
+    thin = np.arange(len(at)) >= len(ground)
+    want = [row for i in range(4) for j in range(4) for row in street_tiles.tile_graph(i, j, at[:, 0], at[:, 1], altitude, thin, tiling)]
+    got = parts.collect()
+    brief = lambda r: (r[0], r[1], r[2], r[3], r[4], r[7] or 0, r[11] or 0.0)
+    assert len(want) > 30 and sorted(map(brief, got)) == sorted(map(brief, want))
+    assert parts.groupBy("tile_row", "tile_col").count().count() > 4
+    assert "750" in plan_of(parts) and "760" in plan_of(parts)  # squares of 19 x 15 tiles are dealt, not tiles
