@@ -12,8 +12,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cobblestone.llm import decontaminate, minhash_dedup, mixing, quality_rules, substring_dedup
+from cobblestone.llm import decontaminate, minhash_dedup, mixing, quality_rules, simhash_dedup, substring_dedup
 from cobblestone.llm.common import stored, table, text_key
+from cobblestone.operators.components import link_components
 
 #: Hashes of the stages are not those of DuckDB; tests hold the rows against a brute-force version.
 ORACLE_SQL = None
@@ -37,10 +38,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts linked by five-word shingles of similarity 0.8 or more: the smallest ``doc_id``, of equal ones the smallest hashes of text and row."""
+    """One document of each group of linked texts: the smallest ``doc_id``, of equal ones the smallest hashes of text and row.
+
+    Links are those of SimHash (``simhash_dedup``: fingerprints of all five-word shingles within 3 bits) and, since few near
+    copies come so close, those of sets of five-word shingles with a similarity of 0.8 or more (``minhash_dedup``).
+    """
     names = ("doc_id", "_key", "_row")
     keyed = packed(docs).withColumn("_key", text_key()).withColumn("_row", F.xxhash64(F.to_json("row")))
-    found = minhash_dedup.near_duplicates(keyed, keep=names, similarity=(4, 5))
+    keyed = keyed.withColumn("_name", F.xxhash64(*names))
+    prints = simhash_dedup.near_duplicates(keyed, ident="_name", size=minhash_dedup.SHINGLE).select("_name", F.col("component_id").alias("_group"))
+    found = stored(minhash_dedup.near_duplicates(keyed, keep=(*names, "_name"), similarity=(4, 5)), "similar")
+    # components of similar sets that one group of fingerprints joins
+    met = stored(found.select("_name", "component").join(prints.distinct(), "_name").select("_group", "component").distinct(), "met")
+    joined = met.groupBy("_group").agg(F.min("component").alias("a"), F.max("component").alias("_last")).where("a != _last")
+    more = link_components(met.join(joined, "_group").select("a", F.col("component").alias("b")))
+    found = found.join(more.select(F.col("item").alias("component"), F.col("component").alias("_all")), "component", "left")
+    found = found.withColumn("component", F.coalesce("_all", "component"))
     named = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), *names)).alias("x"))
     chosen = named.select(*(F.col(f"x.{c}").alias(f"_of{c}") for c in names))
     same = [F.col(c).eqNullSafe(F.col(f"_of{c}")) for c in names]
