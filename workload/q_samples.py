@@ -445,15 +445,15 @@ def arrivals(spark, sf):
 
 
 def ingested(spark, sf):
-    """The store after all deliveries, one file each; every second batch writes the state."""
+    """The store after all deliveries, a batch each; every second batch writes the state."""
     tiles, side = arrivals(spark, sf)
     folder, store = scratch_path(spark, "arriving"), scratch_path(spark, "ingested")
     schema = tiles.drop("delivery").schema
-    for d in range(4):
-        tiles.where(F.col("delivery") == d).drop("delivery").coalesce(1).write.mode("append").parquet(folder)
     segments = -(-side // 150) * -(-side // 200)
-    stream = ingest.tile_stream(spark, folder, schema, max_files=1)
-    ingest.ingest(stream, store, scratch_path(spark, "ingest-state"), segments, every=2).awaitTermination()
+    state = scratch_path(spark, "ingest-state")
+    for d in range(4):  # the ingest is started after each delivery and takes what is new, however many files that is
+        tiles.where(F.col("delivery") == d).drop("delivery").write.mode("append").parquet(folder)
+        ingest.ingest(ingest.tile_stream(spark, folder, schema, max_files=1_000_000), store, state, segments, every=2).awaitTermination()
     return store, schema
 
 
