@@ -2,9 +2,10 @@
 
 Spark's file source reads a file once. Here the offset of the stream is the number of complete bytes of every file, so lines
 that are appended to a known file arrive with the next micro-batch and a restarted query goes on where it stopped. A line
-without its newline waits until it is complete. A file is read in pieces of ``pieceBytes`` by different tasks, from its old
-offset on; what was read is not read again. Files are opened through ``pyarrow.fs``, so ``path`` may be a folder of any store
-it knows. A file that became shorter stops the query: its lines are not what was read.
+without its newline waits until it is complete. A file is read in pieces of ``pieceBytes``, from its old offset on; what was
+read is not read again. A task reads many pieces, of many files if these are small: there are about ``tasks`` of them, or more
+once each has ``TASK_BYTES``, where opening a file counts as ``OPEN_BYTES``. Files are opened through ``pyarrow.fs``, so ``path``
+may be a folder of any store it knows. A file that became shorter stops the query: its lines are not what was read.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import pyarrow as pa
 from pyarrow import fs
@@ -20,11 +22,13 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 SCHEMA = "file string, at bigint, value string"
 PIECE_BYTES = 32 << 20
+TASK_BYTES = 32 << 20
+OPEN_BYTES = 1 << 16
 _LOOK_BACK = 1 << 16
 
 
 @dataclass
-class Piece(InputPartition):
+class Piece:
     """The lines of ``file`` that begin in ``first .. last``; ``whole`` if a line begins at ``first``; lines end by ``end``."""
 
     file: str
@@ -34,6 +38,13 @@ class Piece(InputPartition):
     whole: bool
 
 
+@dataclass
+class Pieces(InputPartition):
+    """What a task reads; pieces of a file follow each other."""
+
+    pieces: list[Piece]
+
+
 def open_store(path: str) -> tuple[fs.FileSystem, str]:
     """File system and place of a URI (also ``file:/path``) or a local path."""
     if "://" not in path and path.startswith("file:"):
@@ -58,6 +69,7 @@ class GrowingLogReader(DataSourceStreamReader):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
         self.piece = int(options.get("piecebytes", PIECE_BYTES))
+        self.tasks = int(options.get("tasks", 1))
         self.known: dict[str, tuple[int, int]] = {}  # file -> size and complete bytes when last looked at
 
     def initialOffset(self) -> dict:
@@ -78,41 +90,60 @@ class GrowingLogReader(DataSourceStreamReader):
         return out
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        out = []
+        grown = []
         for file, stop in sorted(end.items()):
             first = start.get(file, 0)
             if stop < first:
                 raise ValueError(f"{file} became shorter")
+            if stop > first:
+                grown.append((file, first, stop))
+        room = min(TASK_BYTES, sum(OPEN_BYTES + stop - first for _, first, stop in grown) / self.tasks)
+        out, left = [], 0
+        for file, first, stop in grown:
+            opened = False
             for at in range(first, stop, self.piece):
-                out.append(Piece(file, at, min(at + self.piece, stop), stop, at == first))
+                last = min(at + self.piece, stop)
+                if left <= 0:
+                    out.append(Pieces([]))
+                    left, opened = room, False
+                out[-1].pieces.append(Piece(file, at, last, stop, at == first))
+                left -= last - at + (0 if opened else OPEN_BYTES)
+                opened = True
         return out
 
-    def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Pieces) -> Iterator[pa.RecordBatch]:
         store, _ = open_store(self.path)
-        with store.open_input_file(partition.file) as file:
-            file.seek(partition.first if partition.whole else partition.first - 1)
-            raw = file.read(partition.last - file.tell())
-            begin = partition.first
-            if not partition.whole:  # the line that begins before belongs to the piece before
-                cut = raw.find(b"\n") + 1
-                if not cut:
-                    return
-                begin += cut - 1
-                raw = raw[cut:]
-            while raw and not raw.endswith(b"\n"):  # the last line may end in a later piece
-                more = file.read(min(_LOOK_BACK, partition.end - file.tell()))
-                cut = more.find(b"\n") + 1
-                raw += more[:cut] if cut else more
-        if not raw:
+        for name, pieces in groupby(partition.pieces, key=lambda p: p.file):
+            with store.open_input_file(name) as file:
+                for piece in pieces:
+                    yield from piece_lines(file, piece)
+
+
+def piece_lines(file, piece: Piece) -> Iterator[pa.RecordBatch]:
+    """One batch, or none if no line begins in the piece."""
+    file.seek(piece.first if piece.whole else piece.first - 1)
+    raw = file.read(piece.last - file.tell())
+    begin = piece.first
+    if not piece.whole:  # the line that begins before belongs to the piece before
+        cut = raw.find(b"\n") + 1
+        if not cut:
             return
-        lines = raw[:-1].split(b"\n")
-        at, places = begin, []
-        for line in lines:
-            places.append(at)
-            at += len(line) + 1
-        values = [line.rstrip(b"\r").decode("utf-8", "replace") for line in lines]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([partition.file] * len(lines)), pa.array(places, pa.int64()), pa.array(values)], ["file", "at", "value"])
+        begin += cut - 1
+        raw = raw[cut:]
+    while raw and not raw.endswith(b"\n"):  # the last line may end in a later piece
+        more = file.read(min(_LOOK_BACK, piece.end - file.tell()))
+        cut = more.find(b"\n") + 1
+        raw += more[:cut] if cut else more
+    if not raw:
+        return
+    lines = raw[:-1].split(b"\n")
+    at, places = begin, []
+    for line in lines:
+        places.append(at)
+        at += len(line) + 1
+    values = [line.rstrip(b"\r").decode("utf-8", "replace") for line in lines]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([piece.file] * len(lines)), pa.array(places, pa.int64()), pa.array(values)], ["file", "at", "value"])
 
 
 class GrowingLogs(DataSource):

@@ -24,7 +24,8 @@ MEASURED = "run string, at bigint, place int, epoch int, metric string, value do
 def log_stream(spark: SparkSession, folder: str, piece_bytes: int = growing_logs.PIECE_BYTES) -> DataFrame:
     """Complete lines (run, at, value) of a folder of growing files, one file per run; ``at`` is the line's first byte."""
     growing_logs.register(spark)
-    lines = spark.readStream.format("growing_logs").option("path", folder).option("pieceBytes", piece_bytes).load()
+    options = {"path": folder, "pieceBytes": piece_bytes, "tasks": 2 * spark.sparkContext.defaultParallelism}
+    lines = spark.readStream.format("growing_logs").options(**options).load()
     return lines.withColumnRenamed("file", "run")
 
 
@@ -37,6 +38,12 @@ def parsed(lines: DataFrame) -> DataFrame:
     return rows.select("run", "at", F.coalesce("place", F.lit(-1)).alias("place"), "mark", "m.metric", "m.value")
 
 
+def carried(values: np.ndarray, before: float) -> np.ndarray:
+    """The last value that is not NaN up to each place; ``before`` where there is none yet."""
+    last = np.maximum.accumulate(np.where(np.isnan(values), -1, np.arange(len(values))))
+    return np.where(last < 0, before, values[last])
+
+
 class RunMonitor(StatefulProcessor):
     """State of a run: the epoch announced last, and the best value of each metric with its epoch."""
 
@@ -45,25 +52,34 @@ class RunMonitor(StatefulProcessor):
         self.best = handle.getMapState("best", "metric string", "epoch int, value double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["at", "place"], kind="stable")
-        before = self.epoch.get()[0] if self.epoch.exists() else np.nan
-        epoch = batch["mark"].astype("float64").ffill().fillna(before)
-        if not np.isnan(epoch.iloc[-1]):
-            self.epoch.update((int(epoch.iloc[-1]),))
-        found = batch.assign(epoch=epoch)[batch["metric"].notna() & epoch.notna()]
-        for metric, series in found.groupby("metric", sort=False):
+        batch = pd.concat(list(rows))
+        order = np.lexsort((batch["place"].to_numpy(), batch["at"].to_numpy()))
+        at, mark, value = (batch[c].to_numpy()[order] for c in ("at", "mark", "value"))
+        codes, metrics = pd.factorize(batch["metric"].to_numpy()[order])
+        epoch = carried(mark.astype("float64"), self.epoch.get()[0] if self.epoch.exists() else np.nan)
+        if not np.isnan(epoch[-1]):
+            self.epoch.update((int(epoch[-1]),))
+        found = np.flatnonzero((codes >= 0) & ~np.isnan(epoch))
+        if not found.size:
+            return
+        found = found[np.argsort(codes[found], kind="stable")]  # metric after metric, each in the order of its lines
+        at, epoch, value, codes = at[found], epoch[found], value[found].astype("float64"), codes[found]
+        best_epoch, best_value = np.empty(len(found)), np.empty(len(found))
+        ends = [*np.flatnonzero(np.diff(codes)) + 1, len(found)]
+        for first, end in zip([0, *ends], ends):
+            series, metric = slice(first, end), metrics[codes[first]]
             known = self.best.containsKey((metric,))
-            first_epoch, first = self.best.getValue((metric,)) if known else (np.nan, -np.inf)
-            value = series["value"].astype("float64").fillna(-np.inf).to_numpy()
-            top = np.maximum.accumulate(np.concatenate([[first], value]))
-            better = value > top[:-1]
-            best_epoch = pd.Series(np.where(better, series["epoch"], np.nan)).ffill().fillna(first_epoch).to_numpy()
+            known_epoch, known_value = self.best.getValue((metric,)) if known else (np.nan, -np.inf)
+            top = np.maximum.accumulate(np.concatenate([[known_value], np.where(np.isnan(value[series]), -np.inf, value[series])]))
+            better = top[1:] > top[:-1]
+            best_epoch[series] = carried(np.where(better, epoch[series], np.nan), known_epoch)
+            best_value[series] = np.where(top[1:] > -np.inf, top[1:], np.nan)
             if better.any():
-                self.best.updateValue((metric,), (int(best_epoch[-1]), float(top[-1])))
-            yield pd.DataFrame({
-                "run": key[0], "at": series["at"], "place": series["place"], "epoch": series["epoch"].astype("int32"), "metric": metric,
-                "value": series["value"], "best_epoch": pd.array(best_epoch, "Int32"), "best_value": np.where(top[1:] > -np.inf, top[1:], np.nan),
-            })
+                self.best.updateValue((metric,), (int(best_epoch[end - 1]), float(top[-1])))
+        yield pd.DataFrame({
+            "run": key[0], "at": at, "place": batch["place"].to_numpy()[order][found], "epoch": epoch.astype("int32"), "metric": metrics[codes],
+            "value": value, "best_epoch": pd.array(best_epoch, "Int32"), "best_value": best_value,
+        })
 
     def close(self) -> None:
         pass

@@ -220,6 +220,50 @@ def test_pieces_of_a_log_hold_every_line_once(tmp_path, piece):
         reader.partitions(end, reader.latestOffset())
 
 
+def test_many_small_logs_share_a_task(tmp_path):
+    """A task for every piece of every file made the monitor's tasks grow with its files."""
+    texts = {str(tmp_path / f"{k:04}"): "".join(f"line {k} {i}\n" for i in range(k % 7)) for k in range(600)}
+    for path, text in texts.items():
+        (tmp_path / path).write_text(text)
+    reader = growing_logs.GrowingLogReader({"path": str(tmp_path), "piecebytes": "16", "tasks": "8"})
+    tasks = reader.partitions({}, reader.latestOffset())
+    assert 4 <= len(tasks) <= 9
+    lines = sorted((r["file"], r["at"], r["value"]) for t in tasks for b in reader.read(t) for r in b.to_pylist())
+    want = [(p, sum(len(x) + 1 for x in t.split("\n")[:i]), v) for p, t in texts.items() for i, v in enumerate(t.split("\n")[:-1])]
+    assert lines == sorted(want)
+    sizes = {f"/logs/{k}": growing_logs.TASK_BYTES // 4 for k in range(50)} | {"/logs/long": 10 * growing_logs.TASK_BYTES}
+    tasks = growing_logs.GrowingLogReader({"path": "/logs", "tasks": "8"}).partitions({}, sizes)
+    assert max(sum(p.last - p.first for p in t.pieces) for t in tasks) <= 2 * growing_logs.TASK_BYTES
+    assert sum(p.last - p.first for t in tasks for p in t.pieces) == sum(sizes.values())
+
+
+def test_every_metric_of_a_log_with_its_best_so_far(spark, tmp_path):
+    """Rows in any order, ties, values that are no number, lines before the first epoch; in two batches."""
+    logs, store, state = tmp_path / "logs", str(tmp_path / "store"), str(tmp_path / "state")
+    logs.mkdir()
+    rng, want = np.random.default_rng(4), []
+    texts = {run: ["is_street_a: 99"] for run in "ab"}
+    for run, lines in texts.items():
+        best = {}
+        for epoch in range(1, 41):
+            lines.append(f"performing {epoch}-th epoch")
+            for _ in range(rng.integers(0, 3)):
+                found = [(m, "e" if rng.random() < 0.2 else int(rng.integers(-2, 9))) for m in ("is_street_a", "val_is_street_b")[: rng.integers(1, 3)]]
+                lines.append(" - ".join(f"{m}: {v}" for m, v in found))
+                for m, v in found:
+                    v = None if v == "e" else float(v)
+                    if v is not None and v > best.get(m, (None, -np.inf))[1]:
+                        best[m] = epoch, v
+                    want.append((run, epoch, m, v, *best.get(m, (None, None))))
+    for part in (slice(0, 50), slice(50, None)):
+        for run, lines in texts.items():
+            growing(logs / run, "".join(line + "\n" for line in lines[part]))
+        log_monitor.monitor(log_monitor.log_stream(spark, str(logs), piece_bytes=64), store, state).awaitTermination()
+    rows = log_monitor.metrics_so_far(spark, store).collect()
+    got = [(r.run[-1], r.epoch, r.metric, r.value, r.best_epoch, r.best_value) for r in rows]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_features_of_tiles_equal_those_of_samples(spark):
     """What the fitted model sees in tiled inference is what it was trained on."""
     _, cells = noise(spark, 60, 60)

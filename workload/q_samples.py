@@ -386,29 +386,38 @@ hits AS (SELECT run, line_no, epoch, unnest(regexp_extract_all(value, '(val_)?is
 x AS (SELECT run, line_no, epoch, trim(split_part(m, ':', 1)) AS metric, CAST(trim(split_part(m, ':', 2)) AS DOUBLE) AS value FROM hits)"""
 
 
-def deliver(runs, folder, share):
+def whole_logs(spark, sf):
+    """(run, text): the log of every run as it will be in the end."""
+    runs = view(spark, sf, "fx_log").withColumn("run", F.floor(F.col("line_no") / 1000))
+    lines = F.array_sort(F.collect_list(F.struct("line_no", F.concat("value", F.lit("\n")).alias("line"))))
+    runs = runs.repartition(2 * spark.sparkContext.defaultParallelism, "run")  # few bytes, but a file to write for every run
+    return cut_lineage(runs.groupBy("run").agg(F.array_join(lines["line"], "").alias("text")), "whole-logs")
+
+
+def deliver(logs, folder, share):
     """Writes the first ``share`` of the bytes of every run's log, as a trainer would have by then; again for more."""
 
-    def write(pdf):
-        run = int(pdf["run"].iloc[0])
-        text = "".join(v + "\n" for v in pdf.sort_values("line_no")["value"]).encode()
-        part = text[: int(len(text) * (share if run % 3 else max(0, 2 * share - 1)))]  # some runs begin later
-        if part:
-            store, root = growing_logs.open_store(folder)
-            store.create_dir(root)
-            with store.open_output_stream(f"{root}/{run}.log") as file:
-                file.write(part)
-        return pdf[["run"]].head(1)
+    def write(batches):
+        store, root = growing_logs.open_store(folder)
+        store.create_dir(root)
+        for pdf in batches:
+            for run, text in zip(pdf["run"], pdf["text"]):
+                text = text.encode()
+                part = text[: int(len(text) * (share if run % 3 else max(0, 2 * share - 1)))]  # some runs begin later
+                if part:
+                    with store.open_output_stream(f"{root}/{run}.log") as file:
+                        file.write(part)
+            yield pdf[["run"]]
 
-    runs.groupBy("run").applyInPandas(write, "run bigint").write.format("noop").mode("overwrite").save()
+    logs.mapInPandas(write, "run bigint").write.format("noop").mode("overwrite").save()
 
 
 def watched(spark, sf):
     """The stored results of a monitor that was started three times while the logs grew, lines cut anywhere."""
     folder, store, state = (scratch_path(spark, x) for x in ("growing-logs", "monitor", "monitor-state"))
-    runs = view(spark, sf, "fx_log").withColumn("run", F.floor(F.col("line_no") / 1000))
+    logs = whole_logs(spark, sf)
     for share in (0.37, 0.71, 1.0):
-        deliver(runs, folder, share)
+        deliver(logs, folder, share)
         log_monitor.monitor(log_monitor.log_stream(spark, folder, piece_bytes=4096), store, state).awaitTermination()
     return store
 
