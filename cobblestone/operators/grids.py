@@ -22,9 +22,16 @@ CHANNELS = 3  # is_street, altitude, is_residential
 #: Assumed for grids in metres that do not name their projection.
 DEFAULT_EPSG = 32634
 _ROWS_AT_ONCE = 256
+_KNOT = 16
 TILE = "city string, seg_row int, seg_col int, h int, w int, channels int, data array<float>"
 
 
+def values_of(arrays: pa.Array) -> list[np.ndarray]:
+    """The arrays of a column, without a Python object per value."""
+    ends, flat = arrays.offsets.to_numpy(), arrays.values.to_numpy(zero_copy_only=False)
+    return [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+
 def describe(bounds: DataFrame, requests: DataFrame) -> DataFrame:
     """``meta`` from the bounds of every city's streets and what was asked for: (city, density, segment_h, segment_w, epsg)."""
     sized = bounds.join(requests, "city")
@@ -41,7 +48,7 @@ def rasterise(pieces: DataFrame, bounds: DataFrame, requests: DataFrame) -> Data
     to whole metres, as in ``raster.rasterise_segments``.
     """
     framed = raster._segment_frames(pieces.join(bounds.join(requests, "city"), "city"))
-    touched = raster.touched_cells(framed, F.col("density"), "city", "seg_row", "seg_col", "sh", "sw", "is_residential")
+    touched = raster.touched_cells(framed, F.col("density"), "city", "seg_row", "seg_col", "sh", "sw", "is_residential", once=False)
     row, col = F.col("seg_row") * F.col("sh") + F.col("row"), F.col("seg_col") * F.col("sw") + F.col("col")
     return touched.groupBy("city", row.alias("row"), col.alias("col")).agg(F.max(F.col("is_residential").cast("double")).alias("is_residential"))
 
@@ -55,14 +62,48 @@ def segments(meta: DataFrame) -> DataFrame:
     return grid_meta.with_expected_shape(every)
 
 
-def _places(seg: dict, row: np.ndarray, col: np.ndarray, step: float) -> np.ndarray:
-    """Places in the elevation lattice of rows and columns of a segment, as ``(iy << 32) + ix``."""
+def _steps(seg: dict, row: np.ndarray, col: np.ndarray, step: float) -> tuple[np.ndarray, np.ndarray]:
+    """(y, x) of cells of a segment in steps of the elevation lattice; ``row`` and ``col`` are of one shape."""
     metric = seg["epsg"] is not None or not -180 <= seg["origin_x"] <= 180
     col, row = seg["seg_col"] * seg["segment_w"] + col, seg["seg_row"] * seg["segment_h"] + row
-    x, y = np.meshgrid(seg["origin_x"] + col * seg["density"], seg["origin_y"] - row * seg["density"])
+    x, y = seg["origin_x"] + col * seg["density"], seg["origin_y"] - row * seg["density"]
     if metric:
         x, y = geodesy.degrees_of(x, y, seg["epsg"] or DEFAULT_EPSG)
-    return (np.floor(y / step).astype(np.int64) << 32) + np.floor(x / step).astype(np.int64)
+    return y / step, x / step
+
+
+def _places(seg: dict, row: np.ndarray, col: np.ndarray, step: float) -> np.ndarray:
+    """Places in the elevation lattice of rows and columns of a segment, as ``(iy << 32) + ix``."""
+    y, x = _steps(seg, *np.meshgrid(row, col, indexing="ij"), step)
+    return (np.floor(y).astype(np.int64) << 32) + np.floor(x).astype(np.int64)
+
+
+def _indices(seg: dict, step: float) -> tuple[np.ndarray, np.ndarray]:
+    """(iy, ix) of all cells of a segment.
+
+    The projection is computed for every ``_KNOT``-th row and column and interpolated between them. How far that is off
+    along a row or a column shows in the middle between two knots; cells that are not clear of a line of the lattice by twice the
+    sum of both are computed themselves, so that all get the place that computing every cell would give.
+    """
+    h, w = seg["expected_h"], seg["expected_w"]
+    row, col = np.arange(0, h + _KNOT, _KNOT), np.arange(0, w + _KNOT, _KNOT)
+    at = lambda r, c: _steps(seg, *np.meshgrid(r, c, indexing="ij"), step)
+    knots, across, along = at(row, col), at(row, col[:-1] + _KNOT / 2), at(row[:-1] + _KNOT / 2, col)
+    part = np.arange(_KNOT) / _KNOT
+    out, near = [], np.zeros((h, w), bool)
+    for knot, middle_of_row, middle_of_col in zip(knots, across, along):
+        off = np.abs((knot[:, :-1] + knot[:, 1:]) / 2 - middle_of_row).max() + np.abs((knot[:-1] + knot[1:]) / 2 - middle_of_col).max()
+        off = 2 * off + 1e-7
+        down = (knot[:-1, None] * (1 - part[:, None]) + knot[1:, None] * part[:, None]).reshape(-1, len(col))[:h]
+        value = (down[:, :-1, None] * (1 - part) + down[:, 1:, None] * part).reshape(h, -1)[:, :w]
+        low = np.floor(value)
+        value -= low
+        near |= (value < off) | (value > 1 - off)
+        out.append(low.astype(np.int64))
+    row, col = np.nonzero(near)
+    for index, exact in zip(out, _steps(seg, row, col, step)):
+        index[row, col] = np.floor(exact)
+    return out[0], out[1]
 
 
 def _apart(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,14 +163,23 @@ def elevation_tiles(meta: DataFrame, elevation: DataFrame, step: float) -> DataF
 
     def fill(seg: pa.Table, known: pa.Table) -> pa.Table:
         seg = seg.select(names).to_pylist()[0]
-        key = (known["iy"].to_numpy().astype(np.int64) << 32) + known["ix"].to_numpy()
-        order = np.argsort(key)
-        key, value = np.append(key[order], np.iinfo(np.int64).max), np.append(known["elevation"].to_numpy()[order], 0.0)
-        parts = []
-        for place in _lattice(seg, step):
+        iy, ix = _indices(seg, step)
+        top, left, height, width = iy.min(), ix.min(), np.ptp(iy) + 1, np.ptp(ix) + 1
+        (y, x), value = (known[c].to_numpy() for c in ("iy", "ix")), known["elevation"].fill_null(0.0).to_numpy()
+        if height * width <= 4 * iy.size:
+            y, x = y - top, x - left
+            inside = (y >= 0) & (y < height) & (x >= 0) & (x < width)
+            box = np.zeros((height, width), np.float32)
+            box[y[inside], x[inside]] = value[inside]
+            altitude = box[iy - top, ix - left]
+        else:  # cells wider than the lattice
+            key = (y.astype(np.int64) << 32) + x
+            order = np.argsort(key)
+            key, value = np.append(key[order], np.iinfo(np.int64).max), np.append(value[order], 0.0)
+            place = (iy << 32) + ix
             at = np.searchsorted(key, place)
-            parts.append(np.where(key[at] == place, value[at], 0.0).astype(np.float32).ravel())
-        out = {k: [seg[k]] for k in KEYS} | {"h": [seg["expected_h"]], "w": [seg["expected_w"]], "altitude": [np.concatenate(parts)]}
+            altitude = np.where(key[at] == place, value[at], 0.0).astype(np.float32)
+        out = {k: [seg[k]] for k in KEYS} | {"h": [seg["expected_h"]], "w": [seg["expected_w"]], "altitude": [altitude.ravel()]}
         kinds = pa.schema([("city", pa.string()), ("seg_row", pa.int32()), ("seg_col", pa.int32()), ("h", pa.int32()), ("w", pa.int32()), ("altitude", pa.list_(pa.float32()))])
         return pa.table(out, schema=kinds)
 
@@ -147,9 +197,9 @@ def dense_tiles(cells: DataFrame, meta: DataFrame, altitude: DataFrame) -> DataF
     def fill(tile: pa.Table, own: pa.Table) -> pa.Table:
         if not tile.num_rows:  # streets at the very edge, beyond the last row or column
             return pa.table({n: pa.array([], k) for n, k in _TILE_KINDS})
-        t = tile.to_pylist()[0]
+        t = tile.drop_columns("altitude").to_pylist()[0]
         data = np.zeros((t["h"], t["w"], CHANNELS), np.float32)
-        data[:, :, 1] = np.asarray(t["altitude"], np.float32).reshape(t["h"], t["w"])
+        data[:, :, 1] = values_of(tile["altitude"].combine_chunks())[0].reshape(t["h"], t["w"])
         row, col = own["row"].to_numpy().astype(np.int64), own["col"].to_numpy().astype(np.int64)
         ok = (row < t["h"]) & (col < t["w"])
         data[row[ok], col[ok], 0] = 1

@@ -44,7 +44,7 @@ def _corners():
     return [(x1 + nx, y1 + ny), (x2 + nx, y2 + ny), (x2 - nx, y2 - ny), (x1 - nx, y1 - ny)]
 
 
-def touched_cells(framed: DataFrame, density: float | Column, *keys: str) -> DataFrame:
+def touched_cells(framed: DataFrame, density: float | Column, *keys: str, once: bool = True) -> DataFrame:
     """Every raster cell a street piece touches (all-touched), once per frame.
 
     ``density`` may be a column of the frame, so that frames of different density are one job.
@@ -97,7 +97,8 @@ def touched_cells(framed: DataFrame, density: float | Column, *keys: str) -> Dat
     c1 = F.least(F.ceil(right - SLIVER) - 1, F.col("w") - 1).cast("int")
     run = F.when(F.col("_low").isNotNull() & (right - left > SLIVER) & (c0 <= c1), F.sequence(c0, c1))
     cells = spans.select(*keys, "row", F.explode_outer(run).alias("col"))
-    return cells.where(F.col("col").isNotNull()).distinct()
+    cells = cells.where(F.col("col").isNotNull())
+    return cells.distinct() if once else cells
 
 
 def _whole_frame(density: float):

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cobblestone.operators import grids, raster
 from cobblestone.session import cut_lineage
 from cobblestone.sources import grid_meta
+from cobblestone.sources.tiles import TILE_FILES
 
 
 def city_tiles(roads: DataFrame, requests: DataFrame, elevation: DataFrame, step: float):
@@ -27,8 +28,8 @@ def city_tiles(roads: DataFrame, requests: DataFrame, elevation: DataFrame, step
 
 def write_store(meta: DataFrame, tiles: DataFrame, store: str) -> None:
     """Writes the rasters; a city that is there already is replaced, others stay."""
-    for df, name in ((tiles.repartition("city", "seg_row"), "tiles"), (meta, "grids")):
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("city").parquet(f"{store}/{name}")
+    for df, name, options in ((tiles.repartition("city", "seg_row"), "tiles", TILE_FILES), (meta, "grids", {})):
+        df.write.mode("overwrite").options(partitionOverwriteMode="dynamic", **options).partitionBy("city").parquet(f"{store}/{name}")
 
 
 def read_store(spark: SparkSession, store: str, city: str | None = None):

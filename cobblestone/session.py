@@ -16,16 +16,18 @@ JOINS = {
     "spark.sql.adaptive.nonEmptyPartitionRatioForBroadcastJoin": "0",
 }
 
+# Rows with whole tiles in them: batches to Python go by bytes, not by 10,000 rows. Both sides hold a batch, more than once.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+
 # Settings every job here relies on; executors, memory and parallelism stay with the cluster.
 SETTINGS = {
     **JOINS,
+    **BATCHES,
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # rows with whole tiles in them: batches to Python go by bytes, not by 10,000 rows
-    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
 }
 
 
@@ -39,8 +41,8 @@ def build_session(app: str = "cobblestone", master: str | None = None, **extra)
 
 
 def settle(spark: SparkSession) -> SparkSession:
-    """Sets ``JOINS`` on a session that somebody else has made."""
-    for key, value in JOINS.items():
+    """Sets ``JOINS`` and ``BATCHES`` on a session that somebody else has made."""
+    for key, value in {**JOINS, **BATCHES}.items():
         spark.conf.set(key, value)
     return spark
 
@@ -66,12 +68,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_root(spark)}/cobblestone/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame, label: str) -> DataFrame:
+def cut_lineage(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     One evaluation, and a durable result if executors are lost. The size of its files is far below that of its rows,
-    so joins must not be planned by it (``JOINS``).
+    so joins must not be planned by it (``JOINS``). ``options`` are those of the writer.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Writer options for rows that hold a tile each. A reader makes arrays of 4,096 rows or a row group, whichever is less, and a
+#: row group has 128 MB as stored, which may be thousands of tiles: their values compress well.
+TILE_FILES = {"parquet.block.row.count.limit": "8"}
+
 
 def write_tiles(tiles: DataFrame, path: str) -> None:
     """Writes tiles (city, seg_row, seg_col, ...); segments already stored are replaced, others stay."""
     keys = ["city", "seg_row", "seg_col"]
     (
         tiles.repartition(*keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*keys).parquet(path)
+        .options(**TILE_FILES).partitionBy(*keys).parquet(path)
     )
 
 
