@@ -41,14 +41,22 @@ def describe(bounds: DataFrame, requests: DataFrame) -> DataFrame:
         F.col("min_x").alias("origin_x"), F.col("max_y").alias("origin_y"), "density", "segment_h", "segment_w", "epsg")
 
 
-def rasterise(pieces: DataFrame, bounds: DataFrame, requests: DataFrame) -> DataFrame:
+def rasterise(pieces: DataFrame, bounds: DataFrame, requests: DataFrame, runs: bool = False) -> DataFrame:
     """Streets of all cities to cells (city, row, col, is_residential).
 
+    ``runs`` gives runs of cells of a row, which may overlap, with the column ``last``: for a target that takes a cell twice.
+
     ``pieces`` are those of ``raster.street_pieces`` with city and is_residential. Every segment has its own origin, truncated
     to whole metres, as in ``raster.rasterise_segments``.
     """
     framed = raster._segment_frames(pieces.join(bounds.join(requests, "city"), "city"))
-    touched = raster.touched_cells(framed, F.col("density"), "city", "seg_row", "seg_col", "sh", "sw", "is_residential", once=False)
+    keys = ["city", "seg_row", "seg_col", "sh", "sw", "is_residential"]
+    if runs:
+        touched, from_col = raster.touched_runs(framed, F.col("density"), *keys), F.col("seg_col") * F.col("sw")
+        return touched.select(
+            "city", (F.col("seg_row") * F.col("sh") + F.col("row")).alias("row"), (from_col + F.col("first")).alias("col"),
+            (from_col + F.col("last")).alias("last"), F.col("is_residential").cast("double").alias("is_residential"))
+    touched = raster.touched_cells(framed, F.col("density"), *keys)
     row, col = F.col("seg_row") * F.col("sh") + F.col("row"), F.col("seg_col") * F.col("sw") + F.col("col")
     return touched.groupBy("city", row.alias("row"), col.alias("col")).agg(F.max(F.col("is_residential").cast("double")).alias("is_residential"))
 
@@ -188,11 +196,19 @@ def elevation_tiles(meta: DataFrame, elevation: DataFrame, step: float) -> DataF
 
 
 def dense_tiles(cells: DataFrame, meta: DataFrame, altitude: DataFrame) -> DataFrame:
-    """Tiles of all cities with interleaved channels (R2, R6 to R8): streets from ``cells``, altitude for every position."""
+    """Tiles of all cities with interleaved channels (R2, R6 to R8): streets from ``cells``, altitude for every position.
+
+    ``cells`` may be runs of cells (``last``), so that a street costs a row per row of the raster it covers.
+    """
     shape = meta.select("city", "segment_h", "segment_w")
-    keyed = cells.join(shape, "city").select(
-        "city", F.floor(F.col("row") / F.col("segment_h")).cast("int").alias("seg_row"), F.floor(F.col("col") / F.col("segment_w")).cast("int").alias("seg_col"),
-        (F.col("row") % F.col("segment_h")).alias("row"), (F.col("col") % F.col("segment_w")).alias("col"), "is_residential")
+    joined = cells.withColumn("last", F.col("last" if "last" in cells.columns else "col")).join(shape, "city")
+    first_of, last_of = (F.floor(F.col(c) / F.col("segment_w")).cast("int") for c in ("col", "last"))
+    # nearly all runs lie in one segment
+    keyed = joined.withColumn("seg_col", F.explode(F.when(first_of == last_of, F.array(first_of)).otherwise(F.sequence(first_of, last_of))))
+    left = F.col("seg_col") * F.col("segment_w")
+    keyed = keyed.select(
+        "city", F.floor(F.col("row") / F.col("segment_h")).cast("int").alias("seg_row"), "seg_col", (F.col("row") % F.col("segment_h")).alias("row"),
+        F.greatest(F.col("col") - left, F.lit(0)).alias("col"), F.least(F.col("last") - left, F.col("segment_w") - 1).alias("last"), "is_residential")
 
     def fill(tile: pa.Table, own: pa.Table) -> pa.Table:
         if not tile.num_rows:  # streets at the very edge, beyond the last row or column
@@ -200,10 +216,13 @@ def dense_tiles(cells: DataFrame, meta: DataFrame, altitude: DataFrame) -> DataF
         t = tile.drop_columns("altitude").to_pylist()[0]
         data = np.zeros((t["h"], t["w"], CHANNELS), np.float32)
         data[:, :, 1] = values_of(tile["altitude"].combine_chunks())[0].reshape(t["h"], t["w"])
-        row, col = own["row"].to_numpy().astype(np.int64), own["col"].to_numpy().astype(np.int64)
-        ok = (row < t["h"]) & (col < t["w"])
-        data[row[ok], col[ok], 0] = 1
-        data[row[ok], col[ok], 2] = own["is_residential"].to_numpy()[ok]
+        row, first, last = (own[c].to_numpy().astype(np.int64) for c in ("row", "col", "last"))
+        length = np.maximum(np.where(row < t["h"], np.minimum(last, t["w"] - 1) - first + 1, 0), 0)
+        # places of all cells: those of a run count up from its first
+        at = np.arange(length.sum()) + np.repeat(row * t["w"] + first - np.cumsum(length) + length, length)
+        flat = data.reshape(-1, CHANNELS)
+        flat[at, 0] = 1
+        np.fmax.at(flat[:, 2], at, np.repeat(own["is_residential"].to_numpy().astype(np.float32), length))
         out = [[t[k]] for k in (*KEYS, "h", "w")] + [[CHANNELS], [data.ravel()]]
         return pa.table([pa.array(c, k) for c, (_, k) in zip(out, _TILE_KINDS)], names=[n for n, _ in _TILE_KINDS])
 

@@ -44,8 +44,8 @@ def _corners():
     return [(x1 + nx, y1 + ny), (x2 + nx, y2 + ny), (x2 - nx, y2 - ny), (x1 - nx, y1 - ny)]
 
 
-def touched_cells(framed: DataFrame, density: float | Column, *keys: str, once: bool = True) -> DataFrame:
-    """Every raster cell a street piece touches (all-touched), once per frame.
+def _touched(framed: DataFrame, density: float | Column, keys: tuple[str, ...], parts) -> DataFrame:
+    """What ``parts`` makes of the run of columns that a street piece touches in a row (all-touched), a row each.
 
     ``density`` may be a column of the frame, so that frames of different density are one job.
 
@@ -95,10 +95,20 @@ def touched_cells(framed: DataFrame, density: float | Column, *keys: str, once:
     left, right = F.greatest("_low", "_x0"), F.least("_high", "_x1")
     c0 = F.greatest(F.floor(left + SLIVER), F.lit(0)).cast("int")
     c1 = F.least(F.ceil(right - SLIVER) - 1, F.col("w") - 1).cast("int")
-    run = F.when(F.col("_low").isNotNull() & (right - left > SLIVER) & (c0 <= c1), F.sequence(c0, c1))
-    cells = spans.select(*keys, "row", F.explode_outer(run).alias("col"))
-    cells = cells.where(F.col("col").isNotNull())
-    return cells.distinct() if once else cells
+    run = F.when(F.col("_low").isNotNull() & (right - left > SLIVER) & (c0 <= c1), parts(c0, c1))
+    found = spans.select(*keys, "row", F.explode_outer(run).alias("col"))
+    return found.where(F.col("col").isNotNull())
+
+
+def touched_cells(framed: DataFrame, density: float | Column, *keys: str) -> DataFrame:
+    """Every raster cell a street piece touches (all-touched), once per frame: (keys..., row, col)."""
+    return _touched(framed, density, keys, F.sequence).distinct()
+
+
+def touched_runs(framed: DataFrame, density: float | Column, *keys: str) -> DataFrame:
+    """``touched_cells`` as the runs of columns that every piece covers, which may overlap: (keys..., row, first, last)."""
+    runs = _touched(framed, density, keys, lambda first, last: F.array(F.struct(first.alias("first"), last.alias("last"))))
+    return runs.select(*keys, "row", "col.first", "col.last")
 
 
 def _whole_frame(density: float):

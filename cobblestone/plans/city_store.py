@@ -22,7 +22,7 @@ def city_tiles(roads: DataFrame, requests: DataFrame, elevation: DataFrame, step
     pieces = cut_lineage(raster.street_pieces(roads, "city", "is_residential"), "pieces")
     bounds = cut_lineage(raster.piece_bounds(pieces, "city"), "bounds")
     meta = cut_lineage(grids.describe(bounds, requests), "grids")
-    cells = grids.rasterise(pieces, bounds, requests)
+    cells = grids.rasterise(pieces, bounds, requests, runs=True)
     return meta, grids.dense_tiles(cells, meta, grids.elevation_tiles(meta, elevation, step))
 
 
