@@ -15,6 +15,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cobblestone.sources.shared_file import read_text, write_text
+from cobblestone.sources.tiles import TILE_FILES
 
 KEYS = ["city", "seg_row", "seg_col"]
 ENTRY = "city string, seg_row int, seg_col int, arrived bigint, batch bigint"
@@ -59,7 +60,7 @@ class TileLog:
         # two tiles of one segment that arrived together: the one with the larger hash
         order = F.struct("arrived", F.xxhash64(*rest))
         latest = tiles.groupBy(*KEYS).agg(F.max_by(F.struct(*rest), order).alias("t")).select(*KEYS, "t.*")
-        latest.write.mode("overwrite").parquet(f"{self.store}/tiles/{batch}")
+        latest.write.mode("overwrite").options(**TILE_FILES).parquet(f"{self.store}/tiles/{batch}")
         kept = self.spark.read.schema(latest.schema).parquet(f"{self.store}/tiles/{batch}")
         entries = kept.select(*KEYS, "arrived", F.lit(batch).cast("bigint").alias("batch"))
         entries.write.mode("overwrite").parquet(f"{self.store}/log/{batch}")

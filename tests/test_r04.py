@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cobblestone.operators import grids
 from cobblestone.plans import city_store
+from cobblestone.sources.tile_log import TileLog
 
 
 def row_groups(folder):
@@ -79,3 +80,23 @@ def test_rasters_of_many_cities_shuffle_runs(spark):
     assert sorted(map(tuple, spread.collect())) == sorted(map(tuple, cells.drop("city").collect()))
     plan = q_cities.many_cities(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "MapInArrow" in plan  # no row per position of a tile
+
+
+def test_batches_of_the_tile_log_are_read_a_few_at_once(spark, tmp_path):
+    log = TileLog(spark, str(tmp_path / "store"))
+    tiles = spark.range(60).select(
+        F.lit("c").alias("city"), F.col("id").cast("int").alias("seg_row"), F.lit(0).alias("seg_col"), F.lit(1).cast("bigint").alias("arrived"),
+        F.array_repeat(F.lit(1.0).cast("float"), 50).alias("data"))
+    log.commit(0, tiles.coalesce(1))
+    assert sum(row_groups(tmp_path / "store/tiles")) == 60 and max(row_groups(tmp_path / "store/tiles")) <= 8
+
+
+def test_deliveries_of_the_ingest_are_read_a_few_at_once(spark, tmp_path, monkeypatch):
+    from workload import q_samples
+
+    monkeypatch.setattr(q_samples, "scratch_path", lambda spark, label: str(tmp_path / label))
+    monkeypatch.setattr("cobblestone.session.scratch_path", lambda spark, label: str(tmp_path / label))
+    assert q_samples.ingest_progress(spark, "/root/testdata/sf0.1").count() == 4
+    for folder in ("arrivals", "arriving"):
+        rows = row_groups(tmp_path / folder)
+        assert sum(rows) > 50 and max(rows) <= 8

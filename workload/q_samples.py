@@ -450,7 +450,7 @@ def arrivals(spark, sf):
     doubled = tiles.withColumn("data", F.transform("data", lambda v, i: F.when(i % 3 == 1, 2 * v).otherwise(v)))
     first = tiles.withColumns({"arrived": number + 1000, "delivery": number % 4})
     second = doubled.withColumns({"arrived": F.when(even, number + 5000).otherwise(number), "delivery": (number + 1) % 4})
-    return cut_lineage(first.unionByName(second).withColumn("arrived", F.col("arrived").cast("bigint")), "arrivals"), side
+    return cut_lineage(first.unionByName(second).withColumn("arrived", F.col("arrived").cast("bigint")), "arrivals", **tile_store.TILE_FILES), side
 
 
 def ingested(spark, sf):
@@ -461,7 +461,7 @@ def ingested(spark, sf):
     segments = -(-side // 150) * -(-side // 200)
     state = scratch_path(spark, "ingest-state")
     for d in range(4):  # the ingest is started after each delivery and takes what is new, however many files that is
-        tiles.where(F.col("delivery") == d).drop("delivery").write.mode("append").parquet(folder)
+        tiles.where(F.col("delivery") == d).drop("delivery").write.mode("append").options(**tile_store.TILE_FILES).parquet(folder)
         ingest.ingest(ingest.tile_stream(spark, folder, schema, max_files=1_000_000), store, state, segments, every=2).awaitTermination()
     return store, schema
 
