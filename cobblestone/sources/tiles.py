@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 TILE_FILES = {"parquet.block.row.count.limit": "8"}
 
 
+def array_files(values: int) -> dict[str, str]:
+    """Writer options for rows with arrays of so many values in all: about two million values to a row group, but eight rows."""
+    return {"parquet.block.row.count.limit": str(max(8, 2**21 // values))}
+
+
+
 def write_tiles(tiles: DataFrame, path: str) -> None:
     """Writes tiles (city, seg_row, seg_col, ...); segments already stored are replaced, others stay."""
     keys = ["city", "seg_row", "seg_col"]

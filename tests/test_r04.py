@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from cobblestone.operators import grids
+from cobblestone.operators import grids, sampling
 from cobblestone.plans import city_store
 from cobblestone.sources.tile_log import TileLog
 
@@ -100,3 +100,41 @@ def test_deliveries_of_the_ingest_are_read_a_few_at_once(spark, tmp_path, monkey
     for folder in ("arrivals", "arriving"):
         rows = row_groups(tmp_path / folder)
         assert sum(rows) > 50 and max(rows) <= 8
+
+
+def test_blocks_meet_windows_by_area_not_by_window(spark, monkeypatch):
+    """Also where windows crowd in one area, cross into the next or see nothing."""
+    monkeypatch.setattr(sampling, "_AREA", 32)
+    monkeypatch.setattr(sampling, "_CUT", 5)
+    shape = sampling.SampleShape(size=16, surplus=8, inputs=3, outputs=1)
+    rng = np.random.default_rng(17)
+    dense = {c: rng.random((80, 80, 2)).astype(np.float32) * (rng.random((80, 80, 1)) < 0.4) for c in "ab"}
+    dense["b"][40:] = 0  # blocks without a cell
+    cells = [(c, int(y), int(x), *map(float, g[y, x]), 1.0) for c, g in dense.items() for y, x in zip(*np.nonzero(g[..., 0]))]
+    df = spark.createDataFrame(cells, "city string, row int, col int, is_street double, altitude double, is_residential double")
+    at = [(k, "ab"[k % 2], int(rng.integers(0, 65)), int(rng.integers(0, 20 if k < 40 else 65)), 16, 16) for k in range(80)]
+    windows = spark.createDataFrame(at, "sample_id bigint, city string, y0 int, x0 int, h int, w int")
+    arrays = sampling.sample_arrays(windows, df, shape)
+    got = {r.sample_id: r for r in arrays.collect()}
+    assert len(got) == 80
+    for k, city, y0, x0, _, _ in at:
+        cut = dense[city][y0 : y0 + 16, x0 : x0 + 16]
+        want = np.concatenate([np.zeros((16, 16, 1), np.float32), cut], axis=2)
+        want[4:12, 4:12, 0], want[4:12, 4:12, 1] = 1, 0
+        assert np.array_equal(np.array(got[k].x, np.float32).reshape(16, 16, 3), want)
+        assert np.array_equal(np.array(got[k].y_is_street, np.float32).reshape(8, 8), cut[4:12, 4:12, 0])
+    plan = arrays._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftOuter" not in plan  # no block per window
+
+
+def test_stored_samples_are_read_a_few_at_once(spark, tmp_path, monkeypatch):
+    from cobblestone.streaming import samples as stream_samples
+
+    monkeypatch.setattr(stream_samples, "array_files", lambda values: {"parquet.block.row.count.limit": str(2**10 // values)})
+    cells = spark.createDataFrame([(r, c, 1.0, 0.0, 0.0) for r in range(30) for c in range(30)], "row int, col int, is_street double, altitude double, is_residential double")
+    grid = spark.createDataFrame([("a", 0, 30, 30)], "city string, city_no int, rows int, cols int")
+    spark.range(40).select(F.col("id").alias("sample_id")).coalesce(1).write.parquet(str(tmp_path / "ids"))
+    stream = spark.readStream.schema("sample_id bigint").parquet(str(tmp_path / "ids"))
+    shape = sampling.SampleShape(size=8, surplus=4, inputs=2, outputs=1)
+    stream_samples.generate(stream, grid, cells, shape, (20, 20), str(tmp_path / "out"), str(tmp_path / "state"), endless=False).awaitTermination()
+    assert sum(row_groups(tmp_path / "out")) == 40 and max(row_groups(tmp_path / "out")) <= 5

@@ -1,8 +1,10 @@
 """Sampling, tile planning, inference, training and streaming queries."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from cobblestone.operators import evaluation, raster, sampling
+from cobblestone.operators import evaluation, grids, raster, sampling
 from cobblestone.operators.sampling import LCG_INCREMENT as C, LCG_MODULUS as M, LCG_MULTIPLIER as A, SampleShape
 from cobblestone.plans import city, inference, training
 from cobblestone.session import cut_lineage, scratch_path
@@ -118,9 +120,14 @@ ARRAY_SHAPE = SampleShape(size=48, surplus=16, inputs=2, outputs=1)
 def array_summary(samples_df):
     s = sampling.with_batches(samples_df, 8)
 
-    def total(c):
-        return F.aggregate(c, F.lit(0.0), lambda acc, v: acc + v.cast("double"))
-    return s.select("sample_id", "batch_id", F.size("x").alias("x_size"), F.size("y_is_street").alias("y_size"), total("x").alias("x_sum"), total("y_is_street").alias("y_sum"))
+    def summary(batches):
+        for batch in batches:
+            arrays = [grids.values_of(batch.column(c)) for c in ("x", "y_is_street")]
+            sizes = [pa.array([len(v) for v in a], pa.int32()) for a in arrays]
+            sums = [pa.array([v.sum(dtype=np.float64) for v in a], pa.float64()) for a in arrays]
+            yield pa.RecordBatch.from_arrays([batch.column("sample_id"), batch.column("batch_id"), *sizes, *sums], ["sample_id", "batch_id", "x_size", "y_size", "x_sum", "y_sum"])
+
+    return s.select("sample_id", "batch_id", "x", "y_is_street").mapInArrow(summary, "sample_id bigint, batch_id bigint, x_size int, y_size int, x_sum double, y_sum double")
 
 
 @query("M2_M3_sample_arrays", uses=("fx_cells",), sql=ARRAYS_SQL)
