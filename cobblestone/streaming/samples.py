@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cobblestone.operators import sampling
 from cobblestone.session import cut_lineage
+from cobblestone.sources.tiles import array_files
 
 
 def sample_stream(spark: SparkSession, per_batch: int) -> DataFrame:
@@ -23,11 +24,12 @@ def generate(
     ``stream`` is any stream of sample_id; unless ``endless``, it stops at the end of what is there.
     """
 
-    blocks = cut_lineage(sampling.sample_blocks(cells, shape), "sample-blocks")  # the raster is read once, not per batch
+    files = array_files(shape.size**2 * (shape.inputs + shape.outputs))
+    blocks = cut_lineage(sampling.sample_blocks(cells, shape), "sample-blocks", **files)  # the raster is read once, not per batch
 
     def add(batch: DataFrame, batch_id: int) -> None:
         windows = sampling.sample_windows(sampling.random_cuts(batch, grids, *cut), shape)
-        sampling.sample_arrays(windows, None, shape, blocks=blocks).write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+        sampling.sample_arrays(windows, None, shape, blocks=blocks).write.mode("overwrite").options(**files).parquet(f"{store}/batch={batch_id}")
 
     writer = stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer if endless else writer.trigger(availableNow=True)).start()
