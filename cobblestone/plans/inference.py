@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from cobblestone.operators import raster
 from cobblestone.operators.sampling import SampleShape
 from cobblestone.session import cut_lineage, scratch_path
+from cobblestone.sources.tiles import TILE_FILES
 
 #: Whether a position is hidden, from its row and column.
 Region = Callable[[Column, Column], Column]
@@ -272,7 +273,7 @@ def predict(
     memory = math.ceil(above / BLOCK) + math.ceil((k + 1) * above / BLOCK)
     inputs, done = scratch_path(spark, "tile-inputs"), scratch_path(spark, "tiles")
     arrays = _tile_inputs(plan, cells, shape, hidden).withColumn("step", F.col("br") + F.col("bc"))
-    arrays.repartition("br", "bc").write.partitionBy("step").parquet(inputs)
+    arrays.repartition("br", "bc").write.partitionBy("step").options(**TILE_FILES).parquet(inputs)
     found = spark.read.schema(f"{_PLACE}, y array<double>")
     steps = [(row["step"], row["blocks"]) for row in plan.groupBy("step").agg(F.count_distinct("br").alias("blocks")).orderBy("step").collect()]
     for step, blocks in steps:
@@ -280,7 +281,7 @@ def predict(
         near = [f"{done}/{s}" for s, _ in steps if step - memory <= s < step]
         fed = _fed(found.parquet(*near), step, rows, cols, shape) if near else None
         parts = min(blocks, spark.sparkContext.defaultParallelism)
-        _predict_tiles(own, fed, parts, shape, run).write.parquet(f"{done}/{step}")
+        _predict_tiles(own, fed, parts, shape, run).write.options(**TILE_FILES).parquet(f"{done}/{step}")
     return _owned_cells(found.parquet(*(f"{done}/{s}" for s, _ in steps)), shape)
 
 

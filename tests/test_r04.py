@@ -138,3 +138,15 @@ def test_stored_samples_are_read_a_few_at_once(spark, tmp_path, monkeypatch):
     shape = sampling.SampleShape(size=8, surplus=4, inputs=2, outputs=1)
     stream_samples.generate(stream, grid, cells, shape, (20, 20), str(tmp_path / "out"), str(tmp_path / "state"), endless=False).awaitTermination()
     assert sum(row_groups(tmp_path / "out")) == 40 and max(row_groups(tmp_path / "out")) <= 5
+
+
+def test_tiles_of_inference_are_read_a_few_at_once(spark, tmp_path, monkeypatch):
+    from cobblestone.plans import inference
+
+    monkeypatch.setattr(inference, "scratch_path", lambda spark, label: str(tmp_path / label))
+    cells = spark.range(72 * 72).selectExpr("cast(id div 72 as int) row", "cast(id % 72 as int) col", "1D is_street", "0D altitude", "0D is_residential").where("row % 3 = 0")
+    out = inference.predict(cells, 72, 72, sampling.SampleShape(size=16, surplus=8), lambda r, c: (r + c) % 4 == 1)
+    assert out.count() == 64 * 64
+    for folder in ("tile-inputs", "tiles"):
+        rows = row_groups(tmp_path / folder)
+        assert sum(rows) == 64 and max(rows) <= 8
