@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cobblestone.functions import geodesy, planar
 from cobblestone.operators import network
+from cobblestone.session import cut_lineage
 
 # Arm length, class limits in metres.
 ARM_M = 10.0
@@ -19,9 +20,9 @@ def arms(nodes: DataFrame, edges: DataFrame, reach: float = ARM_M) -> DataFrame:
     The first edge (smallest k) from the node is used, else the first one to it.
     """
     lines = edges.where(F.col("u") != F.col("v")).select("u", "v", "k", "geometry")
-    ends = lines.select(F.col("u").alias("node"), F.col("v").alias("n"), F.struct(F.lit(0), "k").alias("rank"), "geometry").union(
-        lines.select(F.col("v"), F.col("u"), F.struct(F.lit(1), "k"), "geometry")
-    )
+    # both ends from one row: a union would compute the geometry twice
+    way = [F.struct(F.col(a).alias("node"), F.col(b).alias("n"), F.struct(F.lit(i).alias("turned"), "k").alias("rank")) for i, a, b in ((0, "u", "v"), (1, "v", "u"))]
+    ends = lines.select("geometry", F.explode(F.array(*way)).alias("e")).select("e.*", "geometry")
     first = ends.groupBy("node", "n").agg(F.min_by("geometry", "rank").alias("geometry"))
     at = nodes.select(F.col("node_id").alias("node"), planar.point(F.col("x"), F.col("y")).alias("at"))
     return first.join(at, "node").select("node", "n", "at", planar.arm_point(F.col("geometry"), F.col("at"), reach).alias("arm"))
@@ -33,7 +34,7 @@ def node_radii(nodes: DataFrame, edges: DataFrame, reach: float = ARM_M) -> Data
     Whether a node is on a street or a junction goes by its directed degree. All
     pairs are the result; the equi-join on the node is skew-split by Spark.
     """
-    arm = arms(nodes, edges, reach)
+    arm = cut_lineage(arms(nodes, edges, reach), "arms")  # both sides of a join
     one = arm.select("node", F.col("n").alias("n1"), "at", F.col("arm").alias("p"))
     two = arm.select("node", F.col("n").alias("n2"), F.col("arm").alias("r"))
     pairs = one.join(two, "node").where(F.col("n1") < F.col("n2"))

@@ -150,3 +150,20 @@ def test_tiles_of_inference_are_read_a_few_at_once(spark, tmp_path, monkeypatch)
     for folder in ("tile-inputs", "tiles"):
         rows = row_groups(tmp_path / folder)
         assert sum(rows) == 64 and max(rows) <= 8
+
+
+def test_arms_are_computed_once(spark):
+    """Not once per direction of an edge and again for each side of the join that pairs them."""
+    from cobblestone.operators import curvature
+
+    nodes = spark.createDataFrame([(1, 0.0, 0.0), (2, 40.0, 0.0), (3, 0.0, 40.0)], "node_id bigint, x double, y double")
+    line = lambda a, b: [dict(x=float(a[0]), y=float(a[1])), dict(x=float(b[0]), y=float(b[1]))]
+    edges = spark.createDataFrame(
+        [(1, 2, 0, line((0, 0), (40, 0))), (3, 1, 0, line((0, 40), (0, 0))), (2, 2, 0, line((40, 0), (40, 0)))],
+        "u bigint, v bigint, k int, geometry array<struct<x: double, y: double>>")
+    plan = curvature.arms(nodes, edges)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan
+    radii = curvature.node_radii(nodes, edges)
+    (row,) = radii.collect()
+    assert (row.node, row.n1, row.n2) == (1, 2, 3) and abs(row.radius - 50**0.5) < 1e-6
+    assert "min_by" not in radii._jdf.queryExecution().optimizedPlan().toString()
